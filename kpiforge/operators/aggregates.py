@@ -22,40 +22,46 @@ _MARGIN = 3.0 / SKETCH_ACCURACY
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    v = F.col(value)
-    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    """Exact median per group (mean of the two middle values when even).
 
+    Pass 1 (one aggregate): count and a bounded-memory sketch bracket
+    [lo, hi] around the middle ranks. Pass 2 (one aggregate over the rows
+    joined to the per-group bracket): count of values below ``lo`` and the
+    sorted values inside the bracket (≈ 6·n/accuracy of them). The middle
+    values are picked from the band by rank. The small per-group result is
+    checkpointed; if any group's bracket missed (not expected under the
+    sketch's error bound), those groups alone are recomputed exactly.
+    """
+    rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     stats = (rows.groupBy(*keys)
-             .agg(F.count("*").alias("_n"),
+             .agg(F.count(F.lit(1)).alias("_n"),
                   F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN],
                                       SKETCH_ACCURACY).alias("_br"))
              .select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi")))
-
-    tagged = rows.join(stats, keys)
-    below = (tagged.groupBy(*keys)
-             .agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                  F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_band")))
-
-    band = tagged.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    w = Window.partitionBy(*keys).orderBy("_v")
-    ranked = (band.join(below, keys)
-              .withColumn("_rank", F.col("_below") + F.row_number().over(w))
-              # 1-based middle ranks: k1 = (n+1) div 2, k2 = n div 2 + 1
-              .withColumn("_k1", (F.col("_n") + 1) / 2)
-              .withColumn("_k1", F.floor("_k1"))
-              .withColumn("_k2", F.floor(F.col("_n") / 2) + 1))
-    picked = (ranked
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    banded = (rows.join(stats, keys)
               .groupBy(*keys)
-              .agg(F.max(F.when(F.col("_rank") == F.col("_k1"), F.col("_v"))).alias("_a"),
-                   F.max(F.when(F.col("_rank") == F.col("_k2"), F.col("_v"))).alias("_b")))
-    fast = (picked.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-            .select(*keys, ((F.col("_a") + F.col("_b")) / 2).alias(out)))
-
-    # Exact fallback for any group the bracket missed.
-    missed = stats.select(*keys).join(fast.select(*keys), keys, "left_anti")
+              .agg(F.first("_n").alias("_n"),
+                   F.count_if(v < lo).alias("_below"),
+                   F.sort_array(F.collect_list(F.when(v.between(lo, hi), v))).alias("_band")))
+    # 1-based middle ranks k1 = (n+1) div 2, k2 = n div 2 + 1, shifted into the band.
+    n, below = F.col("_n"), F.col("_below")
+    i1 = F.floor((n + 1) / 2) - below
+    i2 = F.floor(n / 2) + 1 - below
+    size = F.size("_band")
+    ok = (i1 >= 1) & (i2 <= size)
+    picked = banded.select(
+        *keys,
+        F.when(ok, (F.element_at("_band", i1.cast("int")) + F.element_at("_band", i2.cast("int"))) / 2)
+        .alias(out),
+        ok.alias("_ok"))
+    picked = picked.checkpoint(eager=True)
+    missed = picked.filter(~F.col("_ok")).select(*keys)
+    if missed.isEmpty():
+        return picked.drop("_ok")
     slow = (rows.join(missed, keys, "left_semi")
             .groupBy(*keys).agg(F.median("_v").alias(out)))
-    return fast.unionByName(slow)
+    return picked.filter("_ok").drop("_ok").unionByName(slow)
 
 
 def safe_corr(x: str, y: str):

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import money
 from ..operators.aggregates import exact_median
 from ..sources.tables import nation_dim, table
+from .store import materialized
 
 URGENT = ("1-URGENT", "2-HIGH")
 
 
-def order_panel(spark: SparkSession, sf: str) -> DataFrame:
+def build_order_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year): orders, order value, distinct customers, urgent orders.
 
     Stands for income (mean order value), population (customers) and
@@ -48,7 +49,7 @@ def _revenue():
     return money(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
 
 
-def tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
+def build_tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year of ship date): line revenue (tourism expenditure)."""
     li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
     per_supp = (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
@@ -68,7 +69,7 @@ def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
             .withColumnRenamed("n_name", "region"))
 
 
-def rent_panel(spark: SparkSession, sf: str) -> DataFrame:
+def build_rent_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year, quarter): exact median unit price (weekly rent)."""
     rows = (line_regions(spark, sf, "l_shipdate", "l_extendedprice", "l_quantity")
             .select("region",
@@ -79,16 +80,25 @@ def rent_panel(spark: SparkSession, sf: str) -> DataFrame:
     return exact_median(rows, ["region", "year", "quarter"], "unit_price", "rent")
 
 
-def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(year): GDP (revenue), inflation, unemployment, interest series."""
+def build_month_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """(year, month) partial sums of lineitem; the macro (year) and rate
+    (month) series both derive from it, so lineitem is scanned once."""
     li = table(spark, sf, "lineitem", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
                "l_returnflag")
-    g = (li.groupBy(F.year("l_shipdate").alias("year"))
-         .agg(F.sum(_revenue()).alias("revenue"),
-              F.count(F.lit(1)).alias("n_lines"),
-              F.sum(money("l_discount")).alias("disc"),
-              F.sum(money("l_tax")).alias("tax"),
-              F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
+    return (li.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+            .agg(F.sum(_revenue()).alias("revenue"),
+                 F.count(F.lit(1)).alias("n_lines"),
+                 F.sum(money("l_discount")).alias("disc"),
+                 F.sum(money("l_tax")).alias("tax"),
+                 F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
+
+
+def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """(year): GDP (revenue), inflation, unemployment, interest series."""
+    g = (month_panel(spark, sf).groupBy("year")
+         .agg(F.sum("revenue").alias("revenue"), F.sum("n_lines").alias("n_lines"),
+              F.sum("disc").alias("disc"), F.sum("tax").alias("tax"),
+              F.sum("n_returns").alias("n_returns")))
     n = F.col("n_lines")
     return g.select(
         "year",
@@ -100,11 +110,25 @@ def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def rate_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(year, month): mean discount·100 (monthly policy-rate series)."""
-    li = table(spark, sf, "lineitem", "l_shipdate", "l_discount")
-    g = (li.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-         .agg(F.sum(money("l_discount")).alias("disc"), F.count(F.lit(1)).alias("n")))
-    return g.select("year", "month", (F.col("disc").cast("double") * 100 / F.col("n")).alias("rate"))
+    return month_panel(spark, sf).select(
+        "year", "month", (F.col("disc").cast("double") * 100 / F.col("n_lines")).alias("rate"))
 
 
 def national_population(order_p: DataFrame) -> DataFrame:
     return order_p.groupBy("year").agg(F.sum("population").alias("population"))
+
+
+def order_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "order_panel", build_order_panel)
+
+
+def tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "tourism_panel", build_tourism_panel)
+
+
+def rent_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "rent_panel", build_rent_panel)
+
+
+def month_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "month_panel", build_month_panel)

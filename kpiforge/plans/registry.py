@@ -28,11 +28,13 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+MODULES = ["q_silver", "gold", "calculators", "q_ops", "q_quality", "q_display", "q_forecast",
+           "q_sources", "q_monitor"]
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_silver  # noqa: F401
-    for mod in ("q_gold", "q_calc", "q_ops", "q_quality", "q_display", "q_forecast",
-                "q_sources", "q_monitor"):
+    for mod in MODULES:
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # module not written yet
