@@ -32,12 +32,12 @@ def union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-EXECUTIVE = with_silver(", ex_l AS (SELECT * FROM unified WHERE year = (SELECT max(year) FROM unified)),\n"
+EXECUTIVE = (", ex_l AS (SELECT * FROM unified WHERE year = (SELECT max(year) FROM unified)),\n"
     "ex_a AS (SELECT year, avg(ocr_value) AS ocr, avg(supply_deficit_score) AS supply, avg(gdp_per_capita) AS gdp_pc,\n"
     " avg(gdp_per_capita_yoy_pct) AS gdp_yoy, avg(rate_volatility) AS vol, avg(tourism_pressure_index) AS pressure,\n"
     " avg(rent_to_income_ratio) AS rent_ratio, sum(building_consents) AS consents FROM ex_l GROUP BY year),\n"
-    "ex_b AS (SELECT ex_a.*, m.inflation FROM ex_a LEFT JOIN macro_panel m ON ex_a.year = m.year)\n"
-    + union([branch(m, v, "executive", "ex_b", "year") for m, v in zip(M.EXECUTIVE, [
+    "ex_b AS (SELECT ex_a.*, m.inflation FROM ex_a LEFT JOIN macro_panel m ON ex_a.year = m.year)\n",
+    union([branch(m, v, "executive", "ex_b", "year") for m, v in zip(M.EXECUTIVE, [
         N("COALESCE(ocr, 0) * 0.30 + COALESCE(supply, 0) * 0.35 + COALESCE(gdp_pc, 0) * 0.35", 2),
         N("gdp_yoy", 2),
         N("100 - COALESCE(vol, 0)", 2),
@@ -47,12 +47,12 @@ EXECUTIVE = with_silver(", ex_l AS (SELECT * FROM unified WHERE year = (SELECT m
         N("COALESCE(ocr, 0)", 2),
         N("COALESCE(inflation, 0)", 2),
         "COALESCE(consents, 0)",
-    ])])).replace("WITH ", "WITH ", 1)
+    ])]))
 
 _H = M.HOUSING
-HOUSING = with_silver(", h_ls AS (SELECT * FROM supply WHERE year = (SELECT max(year) FROM supply)),\n"
-    "h_lr AS (SELECT * FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income))\n"
-    + union([
+HOUSING = (", h_ls AS (SELECT * FROM supply WHERE year = (SELECT max(year) FROM supply)),\n"
+    "h_lr AS (SELECT * FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income))\n",
+    union([
         branch(_H[0], N("building_consents * 150.0", 0), "housing", "h_ls"),
         branch(_H[2], "COALESCE(building_consents, 0)", "housing", "h_ls"),
         branch(_H[3], "COALESCE(population_growth, 0)", "housing", "h_ls"),
@@ -64,9 +64,9 @@ HOUSING = with_silver(", h_ls AS (SELECT * FROM supply WHERE year = (SELECT max(
     ]))
 
 _T = M.TOURISM
-TOURISM = with_silver(", t_l AS (SELECT * FROM tourism WHERE year = (SELECT max(year) FROM tourism)),\n"
-    "t_p AS (SELECT * FROM tourism WHERE year = (SELECT max(year) - 1 FROM tourism))\n"
-    + union([
+TOURISM = (", t_l AS (SELECT * FROM tourism WHERE year = (SELECT max(year) FROM tourism)),\n"
+    "t_p AS (SELECT * FROM tourism WHERE year = (SELECT max(year) - 1 FROM tourism))\n",
+    union([
         branch(_T[0], N("avg(tourism_pressure_index)", 2), "tourism", "t_l"),
         branch(_T[1], N("sum(visitor_arrivals)", 4), "tourism", "t_l"),
         branch(_T[2], N("sum(tourism_expenditure)", 4), "tourism", "t_l"),
@@ -83,12 +83,12 @@ _M = M.MACRO
 _R = "(COALESCE(mortgage_rate_2yr, 5.0) / 100 / 12)"
 _ANN = (f"CASE WHEN {_R} = 0 THEN 750000.0 / 360 ELSE 750000.0 * {_R} * POW(1 + {_R}, 360) "
         f"/ (POW(1 + {_R}, 360) - 1) END")
-MACRO = with_silver(", m_ir AS (SELECT * FROM interest_rate WHERE year = (SELECT max(year) FROM interest_rate)),\n"
+MACRO = (", m_ir AS (SELECT * FROM interest_rate WHERE year = (SELECT max(year) FROM interest_rate)),\n"
     "m_aff0 AS (SELECT *, (gdp_per_capita - lag(gdp_per_capita) OVER w) / NULLIF(lag(gdp_per_capita) OVER w, 0) * 100 AS gdp_yoy\n"
     "  FROM affordability WINDOW w AS (PARTITION BY region ORDER BY year)),\n"
     "m_aff AS (SELECT * FROM m_aff0 WHERE year = (SELECT max(year) FROM m_aff0)),\n"
-    "m_t AS (SELECT * FROM tourism WHERE year = (SELECT max(year) FROM tourism))\n"
-    + union([
+    "m_t AS (SELECT * FROM tourism WHERE year = (SELECT max(year) FROM tourism))\n",
+    union([
         branch(_M[0], N("COALESCE(ocr_value, 0)", 2), "macro", "m_ir"),
         branch(_M[1], N("ocr_value - 3.5", 2), "macro", "m_ir"),
         branch(_M[2], N("COALESCE(mortgage_rate_2yr, 0)", 2), "macro", "m_ir"),
@@ -103,9 +103,9 @@ MACRO = with_silver(", m_ir AS (SELECT * FROM interest_rate WHERE year = (SELECT
     ]))
 
 _A = M.AFFORDABILITY
-AFFORDABILITY = with_silver(", a_ri AS (SELECT * FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income)),\n"
-    "a_af AS (SELECT * FROM affordability WHERE year = (SELECT max(year) FROM affordability))\n"
-    + union([
+AFFORDABILITY = (", a_ri AS (SELECT * FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income)),\n"
+    "a_af AS (SELECT * FROM affordability WHERE year = (SELECT max(year) FROM affordability))\n",
+    union([
         branch(_A[0], N("COALESCE(price_to_income_ratio, 0)", 1), "affordability", "a_af"),
         branch(_A[1], N("COALESCE(rent_to_income_ratio, 0)", 1), "affordability", "a_ri"),
         branch(_A[2], "COALESCE(median_weekly_rent, 0)", "affordability", "a_ri"),
@@ -121,7 +121,7 @@ _P = "(SELECT avg(gdp_per_capita) FROM unified WHERE year = (SELECT max(year) -
 _V = "(SELECT avg(rate_volatility) FROM unified WHERE year = (SELECT max(year) FROM unified))"
 _TT = "(SELECT avg(tourism_pressure_index) FROM unified WHERE year = (SELECT max(year) FROM unified))"
 _ONE = "(SELECT 1) AS one"
-FORECAST = with_silver("\n" + union([
+FORECAST = ("", union([
     branch(_F[0], N(f"COALESCE({_G}, 0) * 1.03", 0), "forecast", _ONE),
     branch(_F[1], N(f"COALESCE(({_G} - {_P}) / NULLIF({_P}, 0) * 100, 0)", 2), "forecast", _ONE),
     branch(_F[2], N(f"COALESCE({_G}, 0) * 1.08", 0), "forecast", _ONE),
@@ -136,7 +136,7 @@ FORECAST = with_silver("\n" + union([
     branch(_F[11], N(f"COALESCE(100 - ABS(({_G} - {_P}) / NULLIF({_P}, 0)) * 100, 75)", 1), "forecast", _ONE),
 ]))
 
-GOLD_SQL = {
+GOLD_PARTS = {
     "gold_executive": EXECUTIVE,
     "gold_housing": HOUSING,
     "gold_tourism": TOURISM,
@@ -144,3 +144,20 @@ GOLD_SQL = {
     "gold_affordability": AFFORDABILITY,
     "gold_forecast": FORECAST,
 }
+
+GOLD_SQL = {k: with_silver(h + "\n" + body) for k, (h, body) in GOLD_PARTS.items()}
+
+# Source tag per dashboard for the combined KPI table (fixed mapping of ours).
+DASHBOARD_SOURCE = {"executive": "Derived", "housing": "Stats NZ", "tourism": "MBIE",
+                    "macro": "RBNZ", "affordability": "Stats NZ", "forecast": "Synthetic"}
+
+KPI_CTES = ("".join(h for h, _ in GOLD_PARTS.values())
+            + "".join(f",\n{k} AS (\n{body}\n)" for k, (_, body) in GOLD_PARTS.items())
+            + ",\nkpis AS (\n" + "\nUNION ALL\n".join(
+                f"SELECT kpi_name, kpi_value, unit, description, dashboard, category, "
+                f"{_q(DASHBOARD_SOURCE[k[5:]])} AS source FROM {k}" for k in GOLD_PARTS) + ")")
+
+
+def with_kpis(select: str) -> str:
+    """``WITH <silver>, <gold>, kpis <select>``."""
+    return with_silver(KPI_CTES + "\n" + select)
