@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
-                  right_time: str, values: list[str]) -> DataFrame:
+                  right_time: str, values: list[str], flag: str | None = None) -> DataFrame:
     """For each left row, the right row of the same ``by`` key with the
     greatest ``right_time <= left_time`` (backward as-of join).
 
@@ -33,7 +33,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: s
     # instead of falling back to an older right row.
     last_hit = F.last(F.when(F.col("_side") == 0, F.struct(*tag_cols)), ignorenulls=True).over(w)
     out = u.withColumn("_m", last_hit).filter(F.col("_side") == 1)
-    return out.select(*l_cols, *[F.col(f"_m.{t}").alias(v) for v, t in zip(values, tag_cols)])
+    extra = [F.col("_m").isNotNull().alias(flag)] if flag else []
+    return out.select(*l_cols, *[F.col(f"_m.{t}").alias(v) for v, t in zip(values, tag_cols)], *extra)
 
 
 def full_outer_chain(base: DataFrame, parts: list[tuple[DataFrame, list[str]]],
@@ -55,3 +56,38 @@ def full_outer_chain(base: DataFrame, parts: list[tuple[DataFrame, list[str]]],
             cond = e if cond is None else cond & e
         out = out.join(df, cond, "full_outer")
     return out
+
+
+def asof_backward_bucketed(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
+                           right_time: str, values: list[str], bucket) -> DataFrame:
+    """Backward as-of join that does not put a whole key into one task.
+
+    ``bucket`` maps a time column to a coarse bucket (e.g. ``F.to_date``).
+    1. Inside each (key, bucket): ``asof_backward`` partitioned by
+       (key, bucket) — a hot key is spread over its buckets.
+    2. Carry-in for left rows with no earlier right row in their own
+       bucket: the last right row of each (key, bucket) (``max_by``), and a
+       window over those per-bucket summaries — one row per key × bucket,
+       bounded by the time span, not by the row count — gives the latest
+       right row of any *earlier* bucket.
+    Exact; right rows win ties on equal time.
+    """
+    lb = left.withColumn("_bkt", bucket(F.col(left_time)))
+    rb = right.withColumn("_bkt", bucket(F.col(right_time)))
+    within = asof_backward(lb, rb, by + ["_bkt"], left_time, right_time, values, flag="_hit")
+
+    rstruct = F.struct(*[F.col(v).alias(v) for v in values])
+    last_per_bucket = rb.groupBy(*by, "_bkt").agg(F.max_by(rstruct, F.col(right_time)).alias("_last"))
+    keys = lb.select(*by, "_bkt").distinct()
+    # Left bucket markers sort before the same bucket's right summary, so the
+    # frame "all earlier rows" holds only strictly earlier buckets' summaries.
+    u = (keys.select(*by, "_bkt", F.lit(0).alias("_side"),
+                     F.lit(None).cast(last_per_bucket.schema["_last"].dataType).alias("_last"))
+         .unionByName(last_per_bucket.select(*by, "_bkt", F.lit(1).alias("_side"), "_last")))
+    w = Window.partitionBy(*by).orderBy("_bkt", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (u.withColumn("_prev", F.last("_last", ignorenulls=True).over(w))
+             .filter(F.col("_side") == 0).select(*by, "_bkt", "_prev"))
+    out = within.join(carry, by + ["_bkt"], "left")
+    cols = [c for c in left.columns]
+    return out.select(*cols, *[F.when(F.col("_hit"), F.col(v)).otherwise(F.col(f"_prev.{v}")).alias(v)
+                               for v in values])
