@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from ..session import shared_dir
 
 SKETCH_ACCURACY = 10_000
 # Bracket half-width in quantile units: three times the sketch's relative
@@ -55,6 +56,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         F.when(ok, (F.element_at("_band", i1.cast("int")) + F.element_at("_band", i2.cast("int"))) / 2)
         .alias(out),
         ok.alias("_ok"))
+    shared_dir(df.sparkSession)          # checkpoint into the cluster's shared folder
     picked = picked.checkpoint(eager=True)
     missed = picked.filter(~F.col("_ok")).select(*keys)
     if missed.isEmpty():
