@@ -22,6 +22,7 @@ from . import panel
 from .features import silver
 from .gold import latest, latest_period
 from .registry import query
+from ..sources.tables import bounded_broadcast
 
 # Accessor defaults.
 D_OCR, D_INFL, D_UNEMP, D_GDP_PC, D_GDP_YOY, D_SUPPLY = 5.50, 4.0, 4.0, 48000.0, 2.0, 50.0
@@ -357,3 +358,35 @@ def kpi_reconcile(spark, sf):
           .when(F.col("calc_value").isNull() & F.col("sql_value").isNotNull(), "sql_only")
           .when(rel > 0.01, "differs").otherwise("match"))
     return j.select("dashboard", "name", "sql_value", "calc_value", st.alias("status"))
+
+
+# ---------------------------------------------------------------- F32 / F11 / K15
+PROXY_BASE_PRICE = 600000.0
+
+
+@query("regional_proxies", with_silver(_CI + f"""
+SELECT region, price, {N('GREATEST(20, LEAST(100, price / NULLIF(income, 0) * 5.5))', 1)} AS pressure,
+  {N(f'(price / {PROXY_BASE_PRICE} - 1) * 1.5', 4)} AS momentum FROM rp"""))
+def regional_proxies(spark, sf):
+    """F32: regional proxies — pressure = clamp(20, 100, price/income·5.5),
+    momentum = (price / 600000 − 1)·1.5."""
+    rp = region_prices(spark, sf)
+    return rp.select("region", "price",
+                     num(clamp(safe_div(c("price"), c("income")) * 5.5, 20, 100), 1).alias("pressure"),
+                     num((c("price") / PROXY_BASE_PRICE - 1) * 1.5, 4).alias("momentum"))
+
+
+# Forecast scenarios (name, multiplier).
+SCENARIOS = [("base", 1.0), ("optimistic", 1.1), ("stress", 0.85)]
+
+
+@query("scenario_forecast", with_silver(_CI + ", sc AS (SELECT * FROM (VALUES "
+                                        + ", ".join(f"('{n}', {m})" for n, m in SCENARIOS) + ") AS t(scenario, multiplier))\n"
+                                        + f"SELECT sc.scenario, {N('m_price * (1.0 + gdp_yoy / 100.0) * sc.multiplier', 0)} AS price_12m FROM ci CROSS JOIN sc"))
+def scenario_forecast(spark, sf):
+    """scenario multipliers as a literal scenario table cross-joined
+    with the one-row forecast input."""
+    sc = bounded_broadcast(spark.createDataFrame(SCENARIOS, "scenario string, multiplier double"))
+    i = calc_inputs(spark, sf)
+    return i.crossJoin(sc).select("scenario", num(c("m_price") * (F.lit(1.0) + c("gdp_yoy") / 100.0) * c("multiplier"), 0)
+                                  .alias("price_12m"))

@@ -331,3 +331,52 @@ def dashboard_filter(spark, sf):
     j = s.crossJoin(nat).join(reg, s.region == reg._r, "left")
     return j.select("region", "year", "affordability_index",
                     F.coalesce("reg_hero", "nat_hero").alias("hero_value"))
+
+
+SPARK_POINTS = 12
+
+
+@query("dashboard_payload", with_kpis(f""", pl_map AS (
+  SELECT dashboard, count(*) AS n_kpis,
+         string_agg(kpi_name || '=' || printf('%.2f', {N('kpi_value', 2)}), ';' ORDER BY kpi_name || '=' || printf('%.2f', {N('kpi_value', 2)})) AS kpi_map
+  FROM kpis GROUP BY dashboard),
+pl_spark AS (SELECT list(v ORDER BY year) AS sparkline FROM (
+  SELECT year, {N('avg(affordability_index)', 2)} AS v FROM unified GROUP BY year ORDER BY year DESC LIMIT {SPARK_POINTS})),
+pl_top AS (SELECT string_agg(region, ',' ORDER BY tourism_pressure_index DESC, region) AS top3 FROM (
+  SELECT region, tourism_pressure_index FROM tourism WHERE year = (SELECT max(year) FROM tourism)
+  ORDER BY tourism_pressure_index DESC, region LIMIT 3)),
+pl_reg AS (SELECT string_agg(region || '=' || printf('%.1f', {N('affordability_index', 1)}), ';' ORDER BY region || '=' || printf('%.1f', {N('affordability_index', 1)})) AS regional_map
+  FROM affordability WHERE year = (SELECT max(year) FROM affordability))
+SELECT m.dashboard, m.n_kpis, m.kpi_map,
+  CASE WHEN m.dashboard = 'executive' THEN s.sparkline END AS sparkline,
+  CASE WHEN m.dashboard = 'executive' THEN t.top3 END AS top3,
+  CASE WHEN m.dashboard = 'executive' THEN r.regional_map END AS regional_map
+FROM pl_map m CROSS JOIN pl_spark s CROSS JOIN pl_top t CROSS JOIN pl_reg r"""))
+def dashboard_payload(spark, sf):
+    """The data a dashboard page loads — KPI map by name, and for the
+    executive page a national sparkline (last 12 points), the top three
+    regions and a regional map. Every list is bounded (KPIs per dashboard,
+    years, regions)."""
+    from .features import silver
+    from .gold import latest
+    k = kpis(spark, sf)
+    entry = F.concat(F.col("kpi_name"), F.lit("="), F.format_string("%.2f", num("kpi_value", 2)))
+    m = k.groupBy("dashboard").agg(F.count(F.lit(1)).alias("n_kpis"),
+                                   F.concat_ws(";", F.array_sort(F.collect_list(entry))).alias("kpi_map"))
+    yearly = (silver(spark, sf, "unified_base").groupBy("year")
+              .agg(num(F.avg("affordability_index"), 2).alias("v")))
+    last = yearly.orderBy(F.desc("year")).limit(SPARK_POINTS)
+    spark_line = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("year", "v"))), lambda s: s["v"])
+                          .alias("sparkline"))
+    t = latest(silver(spark, sf, "tourism_pressure"))
+    top = (t.orderBy(F.desc("tourism_pressure_index"), "region").limit(3)
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("tourism_pressure_index"), F.col("region")))),
+                            lambda s: s["region"]).alias("_t"))
+           .select(F.concat_ws(",", "_t").alias("top3")))
+    a = latest(silver(spark, sf, "affordability"))
+    reg = a.agg(F.concat_ws(";", F.array_sort(F.collect_list(
+        F.concat(F.col("region"), F.lit("="), F.format_string("%.1f", num("affordability_index", 1)))))).alias("regional_map"))
+    j = m.crossJoin(spark_line).crossJoin(top).crossJoin(reg)
+    ex = F.col("dashboard") == "executive"
+    return j.select("dashboard", "n_kpis", "kpi_map", F.when(ex, F.col("sparkline")).alias("sparkline"),
+                    F.when(ex, F.col("top3")).alias("top3"), F.when(ex, F.col("regional_map")).alias("regional_map"))
