@@ -6,8 +6,10 @@ have passed since the key's last *dispatched* alert; a dispatched alert
 stamps the key's clock, a suppressed one does not. At most ``max_per_run``
 alerts are dispatched per run (earliest first).
 
-Batch: a JVM-side ``aggregate`` fold over each key's alerts sorted by
-time. Streaming: ``applyInPandasWithState`` keeps one timestamp per key
+Batch: keys up to a checked size are decided by a JVM-side ``aggregate``
+fold over the key's alerts sorted by time; hot keys by pointer doubling
+over a "next dispatch" link computed with forward as-of joins, so no task
+ever holds a whole key. Both paths are exact and tested equal. Streaming: ``applyInPandasWithState`` keeps one timestamp per key
 as state, so memory per key is constant however long the stream runs.
 The run cap is a distributed top-k (``orderBy(ts).limit(max)``), not a
 global window.
@@ -28,9 +30,43 @@ def alert_key(stage, title, message):
     return F.concat_ws(":", stage, title, F.substring(message, 1, 80))
 
 
-def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None = None) -> DataFrame:
-    """alerts: (alert_id, key, ts, severity). Adds ``dispatched``."""
+# Keys with more alerts than this are not folded in one task; they take
+# the distributed pointer-doubling path instead.
+FOLD_MAX_PER_KEY = 1_000_000
+_ID_SPAN = 10 ** 12          # alert ids must be < 10^12 (packed after the time)
+
+
+def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None = None,
+                   fold_max_per_key: int = FOLD_MAX_PER_KEY) -> DataFrame:
+    """alerts: (alert_id, key, ts, severity). Adds ``dispatched``.
+
+    Keys with at most ``fold_max_per_key`` alerts (checked with one count
+    per key) are decided by an ordered fold; larger keys by
+    ``_dispatch_by_doubling`` which never holds a key in one task.
+    """
     a = alerts.withColumn("_crit", F.col("severity") == "CRITICAL")
+    sizes = a.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > fold_max_per_key).select("key")
+    if hot.isEmpty():
+        sent = _dispatch_by_fold(a, cooldown_s)
+    else:
+        hot = hot.checkpoint()
+        small = a.join(F.broadcast(hot), "key", "left_anti")
+        big = a.join(F.broadcast(hot), "key", "left_semi")
+        sent = _dispatch_by_fold(small, cooldown_s).unionByName(_dispatch_by_doubling(big, cooldown_s))
+    out = a.join(sent.withColumn("_sent", F.lit(True)), "alert_id", "left")
+    out = out.withColumn("dispatched", F.coalesce("_sent", F.lit(False))).drop("_sent", "_crit")
+    if max_per_run is not None:
+        first = (out.filter("dispatched").orderBy("ts", "alert_id").limit(max_per_run)
+                 .select("alert_id", F.lit(True).alias("_in_cap")))
+        out = (out.join(F.broadcast(first), "alert_id", "left")
+               .withColumn("dispatched", F.col("dispatched") & F.coalesce("_in_cap", F.lit(False)))
+               .drop("_in_cap"))
+    return out
+
+
+def _dispatch_by_fold(a: DataFrame, cooldown_s: int) -> DataFrame:
+    """Ordered ``aggregate`` fold per key (JVM-side); returns dispatched ids."""
     per_key = a.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
                                              F.col("alert_id").alias("id"), F.col("_crit").alias("c")))).alias("xs"))
@@ -43,16 +79,56 @@ def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None =
         return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"),
                         F.when(ok, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"))
 
-    sent = per_key.select(F.explode(F.aggregate("xs", init, step)["ids"]).alias("alert_id"))
-    out = a.join(sent.withColumn("_sent", F.lit(True)), "alert_id", "left")
-    out = out.withColumn("dispatched", F.coalesce("_sent", F.lit(False))).drop("_sent", "_crit")
-    if max_per_run is not None:
-        first = (out.filter("dispatched").orderBy("ts", "alert_id").limit(max_per_run)
-                 .select("alert_id", F.lit(True).alias("_in_cap")))
-        out = (out.join(F.broadcast(first), "alert_id", "left")
-               .withColumn("dispatched", F.col("dispatched") & F.coalesce("_in_cap", F.lit(False)))
-               .drop("_in_cap"))
-    return out
+    return per_key.select(F.explode(F.aggregate("xs", init, step)["ids"]).alias("alert_id"))
+
+
+def _dispatch_by_doubling(a: DataFrame, cooldown_s: int, bucket_s: int = 86_400) -> DataFrame:
+    """Exact cooldown without a per-key task.
+
+    Every alert x has one *next dispatch*: the earlier (by time, id) of the
+    next CRITICAL alert after x and the first non-critical alert at least
+    ``cooldown`` after x. (A dispatch stamps the clock; criticals always
+    pass; so from a dispatched x the next dispatched alert is exactly that.)
+    The first alert of a key is dispatched, hence the dispatched set is the
+    chain head → next → next … . Both lookups are forward as-of joins
+    (bucketed backward as-of on negated keys); the chain is enumerated by
+    pointer doubling: S ← S ∪ J_k(S), J_{k+1} = J_k ∘ J_k, one self-join
+    per round keyed by alert id, lineage cut with ``checkpoint()`` each
+    round, ⌈log2(chain length)⌉ rounds.
+    """
+    from ..operators.joins import asof_backward_bucketed
+    span = F.lit(_ID_SPAN).cast("decimal(38,0)")
+    t = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
+    z = t * span + F.col("alert_id").cast("decimal(38,0)")
+    a = a.withColumn("_z", z).withColumn("_nz", -z)
+    width = F.expr(f"CAST({_ID_SPAN * bucket_s * 1_000_000} AS DECIMAL(38,0))")
+    bucket = lambda col: F.floor(col / width)
+    crit = a.filter("_crit").select("key", F.col("_nz").alias("_rt"), F.col("_z").alias("_next_crit"))
+    nonc = a.filter(~F.col("_crit")).select("key", F.col("_nz").alias("_rt"), F.col("_z").alias("_next_nc"))
+    # next critical strictly after x: z_c ≥ z_x + 1  ⇔  −z_c ≤ −(z_x + 1)
+    left1 = a.select("alert_id", "key", (F.col("_nz") - 1).alias("_lt"))
+    nc1 = asof_backward_bucketed(left1, crit, ["key"], "_lt", "_rt", ["_next_crit"], bucket)
+    # first non-critical at or after x + cooldown: z ≥ (t_x + C)·10^12
+    shift = F.lit(cooldown_s * 1_000_000).cast("decimal(38,0)") * span
+    left2 = a.select("alert_id", "key", (-(t * span + shift)).alias("_lt"))
+    nc2 = asof_backward_bucketed(left2, nonc, ["key"], "_lt", "_rt", ["_next_nc"], bucket)
+    nxt = (nc1.select("alert_id", "_next_crit").join(nc2.select("alert_id", "_next_nc"), "alert_id")
+           .select(F.col("alert_id").alias("x"),
+                   (F.least("_next_crit", "_next_nc") % span).cast("bigint").alias("y")))
+    heads = a.groupBy("key").agg(F.min("_z").alias("_hz")).select((F.col("_hz") % span).cast("bigint").alias("x"))
+    jump = nxt.checkpoint()
+    reach = heads.checkpoint()
+    while True:
+        step = reach.join(jump, "x").select(F.col("y").alias("x")).filter(F.col("x").isNotNull())
+        grown = reach.unionByName(step).distinct().checkpoint()
+        live = jump.filter(F.col("y").isNotNull())
+        if live.isEmpty():
+            reach = grown
+            break
+        b = jump.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        jump = jump.join(b, "y", "left").select("x", F.col("z").alias("y")).checkpoint()
+        reach = grown
+    return reach.select(F.col("x").alias("alert_id"))
 
 
 STATE_SCHEMA = "last_ts long"

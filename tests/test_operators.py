@@ -112,6 +112,20 @@ def test_cooldown_rule(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
     capped = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, max_per_run=3).collect()}
     assert [k for k, v in sorted(capped.items()) if v] == [1, 3, 7]
+    # hot-key path (pointer doubling, no per-key task) gives the same answer
+    dbl = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, fold_max_per_key=0).collect()}
+    assert dbl == got
+
+
+def test_cooldown_doubling_equal_times(spark):
+    base = dt.datetime(2024, 1, 1)
+    t = lambda s: base + dt.timedelta(seconds=s)
+    rows = [(1, "k", t(0), "ERROR"), (2, "k", t(3600), "ERROR"), (3, "k", t(3600), "ERROR"),
+            (4, "k", t(3600), "CRITICAL"), (5, "k", t(7199), "INFO"), (6, "k", t(7200), "INFO")]
+    df = spark.createDataFrame(rows, "alert_id long, key string, ts timestamp_ntz, severity string")
+    fold = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600).collect()}
+    dbl = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, fold_max_per_key=0).collect()}
+    assert fold == dbl == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
 
 
 def test_expectations_suite_and_unknown_type(spark):
