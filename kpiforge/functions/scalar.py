@@ -31,6 +31,38 @@ def money(x) -> Column:
     return c(x).cast("decimal(18,4)")
 
 
+_SPLIT = 1_000_000
+
+
+def exact_sum(x, name: str, scale: int = 4) -> list[Column]:
+    """Exact sum of a fixed-point value (≤ ``scale`` decimals) as two BIGINT
+    sums — long aggregation stays on Spark's fast path, unlike a
+    DECIMAL(p>18) buffer. The value in units of 10^-scale is split into
+    high (÷10^6) and low (mod 10^6) parts: per-row parts are < 10^3 and
+    < 10^6 for values below 10^5, so neither sum can overflow below ~10^12
+    rows per group. Recombine with ``exact_sum_value``."""
+    u = F.round(c(x) * F.lit(float(10 ** scale))).cast("bigint")
+    hi = F.floor(u / F.lit(float(_SPLIT))).cast("bigint")
+    lo = u - hi * F.lit(_SPLIT)
+    return [F.sum(hi).alias(f"{name}__hi"), F.sum(lo).alias(f"{name}__lo")]
+
+
+def exact_sum_parts(name: str) -> list[Column]:
+    """Re-aggregation of already summed parts (e.g. months → year)."""
+    return [F.sum(f"{name}__hi").alias(f"{name}__hi"), F.sum(f"{name}__lo").alias(f"{name}__lo")]
+
+
+def exact_sum_value(name: str, scale: int = 4) -> Column:
+    """DECIMAL(38, scale) total of an ``exact_sum`` pair."""
+    total = F.col(f"{name}__hi").cast("decimal(38,0)") * F.lit(_SPLIT) + F.col(f"{name}__lo").cast("decimal(38,0)")
+    return (total / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")
+
+
+def hundredths(x) -> Column:
+    """A 2-decimal value as exact integer hundredths (BIGINT)."""
+    return F.round(c(x) * F.lit(100.0)).cast("bigint")
+
+
 def safe_div(n, d) -> Column:
     """n / d, NULL when d is NULL or 0 (``nullif`` guard, no ANSI error)."""
     return F.try_divide(c(n), F.nullif(c(d), F.lit(0)))

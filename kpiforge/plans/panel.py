@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import money
+from ..functions.scalar import exact_sum, exact_sum_parts, exact_sum_value, hundredths, money
 from ..operators.aggregates import exact_median
 from ..sources.tables import nation_dim, table
 from .store import materialized
@@ -30,34 +30,40 @@ def build_order_panel(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     per_cust = (o.groupBy("o_custkey", F.year("o_orderdate").alias("year"))
                 .agg(F.count(F.lit(1)).alias("n_orders"),
-                     F.sum(money("o_totalprice")).alias("value"),
+                     *exact_sum("o_totalprice", "value"),
                      F.count_if(F.col("o_orderpriority").isin(*URGENT)).alias("n_urgent")))
     cust = table(spark, sf, "customer", "c_custkey", "c_nationkey")
     j = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
          .join(nation_dim(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")))
     # Each (customer, year) row is unique and a customer has one nation, so
     # count(*) here is the distinct-customer count of the (region, year).
-    return (j.groupBy(F.col("n_name").alias("region"), "year")
-            .agg(F.sum("n_orders").alias("n_orders"),
-                 F.sum("value").alias("order_value"),
-                 F.count(F.lit(1)).alias("population"),
-                 F.sum("n_urgent").alias("consents"))
+    g = (j.groupBy(F.col("n_name").alias("region"), "year")
+         .agg(F.sum("n_orders").alias("n_orders"), *exact_sum_parts("value"),
+              F.count(F.lit(1)).alias("population"),
+              F.sum("n_urgent").alias("consents")))
+    return (g.select("region", "year", "n_orders", exact_sum_value("value").alias("order_value"),
+                     "population", "consents")
             .withColumn("income", F.col("order_value").cast("double") / F.col("n_orders")))
 
 
+def _revenue_expr():
+    return F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+
+
 def _revenue():
-    return money(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
+    return money(_revenue_expr())
 
 
 def build_tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year of ship date): line revenue (tourism expenditure)."""
     li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
     per_supp = (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
-                .agg(F.sum(_revenue()).alias("spend")))
+                .agg(*exact_sum(_revenue_expr(), "spend")))
     supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
     j = (per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey)
          .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")))
-    return j.groupBy(F.col("n_name").alias("region"), "year").agg(F.sum("spend").alias("spend"))
+    g = j.groupBy(F.col("n_name").alias("region"), "year").agg(*exact_sum_parts("spend"))
+    return g.select("region", "year", exact_sum_value("spend").alias("spend"))
 
 
 def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -86,32 +92,32 @@ def build_month_panel(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
                "l_returnflag")
     return (li.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-            .agg(F.sum(_revenue()).alias("revenue"),
+            .agg(*exact_sum(_revenue_expr(), "revenue"),
                  F.count(F.lit(1)).alias("n_lines"),
-                 F.sum(money("l_discount")).alias("disc"),
-                 F.sum(money("l_tax")).alias("tax"),
+                 F.sum(hundredths("l_discount")).alias("disc_h"),
+                 F.sum(hundredths("l_tax")).alias("tax_h"),
                  F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
 
 
 def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(year): GDP (revenue), inflation, unemployment, interest series."""
     g = (month_panel(spark, sf).groupBy("year")
-         .agg(F.sum("revenue").alias("revenue"), F.sum("n_lines").alias("n_lines"),
-              F.sum("disc").alias("disc"), F.sum("tax").alias("tax"),
+         .agg(*exact_sum_parts("revenue"), F.sum("n_lines").alias("n_lines"),
+              F.sum("disc_h").alias("disc_h"), F.sum("tax_h").alias("tax_h"),
               F.sum("n_returns").alias("n_returns")))
     n = F.col("n_lines")
     return g.select(
         "year",
-        F.col("revenue").cast("double").alias("gdp"),
-        (F.col("disc").cast("double") * 100 / n).alias("inflation"),
+        exact_sum_value("revenue").cast("double").alias("gdp"),
+        (F.col("disc_h").cast("double") / n).alias("inflation"),
         (F.col("n_returns") * 100.0 / n).alias("unemployment"),
-        (F.col("tax").cast("double") * 100 / n).alias("interest"))
+        (F.col("tax_h").cast("double") / n).alias("interest"))
 
 
 def rate_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(year, month): mean discount·100 (monthly policy-rate series)."""
     return month_panel(spark, sf).select(
-        "year", "month", (F.col("disc").cast("double") * 100 / F.col("n_lines")).alias("rate"))
+        "year", "month", (F.col("disc_h").cast("double") / F.col("n_lines")).alias("rate"))
 
 
 def national_population(order_p: DataFrame) -> DataFrame:

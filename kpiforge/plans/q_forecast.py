@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import money, num, safe_div
+from ..functions.scalar import exact_sum, exact_sum_parts, exact_sum_value, num, safe_div
 from ..operators import forecast as FC
 from ..oracle.silver import N, REV, with_silver
 from ..sources.tables import nation_dim, table
@@ -24,12 +24,12 @@ def build_region_month(spark: SparkSession, sf: str) -> DataFrame:
     and month before the supplier join."""
     li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
     per = (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-           .agg(F.sum(money(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))).alias("rev")))
+           .agg(*exact_sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), "rev")))
     supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
     j = (per.join(supp, per.l_suppkey == supp.s_suppkey)
          .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")))
-    return (j.groupBy(F.col("n_name").alias("region"), "year", "month")
-            .agg(F.sum("rev").cast("double").alias("revenue")))
+    g = j.groupBy(F.col("n_name").alias("region"), "year", "month").agg(*exact_sum_parts("rev"))
+    return g.select("region", "year", "month", exact_sum_value("rev").cast("double").alias("revenue"))
 
 
 def region_month(spark, sf):

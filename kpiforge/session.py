@@ -28,6 +28,9 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keep object-hash aggregation (quantile sketches, collect_list) in
+    # hash mode for up to 1024 groups per task before the sort fallback.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
