@@ -20,7 +20,7 @@ from ..oracle.gold import with_kpis
 from ..oracle.silver import N, with_silver
 from . import panel
 from .features import silver
-from .gold import latest, latest_period
+from .gold import latest, latest_period, with_latest_year
 from .registry import query
 from ..sources.tables import bounded_broadcast
 
@@ -51,9 +51,10 @@ def calc_inputs(spark, sf) -> DataFrame:
     mv = latest(silver(spark, sf, "macro_volatility")).agg(F.avg("macroeconomic_volatility_index").alias("mvol"))
     mp = latest(panel.macro_panel(spark, sf)).agg(F.avg("inflation").alias("infl"), F.avg("unemployment").alias("unemp"))
     aff = silver(spark, sf, "affordability")
-    mx = aff.select(F.max("year")).scalar()
-    g = aff.filter(F.col("year") >= mx - 1).agg(F.avg(F.when(F.col("year") == mx, F.col("gdp_per_capita"))).alias("gdp_pc"),
-                                                F.avg(F.when(F.col("year") == mx - 1, F.col("gdp_per_capita"))).alias("_gp"))
+    ax = with_latest_year(aff)
+    mx = F.col("_mx")
+    g = ax.filter(F.col("year") >= mx - 1).agg(F.avg(F.when(F.col("year") == mx, F.col("gdp_per_capita"))).alias("gdp_pc"),
+                                               F.avg(F.when(F.col("year") == mx - 1, F.col("gdp_per_capita"))).alias("_gp"))
     sup = latest(silver(spark, sf, "supply_deficit")).agg(F.avg("supply_deficit_score").alias("supply"),
                                                           F.avg("population_growth").alias("pop_growth"),
                                                           F.sum("building_consents").alias("consents"))

@@ -31,6 +31,13 @@ def latest(df: DataFrame, year: str = "year", back: int = 0) -> DataFrame:
     return df.filter(F.col(year) == mx - F.lit(back))
 
 
+def with_latest_year(df: DataFrame, year: str = "year") -> DataFrame:
+    """Attach max(year) as column ``_mx`` via a one-row aggregate (cross
+    join with a single row; one scalar computation however often ``_mx``
+    is referenced, unlike repeated scalar subqueries)."""
+    return df.crossJoin(df.agg(F.max(year).alias("_mx")))
+
+
 def latest_period(df: DataFrame) -> DataFrame:
     """Rows of the latest (year, quarter) period."""
     key = F.col("year") * 10 + F.col("quarter")
@@ -117,11 +124,10 @@ def housing(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- tourism
 def tourism(spark: SparkSession, sf: str) -> DataFrame:
-    t = silver(spark, sf, "tourism_pressure")
-    mx = t.select(F.max("year")).scalar()
-    cur = F.col("year") == mx
-    prev = F.col("year") == mx - 1
-    a = t.filter(F.col("year") >= mx - 1).agg(
+    t = with_latest_year(silver(spark, sf, "tourism_pressure"))
+    cur = F.col("year") == F.col("_mx")
+    prev = F.col("year") == F.col("_mx") - 1
+    a = t.filter(F.col("year") >= F.col("_mx") - 1).agg(
         F.avg(F.when(cur, F.col("tourism_pressure_index"))).alias("p_l"),
         F.avg(F.when(prev, F.col("tourism_pressure_index"))).alias("p_p"),
         F.sum(F.when(cur, F.col("visitor_arrivals"))).alias("arr"),
@@ -190,11 +196,10 @@ def affordability(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- forecast
 def forecast(spark: SparkSession, sf: str) -> DataFrame:
-    u = silver(spark, sf, "unified_base")
-    mx = u.select(F.max("year")).scalar()
-    cur = F.col("year") == mx
-    prev = F.col("year") == mx - 1
-    a = u.filter(F.col("year") >= mx - 1).agg(
+    u = with_latest_year(silver(spark, sf, "unified_base"))
+    cur = F.col("year") == F.col("_mx")
+    prev = F.col("year") == F.col("_mx") - 1
+    a = u.filter(F.col("year") >= F.col("_mx") - 1).agg(
         F.avg(F.when(cur, F.col("gdp_per_capita"))).alias("g"),
         F.avg(F.when(prev, F.col("gdp_per_capita"))).alias("p"),
         F.avg(F.when(cur, F.col("rate_volatility"))).alias("v"),
