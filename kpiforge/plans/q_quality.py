@@ -61,8 +61,8 @@ def profile(df: DataFrame, name: str) -> DataFrame:
     pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
                                            for c in cols])).alias("p")).select("p.*")
              .filter(F.col("v").isNotNull()))
-    distinct = pairs.groupBy("column_name").agg(F.count_distinct("v").alias("unique_count"))
-    dv = pairs.distinct()
+    dv = pairs.distinct()                     # one shuffle feeds both counts and samples
+    distinct = dv.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
     w = Window.partitionBy("column_name").orderBy("v")
     samples = (dv.withColumn("_r", F.row_number().over(w)).filter("_r <= 5")
                .groupBy("column_name").agg(F.array_sort(F.collect_list("v")).alias("sample_values")))
