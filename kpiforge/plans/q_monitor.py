@@ -210,3 +210,31 @@ def upsert_key(spark, sf):
     new = _latest_per_user(ev.filter(F.col("ts") >= F.lit(NEW_FROM).cast("timestamp_ntz")),
                            ["event_type", "value", "props"])
     return upsert(old, new, ["user_id"]).select("user_id", "event_type", "value", "props")
+
+
+@query("upsert_stream", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
+  arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
+def upsert_stream(spark, sf):
+    """X3 + S16 streaming: the event log read as a file stream with a
+    one-day watermark; every micro-batch is reduced to one row per user
+    (``max_by``) and upserted into the target table by ``foreachBatch``
+    (new batch wins per key). Returns the final table version."""
+    from ..session import scratch_path
+    from ..streaming.incremental import foreach_batch_upsert
+    schema = table(spark, sf, "events").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+              .withColumn("event_time", F.col("ts").cast("timestamp"))
+              .withWatermark("event_time", "1 day"))
+    target = scratch_path(spark, "upsert-target")
+
+    def reduce_batch(batch, epoch_id):
+        latest = _latest_per_user(batch, ["event_type", "value"])
+        handler(latest, epoch_id)
+
+    handler = foreach_batch_upsert(target, ["user_id"])
+    q = (stream.writeStream.foreachBatch(reduce_batch)
+         .option("checkpointLocation", scratch_path(spark, "upsert-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(handler.versions[-1]).select("user_id", "event_type", "value")
