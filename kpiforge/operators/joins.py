@@ -27,7 +27,10 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: s
                      *[F.col(v).alias(t) for v, t in zip(values, tag_cols)])
     l = l.withColumn("_hit", F.lit(None).cast("boolean"))
     u = l.unionByName(r.select(l.columns))
-    w = (Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first(), "_side")
+    # Right rows with equal time are ordered by their values, so the match
+    # is the same on every task retry.
+    w = (Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first(), "_side",
+                                         *[F.col(t).asc_nulls_first() for t in tag_cols])
          .rowsBetween(Window.unboundedPreceding, 0))
     # _hit marks a right row; carrying it lets NULL right values stay NULL
     # instead of falling back to an older right row.

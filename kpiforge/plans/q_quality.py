@@ -447,31 +447,37 @@ def _age_days(ts):
     return (F.unix_timestamp(F.lit(EVENTS_AS_OF).cast("timestamp_ntz")) - F.unix_timestamp(ts)) / 86400.0
 
 
+_SCORE_SQL = ("CASE WHEN r IS NULL THEN 0 WHEN r <= 1 THEN GREATEST(0, 100 - 30 * r) WHEN r <= 2 THEN GREATEST(0, 70 - 30 * r) "
+              "ELSE GREATEST(0, 40 - 20 * r) END")
+
+
 @query("freshness_score", f"""WITH last AS (SELECT event_type AS source, max(ts) AS last_ts FROM events GROUP BY 1),
-s AS (SELECT l.source, date_diff('second', l.last_ts, TIMESTAMP '{EVENTS_AS_OF}') / 86400.0 / lim.d AS r
-      FROM last l JOIN (VALUES {_LIMIT_VALUES}) AS lim(source, d) ON l.source = lim.source)
+s AS (SELECT lim.source, date_diff('second', l.last_ts, TIMESTAMP '{EVENTS_AS_OF}') / 86400.0 / lim.d AS r
+      FROM (VALUES {_LIMIT_VALUES}) AS lim(source, d) LEFT JOIN last l ON l.source = lim.source)
 SELECT source, {N('r', 6)} AS age_ratio,
-  CASE WHEN r <= 1 THEN 'fresh' WHEN r <= 2 THEN 'aging' ELSE 'stale' END AS status,
-  {N("CASE WHEN r <= 1 THEN GREATEST(0, 100 - 30 * r) WHEN r <= 2 THEN GREATEST(0, 70 - 30 * r) ELSE GREATEST(0, 40 - 20 * r) END", 2)} AS score,
-  {N("avg(CASE WHEN r <= 1 THEN GREATEST(0, 100 - 30 * r) WHEN r <= 2 THEN GREATEST(0, 70 - 30 * r) ELSE GREATEST(0, 40 - 20 * r) END) OVER ()", 2)} AS mean_score
+  CASE WHEN r IS NULL THEN 'missing' WHEN r <= 1 THEN 'fresh' WHEN r <= 2 THEN 'aging' ELSE 'stale' END AS status,
+  {N(_SCORE_SQL, 2)} AS score,
+  {N("avg(CASE WHEN r IS NOT NULL THEN " + _SCORE_SQL + " END) OVER ()", 2)} AS mean_score
 FROM s""")
 def freshness_score(spark, sf):
     """Per-source freshness score from age/limit: fresh 100−30r,
-    aging 70−30r, stale 40−20r; plus the mean over sources."""
+    aging 70−30r, stale 40−20r; a source with no ingest scores 0 and is
+    left out of the mean."""
     ev = table(spark, sf, "events", "event_type", "ts")
     last = ev.groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last_ts"))
     lim = spark.createDataFrame(list(FRESH_LIMIT.items()), "source string, d int")
-    j = last.join(F.broadcast(lim), "source")
+    j = F.broadcast(lim).join(last, "source", "left")
     r = (F.unix_timestamp(F.lit(EVENTS_AS_OF).cast("timestamp_ntz")) - F.unix_timestamp("last_ts")) / 86400.0 / F.col("d")
     j = j.withColumn("r", r)
     rr = F.col("r")
-    score = (F.when(rr <= 1, F.greatest(F.lit(0.0), 100 - 30 * rr)).when(rr <= 2, F.greatest(F.lit(0.0), 70 - 30 * rr))
-             .otherwise(F.greatest(F.lit(0.0), 40 - 20 * rr)))
+    score = (F.when(rr.isNull(), 0.0).when(rr <= 1, F.greatest(F.lit(0.0), 100 - 30 * rr))
+             .when(rr <= 2, F.greatest(F.lit(0.0), 70 - 30 * rr)).otherwise(F.greatest(F.lit(0.0), 40 - 20 * rr)))
     j = j.withColumn("score_raw", score)
-    mean = j.agg(num(F.avg("score_raw"), 2).alias("mean_score"))
-    return j.crossJoin(mean).select("source", num(rr, 6).alias("age_ratio"),
-                                    F.when(rr <= 1, "fresh").when(rr <= 2, "aging").otherwise("stale").alias("status"),
-                                    num("score_raw", 2).alias("score"), "mean_score")
+    mean = j.agg(num(F.avg(F.when(rr.isNotNull(), F.col("score_raw"))), 2).alias("mean_score"))
+    return j.crossJoin(mean).select(
+        "source", num(rr, 6).alias("age_ratio"),
+        F.when(rr.isNull(), "missing").when(rr <= 1, "fresh").when(rr <= 2, "aging").otherwise("stale").alias("status"),
+        num("score_raw", 2).alias("score"), "mean_score")
 
 
 @query("source_sla", f"""SELECT event_type AS source, {N(f"date_diff('second', max(ts), TIMESTAMP '{EVENTS_AS_OF}') / 86400.0", 4)} AS age_days,

@@ -10,6 +10,7 @@ re-scanning the fact tables per branch.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +19,28 @@ from ..session import scratch_path
 
 _paths: dict[tuple[str, str, str], str] = {}
 _frames: dict[tuple[str, str, str], DataFrame] = {}
+_locks: dict[tuple[str, str, str], threading.Lock] = {}
+_guard = threading.Lock()
 
 
 def materialized(spark: SparkSession, sf: str, name: str,
                  build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Build once per application; concurrent callers wait for the one build."""
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     df = _frames.get(key)
-    if df is None:
-        path = _paths.get(key)
-        if path is None:
-            path = scratch_path(spark, name)
-            build(spark, sf).write.mode("errorifexists").parquet(path)
-            _paths[key] = path
-        df = _frames[key] = spark.read.parquet(path)
+    if df is not None:
+        return df
+    with _guard:
+        lock = _locks.setdefault(key, threading.Lock())
+    with lock:
+        df = _frames.get(key)
+        if df is None:
+            path = _paths.get(key)
+            if path is None:
+                path = scratch_path(spark, name)
+                build(spark, sf).write.mode("errorifexists").parquet(path)
+                _paths[key] = path
+            df = _frames[key] = spark.read.parquet(path)
     return df
 
 
