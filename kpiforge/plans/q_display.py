@@ -380,3 +380,20 @@ def dashboard_payload(spark, sf):
     ex = F.col("dashboard") == "executive"
     return j.select("dashboard", "n_kpis", "kpi_map", F.when(ex, F.col("sparkline")).alias("sparkline"),
                     F.when(ex, F.col("top3")).alias("top3"), F.when(ex, F.col("regional_map")).alias("regional_map"))
+
+
+LAST_ROWS = 12
+
+
+def last_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """P6 without a date column: the last ``n`` rows by the given order
+    (distributed top-k; the limit is the feature)."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+@query("timeframe_rows", with_silver(f"\nSELECT year, month, {N('rate', 6)} AS rate FROM rate_panel ORDER BY year DESC, month DESC LIMIT {LAST_ROWS}"))
+def timeframe_rows(spark, sf):
+    """P6 (no date column): the last 12 points of the monthly series."""
+    from . import panel
+    r = last_rows(panel.rate_panel(spark, sf), LAST_ROWS, ["year", "month"])
+    return r.select("year", "month", num("rate", 6).alias("rate"))

@@ -618,3 +618,32 @@ def kpi_documented(spark, sf):
 
 
 
+
+
+# ------------------------------------------------------------------ J11 regional latest
+@query("regional_latest", with_silver("""SELECT COALESCE(a.region, t.region, s.region, r.region, k.region) AS region,
+  a.affordability_index, a.price_to_income_ratio, t.tourism_pressure_index, s.supply_deficit_score,
+  r.median_weekly_rent, k.rent_inflation_rate, ir.ocr_value
+FROM (SELECT region, affordability_index, price_to_income_ratio FROM affordability WHERE year = (SELECT max(year) FROM affordability)) a
+FULL OUTER JOIN (SELECT region, tourism_pressure_index FROM tourism WHERE year = (SELECT max(year) FROM tourism)) t ON t.region = a.region
+FULL OUTER JOIN (SELECT region, supply_deficit_score FROM supply WHERE year = (SELECT max(year) FROM supply)) s ON s.region = COALESCE(a.region, t.region)
+FULL OUTER JOIN (SELECT region, median_weekly_rent FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income)) r
+  ON r.region = COALESCE(a.region, t.region, s.region)
+FULL OUTER JOIN (SELECT region, avg(rent_inflation_rate) AS rent_inflation_rate FROM rent_income WHERE year = (SELECT max(year) FROM rent_income) GROUP BY region) k
+  ON k.region = COALESCE(a.region, t.region, s.region, r.region)
+CROSS JOIN (SELECT avg(ocr_value) AS ocr_value FROM interest_rate WHERE year = (SELECT max(year) FROM interest_rate)) ir"""))
+def regional_latest(spark, sf):
+    """One row per region from five latest tables whose keys may be
+    missing in any of them (FULL OUTER fold on region; the national rate
+    is a one-row cross join)."""
+    a = latest(silver(spark, sf, "affordability")).select("region", "affordability_index", "price_to_income_ratio")
+    t = latest(silver(spark, sf, "tourism_pressure")).select("region", "tourism_pressure_index")
+    s = latest(silver(spark, sf, "supply_deficit")).select("region", "supply_deficit_score")
+    r = latest_period(silver(spark, sf, "rent_income")).select("region", "median_weekly_rent")
+    k = (latest(silver(spark, sf, "rent_income")).groupBy("region")
+         .agg(F.avg("rent_inflation_rate").alias("rent_inflation_rate")))
+    ir = latest(silver(spark, sf, "interest_rate")).agg(F.avg("ocr_value").alias("ocr_value"))
+    out = reduce(lambda x, y: x.join(y, "region", "full_outer"), [a, t, s, r, k])
+    return out.crossJoin(ir).select("region", "affordability_index", "price_to_income_ratio",
+                                    "tourism_pressure_index", "supply_deficit_score", "median_weekly_rent",
+                                    "rent_inflation_rate", "ocr_value")

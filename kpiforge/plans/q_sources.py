@@ -464,3 +464,93 @@ def try_numeric(spark, sf):
 
 
 
+
+
+# File-name prefix → source label (first match wins).
+SOURCE_PREFIXES = [("world_bank", "World Bank"), ("rbnz", "RBNZ"), ("stats_nz", "Stats NZ"), ("mbie", "MBIE")]
+
+
+@query("files_by_source")
+def files_by_source(spark, sf):
+    """Land bronze datasets under source-prefixed names, then count
+    datasets and files per source prefix and per layer from the file
+    listing (``_metadata.file_path``), classified by a prefix ladder."""
+    base = scratch_path(spark, "layers")
+    m = panel.macro_panel(spark, sf)
+    for ind in INDICATORS:
+        m.select("year", ind).write.json(f"{base}/bronze/world_bank_{ind}.json")
+    panel.rate_panel(spark, sf).write.json(f"{base}/bronze/rbnz_ocr.json")
+    panel.order_panel(spark, sf).select("region", "year", "population").write.json(f"{base}/bronze/stats_nz_population.json")
+    panel.tourism_panel(spark, sf).write.json(f"{base}/bronze/mbie_expenditure.json")
+    silver(spark, sf, "affordability").write.parquet(f"{base}/silver/affordability.parquet")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+             .select(F.col("path")))
+    name = F.regexp_extract("path", r"/([^/]+)/(?:[^/]+)$", 1)
+    layer = F.regexp_extract("path", r"/(bronze|silver|gold)/", 1)
+    src = F.lit("Other")
+    for prefix, label in reversed(SOURCE_PREFIXES):
+        src = F.when(name.startswith(prefix), label).otherwise(src)
+    f = files.select(layer.alias("layer"), src.alias("source"), name.alias("dataset"))
+    return f.groupBy("layer", "source").agg(F.count_distinct("dataset").alias("n_datasets"),
+                                            F.count(F.lit(1)).alias("n_files"))
+
+
+@query("normalize_shapes", with_kpis(""", basic AS (SELECT kpi_name AS c0, kpi_value AS c1, unit AS c2 FROM kpis WHERE dashboard = 'tourism')
+SELECT trim(kpi_name) AS name, kpi_value AS value, trim(unit) AS unit, trim(description) AS description, trim(category) AS category,
+  trim(source) AS source, 'quality' AS detected_schema FROM kpis WHERE dashboard = 'macro'
+UNION ALL
+SELECT trim(name), value, trim(unit), trim(description), trim(category), trim(source), 'legacy' FROM (
+  SELECT kpi_name AS name, kpi_value AS value, unit, description, category, 'sql-form' AS source FROM kpis WHERE dashboard = 'executive')
+UNION ALL
+SELECT trim(c0), TRY_CAST(c1 AS DOUBLE), trim(c2), '', 'general', 'Unknown', 'basic' FROM basic"""))
+def normalize_shapes(spark, sf):
+    """Detect the input shape (quality: kpi_name/kpi_value; legacy:
+    name/value; basic: positional) and map each to the canonical KPI shape
+    — renames, positional renames, literals for missing fields, trimmed
+    text, numeric value by ``try_cast``."""
+    from .q_display import kpis
+    k = kpis(spark, sf)
+    quality = k.filter(F.col("dashboard") == "macro")
+    legacy = (k.filter(F.col("dashboard") == "executive")
+              .select(F.col("kpi_name").alias("name"), F.col("kpi_value").alias("value"), "unit", "description",
+                      "category", F.lit("sql-form").alias("source")))
+    basic = k.filter(F.col("dashboard") == "tourism").select("kpi_name", "kpi_value", "unit").toDF("c0", "c1", "c2")
+    return reduce(DataFrame.unionByName, [normalize_kpi_frame(d) for d in (quality, legacy, basic)])
+
+
+def normalize_kpi_frame(df: DataFrame) -> DataFrame:
+    cols = set(df.columns)
+    if {"kpi_name", "kpi_value"} <= cols:
+        shape, name, value = "quality", "kpi_name", "kpi_value"
+    elif {"name", "value"} <= cols:
+        shape, name, value = "legacy", "name", "value"
+    else:
+        shape = "basic"
+        df = df.toDF(*(["name", "value", "unit"] + df.columns[3:])[: len(df.columns)])
+        name, value = "name", "value"
+    txt = lambda c, d: F.trim(F.col(c)) if c in df.columns else F.lit(d)
+    return df.select(F.trim(F.col(name)).alias("name"), F.col(value).cast("string").try_cast("double").alias("value"),
+                     txt("unit", "").alias("unit"), txt("description", "").alias("description"),
+                     txt("category", "general").alias("category"), txt("source", "Unknown").alias("source"),
+                     F.lit(shape).alias("detected_schema"))
+
+
+CONVERT_COLS = {"orders": ["o_orderpriority", "o_orderstatus"], "events": ["props", "event_type"], "part": ["p_brand"]}
+
+
+@query("convertible_check", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count_if({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) AS n_unconvertible, "
+    f"count_if({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) = 0 AS convertible FROM {t}"
+    for t, cs in CONVERT_COLS.items() for c in cs))
+def convertible_check(spark, sf):
+    """Can a text column be converted to a number? Counted as the NULL
+    delta of ``try_cast`` over non-NULL values, one aggregate per table."""
+    parts = []
+    for t, cs in CONVERT_COLS.items():
+        df = table(spark, sf, t, *cs)
+        bad = lambda c: F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
+        one = df.agg(*[bad(c).alias(f"_{i}") for i, c in enumerate(cs)])
+        parts.append(one.select(F.inline(F.array(*[
+            F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"_{i}").alias("n_unconvertible"),
+                     (F.col(f"_{i}") == 0).alias("convertible")) for i, c in enumerate(cs)]))))
+    return reduce(DataFrame.unionByName, parts)
