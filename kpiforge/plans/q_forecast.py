@@ -147,7 +147,7 @@ def holdout_eval(spark, sf):
     return h.select("region", num("mae", 4).alias("mae"), num("mape", 6).alias("mape"), num("r2", 6).alias("r2"))
 
 
-@query("forecast_pipeline", with_silver(RM_CTE + _LIN + _HOLD + f"""
+@query("forecast_report", with_silver(RM_CTE + _LIN + _HOLD + f"""
 SELECT f.region, p_last.x AS current_value,
   {N('(p_last.x - p_prev.x) / NULLIF(p_prev.x, 0) * 100', 4)} AS growth_yoy_pct,
   {N('f.a + f.b * (f.t_max + 1)', 2)} AS next_forecast,
@@ -158,7 +158,7 @@ FROM fit f JOIN pts p_last ON p_last.region = f.region AND p_last.t = f.t_max
 LEFT JOIN pts p_prev ON p_prev.region = f.region AND p_prev.t = f.t_max - 12
 LEFT JOIN hold h ON h.region = f.region
 JOIN (SELECT region, min(year) AS y0, max(year) AS y1 FROM rm GROUP BY region) y ON y.region = f.region"""))
-def forecast_pipeline(spark, sf):
+def forecast_report(spark, sf):
     """M8: per series — current value, YoY growth, next linear forecast,
     hold-out R², confidence clamp(40, 90, 60 + 30·R²), points, year range."""
     pts = revenue_points(spark, sf)

@@ -27,7 +27,7 @@ def _parallel(fns, workers: int = 8):
             f.result()
 
 
-def run_pipeline(spark: SparkSession, sf: str, gold=None, contracts=None) -> dict[str, float]:
+def run_stages(spark: SparkSession, sf: str, gold=None, contracts=None) -> dict[str, float]:
     """Run bronze→silver→gold(→contracts); returns seconds per stage.
     ``gold`` / ``contracts`` are callables that force one output each."""
     t = {}
