@@ -54,16 +54,32 @@ def _revenue():
     return money(_revenue_expr())
 
 
+def build_supplier_month(spark: SparkSession, sf: str) -> DataFrame:
+    """(supplier, year, month) exact partial sums of lineitem — the one
+    lineitem scan behind the month, tourism and region-month panels."""
+    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
+               "l_returnflag")
+    return (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+            .agg(*exact_sum(_revenue_expr(), "revenue"),
+                 F.count(F.lit(1)).alias("n_lines"),
+                 F.sum(hundredths("l_discount")).alias("disc_h"),
+                 F.sum(hundredths("l_tax")).alias("tax_h"),
+                 F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
+
+
+def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier_month joined to the supplier's region (nation)."""
+    sm = supplier_month(spark, sf)
+    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    return (sm.join(supp, sm.l_suppkey == supp.s_suppkey)
+            .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
+            .withColumnRenamed("n_name", "region"))
+
+
 def build_tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year of ship date): line revenue (tourism expenditure)."""
-    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
-    per_supp = (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
-                .agg(*exact_sum(_revenue_expr(), "spend")))
-    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    j = (per_supp.join(supp, per_supp.l_suppkey == supp.s_suppkey)
-         .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")))
-    g = j.groupBy(F.col("n_name").alias("region"), "year").agg(*exact_sum_parts("spend"))
-    return g.select("region", "year", exact_sum_value("spend").alias("spend"))
+    g = supplier_regions(spark, sf).groupBy("region", "year").agg(*exact_sum_parts("revenue"))
+    return g.select("region", "year", exact_sum_value("revenue").alias("spend"))
 
 
 def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -87,16 +103,12 @@ def build_rent_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_month_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(year, month) partial sums of lineitem; the macro (year) and rate
-    (month) series both derive from it, so lineitem is scanned once."""
-    li = table(spark, sf, "lineitem", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
-               "l_returnflag")
-    return (li.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-            .agg(*exact_sum(_revenue_expr(), "revenue"),
-                 F.count(F.lit(1)).alias("n_lines"),
-                 F.sum(hundredths("l_discount")).alias("disc_h"),
-                 F.sum(hundredths("l_tax")).alias("tax_h"),
-                 F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
+    """(year, month) sums; the macro (year) and rate (month) series derive
+    from it."""
+    return (supplier_month(spark, sf).groupBy("year", "month")
+            .agg(*exact_sum_parts("revenue"), F.sum("n_lines").alias("n_lines"),
+                 F.sum("disc_h").alias("disc_h"), F.sum("tax_h").alias("tax_h"),
+                 F.sum("n_returns").alias("n_returns")))
 
 
 def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,3 +150,7 @@ def rent_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def month_panel(spark: SparkSession, sf: str) -> DataFrame:
     return materialized(spark, sf, "month_panel", build_month_panel)
+
+
+def supplier_month(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "supplier_month", build_supplier_month)

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import exact_sum, exact_sum_parts, exact_sum_value, num, safe_div
+from ..functions.scalar import exact_sum_parts, exact_sum_value, num, safe_div
 from ..operators import forecast as FC
 from ..oracle.silver import N, REV, with_silver
-from ..sources.tables import nation_dim, table
+from . import panel
 from .features import silver
 from .registry import query
 from .store import materialized
@@ -20,16 +20,9 @@ LIN_HORIZON, TEST_SIZE = 6, 6
 
 
 def build_region_month(spark: SparkSession, sf: str) -> DataFrame:
-    """(region, year, month) revenue; lineitem pre-aggregated per supplier
-    and month before the supplier join."""
-    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
-    per = (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-           .agg(*exact_sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), "rev")))
-    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    j = (per.join(supp, per.l_suppkey == supp.s_suppkey)
-         .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")))
-    g = j.groupBy(F.col("n_name").alias("region"), "year", "month").agg(*exact_sum_parts("rev"))
-    return g.select("region", "year", "month", exact_sum_value("rev").cast("double").alias("revenue"))
+    """(region, year, month) revenue from the shared supplier-month sums."""
+    g = panel.supplier_regions(spark, sf).groupBy("region", "year", "month").agg(*exact_sum_parts("revenue"))
+    return g.select("region", "year", "month", exact_sum_value("revenue").cast("double").alias("revenue"))
 
 
 def region_month(spark, sf):
