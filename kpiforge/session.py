@@ -69,3 +69,21 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder (never reused)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_conf(total_cores: int, executor_mem_gb: int = 16, cores_per_executor: int = 4) -> dict[str, str]:
+    """Suggested settings for a large cluster (e.g. 1000 executors × 4
+    cores reading ~100 TB): enough shuffle partitions that a post-shuffle
+    partition of the widest stage stays around the AQE advisory size
+    (AQE coalesces small ones), input splits of 256 MB, skew split on.
+    Apply with ``SparkSession.builder.config(map=...)`` or spark-submit."""
+    per_task_gb = executor_mem_gb / max(1, cores_per_executor)
+    advisory_mb = 256 if per_task_gb >= 4 else 128
+    return {
+        **{k: v for k, v in BASE_CONF.items() if not k.startswith("spark.ui")},
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * advisory_mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+    }
