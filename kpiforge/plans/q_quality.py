@@ -322,6 +322,14 @@ def _expect_query(name):
 for _n in EXPECT:
     query(_n, EXPECT_SQL[_n])(_expect_query(_n))
 
+EXPECT_SUITE_SQL = """SELECT 0 AS idx, 'expect_table_row_count_to_be_between' AS expectation_type, CAST(NULL AS VARCHAR) AS column, count(*) >= 100 AND count(*) <= 100000000 AS success, CAST(count(*) AS DOUBLE) AS observed FROM orders
+UNION ALL SELECT 1, 'expect_table_columns_to_match_set', NULL, (SELECT count(*) = 3 FROM information_schema.columns WHERE table_name = 'orders' AND column_name IN ('o_orderkey', 'o_custkey', 'o_totalprice')), NULL
+UNION ALL SELECT 2, 'expect_column_values_to_be_of_type', 'o_custkey', (SELECT data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') FROM information_schema.columns WHERE table_name = 'orders' AND column_name = 'o_custkey'), NULL
+UNION ALL SELECT 3, 'expect_column_values_to_not_be_null', 'o_totalprice', count(o_totalprice) / count(*) >= 0.95, count(o_totalprice) / count(*) FROM orders
+UNION ALL SELECT 4, 'expect_column_values_to_be_in_set', 'o_orderstatus', count_if(o_orderstatus NOT IN ('O', 'F')) = 0, CAST(count_if(o_orderstatus NOT IN ('O', 'F')) AS DOUBLE) FROM orders
+UNION ALL SELECT 5, 'expect_table_columns_to_match_ordered_list', NULL, (SELECT list(column_name ORDER BY ordinal_position) = ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority'] FROM information_schema.columns WHERE table_name = 'orders'), NULL
+UNION ALL SELECT 6, 'expect_column_values_to_be_between', 'o_totalprice', count_if(o_totalprice < 0) = 0, CAST(count_if(o_totalprice < 0) AS DOUBLE) FROM orders"""
+
 ORDERS_SUITE = [exp for tbl, exp in EXPECT.values() if tbl == "orders"] + [
     {"expectation_type": "expect_table_columns_to_match_ordered_list",
      "kwargs": {"column_list": list(ORDERS_CLASSES)}},
@@ -330,7 +338,7 @@ ORDERS_SUITE = [exp for tbl, exp in EXPECT.values() if tbl == "orders"] + [
 ]
 
 
-@query("expect_suite")
+@query("expect_suite", EXPECT_SUITE_SQL)
 def expect_suite(spark, sf):
     """A whole suite over orders in one aggregate pass."""
     return run_suite(table(spark, sf, "orders"), ORDERS_SUITE)

@@ -236,7 +236,14 @@ def html_cards(spark, sf):
                     F.col("c.title").alias("title"), F.col("c.url").alias("url")))
 
 
-@query("write_contract", None)
+def _contract_sql():
+    from .q_quality import CONTRACT_CTE
+    return with_silver(CONTRACT_CTE + """
+SELECT artifact, (SELECT count(*) FROM affordability) AS row_count_file, n_rows AS row_count_contract, source, confidence, quality
+FROM contract_scores WHERE artifact = 'affordability'""")
+
+
+@query("write_contract", _contract_sql())
 def write_contract(spark, sf):
     """Write a feature table with a sidecar contract (JSON), then
     load both; the contract is optional on read (left join)."""
