@@ -338,14 +338,14 @@ SPARK_POINTS = 12
 
 @query("dashboard_payload", with_kpis(f""", pl_map AS (
   SELECT dashboard, count(*) AS n_kpis,
-         string_agg(kpi_name || '=' || printf('%.2f', {N('kpi_value', 2)}), ';' ORDER BY kpi_name || '=' || printf('%.2f', {N('kpi_value', 2)})) AS kpi_map
+         string_agg(kpi_name || '=' || COALESCE(printf('%.2f', {N('kpi_value', 2)}), 'NA'), ';' ORDER BY kpi_name || '=' || COALESCE(printf('%.2f', {N('kpi_value', 2)}), 'NA')) AS kpi_map
   FROM kpis GROUP BY dashboard),
 pl_spark AS (SELECT list(v ORDER BY year) AS sparkline FROM (
   SELECT year, {N('avg(affordability_index)', 2)} AS v FROM unified GROUP BY year ORDER BY year DESC LIMIT {SPARK_POINTS})),
 pl_top AS (SELECT string_agg(region, ',' ORDER BY tourism_pressure_index DESC, region) AS top3 FROM (
   SELECT region, tourism_pressure_index FROM tourism WHERE year = (SELECT max(year) FROM tourism)
   ORDER BY tourism_pressure_index DESC, region LIMIT 3)),
-pl_reg AS (SELECT string_agg(region || '=' || printf('%.1f', {N('affordability_index', 1)}), ';' ORDER BY region || '=' || printf('%.1f', {N('affordability_index', 1)})) AS regional_map
+pl_reg AS (SELECT string_agg(region || '=' || COALESCE(printf('%.1f', {N('affordability_index', 1)}), 'NA'), ';' ORDER BY region || '=' || COALESCE(printf('%.1f', {N('affordability_index', 1)}), 'NA')) AS regional_map
   FROM affordability WHERE year = (SELECT max(year) FROM affordability))
 SELECT m.dashboard, m.n_kpis, m.kpi_map,
   CASE WHEN m.dashboard = 'executive' THEN s.sparkline END AS sparkline,
@@ -360,7 +360,9 @@ def dashboard_payload(spark, sf):
     from .features import silver
     from .gold import latest
     k = kpis(spark, sf)
-    entry = F.concat(F.col("kpi_name"), F.lit("="), F.format_string("%.2f", num("kpi_value", 2)))
+    def fmt(col, digits):
+        return F.when(F.col(col).isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", num(col, digits)))
+    entry = F.concat(F.col("kpi_name"), F.lit("="), fmt("kpi_value", 2))
     m = k.groupBy("dashboard").agg(F.count(F.lit(1)).alias("n_kpis"),
                                    F.concat_ws(";", F.array_sort(F.collect_list(entry))).alias("kpi_map"))
     yearly = (silver(spark, sf, "unified_base").groupBy("year")
@@ -375,7 +377,7 @@ def dashboard_payload(spark, sf):
            .select(F.concat_ws(",", "_t").alias("top3")))
     a = latest(silver(spark, sf, "affordability"))
     reg = a.agg(F.concat_ws(";", F.array_sort(F.collect_list(
-        F.concat(F.col("region"), F.lit("="), F.format_string("%.1f", num("affordability_index", 1)))))).alias("regional_map"))
+        F.concat(F.col("region"), F.lit("="), fmt("affordability_index", 1))))).alias("regional_map"))
     j = m.crossJoin(spark_line).crossJoin(top).crossJoin(reg)
     ex = F.col("dashboard") == "executive"
     return j.select("dashboard", "n_kpis", "kpi_map", F.when(ex, F.col("sparkline")).alias("sparkline"),
