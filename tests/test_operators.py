@@ -156,7 +156,7 @@ def test_backtest_short_series_and_horizon_one(spark):
 
 
 def test_ladders(spark):
-    rows = [("Habitat Intelligence Score", 85.0, "score", "composite", "Real data"),
+    rows = [("Composite Quality Score", 85.0, "score", "composite", "Real data"),
             ("GDP Growth YoY", -1.0, "%", "economic", "Synthetic"),
             ("Supply Gap", 12.0, "count", "supply", "Stats NZ"),
             ("Median Price", 1234567.0, "NZD", "price", "")]
