@@ -449,7 +449,7 @@ def suburb_prices(spark, sf):
     price = latest(op).select("region", (F.col("income") * 9).alias("rprice"))
     fac = bounded_broadcast(spark.createDataFrame(SEGMENT_FACTOR, "segment string, factor double"))
     j = (c.join(n, c.c_nationkey == n.n_nationkey)
-         .join(F.broadcast(price), F.col("n_name") == price.region, "left")
+         .join(bounded_broadcast(price), F.col("n_name") == price.region, "left")
          .join(fac, c.c_mktsegment == fac.segment, "left"))
     return j.select("c_custkey", num(F.coalesce("rprice", F.lit(DEFAULT_PRICE)) * F.coalesce("factor", F.lit(1.0)), 0)
                     .alias("price"))

@@ -50,9 +50,10 @@ def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None =
     if hot.isEmpty():
         sent = _dispatch_by_fold(a, cooldown_s)
     else:
-        hot = hot.checkpoint()
-        small = a.join(F.broadcast(hot), "key", "left_anti")
-        big = a.join(F.broadcast(hot), "key", "left_semi")
+        from ..sources.tables import bounded_broadcast
+        hot = bounded_broadcast(hot.checkpoint())
+        small = a.join(hot, "key", "left_anti")
+        big = a.join(hot, "key", "left_semi")
         sent = _dispatch_by_fold(small, cooldown_s).unionByName(_dispatch_by_doubling(big, cooldown_s))
     out = a.join(sent.withColumn("_sent", F.lit(True)), "alert_id", "left")
     out = out.withColumn("dispatched", F.coalesce("_sent", F.lit(False))).drop("_sent", "_crit")
