@@ -575,8 +575,10 @@ def completeness(spark, sf):
         num(F.count_if(allok) * 100.0 / F.count(F.lit(1)), 2).alias("completeness_pct"))
 
 
-@query("dashboard_summary", with_proc_sql := with_kpis(", " + "kp0 AS (SELECT *, CAST(" + SQ.confidence() + " AS DOUBLE) AS confidence FROM kpis)\n"
-                                                     + """SELECT dashboard, count(*) AS n_rows, count_if(kpi_name IS NULL OR kpi_value IS NULL) = 0 AS schema_ok,
+_KP0 = ", kp0 AS (SELECT *, CAST(" + SQ.confidence() + " AS DOUBLE) AS confidence FROM kpis)\n"
+
+
+@query("dashboard_summary", with_kpis(_KP0 + """SELECT dashboard, count(*) AS n_rows, count_if(kpi_name IS NULL OR kpi_value IS NULL) = 0 AS schema_ok,
   CASE WHEN count(DISTINCT source) = 1 THEN min(source) ELSE 'Mixed' END AS source,
   """ + N("avg(confidence)", 4) + """ AS avg_confidence,
   avg(confidence) >= 70 AND NOT bool_or(contains(lower(source), 'synthetic')) AS trusted
@@ -593,12 +595,11 @@ def dashboard_summary(spark, sf):
         ((F.avg("confidence") >= 70) & ~F.bool_or(F.lower("source").contains("synthetic"))).alias("trusted"))
 
 
-@query("trust_warnings", with_proc_sql.replace("FROM kp0 GROUP BY dashboard", "FROM kp0 GROUP BY dashboard")
-       .rsplit("SELECT dashboard, count(*)", 1)[0] + """SELECT dashboard,
+@query("trust_warnings", with_kpis(_KP0 + """SELECT dashboard,
   CASE WHEN bool_or(contains(lower(source), 'synthetic')) THEN 'synthetic source'
        ELSE 'low confidence (' || CAST(CAST(ROUND(CAST(avg(confidence) AS DECIMAL(38,6)), 1) AS DOUBLE) AS VARCHAR) || ')' END AS reason
 FROM kp0 GROUP BY dashboard
-HAVING NOT (avg(confidence) >= 70 AND NOT bool_or(contains(lower(source), 'synthetic')))""")
+HAVING NOT (avg(confidence) >= 70 AND NOT bool_or(contains(lower(source), 'synthetic')))"""))
 def trust_warnings(spark, sf):
     """Warnings for untrusted dashboards, with the reason."""
     p = processed(spark, sf)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import num, snake_case, surrogate_key
+from ..oracle import ladders as SQ
 from ..oracle.gold import GOLD_SQL, with_kpis
 from ..oracle.silver import N, with_silver
 from ..session import scratch_path
@@ -300,8 +301,7 @@ def candidate_files(spark, sf):
     return u.groupBy("dashboard", "generation").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("json_sink", with_kpis(", kp0 AS (SELECT *, CAST(" + __import__("kpiforge.oracle.ladders", fromlist=["x"]).confidence()
-                              + " AS DOUBLE) AS confidence FROM kpis)\n"
+@query("json_sink", with_kpis(", kp0 AS (SELECT *, CAST(" + SQ.confidence() + " AS DOUBLE) AS confidence FROM kpis)\n"
                               """SELECT 'kpi.' || metric AS name, v AS value, 'gauge' AS type, kpi_name AS tag_kpi, dashboard AS tag_dashboard
 FROM kp0 UNPIVOT (v FOR metric IN (kpi_value AS 'value', confidence AS 'confidence'))"""))
 def json_sink(spark, sf):
