@@ -7,6 +7,7 @@ rows-only check).
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,4 @@ MODULES = ["q_silver", "gold", "calculators", "q_ops", "q_quality", "q_display",
 def load_all() -> None:
     """Import every module that registers queries."""
     for mod in MODULES:
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+        importlib.import_module(f"{__package__}.{mod}")
