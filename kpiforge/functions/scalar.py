@@ -9,6 +9,7 @@ happens on a decimal, not on the binary double.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -106,6 +107,14 @@ def snake_case(x) -> Column:
     return F.regexp_replace(s, r"^_|_$", "")
 
 
+def snake_name(name: str) -> str:
+    """The same normaliser for column *names* (plain Python, no job)."""
+    s = re.sub(r"[\s\-.]", "_", name.strip().lower())
+    s = re.sub(r"[^a-z0-9_]", "", s)
+    s = re.sub(r"_+", "_", s)
+    return re.sub(r"^_|_$", "", s)
+
+
 def any_term(x, terms) -> Column:
     """Case-insensitive 'contains any of' test."""
     lx = F.lower(c(x))

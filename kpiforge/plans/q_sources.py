@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import num, snake_case, surrogate_key
+from ..functions.scalar import num, snake_case, snake_name, surrogate_key
 from ..oracle import ladders as SQ
 from ..oracle.gold import GOLD_SQL, with_kpis
 from ..oracle.silver import N, with_silver
@@ -287,16 +288,15 @@ def candidate_files(spark, sf):
     k = kpis(spark, sf)
     for d, g in LANDED.items():
         k.filter(F.col("dashboard") == d).write.parquet(f"{base}/{GENERATIONS[g].format(d=d)}")
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
     for d in LANDED:
         for gi, pattern in enumerate(GENERATIONS):
-            path = f"{base}/{pattern.format(d=d)}"
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            if p.getFileSystem(hconf).exists(p):
-                parts.append(spark.read.parquet(path).select("dashboard", F.lit(gi).alias("generation")))
-                break
+            try:   # first existing candidate wins; a missing path fails at analysis
+                found = spark.read.parquet(f"{base}/{pattern.format(d=d)}")
+            except AnalysisException:
+                continue
+            parts.append(found.select("dashboard", F.lit(gi).alias("generation")))
+            break
     u = reduce(DataFrame.unionByName, parts)
     return u.groupBy("dashboard", "generation").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -373,9 +373,7 @@ def clean_chain(spark, sf):
     """snake_case column names → date normalisation → dedup →
     numeric coercion (bad numbers → NULL)."""
     ev = table(spark, sf, "events", *MESSY).select(*[F.col(k).alias(v) for k, v in MESSY.items()])
-    names = ev.select(*[F.lit(c).alias(f"_{i}") for i, c in enumerate(ev.columns)])
-    clean = names.select(*[snake_case(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(ev.columns))]).first()
-    df = ev.toDF(*[clean[i] for i in range(len(ev.columns))])
+    df = ev.toDF(*[snake_name(c) for c in ev.columns])
     df = df.withColumn("time_stamp", F.date_format(F.try_to_timestamp(F.col("time_stamp").cast("string")), "yyyy-MM-dd"))
     df = df.dropDuplicates()
     return df.withColumn("value", F.col("value").cast("string").try_cast("double"))

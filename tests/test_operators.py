@@ -171,5 +171,9 @@ def test_ladders(spark):
 
 
 def test_snake_case(spark):
-    df = spark.createDataFrame([(" Event ID ",), ("User.Id",), ("Value ($)",), ("__a--b__",)], "x string")
-    assert [r[0] for r in df.select(snake_case("x")).collect()] == ["event_id", "user_id", "value", "a_b"]
+    from kpiforge.functions.scalar import snake_name
+    names = [" Event ID ", "User.Id", "Value ($)", "__a--b__", " Time-Stamp "]
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    got = [r[0] for r in df.select(snake_case("x")).collect()]
+    assert got == ["event_id", "user_id", "value", "a_b", "time_stamp"]
+    assert [snake_name(n) for n in names] == got
