@@ -75,3 +75,24 @@ def test_silver_grain_is_unique(spark):
         df = q[name](spark, SF)
         dup = df.groupBy(*keys).count().filter(F.col("count") > 1).count()
         assert dup == 0, name
+
+
+def _final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_promises(spark):
+    """SURVEY §4: dimension joins broadcast; K7 has two window specs (by
+    region, by year); a gold dashboard's scans do not grow with its 12
+    KPI branches."""
+    import re
+    from kpiforge.plans import panel
+    q = E.queries()
+    order_plan = _final_plan(panel.build_order_panel(spark, SF))
+    assert "BroadcastHashJoin" in order_plan                       # nation (and small customer via AQE)
+    k7 = _final_plan(q["kpi_unified_base"](spark, SF))
+    assert len(re.findall(r"\bWindow \[", k7)) == 2
+    fc = _final_plan(q["gold_forecast"](spark, SF))
+    assert len(re.findall(r"Scan parquet|FileScan parquet", fc)) <= 2
+    assert "Union" not in fc
