@@ -132,38 +132,61 @@ def _dispatch_by_doubling(a: DataFrame, cooldown_s: int, bucket_s: int = 86_400)
     return reach.select(F.col("x").alias("alert_id"))
 
 
-STATE_SCHEMA = "last_ts long"
-OUT_SCHEMA = "alert_id long, key string, ts timestamp_ntz, severity string, dispatched boolean"
+STATE_SCHEMA = "last_ts long, p_id array<long>, p_ts array<long>, p_key array<string>, p_sev array<string>"
+OUT_SCHEMA = "alert_id long, key string, severity string, dispatched boolean"
 
 
 def _cooldown_state_fn(cooldown_s: int):
+    """Per-key state: the last dispatch time and a buffer of alerts not yet
+    behind the watermark. Alerts are decided in (event time, id) order once
+    the watermark passes them, so out-of-order arrival inside the
+    watermark delay does not change decisions; the buffer holds at most
+    the delay's worth of a key's alerts."""
     cd = cooldown_s * 1_000_000
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["ts", "alert_id"])
-        micros = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        if state.exists:
+            last, ids, ts, keys, sevs = state.get
+            last = None if last is None else int(last)
+            pend = pd.DataFrame({"alert_id": list(ids), "t": list(ts), "key": list(keys), "severity": list(sevs)})
+        else:
+            last, pend = None, pd.DataFrame({"alert_id": [], "t": [], "key": [], "severity": []})
+        new = [p for p in pdfs]
+        if new:
+            pdf = pd.concat(new)
+            add = pd.DataFrame({"alert_id": pdf["alert_id"].astype("int64"),
+                                "t": pdf["ts"].astype("datetime64[us]").astype("int64"),
+                                "key": pdf["key"], "severity": pdf["severity"]})
+            pend = pd.concat([pend, add], ignore_index=True) if len(pend) else add
+        wm_ms = state.getCurrentWatermarkMs()          # the watermark's resolution is 1 ms
+        pend = pend.astype({"alert_id": "int64", "t": "int64"}).sort_values(["t", "alert_id"])
+        behind = (pend["t"] // 1000) <= wm_ms
+        ready, keep = pend[behind], pend[~behind]
         flags = []
-        for t, sev in zip(micros, pdf["severity"].to_numpy()):
+        for t, sev in zip(ready["t"].to_numpy(), ready["severity"].to_numpy()):
             ok = sev == "CRITICAL" or last is None or t - last >= cd
             if ok:
                 last = int(t)
-            flags.append(ok)
-        state.update((last,))
-        out = pdf[["alert_id", "key", "ts", "severity"]].copy()
-        out["dispatched"] = flags
-        yield out
+            flags.append(bool(ok))
+        if len(keep):
+            state.update((last, keep["alert_id"].tolist(), keep["t"].tolist(), keep["key"].tolist(),
+                          keep["severity"].tolist()))
+            state.setTimeoutTimestamp(max(int(keep["t"].min()) // 1000, wm_ms + 1))
+        elif last is not None:
+            state.update((last, [], [], [], []))
+        if len(ready):
+            out = ready[["alert_id", "key", "severity"]].copy()
+            out["dispatched"] = flags
+            yield out
     return fn
 
 
-def cooldown_stream(stream: DataFrame, cooldown_s: int) -> DataFrame:
-    """Streaming X1: per-key cooldown state across micro-batches."""
-    return (stream.groupBy("key")
+def cooldown_stream(stream: DataFrame, cooldown_s: int, delay: str = "0 seconds") -> DataFrame:
+    """Streaming X1 with event-time order inside the watermark ``delay``."""
+    s = stream.withColumn("_event_time", F.col("ts").cast("timestamp")).withWatermark("_event_time", delay)
+    return (s.groupBy("key")
             .applyInPandasWithState(_cooldown_state_fn(cooldown_s), OUT_SCHEMA, STATE_SCHEMA,
-                                    "append", "NoTimeout"))
+                                    "append", "EventTimeTimeout"))
 
 
 def run_stream_to_table(spark, stream_df: DataFrame, name: str) -> DataFrame:

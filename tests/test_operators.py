@@ -177,3 +177,33 @@ def test_snake_case(spark):
     got = [r[0] for r in df.select(snake_case("x")).collect()]
     assert got == ["event_id", "user_id", "value", "a_b", "time_stamp"]
     assert [snake_name(n) for n in names] == got
+
+
+def test_streaming_cooldown_orders_by_event_time(spark, tmp_path):
+    """A CRITICAL alert arriving in a later micro-batch, but earlier in event
+    time (within the watermark delay), is decided in event-time order: it
+    suppresses the alert 50 s after it, which arrival order would send."""
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from kpiforge.streaming.alerts import cooldown_stream, run_stream_to_table
+
+    base = dt.datetime(2024, 1, 1)
+    files = [[(1, "k", 0, "ERROR"), (2, "k", 3700, "ERROR")],
+             [(3, "k", 3650, "CRITICAL")],
+             [(4, "other", 30000, "INFO")]]          # pushes the watermark past the first three
+    d = tmp_path / "alerts"
+    d.mkdir()
+    for i, rows in enumerate(files):
+        tbl = pa.table({"alert_id": [r[0] for r in rows], "key": [r[1] for r in rows],
+                        "ts": [base + dt.timedelta(seconds=r[2]) for r in rows],
+                        "severity": [r[3] for r in rows]})
+        pq.write_table(tbl, d / f"part-{i}.parquet")
+        time.sleep(1.1)
+    schema = "alert_id long, key string, ts timestamp_ntz, severity string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d))
+    out = run_stream_to_table(spark, cooldown_stream(stream, 3600, delay="2 hours"), "test-cooldown")
+    got = {r["alert_id"]: r["dispatched"] for r in out.collect()}
+    assert got == {1: True, 3: True, 2: False}
