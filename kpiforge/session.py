@@ -51,19 +51,27 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_private_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Durable folder for checkpoints and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise
-    (tests, local runs) makes a fresh private folder and registers it.
+    Uses ``spark.checkpoint.dir`` when the cluster names one (or the
+    context's checkpoint folder); otherwise — tests, local runs — makes a
+    fresh private folder once per application and registers it with
+    ``setCheckpointDir`` (the conf itself cannot be changed at runtime).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        app = spark.sparkContext.applicationId
+        d = _private_dirs.get(app) or spark.sparkContext.getCheckpointDir()
+        if not d:
+            d = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
+        _private_dirs[app] = d
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+        spark.sparkContext.setCheckpointDir(d)
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -207,3 +207,35 @@ def test_streaming_cooldown_orders_by_event_time(spark, tmp_path):
     out = run_stream_to_table(spark, cooldown_stream(stream, 3600, delay="2 hours"), "test-cooldown")
     got = {r["alert_id"]: r["dispatched"] for r in out.collect()}
     assert got == {1: True, 3: True, 2: False}
+
+
+def test_shared_dir_when_unset():
+    """No spark.checkpoint.dir: a private folder is registered through
+    setCheckpointDir (the conf is never modified) and reused."""
+    from kpiforge.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, *a):
+            raise AssertionError("conf must not be modified")
+
+    class Ctx:
+        applicationId = "app-test"
+        _dir = None
+
+        def getCheckpointDir(self):
+            return self._dir
+
+        def setCheckpointDir(self, d):
+            self._dir = d
+
+    class Sess:
+        conf = Conf()
+        sparkContext = Ctx()
+
+    s = Sess()
+    d1 = shared_dir(s)
+    assert s.sparkContext.getCheckpointDir() == d1
+    assert shared_dir(s) == d1
