@@ -10,35 +10,56 @@ the result is exact in every case.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
 from ..session import shared_dir
 
 SKETCH_ACCURACY = 10_000
-# Bracket half-width in quantile units: three times the sketch's relative
-# rank error, so the true middle ranks lie inside [lo, hi].
-_MARGIN = 3.0 / SKETCH_ACCURACY
+# The bracket band holds about 6·n/accuracy values; groups where that
+# would exceed BAND_LIMIT are re-sketched with an accuracy scaled to their
+# size, so no task ever collects more than ~BAND_LIMIT values.
+BAND_LIMIT = 2_000_000
+
+
+def _bracket(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
+    """Count and a sketch bracket [lo, hi] around the middle ranks; the
+    half-width is three times the sketch's relative rank error."""
+    m = 3.0 / accuracy
+    return (rows.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"),
+                 F.percentile_approx("_v", [0.5 - m, 0.5 + m], accuracy).alias("_br"))
+            .select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi")))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                 band_limit: int = BAND_LIMIT) -> DataFrame:
     """Exact median per group (mean of the two middle values when even).
 
     Pass 1 (one aggregate): count and a bounded-memory sketch bracket
-    [lo, hi] around the middle ranks. Pass 2 (one aggregate over the rows
-    joined to the per-group bracket): count of values below ``lo`` and the
-    sorted values inside the bracket (≈ 6·n/accuracy of them). The middle
-    values are picked from the band by rank. The small per-group result is
-    checkpointed; if any group's bracket missed (not expected under the
-    sketch's error bound), those groups alone are recomputed exactly.
+    [lo, hi] around the middle ranks. Groups so large that their bracket
+    would hold more than ``band_limit`` values get a second sketch pass
+    with a proportionally higher accuracy (only those groups' rows).
+    Pass 2 (one aggregate over the rows joined to the per-group bracket):
+    count of values below ``lo`` and the sorted values inside the bracket.
+    The middle values are picked from the band by rank. The small
+    per-group results are checkpointed; if any group's bracket missed (not
+    expected under the sketch's error bound), those groups alone are
+    recomputed exactly.
     """
+    shared_dir(df.sparkSession)          # checkpoints go to the cluster's shared folder
     rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    stats = (rows.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.percentile_approx("_v", [0.5 - _MARGIN, 0.5 + _MARGIN],
-                                      SKETCH_ACCURACY).alias("_br"))
-             .select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi")))
+    stats = _bracket(rows, keys, SKETCH_ACCURACY).checkpoint(eager=True)
+    too_big = F.col("_n") > F.lit(band_limit * SKETCH_ACCURACY // 6).cast("bigint")
+    n_max = stats.filter(too_big).agg(F.max("_n")).first()[0]
+    if n_max is not None:
+        accuracy = int(math.ceil(6 * n_max / band_limit))
+        big = stats.filter(too_big).select(*keys)
+        refined = _bracket(rows.join(big, keys, "left_semi"), keys, accuracy)
+        stats = stats.join(big, keys, "left_anti").unionByName(refined).checkpoint(eager=True)
     v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
     banded = (rows.join(stats, keys)
               .groupBy(*keys)
@@ -49,14 +70,12 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     n, below = F.col("_n"), F.col("_below")
     i1 = F.floor((n + 1) / 2) - below
     i2 = F.floor(n / 2) + 1 - below
-    size = F.size("_band")
-    ok = (i1 >= 1) & (i2 <= size)
+    ok = (i1 >= 1) & (i2 <= F.size("_band"))
     picked = banded.select(
         *keys,
         F.when(ok, (F.element_at("_band", i1.cast("int")) + F.element_at("_band", i2.cast("int"))) / 2)
         .alias(out),
         ok.alias("_ok"))
-    shared_dir(df.sparkSession)          # checkpoint into the cluster's shared folder
     picked = picked.checkpoint(eager=True)
     missed = picked.filter(~F.col("_ok")).select(*keys)
     if missed.isEmpty():

@@ -239,3 +239,14 @@ def test_shared_dir_when_unset():
     d1 = shared_dir(s)
     assert s.sparkContext.getCheckpointDir() == d1
     assert shared_dir(s) == d1
+
+
+def test_exact_median_refines_huge_groups(spark):
+    """Groups whose bracket band would exceed the limit are re-sketched with
+    a size-scaled accuracy; the answer stays exact."""
+    df = spark.range(0, 30001).select((F.col("id") % 3).alias("k"),
+                                      ((F.col("id") * 7919) % 10007).cast("double").alias("v"))
+    ref = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    for limit in (1, 3, 50):
+        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", band_limit=limit).collect()}
+        assert got == ref
