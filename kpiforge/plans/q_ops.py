@@ -35,7 +35,8 @@ def asof_growth(spark, sf):
              .select("user_id", F.col("ts").alias("pts"), F.col("value").alias("last_purchase_value"),
                      F.col("event_id").alias("last_purchase_id")))
     out = asof_backward_bucketed(left, right, ["user_id"], "ts", "pts",
-                                 ["last_purchase_value", "last_purchase_id"], bucket=F.to_date)
+                                 ["last_purchase_value", "last_purchase_id"],
+                                 bucket=lambda c: F.date_trunc("hour", c))
     return out.select("event_id", "user_id", "event_type", "last_purchase_value", "last_purchase_id")
 
 

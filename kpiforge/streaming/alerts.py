@@ -83,7 +83,7 @@ def _dispatch_by_fold(a: DataFrame, cooldown_s: int) -> DataFrame:
     return per_key.select(F.explode(F.aggregate("xs", init, step)["ids"]).alias("alert_id"))
 
 
-def _dispatch_by_doubling(a: DataFrame, cooldown_s: int, bucket_s: int = 86_400) -> DataFrame:
+def _dispatch_by_doubling(a: DataFrame, cooldown_s: int, bucket_s: int = 60) -> DataFrame:
     """Exact cooldown without a per-key task.
 
     Every alert x has one *next dispatch*: the earlier (by time, id) of the
