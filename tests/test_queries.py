@@ -96,3 +96,18 @@ def test_plan_promises(spark):
     fc = _final_plan(q["gold_forecast"](spark, SF))
     assert len(re.findall(r"Scan parquet|FileScan parquet", fc)) <= 2
     assert "Union" not in fc
+
+
+def test_rows_only_queries_against_brute_force(spark):
+    """Queries without an SQL oracle, checked against plain-Python brute force."""
+    q = E.queries()
+    got = {(r["layer"], r["source"]): r["n_datasets"] for r in q["files_by_source"](spark, SF).collect()}
+    assert got == {("bronze", "World Bank"): 4, ("bronze", "RBNZ"): 1, ("bronze", "Stats NZ"): 1,
+                   ("bronze", "MBIE"): 1, ("silver", "Other"): 1}
+    from kpiforge.plans.features import silver
+    a = {f.name: f.dataType.simpleString() for f in silver(spark, SF, "rent_income").schema}
+    b = {f.name: f.dataType.simpleString() for f in silver(spark, SF, "rent_income_proxy").schema}
+    rows = {(r["column_name"], r["side"], r["type_match"]) for r in q["schema_compat"](spark, SF).collect()}
+    want = ({(c, "both", a[c] == b[c]) for c in a if c in b} | {(c, "left_only", False) for c in a if c not in b}
+            | {(c, "right_only", False) for c in b if c not in a})
+    assert rows == want
