@@ -250,3 +250,25 @@ def test_exact_median_refines_huge_groups(spark):
     for limit in (1, 3, 50):
         got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", band_limit=limit).collect()}
         assert got == ref
+
+
+def test_ar_forecast_recovers_known_process(spark):
+    """M7 on a noiseless AR(1) series y_t = 2 + 0.5·y_{t-1} (plus a second
+    series): the fitted model forecasts the recursion exactly, per group."""
+    from kpiforge.operators.forecast import ar_forecast_group
+    rows, y = [], 10.0
+    for t in range(1, 41):
+        rows.append(("a", t, y))
+        y = 2 + 0.5 * y
+    rows += [("b", t, 3.0 * t + 1) for t in range(1, 41)]          # a linear trend
+    df = spark.createDataFrame(rows, "region string, t int, x double")
+    schema = "region string, p int, d int, aic double, step int, forecast double"
+    out = {(r["region"], r["step"]): r["forecast"] for r in
+           df.groupBy("region").applyInPandas(ar_forecast_group("region", 3), schema).collect()}
+    want = []
+    for _ in range(3):
+        want.append(y)
+        y = 2 + 0.5 * y
+    for s in range(3):
+        assert abs(out[("a", s + 1)] - want[s]) < 1e-6
+        assert abs(out[("b", s + 1)] - (3.0 * (41 + s) + 1)) < 1e-6
