@@ -78,3 +78,44 @@ def byte_table(seed: int) -> np.ndarray:
     """One random-looking 64-bit word for each byte value."""
     with np.errstate(over="ignore"):
         return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i < n."""
+    if len(_powers.get("up", ())) < n:
+        with np.errstate(over="ignore"):
+            for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                p = np.full(n, np.uint64(b))
+                p[0] = 1
+                _powers[name] = np.multiply.accumulate(p)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+_BYTE = byte_table(17)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and the number of its text. ``word``
+    marks the bytes of words; a word never crosses a text's end."""
+    if not len(data) or not word.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    inner = off[1:-1][off[1:-1] < len(data)]
+    start[inner] |= word[inner]
+    first = np.flatnonzero(start)
+    gap = np.flatnonzero(~word)
+    end = np.concatenate((first[1:], [len(data)]))
+    if len(gap):
+        at = np.searchsorted(gap, first)
+        end = np.minimum(end, np.where(at < len(gap), gap[np.minimum(at, len(gap) - 1)], len(data)))
+    up, down = _power_tables(len(data))
+    with np.errstate(over="ignore"):
+        total = np.cumsum(_BYTE[data] * up, dtype=np.uint64)
+        total = np.concatenate((np.zeros(1, np.uint64), total))
+        h = mix64((total[end] - total[first]) * down[first])
+    return h, np.searchsorted(off, first, side="right") - 1
