@@ -1,6 +1,6 @@
 """Quality rules with robust multivariate outliers.
 
-Five statistics of a whole text are made comparable by transforms and
+Seven statistics of a whole text are made comparable by transforms and
 shrinkage (``FEATURES``); per language and source the minimum covariance
 determinant (MCD) estimate gives the centre and shape of the bulk of the
 documents, and a document whose squared Mahalanobis distance passes
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import slices, text_buffers, word_hashes, written
 
-FEATURES = ["f_len", "f_sym", "f_dup", "f_rep", "f_caps", "f_punct"]
+FEATURES = ["f_len", "f_sym", "f_dup", "f_rep", "f_caps", "f_punct", "f_adj"]
 #: Standard deviations below which a feature's spread is taken as noise.
-FLOORS = [0.03, 0.05, 0.08, 0.08, 0.05, 0.05]
+FLOORS = [0.03, 0.05, 0.15, 0.15, 0.05, 0.05, 0.05]
 #: Squared Mahalanobis distance beyond which a document is an outlier.
-LIMIT = 60.0
-#: Median of chi-square with six degrees of freedom: scales the covariance of the kept half.
-CHI2_MEDIAN = 5.348
+LIMIT = 40.0
+#: Median of chi-square with seven degrees of freedom: scales the covariance of the kept half.
+CHI2_MEDIAN = 6.346
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -49,7 +49,7 @@ _UPPER[65:91] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
-STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long, n_punct long"
+STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long, n_punct long, n_adjacent long"
 
 
 def repeat_words(words: list[bytes], size: int = 5) -> int:
@@ -82,6 +82,7 @@ def text_stats(column: pa.Array, size: int = 5) -> dict[str, np.ndarray]:
         "n_symbols": per_text(_SYMBOL[data]),
         "n_lines": np.zeros(n, np.int64), "n_dup_lines": np.zeros(n, np.int64), "n_repeat_words": np.zeros(n, np.int64),
         "n_upper": per_text(_UPPER[data]), "n_punct": per_text(_PUNCT[data]),
+        "n_adjacent": np.bincount(doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])], minlength=n).astype(np.int64),
     }
     # Texts in which some window hash occurs twice are counted exactly below.
     again = np.zeros(n, bool)
@@ -136,6 +137,7 @@ def transformed(stats: DataFrame) -> DataFrame:
         "f_rep": F.sqrt(c("n_repeat_words") / words),
         "f_caps": F.sqrt(c("n_upper") / chars),
         "f_punct": F.sqrt(c("n_punct") / chars),
+        "f_adj": F.sqrt(c("n_adjacent") / words),
     })
 
 
