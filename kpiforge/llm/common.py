@@ -119,3 +119,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np
         total = np.concatenate((np.zeros(1, np.uint64), total))
         h = mix64((total[end] - total[first]) * down[first])
     return h, np.searchsorted(off, first, side="right") - 1
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
