@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import ctw, decontam, packing, quality
+from kpiforge.llm import ctw, decontam, packing, probminhash, quality
 from kpiforge.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_pattern_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op10_probminhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "first")
