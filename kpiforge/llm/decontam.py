@@ -227,11 +227,13 @@ def _find(automaton, key_fields):
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = 13, block_words: int = 1_000_000) -> DataFrame:
     """key, n_words, spans (hit words, merged and half open, as word
     numbers) and items (ids found, sorted) of each document."""
-    spark = docs.sparkSession
-    docs = docs.select(key, "text")
+    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    return _found(docs.select(key, "text"), held, key)
+
+
+def _found(docs: DataFrame, held: list, key: str) -> DataFrame:
     key_fields = T.StructType([f for f in docs.schema.fields if f.name != "text"])
     schema = T.StructType([*key_fields.fields, *T._parse_datatype_string(FOUND).fields])
-    held = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
     if len(held) == 1:
         return docs.mapInArrow(_find(held[0], key_fields), schema)
     # Several blocks: the rows of one document meet by its key and text digest.
@@ -284,3 +286,36 @@ def cut_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__spans"], names=schema.names)
 
     return docs.join(found.select(key, F.col("spans").alias("__spans")), key, "left").select(*schema.names, "__spans").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.05, min_hit: int = 1, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs that are not contaminated, in one map (with several
+    blocks of items: by a join on id and text digest)."""
+    held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    names = docs.columns
+    if len(held) == 1:
+        own = docs.select(*[F.col(c).alias(f"__{c}") for c in names], "text")
+        fields = T.StructType([f for f in own.schema.fields if f.name != "text"])
+        found = own.mapInArrow(_find(held[0], fields), T.StructType([*fields.fields, *T._parse_datatype_string(FOUND).fields]))
+        return judged(found, coverage, min_hit).filter("NOT contaminated").select(*[F.col(f"__{c}").alias(c) for c in names])
+    own = docs.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    bad = judged(_found(own.select("__key", "text"), held, "__key"), coverage, min_hit).filter("contaminated").select("__key").distinct()
+    return own.join(bad, "__key", "left_anti").select(*names)
+
+
+def sql(window: int = 13, coverage: int = 20) -> str:
+    """find() and judged() over ``documents`` and ``benchmark`` in DuckDB."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+bl AS (SELECT item, w, least({window}, len(w)) AS l FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, l, list_slice(w, i, i + l - 1) AS win FROM (SELECT item, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM bl)),
+dl AS (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l),
+hits AS (SELECT r, i, bw.l, item FROM (SELECT r, i, l, list_slice(w, i, i + l - 1) AS win FROM dl) x JOIN bw ON x.l = bw.l AND x.win = bw.win),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hits) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {coverage} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""

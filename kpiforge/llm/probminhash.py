@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import mix64, slices, text_buffers, word_hashes, written
+from kpiforge.llm.common import NULL_ID, mix64, slices, text_buffers, word_hashes, written
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -143,7 +143,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float(total)
 
 
-SIGNED = "row long, doc_id long, digest binary, bands array<long>, keys binary, weights binary"
+SIGNED = "row long, doc_id long, raw binary, digest binary, bands array<long>, keys binary, weights binary"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
@@ -151,7 +151,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
     shingles (the high 32 bits of their hashes, sorted; weights as float32,
     empty where all are 1). Write it before use."""
     names = [x.split()[0] for x in SIGNED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -166,7 +166,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
                 a, b = off[i], off[i + 1]
                 digest = hashlib.md5(b" ".join((t or b"").lower().split()) if n_words[i] else b"").digest()
                 w = weight[a:b]
-                out.append((row + i + 1, d, digest, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if (w == 1).all() else w.astype("<f4").tobytes()))
+                out.append((row + i + 1, d, hashlib.md5(t or b"").digest(), digest, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if (w == 1).all() else w.astype("<f4").tobytes()))
             row += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -220,8 +220,8 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """One row for each document: doc_id, class_id (least id of its class),
-    copy_of (least id among texts with equal words), digest, first (this
-    row stands for its class: its least id, then its first row)."""
+    copy_of (least id among texts with equal words), raw (md5 of the text),
+    first (this row stands for its class: its least id, then first row)."""
     base = written(signed(docs, bands, rows, size), "pmh_signed")
     texts = written(base.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("copy_of")), "pmh_texts")
     nodes = base.join(texts.select("node"), base["row"] == texts["node"], "left_semi")
@@ -258,6 +258,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     node_class = texts.join(final, texts["node"] == final["node"], "left").select("digest", texts["node"], "copy_of", F.coalesce("component", texts["node"]).alias("component"))
     ids = node_class.groupBy("component").agg(F.min("copy_of").alias("class_id"))
     node_class = node_class.join(ids, "component").select("digest", "copy_of", "class_id", "component")
-    out = base.select("row", "doc_id", "digest").join(node_class, "digest")
+    out = base.select("row", "doc_id", "raw", "digest").join(node_class, "digest")
     head = out.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("h")).select("component", F.col("h.row").alias("head"))
-    return out.join(head, "component").select("doc_id", "class_id", "copy_of", "digest", (F.col("row") == F.col("head")).alias("first"))
+    return out.join(head, "component").select("doc_id", "class_id", "copy_of", "raw", (F.col("row") == F.col("head")).alias("first"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each class: the least doc_id, and one row
+    of rows that repeat it."""
+    first = classes(docs, **options).filter("first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "raw")
+    own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("raw__", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    # Both keys are the join's, so dropping repeated rows needs no other shuffle.
+    return own.join(first.withColumnRenamed("raw", "raw__"), ["__id", "raw__"], "left_semi").dropDuplicates(["__id", "raw__"]).select(*docs.columns)

@@ -203,27 +203,54 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
     return written(est.join(half, "grp").select("grp", "centre", "inverse", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd")
 
 
-def judge(docs: DataFrame, min_group: int = 200, h: float = 0.75, steps: int = 4, limit: float = LIMIT, extra: list[str] | None = None) -> DataFrame:
-    """doc_id (and ``extra``), the statistics, distance (squared, scaled),
-    base_failed and kept."""
-    keep = ["doc_id", *(extra or [])]
-    rows = transformed(with_stats(docs, [*dict.fromkeys([*keep, "lang", "source"])]))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+def _rows(docs: DataFrame, extra: list[str]) -> DataFrame:
+    """Statistics, features, base verdict and group keys of each document."""
+    rows = transformed(with_stats(docs, [*dict.fromkeys([*extra, "lang", "source"])]))
     lang, source = F.coalesce(F.col("lang"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))
-    rows = written(rows.withColumn("own", F.concat_ws("\u0001", lang, source)).withColumn("own_lang", lang), "quality_stats")
+    return rows.withColumns({
+        "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
+        "own": F.concat_ws("\u0001", lang, source), "own_lang": lang})
+
+
+def estimates(rows: DataFrame, min_group: int, h: float, steps: int) -> DataFrame:
+    """own_lang, own, grp, centre, inverse, scale: the estimate that judges
+    the documents of each language and source."""
     # The finest level with enough documents: language and source, language, all.
     sizes = written(rows.groupBy("own_lang", "own").agg(F.count("*").alias("n")), "quality_groups")
     by_lang = sizes.groupBy("own_lang").agg(F.sum("n").alias("m"))
     level = (F.when(F.col("n") >= min_group, F.concat(F.lit("s:"), "own"))
              .when(F.col("m") >= min_group, F.concat(F.lit("l:"), "own_lang")).otherwise("all"))
     groups = written(sizes.join(by_lang, "own_lang").select("own_lang", "own", level.alias("grp")), "quality_levels")
-    rows = written(rows.join(groups, ["own_lang", "own"]), "quality_rows")
+    rows = rows.join(groups, ["own_lang", "own"])
     # A language's estimate is learnt from all its documents, the global one from all.
-    wide = rows.select("grp", *FEATURES)
     needed = groups.filter("grp LIKE 'l:%'").select("own_lang", F.col("grp").alias("to")).distinct()
     of_lang = rows.filter("grp LIKE 's:%'").join(needed, "own_lang").select(F.col("to").alias("grp"), *FEATURES)
-    of_all = rows.filter("grp <> 'all'").join(groups.filter("grp = 'all'").select(F.lit("all").alias("to")).distinct(), F.lit(True)).select(F.col("to").alias("grp"), *FEATURES)
-    est = mcd(wide.unionByName(of_lang).unionByName(of_all), h, steps)
-    out = rows.join(est, "grp").withColumn("distance", F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))
+    parts = rows.select("grp", *FEATURES).unionByName(of_lang)
+    if not groups.filter("grp = 'all'").isEmpty():
+        parts = parts.unionByName(rows.filter("grp <> 'all'").select(F.lit("all").alias("grp"), *FEATURES))
+    return groups.join(mcd(parts, h, steps), "grp")
+
+
+def _verdict(rows: DataFrame, est: DataFrame, limit: float) -> DataFrame:
+    out = rows.join(est, ["own_lang", "own"]).withColumn("distance", F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit))
+
+
+def judge(docs: DataFrame, min_group: int = 200, h: float = 0.75, steps: int = 4, limit: float = LIMIT, extra: list[str] | None = None) -> DataFrame:
+    """doc_id (and ``extra``), the statistics, base_failed, kept, distance
+    (squared, scaled) and the name of the estimate used."""
+    keep = ["doc_id", *(extra or [])]
+    rows = written(_rows(docs, keep), "quality_rows")
+    out = _verdict(rows, estimates(rows, min_group, h, steps), limit)
     stats = [x.split()[0] for x in STATS.split(", ")]
-    return out.select(*keep, *stats, "base_failed", (~F.col("base_failed") & (F.col("distance") <= limit)).alias("kept"), "distance", F.col("grp").alias("estimate"))
+    return out.select(*keep, *stats, "base_failed", "kept", "distance", F.col("grp").alias("estimate"))
+
+
+def kept(docs: DataFrame, min_group: int = 200, h: float = 0.75, steps: int = 4, limit: float = LIMIT) -> DataFrame:
+    """The rows of docs that :func:`judge` keeps. Texts are read twice
+    (statistics, then verdicts beside the text) instead of shuffled."""
+    rows = written(_rows(docs, []).select("own_lang", "own", *FEATURES), "quality_rows")
+    est = estimates(rows, min_group, h, steps)
+    names = docs.columns
+    own = docs.select(*[F.col(c).alias(f"__{c}") for c in names], "text", "lang", "source")
+    return _verdict(_rows(own, [f"__{c}" for c in names]), est, limit).filter("kept").select(*[F.col(f"__{c}").alias(c) for c in names])
