@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import ctw, decontam, licenses, packing, probminhash, quality, secrets
+from kpiforge.llm import ctw, decontam, licenses, packing, probminhash, quality, secrets, toxicity, urls
 from kpiforge.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learnt = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
+    return toxicity.score(docs, learnt).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
