@@ -85,7 +85,7 @@ def vocabulary(rows: DataFrame, most: int, least: int = 4) -> list[str]:
         return []
     a, b = F.col("pos") / p, F.col("neg") / q
     z = (a - b) / F.sqrt(a * (1 - a) / p + (F.col("neg") + 1) / (q + 1.0) / q)
-    top = counts.filter((F.col("pos") >= least) & (a > 3 * b)).withColumn("z", F.round(z, 9)).filter("z > 2").orderBy(F.desc("z"), "feature").limit(most)
+    top = counts.filter((F.col("pos") >= least) & (a > 6 * b)).withColumn("z", F.round(z, 9)).filter("z > 3").orderBy(F.desc("z"), "feature").limit(most)
     return [r["feature"] for r in top.select("feature", "z").orderBy(F.desc("z"), "feature").collect()]
 
 
@@ -112,7 +112,7 @@ def bags(rows: DataFrame, vocab: list[str]) -> list[tuple[float, int, list[list[
     return [(r["y"], r["none"], r["some"]) for r in got]
 
 
-def fit(data: list[tuple[float, int, list[list[int]]]], size: int, steps: int = 300, l2: float = 1e-3, rate: float = 0.1) -> tuple[float, np.ndarray]:
+def fit(data: list[tuple[float, int, list[list[int]]]], size: int, steps: int = 400, l2: float = 2e-5, rate: float = 0.1) -> tuple[float, np.ndarray]:
     """(bias, weights) of the noisy-or model by Adam on all bags."""
     bias, w = -4.0, np.zeros(size)
     if not size or not data:
