@@ -242,8 +242,8 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID,
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     keys, shift, offset = solve(histogram, max_len).intervals()
     plan = docs.sparkSession.sparkContext.broadcast((keys, shift, offset))
-    salts = max(histogram.values(), default=0) // per_salt + 1
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
+    salts = F.element_at(F.array(*[F.lit(histogram.get(n, 0) // per_salt + 1) for n in range(1, max_len + 1)]), F.col("length").cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), salts))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = (salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece")) - 1)

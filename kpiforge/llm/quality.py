@@ -141,6 +141,20 @@ def transformed(stats: DataFrame) -> DataFrame:
     })
 
 
+#: Up to so many groups (about 0.6 kB each) their estimates are broadcast; beyond, joins are salted.
+BROADCAST_GROUPS = 20_000
+SALTS = 64
+
+
+def _with(rows: DataFrame, per_group: DataFrame, few: bool, on: str = "grp") -> DataFrame:
+    """rows joined with one row of each group, without bringing a group's
+    rows together in one task."""
+    if few:
+        return rows.join(F.broadcast(per_group), on)
+    salted = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"]).drop("__salt")
+
+
 def _distance():
     """Squared Mahalanobis distance to the joined estimate (``centre``,
     ``inverse`` row by row)."""
@@ -183,9 +197,9 @@ def _sums(rows: DataFrame) -> DataFrame:
         *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)])
 
 
-def mcd(rows: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
+def mcd(rows: DataFrame, few: bool, h: float = 0.75, steps: int = 4) -> DataFrame:
     """grp, centre, inverse, scale: the MCD estimate of each ``grp`` of
-    rows (columns grp and FEATURES)."""
+    rows (columns grp and FEATURES). ``few``: groups fit a broadcast."""
     p = len(FEATURES)
     quart = rows.groupBy("grp").agg(*[F.percentile(F.round(f, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i, f in enumerate(FEATURES)])
     zero = F.lit(0.0)
@@ -194,11 +208,11 @@ def mcd(rows: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
         F.array(*[F.lit(1.0) / F.pow(F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOORS[i])), F.lit(2.0)) if i == j else zero for i in range(p) for j in range(p)]).alias("inverse"))
     for _ in range(steps):
         est = written(est, "mcd_estimate")
-        near = rows.join(est, "grp").withColumn("d2", F.round(F.log1p(F.greatest(_distance(), zero)), 3))
+        near = _with(rows, est, few).withColumn("d2", F.round(F.log1p(F.greatest(_distance(), zero)), 3))
         cut = near.groupBy("grp").agg(F.percentile("d2", h).alias("cut"))
-        est = _estimates(_sums(near.join(cut, "grp").filter("d2 <= cut")))
+        est = _estimates(_sums(_with(near, cut, few).filter("d2 <= cut")))
     est = written(est, "mcd_estimate")
-    half = rows.join(est, "grp").groupBy("grp").agg(F.percentile(F.round(F.greatest(_distance(), zero), 2), 0.5).alias("half"))
+    half = _with(rows, est, few).groupBy("grp").agg(F.percentile(F.round(F.greatest(_distance(), zero), 2), 0.5).alias("half"))
     # Floors already widen the covariance, so it is never shrunk.
     return written(est.join(half, "grp").select("grp", "centre", "inverse", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd")
 
@@ -212,27 +226,28 @@ def _rows(docs: DataFrame, extra: list[str]) -> DataFrame:
         "own": F.concat_ws("\u0001", lang, source), "own_lang": lang})
 
 
-def estimates(rows: DataFrame, min_group: int, h: float, steps: int) -> DataFrame:
-    """own_lang, own, grp, centre, inverse, scale: the estimate that judges
-    the documents of each language and source."""
+def estimates(rows: DataFrame, min_group: int, h: float, steps: int) -> tuple[DataFrame, bool]:
+    """own, grp, centre, inverse, scale: the estimate that judges the
+    documents of each language and source; and whether they are few."""
     # The finest level with enough documents: language and source, language, all.
     sizes = written(rows.groupBy("own_lang", "own").agg(F.count("*").alias("n")), "quality_groups")
     by_lang = sizes.groupBy("own_lang").agg(F.sum("n").alias("m"))
     level = (F.when(F.col("n") >= min_group, F.concat(F.lit("s:"), "own"))
              .when(F.col("m") >= min_group, F.concat(F.lit("l:"), "own_lang")).otherwise("all"))
     groups = written(sizes.join(by_lang, "own_lang").select("own_lang", "own", level.alias("grp")), "quality_levels")
-    rows = rows.join(groups, ["own_lang", "own"])
+    few = groups.count() <= BROADCAST_GROUPS
+    rows = _with(rows, groups.drop("own_lang"), few, "own")
     # A language's estimate is learnt from all its documents, the global one from all.
     needed = groups.filter("grp LIKE 'l:%'").select("own_lang", F.col("grp").alias("to")).distinct()
     of_lang = rows.filter("grp LIKE 's:%'").join(needed, "own_lang").select(F.col("to").alias("grp"), *FEATURES)
     parts = rows.select("grp", *FEATURES).unionByName(of_lang)
     if not groups.filter("grp = 'all'").isEmpty():
         parts = parts.unionByName(rows.filter("grp <> 'all'").select(F.lit("all").alias("grp"), *FEATURES))
-    return groups.join(mcd(parts, h, steps), "grp")
+    return groups.drop("own_lang").join(mcd(parts, few, h, steps), "grp"), few
 
 
-def _verdict(rows: DataFrame, est: DataFrame, limit: float) -> DataFrame:
-    out = rows.join(est, ["own_lang", "own"]).withColumn("distance", F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))
+def _verdict(rows: DataFrame, est: tuple[DataFrame, bool], limit: float) -> DataFrame:
+    out = _with(rows, *est, on="own").withColumn("distance", F.greatest(_distance(), F.lit(0.0)) / F.col("scale"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit))
 
 
