@@ -45,7 +45,7 @@ from kpiforge.llm.common import NULL_ID, mix64, slices, text_buffers, word_hashe
 
 SIZE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5         # a pair of similarity 0.8 is missed with probability 0.67^32 = 3e-6
+BANDS, ROWS = 64, 8         # a pair of similarity 0.8 shares no band with probability 0.83^64 = 8e-6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -92,10 +92,10 @@ def shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """[n, k] registers: the hash of the shingle that arrived first (0: no
     shingles)."""
-    first = np.full(n * k, np.inf)
-    who = np.zeros(n * k, np.uint64)
+    out = np.zeros((n, k), np.uint64)
+    rows = np.arange(n)                     # texts still in work, by their place in first / who
+    first, who = np.full(n * k, np.inf), np.zeros(n * k, np.uint64)
     time = np.zeros(len(key))
-    latest = np.full(n, np.inf)
     step = 0
     while len(key):
         step += 1
@@ -107,11 +107,17 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, k:
         np.minimum.at(first, cell, time)
         won = first[cell] == time
         who[cell[won]] = key[won]
-        if step <= 8 or step % 4 == 0:
-            latest = first.reshape(n, k).max(1)
-        alive = time < latest[doc]
+        if step > 8 and step % 8:
+            continue
+        alive = time < first.reshape(-1, k).max(1)[doc]
         doc, key, weight, time = doc[alive], key[alive], weight[alive], time[alive]
-    return who.reshape(n, k)
+        if step % 32 == 0:                  # finished texts leave the tables
+            out[rows] = who.reshape(-1, k)
+            left, doc = np.unique(doc, return_inverse=True)
+            rows = rows[left]
+            first, who = first.reshape(-1, k)[left].ravel(), who.reshape(-1, k)[left].ravel()
+    out[rows] = who.reshape(-1, k)
+    return out
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -143,15 +149,16 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float(total)
 
 
-SIGNED = "row long, doc_id long, raw binary, digest binary, bands array<long>, keys binary, weights binary"
+SIGNED = "row long, doc_id long, raw binary, digest binary, size int, bands array<long>, keys binary, weights binary"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """Signature rows of all documents. ``keys`` and ``weights`` are the
     shingles (the high 32 bits of their hashes, sorted; weights as float32,
-    empty where all are 1). Write it before use."""
+    empty where all are 1); ``size`` is their number where all weights are
+    1, else 0. Write it before use."""
     names = [x.split()[0] for x in SIGNED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -166,7 +173,8 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
                 a, b = off[i], off[i + 1]
                 digest = hashlib.md5(b" ".join((t or b"").lower().split()) if n_words[i] else b"").digest()
                 w = weight[a:b]
-                out.append((row + i + 1, d, hashlib.md5(t or b"").digest(), digest, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if (w == 1).all() else w.astype("<f4").tobytes()))
+                plain = bool((w == 1).all())
+                out.append((row + i + 1, d, hashlib.md5(t or b"").digest(), digest, b - a if plain else 0, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if plain else w.astype("<f4").tobytes()))
             row += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -225,14 +233,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     base = written(signed(docs, bands, rows, size), "pmh_signed")
     texts = written(base.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("copy_of")), "pmh_texts")
     nodes = base.join(texts.select("node"), base["row"] == texts["node"], "left_semi")
-    buckets = nodes.select(F.col("row"), F.explode("bands").alias("band"))
-    buckets = written(buckets, "pmh_bands")
+    buckets = nodes.select("row", "size", F.explode("bands").alias("band"))
     full = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(buckets.join(full, "band"), "pmh_members")
     degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
     members = members.join(degree, "row")
     pivot = members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("row")).alias("r"))).alias("p")).select("band", (-F.col("p.r")).alias("pivot"))
-    members = written(members.join(pivot, "band").select("row", "band", "n", "pivot"), "pmh_pivots")
+    members = written(members.join(pivot, "band").select("row", "size", "band", "pivot"), "pmh_pivots")
     shared = members.filter("row <> pivot").groupBy("row", "pivot").agg(F.count("*").alias("m"))
     # max_by over (m, -pivot): the pivot met in most bands, then the next.
     best = shared.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("p"))).alias("x")).select("row", (-F.col("x.p")).alias("pivot"))
@@ -244,15 +251,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     # Only candidates' shingles take part from here on.
     sets = written(nodes.select("row", "keys", "weights").join(members.select("row").distinct(), "row", "left_semi"), "pmh_sets")
     links = written(verified(tried, sets, least), "pmh_links")
-    comp = _relabel(members.select("row", "band", F.col("row").alias("component")), links)
+    comp = _relabel(members.select("row", "size", "band", F.col("row").alias("component")), links)
     comp = written(comp, "pmh_components")
     # The rest: buckets that span several components.
     split = comp.groupBy("band", "component").agg(F.count("*").alias("size"))
     mixed = split.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
     open_ = written(comp.join(mixed, "band"), "pmh_open")
-    outer = open_.filter("component <> top").select("band", F.col("row").alias("x"), F.col("component").alias("cx"))
-    pairs = (outer.join(open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy")), "band").filter("cx <> cy")
-             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    outer = open_.filter("component <> top").select("band", F.col("row").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
+    inner = open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"))
+    # Sets without weights cannot reach the similarity if their sizes are further apart.
+    near = F.expr(f"cx <> cy AND (sx = 0 OR sy = 0 OR least(sx, sy) >= {least} * greatest(sx, sy))")
+    pairs = (outer.join(inner, "band").filter(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+             .join(tried, ["a", "b"], "left_anti"))
     more = written(verified(written(pairs, "pmh_rest"), sets, least), "pmh_links")
     final = components(links.unionByName(more))
     node_class = texts.join(final, texts["node"] == final["node"], "left").select("digest", texts["node"], "copy_of", F.coalesce("component", texts["node"]).alias("component"))

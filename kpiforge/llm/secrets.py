@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of 16 or more characters of ``[A-Za-z0-9_+/=-]``.
+Candidates are runs of 16 or more characters of ``[A-Za-z0-9_+/-]``
+(and up to two ``=`` of padding).
 A random forest on their length, character mix and transitions between
 character classes, dictionary coverage, path and neighbouring words tells
 secrets from long words, numbers and paths. It is trained from labelled
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import written
 
 SHORTEST = 16
-CANDIDATE = "[A-Za-z0-9_+/=-]{%d,}" % SHORTEST
+CANDIDATE = "[A-Za-z0-9_+/-]{%d,}={0,2}" % SHORTEST
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words that announce a credential (fixed values).
 CREDENTIAL = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
