@@ -167,34 +167,55 @@ def _distance():
     return total
 
 
-def _estimates(sums: DataFrame) -> DataFrame:
-    """Group sums (n, s_i, q_ij) to centre and inverse covariance."""
+def _measured(rows: DataFrame) -> DataFrame:
+    """grp, FEATURES and d2 = log(1 + squared distance), rounded, of rows
+    joined with their estimates."""
     p = len(FEATURES)
 
     def run(batches):
-        for batch in batches:
-            t = batch.to_pydict()
-            centre, inverse = [], []
-            for r in range(batch.num_rows):
-                n = t["n"][r]
-                m = np.array([t[f"s{i}"][r] for i in range(p)]) / n
-                cov = np.empty((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        cov[i, j] = cov[j, i] = t[f"q{i}_{j}"][r] / n - m[i] * m[j]
-                cov += np.diag(np.square(FLOORS))
-                centre.append(m.tolist())
-                inverse.append(np.linalg.inv(cov).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grp")), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["grp", "centre", "inverse"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = lambda c: b.column(b.schema.get_field_index(c))
+            d = np.stack([col(f).to_numpy() for f in FEATURES], 1) - col("centre").flatten().to_numpy().reshape(-1, p)
+            d2 = np.einsum("ni,nij,nj->n", d, col("inverse").flatten().to_numpy().reshape(-1, p, p), d)
+            yield pa.RecordBatch.from_arrays([col("grp"), *(col(f) for f in FEATURES), pa.array(np.round(np.log1p(np.maximum(d2, 0)), 3))], names=["grp", *FEATURES, "d2"])
 
-    return sums.mapInArrow(run, "grp string, centre array<double>, inverse array<double>")
+    return rows.select("grp", *FEATURES, "centre", "inverse").mapInArrow(run, "grp string, " + ", ".join(f"{f} double" for f in FEATURES) + ", d2 double")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _estimates(rows: DataFrame) -> DataFrame:
+    """grp, centre, inverse covariance of rows (grp, FEATURES). Each batch
+    sends its sums by group: one row for each moment."""
     p = len(FEATURES)
-    return rows.groupBy("grp").agg(
-        F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)])
+    upper = np.triu_indices(p)
+
+    def sums(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grp = b.column(0).dictionary_encode()
+            x = np.stack([b.column(i + 1).to_numpy() for i in range(p)], 1)
+            full = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], 1)
+            code, names = grp.indices.to_numpy(), grp.dictionary.to_pylist()
+            total = np.stack([np.bincount(code, full[:, j], len(names)) for j in range(full.shape[1])], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), full.shape[1]), pa.string()), pa.array(np.tile(np.arange(full.shape[1]), len(names))), pa.array(total.ravel())], names=["grp", "i", "v"])
+
+    def invert(batches):
+        for b in batches:
+            centre, inverse = [], []
+            for m in b.column(1).to_pylist():
+                v = np.array([x["v"] for x in sorted(m, key=lambda x: x["i"])])
+                mean, cov = v[1:p + 1] / v[0], np.empty((p, p))
+                cov[upper] = v[p + 1:] / v[0]
+                cov.T[upper] = cov[upper]
+                cov += np.diag(np.square(FLOORS)) - np.outer(mean, mean)
+                centre.append(mean.tolist())
+                inverse.append(np.linalg.inv(cov).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["grp", "centre", "inverse"])
+
+    moments = rows.select("grp", *FEATURES).mapInArrow(sums, "grp string, i long, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
+    return moments.groupBy("grp").agg(F.collect_list(F.struct("i", "v")).alias("m")).mapInArrow(invert, "grp string, centre array<double>, inverse array<double>")
 
 
 def mcd(rows: DataFrame, few: bool, h: float = 0.75, steps: int = 4) -> DataFrame:
@@ -208,11 +229,11 @@ def mcd(rows: DataFrame, few: bool, h: float = 0.75, steps: int = 4) -> DataFram
         F.array(*[F.lit(1.0) / F.pow(F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOORS[i])), F.lit(2.0)) if i == j else zero for i in range(p) for j in range(p)]).alias("inverse"))
     for _ in range(steps):
         est = written(est, "mcd_estimate")
-        near = _with(rows, est, few).withColumn("d2", F.round(F.log1p(F.greatest(_distance(), zero)), 3))
+        near = _measured(_with(rows, est, few))
         cut = near.groupBy("grp").agg(F.percentile("d2", h).alias("cut"))
-        est = _estimates(_sums(_with(near, cut, few).filter("d2 <= cut")))
+        est = _estimates(_with(near, cut, few).filter("d2 <= cut"))
     est = written(est, "mcd_estimate")
-    half = _with(rows, est, few).groupBy("grp").agg(F.percentile(F.round(F.greatest(_distance(), zero), 2), 0.5).alias("half"))
+    half = _measured(_with(rows, est, few)).groupBy("grp").agg(F.expm1(F.percentile("d2", 0.5)).alias("half"))
     # Floors already widen the covariance, so it is never shrunk.
     return written(est.join(half, "grp").select("grp", "centre", "inverse", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd")
 
