@@ -1,88 +1,58 @@
 """Aggregate operators that need more than one built-in function.
 
-``exact_median`` keeps the exact (interpolated) median without holding a
-whole group in one task: a bounded-memory quantile sketch brackets the
-middle ranks, and only the rows inside the bracket are ranked. Groups
-whose bracket misses the middle (the sketch's error bound makes this
-practically impossible) are recomputed with Spark's exact ``median`` so
-the result is exact in every case.
+``exact_median`` works on the counts of distinct values, never on the
+rows: however many rows a group has, and however many are equal, a task
+sees each distinct value once, and only those in the range that holds the
+middle are put in order.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
-from ..session import shared_dir
+from ..session import scratch_path
 
-SKETCH_ACCURACY = 10_000
-# The bracket band holds about 6·n/accuracy values; groups where that
-# would exceed BAND_LIMIT are re-sketched with an accuracy scaled to their
-# size, so no task ever collects more than ~BAND_LIMIT values.
-BAND_LIMIT = 2_000_000
+RANGES = 4096                # equal ranges between a group's least and greatest value
 
 
-def _bracket(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
-    """Count and a sketch bracket [lo, hi] around the middle ranks; the
-    half-width is three times the sketch's relative rank error."""
-    m = 3.0 / accuracy
-    return (rows.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"),
-                 F.percentile_approx("_v", [0.5 - m, 0.5 + m], accuracy).alias("_br"))
-            .select(*keys, "_n", F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi")))
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                 band_limit: int = BAND_LIMIT) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
     """Exact median per group (mean of the two middle values when even).
 
-    Pass 1 (one aggregate): count and a bounded-memory sketch bracket
-    [lo, hi] around the middle ranks. Groups so large that their bracket
-    would hold more than ``band_limit`` values get a second sketch pass
-    with a proportionally higher accuracy (only those groups' rows).
-    Pass 2 (one aggregate over the rows joined to the per-group bracket):
-    count of values below ``lo`` and the sorted values inside the bracket.
-    The middle values are picked from the band by rank. The small
-    per-group results are checkpointed; if any group's bracket missed (not
-    expected under the sketch's error bound), those groups alone are
-    recomputed exactly.
+    ``weight``: how often a row counts. One pass over the rows counts them
+    by value (with map-side sums); the counts are written once. Sums by
+    value range find the range of each middle rank, and a running sum over
+    the sorted distinct values of that range alone finds the value. The
+    running sum is a sorted, spillable stream; nothing is collected.
     """
-    shared_dir(df.sparkSession)          # checkpoints go to the cluster's shared folder
-    rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    stats = _bracket(rows, keys, SKETCH_ACCURACY).checkpoint(eager=True)
-    too_big = F.col("_n") > F.lit(band_limit * SKETCH_ACCURACY // 6).cast("bigint")
-    n_max = stats.filter(too_big).agg(F.max("_n")).first()[0]
-    if n_max is not None:
-        accuracy = int(math.ceil(6 * n_max / band_limit))
-        big = stats.filter(too_big).select(*keys)
-        refined = _bracket(rows.join(big, keys, "left_semi"), keys, accuracy)
-        stats = stats.join(big, keys, "left_anti").unionByName(refined).checkpoint(eager=True)
-    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
-    banded = (rows.join(stats, keys)
-              .groupBy(*keys)
-              .agg(F.first("_n").alias("_n"),
-                   F.count_if(v < lo).alias("_below"),
-                   F.sort_array(F.collect_list(F.when(v.between(lo, hi), v))).alias("_band")))
-    # 1-based middle ranks k1 = (n+1) div 2, k2 = n div 2 + 1, shifted into the band.
-    n, below = F.col("_n"), F.col("_below")
-    i1 = F.floor((n + 1) / 2) - below
-    i2 = F.floor(n / 2) + 1 - below
-    ok = (i1 >= 1) & (i2 <= F.size("_band"))
-    picked = banded.select(
-        *keys,
-        F.when(ok, (F.element_at("_band", i1.cast("int")) + F.element_at("_band", i2.cast("int"))) / 2)
-        .alias(out),
-        ok.alias("_ok"))
-    picked = picked.checkpoint(eager=True)
-    missed = picked.filter(~F.col("_ok")).select(*keys)
-    if missed.isEmpty():
-        return picked.drop("_ok")
-    slow = (rows.join(missed, keys, "left_semi")
-            .groupBy(*keys).agg(F.median("_v").alias(out)))
-    return picked.filter("_ok").drop("_ok").unionByName(slow)
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    path = scratch_path(df.sparkSession, "median-counts")
+    counts = df.select(*keys, F.col(value).cast("double").alias("_v"), *([weight] if weight else [])).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(n.alias("_c"))
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+
+    def on(right):
+        return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) * RANGES / (F.col("_hi") - F.col("_lo")))).otherwise(0).cast("long")
+    ranged = counts.alias("l").join(stats.alias("r"), on(stats)).select("l.*", "r._n", place.alias("_range"))
+    # 1-based middle ranks: (n + 1) div 2 and n div 2 + 1.
+    k1, k2 = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range"))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n")).withColumn("_upto", upto)
+    middle = sums.filter((F.col("_upto") >= k1) & (F.col("_upto") - F.col("_c") < k2)).select(*keys, "_range", (F.col("_upto") - F.col("_c")).alias("_before"))
+    inside = ranged.alias("l").join(middle.alias("r"), on(middle) & (F.col("l._range") == F.col("r._range"))).select("l.*", "r._before")
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    inside = inside.withColumn("_last", last)
+
+    def at(k):
+        return F.max(F.when((k <= F.col("_last")) & (k > F.col("_last") - F.col("_c")), F.col("_v")))
+
+    return inside.groupBy(*keys).agg(((at(k1) + at(k2)) / 2).alias(out))
 
 
 def safe_corr(x: str, y: str):

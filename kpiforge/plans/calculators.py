@@ -320,25 +320,27 @@ def calc_all(spark, sf) -> DataFrame:
 
 
 _CALC_ALL_SQL = "\nUNION ALL\n".join(f"SELECT *, '{d}' AS dashboard FROM ({' UNION ALL '.join(CALC_SQL[d])})" for d in CALC)
-MIN_SQL_ROWS = 10
-
 
 @query("kpi_fill_missing", with_kpis(_CI + f""", calc AS ({_CALC_ALL_SQL}),
-good AS (SELECT dashboard FROM kpis GROUP BY dashboard HAVING count(*) >= {MIN_SQL_ROWS})
+good AS (SELECT DISTINCT dashboard FROM kpis WHERE kpi_value IS NOT NULL)
 SELECT kpi_name AS name, kpi_value AS value, unit, description, category, source, dashboard, 'sql' AS form FROM kpis WHERE dashboard IN (SELECT dashboard FROM good)
 UNION ALL
 SELECT name, value, unit, description, category, source, dashboard, 'calculator' FROM calc WHERE dashboard NOT IN (SELECT dashboard FROM good)"""))
 def kpi_fill_missing(spark, sf):
-    """SQL-form dashboards first; dashboards whose SQL output is
-    missing or incomplete (fewer than 10 rows) are filled from the
-    calculator form (left_anti on the dashboard key + union)."""
+    """SQL-form dashboards first; see :func:`fill_missing`."""
     from .q_display import kpis
-    k = kpis(spark, sf)
-    good = k.groupBy("dashboard").count().filter(F.col("count") >= MIN_SQL_ROWS).select("dashboard")
+    return fill_missing(kpis(spark, sf), calc_all(spark, sf))
+
+
+def fill_missing(k: DataFrame, calc: DataFrame) -> DataFrame:
+    """A dashboard of the calculator form is taken only where the SQL form
+    is missing or empty (has no value at all), however few rows it has
+    (left_anti on the dashboard key + union)."""
+    good = k.filter(F.col("kpi_value").isNotNull()).select("dashboard").distinct()
     sql_part = (k.join(good, "dashboard", "left_semi")
                 .select(F.col("kpi_name").alias("name"), F.col("kpi_value").alias("value"), "unit", "description",
                         "category", "source", "dashboard", F.lit("sql").alias("form")))
-    calc = calc_all(spark, sf).join(good, "dashboard", "left_anti").withColumn("form", F.lit("calculator"))
+    calc = calc.join(good, "dashboard", "left_anti").withColumn("form", F.lit("calculator"))
     return sql_part.unionByName(calc.select(*sql_part.columns))
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import num
 from ..sources.tables import table
-from ..streaming.alerts import alert_key, cooldown_batch, cooldown_stream, run_stream_to_table
-from ..streaming.incremental import incremental_filter, upsert
+from ..streaming.alerts import alert_key, cooldown_batch, run_cooldown_stream
+from ..session import scratch_path
+from ..streaming.incremental import KeyedTable, incremental_filter, upsert
 from .registry import query
 
 COOLDOWN_S = 3600
 MAX_PER_RUN = 200
+STREAM_DELAY_S = 90 * 86400
 
 
 def severity(event_type, value):
@@ -54,34 +56,43 @@ def alert_cooldown(spark, sf):
     return _alert_cooldown(spark, sf).select("alert_id", "key", "severity", "dispatched")
 
 
-@query("alert_counts", _REC + """, d AS (SELECT al.severity, al.alert_id IN (SELECT alert_id FROM cap) AS dispatched FROM al)
-SELECT severity, count_if(dispatched) AS n_dispatched, count_if(NOT dispatched) AS n_suppressed FROM d GROUP BY severity""")
+@query("alert_counts", _REC + """, d AS (SELECT al.severity, r.sent, al.alert_id IN (SELECT alert_id FROM cap) AS dispatched FROM al JOIN r ON r.alert_id = al.alert_id)
+SELECT severity, count_if(dispatched) AS n_dispatched, count_if(NOT sent) AS n_suppressed, count_if(sent AND NOT dispatched) AS n_over_cap FROM d GROUP BY severity""")
 def alert_counts(spark, sf):
-    """Dispatched / suppressed counts by severity."""
+    """Dispatched, suppressed (by the cooldown) and over-cap counts by
+    severity."""
     a = _alert_cooldown(spark, sf)
     return a.groupBy("severity").agg(F.count_if("dispatched").alias("n_dispatched"),
-                                     F.count_if(~F.col("dispatched")).alias("n_suppressed"))
+                                     F.count_if(~F.col("dispatched") & ~F.col("over_cap")).alias("n_suppressed"),
+                                     F.count_if("over_cap").alias("n_over_cap"))
+
+
+def event_stream(spark, sf) -> DataFrame:
+    """The event table as a file stream, one file a micro-batch; the table
+    may be one file or a folder of part files."""
+    ev = table(spark, sf, "events")
+    first = ev.select("_metadata.file_name").first()
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+    if first is not None and first[0] == "events.parquet":     # a file stream wants a folder
+        return stream.option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    return stream.parquet(f"{sf.rstrip('/')}/events.parquet")
 
 
 @query("alert_cooldown_stream", _REC + "\nSELECT r.alert_id, al.key, al.severity, r.sent AS dispatched FROM r JOIN al ON al.alert_id = r.alert_id")
 def alert_cooldown_stream(spark, sf):
-    """X1 streaming: the event table read as a stream, per-key cooldown
-    state in ``applyInPandasWithState`` (no run cap: a stream has no run)."""
-    schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
-              .select("event_id", "event_type", "ts", "value"))
-    out = cooldown_stream(alerts(stream), COOLDOWN_S)
-    res = run_stream_to_table(spark, out, "alert-cooldown")
+    """X1 streaming: the event table read as a stream, decided by
+    ``CooldownSink`` (no run cap: a stream has no run). The delay covers
+    the whole event log, so files may come in any order."""
+    stream = event_stream(spark, sf).select("event_id", "event_type", "ts", "value")
+    res = run_cooldown_stream(alerts(stream), COOLDOWN_S, delay_s=STREAM_DELAY_S)
     return res.select("alert_id", "key", "severity", "dispatched")
 
 
-@query("latest_alerts", _REC + """
-SELECT al.alert_id, al.key, al.severity FROM al WHERE al.alert_id IN (SELECT alert_id FROM cap)
-ORDER BY al.ts DESC, al.alert_id DESC LIMIT 10""")
+@query("latest_alerts", f"""WITH {_AL} SELECT alert_id, key, severity FROM al ORDER BY ts DESC, alert_id DESC LIMIT 10""")
 def latest_alerts(spark, sf):
-    """The ten most recent dispatched alerts (distributed top-k)."""
-    a = _alert_cooldown(spark, sf).filter("dispatched")
+    """The ten most recently recorded alerts, dispatched or not
+    (distributed top-k)."""
+    a = alerts(table(spark, sf, "events", "event_id", "event_type", "ts", "value"))
     return a.orderBy(F.desc("ts"), F.desc("alert_id")).limit(10).select("alert_id", "key", "severity")
 
 
@@ -132,19 +143,23 @@ per AS (SELECT s.run, s.stage, s.elapsed_min, CAST(d.deadline_min AS DOUBLE) AS
         FROM s JOIN d ON d.stage = s.stage)
 SELECT run, stage, {"CAST(ROUND(CAST(elapsed_min AS DECIMAL(38,6)), 4) AS DOUBLE)"} AS elapsed_min, deadline_min, within_sla FROM per
 UNION ALL
-SELECT run, 'TOTAL', NULL, {float(TOTAL_LIMIT_MIN)}, bool_and(within_sla) FROM per GROUP BY run""")
+SELECT run, 'TOTAL', CAST(ROUND(CAST(total_min AS DECIMAL(38,6)), 4) AS DOUBLE), {float(TOTAL_LIMIT_MIN)}, ok AND total_min <= {TOTAL_LIMIT_MIN}
+FROM (SELECT run, bool_and(within_sla) AS ok FROM per GROUP BY run) JOIN (SELECT strftime(ts, '%Y-%m-%d %H') AS run,
+   date_diff('microsecond', min(ts), max(ts)) / 6e7 AS total_min FROM events GROUP BY 1) USING (run)""")
 def sla_report(spark, sf):
     """Per run (hour) and stage, elapsed time from the stage's first
-    to last event vs its deadline; overall flag per run (bool_and)."""
+    to last event vs its deadline; the run's total duration vs the total
+    limit, within SLA only if every stage is too."""
     ev = table(spark, sf, "events", "event_type", "ts")
     dl = spark.createDataFrame([(k, float(v)) for k, v in DEADLINE_MIN.items()], "stage string, deadline_min double")
-    s = ev.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("run"), F.col("event_type").alias("stage")).agg(
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 6e7)
-        .alias("elapsed_min"))
-    per = s.join(F.broadcast(dl), "stage").withColumn("within_sla", F.col("elapsed_min") <= F.col("deadline_min"))
-    tot = per.groupBy("run").agg(F.bool_and("within_sla").alias("within_sla")).select(
-        "run", F.lit("TOTAL").alias("stage"), F.lit(None).cast("double").alias("elapsed_min"),
-        F.lit(float(TOTAL_LIMIT_MIN)).alias("deadline_min"), "within_sla")
+    ends = (ev.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("run"), F.col("event_type").alias("stage"))
+            .agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"), F.unix_micros(F.max("ts").cast("timestamp")).alias("b")))
+    per = (ends.withColumn("elapsed_min", (F.col("b") - F.col("a")) / 6e7).join(F.broadcast(dl), "stage")
+           .withColumn("within_sla", F.col("elapsed_min") <= F.col("deadline_min")))
+    total = ends.groupBy("run").agg(((F.max("b") - F.min("a")) / 6e7).alias("total_min"))
+    tot = per.groupBy("run").agg(F.bool_and("within_sla").alias("ok")).join(total, "run").select(
+        "run", F.lit("TOTAL").alias("stage"), num("total_min", 4).alias("elapsed_min"),
+        F.lit(float(TOTAL_LIMIT_MIN)).alias("deadline_min"), (F.col("ok") & (F.col("total_min") <= TOTAL_LIMIT_MIN)).alias("within_sla"))
     return per.select("run", "stage", num("elapsed_min", 4).alias("elapsed_min"), "deadline_min", "within_sla") \
         .unionByName(tot)
 
@@ -215,26 +230,16 @@ def upsert_key(spark, sf):
 @query("upsert_stream", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
   arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
 def upsert_stream(spark, sf):
-    """X3 + S16 streaming: the event log read as a file stream with a
-    one-day watermark; every micro-batch is reduced to one row per user
-    (``max_by``) and upserted into the target table by ``foreachBatch``
-    (new batch wins per key). Returns the final table version."""
-    from ..session import scratch_path
-    from ..streaming.incremental import foreach_batch_upsert
-    schema = table(spark, sf, "events").schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
-              .withColumn("event_time", F.col("ts").cast("timestamp"))
-              .withWatermark("event_time", "1 day"))
-    target = scratch_path(spark, "upsert-target")
-
-    def reduce_batch(batch, epoch_id):
-        latest = _latest_per_user(batch, ["event_type", "value"])
-        handler(latest, epoch_id)
-
-    handler = foreach_batch_upsert(target, ["user_id"])
-    q = (stream.writeStream.foreachBatch(reduce_batch)
-         .option("checkpointLocation", scratch_path(spark, "upsert-ckpt"))
-         .trigger(availableNow=True).start())
+    """X3 + S16 streaming: the event log read as a file stream; every
+    micro-batch is reduced to one row per user (``max_by``) and upserted
+    into a ``KeyedTable`` (the newest event wins, whatever batch it came
+    in)."""
+    target = KeyedTable(scratch_path(spark, "upsert-target"), ["user_id"], ["ts", "event_id"])
+
+    def merge(batch, epoch_id):
+        target(_latest_per_user(batch, ["event_type", "value", "ts", "event_id"]), epoch_id)
+
+    q = (event_stream(spark, sf).writeStream.foreachBatch(merge)
+         .option("checkpointLocation", scratch_path(spark, "upsert-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(handler.versions[-1]).select("user_id", "event_type", "value")
+    return target.read(spark).select("user_id", "event_type", "value")

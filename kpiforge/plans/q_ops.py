@@ -493,10 +493,11 @@ def dedup_latest(spark, sf):
 
 
 def content_hash(cols: list[str]) -> F.Column:
-    """First 16 hex chars of sha256 over the key-sorted JSON of the record
-    (NULL fields kept, so records differing by a NULL field differ)."""
+    """sha256 (hex) over the key-sorted JSON of the record (NULL fields
+    kept, so records differing by a NULL field differ). Show its first 16
+    characters; group on all of it."""
     s = F.struct(*[F.col(c) for c in sorted(cols)])
-    return F.substring(F.sha2(F.to_json(s, {"ignoreNullFields": "false"}), 256), 1, 16)
+    return F.sha2(F.to_json(s, {"ignoreNullFields": "false"}), 256)
 
 
 @query("dedup_content_hash", """SELECT min(doc_id) AS doc_id, count(*) - 1 AS n_removed
@@ -504,10 +505,10 @@ FROM documents GROUP BY text, lang, source""")
 def dedup_content_hash(spark, sf):
     """Content-hash dedup over whole records: keep the first (lowest id)
     record of each hash, report how many copies were removed. The grouping
-    is on a 16-hex-char hash, so the shuffle moves 8 bytes per record
-    instead of the whole text."""
+    is on the whole 256-bit hash (as 32 bytes), so the shuffle moves that
+    instead of the text and no distinct record is taken for a copy."""
     d = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
-    h = d.select("doc_id", content_hash(["text", "lang", "source"]).alias("h"))
+    h = d.select("doc_id", F.unhex(content_hash(["text", "lang", "source"])).alias("h"))
     return h.groupBy("h").agg(F.min("doc_id").alias("doc_id"), (F.count(F.lit(1)) - 1).alias("n_removed")).drop("h")
 
 

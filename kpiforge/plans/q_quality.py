@@ -806,11 +806,11 @@ def catalog_build(spark, sf):
 SEARCH = "rent"
 
 
-@query("catalog_search", with_silver(_CAT_SQL + f"\nSELECT name, layer FROM catalog WHERE contains(lower(name), '{SEARCH}') OR list_contains(tags, '{SEARCH}') OR contains(lower(source), '{SEARCH}')"))
+@query("catalog_search", with_silver(_CAT_SQL + f"\nSELECT name, layer FROM catalog WHERE contains(lower(name), '{SEARCH}') OR contains(lower(array_to_string(tags, '\x01')), '{SEARCH}') OR contains(lower(source), '{SEARCH}')"))
 def catalog_search(spark, sf):
     """Substring search over name, tags and source (optional layer)."""
     c = catalog_df(spark, sf)
-    hit = (F.lower("name").contains(SEARCH) | F.exists("tags", lambda t: t == SEARCH)
+    hit = (F.lower("name").contains(SEARCH) | F.coalesce(F.exists("tags", lambda t: F.lower(t).contains(SEARCH)), F.lit(False))
            | F.lower("source").contains(SEARCH))
     return c.filter(hit).select("name", "layer")
 

@@ -67,6 +67,9 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         d = _private_dirs.get(app) or spark.sparkContext.getCheckpointDir()
         if not d:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
             d = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
         _private_dirs[app] = d
     if spark.sparkContext.getCheckpointDir() is None:

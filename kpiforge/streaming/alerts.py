@@ -4,197 +4,258 @@ Rule (per key = stage:title:message[:80], in event-time order): an alert
 is dispatched when it is CRITICAL or when at least ``cooldown`` seconds
 have passed since the key's last *dispatched* alert; a dispatched alert
 stamps the key's clock, a suppressed one does not. At most ``max_per_run``
-alerts are dispatched per run (earliest first).
-
-Batch: keys up to a checked size are decided by a JVM-side ``aggregate``
-fold over the key's alerts sorted by time; hot keys by pointer doubling
-over a "next dispatch" link computed with forward as-of joins, so no task
-ever holds a whole key. Both paths are exact and tested equal. Streaming: ``applyInPandasWithState`` keeps one timestamp per key
-as state, so memory per key is constant however long the stream runs.
-The run cap is a distributed top-k (``orderBy(ts).limit(max)``), not a
-global window.
+alerts are dispatched per run (earliest first; a distributed top-k).
+
+A decision depends on all earlier ones of its key, yet no task reads a
+whole key. Time is cut into chunks of ``CHUNK`` cooldowns, and only the
+first cooldown of a chunk can be reached from outside:
+
+1. every (key, chunk) is read once in time order and yields, for each
+   alert that could be the chunk's first dispatch, the last dispatch that
+   follows from it (chains that meet are followed as one);
+2. these few rows are walked per key and give the clock at the start of
+   every chunk;
+3. every (key, chunk) is read again in time order with that clock, and
+   each alert is decided.
+
+Rows come sorted (and spilled) by Spark, tasks hold one clock or the
+alerts of one cooldown, and the work is linear in the alerts.
+
+Streaming: ``CooldownSink`` decides micro-batches by the same operator
+with the clocks of the batch before; see there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
+CHUNK = 64                   # cooldowns in a chunk
+ALWAYS = (1 << 63) - 1       # later than any time
+NEVER = -(1 << 63)
+
 
 def alert_key(stage, title, message):
     return F.concat_ws(":", stage, title, F.substring(message, 1, 80))
 
 
-# Keys with more alerts than this are not folded in one task; they take
-# the distributed pointer-doubling path instead.
-FOLD_MAX_PER_KEY = 1_000_000
-_ID_SPAN = 10 ** 12          # alert ids must be < 10^12 (packed after the time)
-
-
-def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None = None,
-                   fold_max_per_key: int = FOLD_MAX_PER_KEY) -> DataFrame:
-    """alerts: (alert_id, key, ts, severity). Adds ``dispatched``.
-
-    Keys with at most ``fold_max_per_key`` alerts (checked with one count
-    per key) are decided by an ordered fold; larger keys by
-    ``_dispatch_by_doubling`` which never holds a key in one task.
-    """
-    a = alerts.withColumn("_crit", F.col("severity") == "CRITICAL")
-    sizes = a.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > fold_max_per_key).select("key")
-    if hot.isEmpty():
-        sent = _dispatch_by_fold(a, cooldown_s)
-    else:
-        from ..sources.tables import bounded_broadcast
-        hot = bounded_broadcast(hot.checkpoint())
-        small = a.join(hot, "key", "left_anti")
-        big = a.join(hot, "key", "left_semi")
-        sent = _dispatch_by_fold(small, cooldown_s).unionByName(_dispatch_by_doubling(big, cooldown_s))
-    out = a.join(sent.withColumn("_sent", F.lit(True)), "alert_id", "left")
-    out = out.withColumn("dispatched", F.coalesce("_sent", F.lit(False))).drop("_sent", "_crit")
-    if max_per_run is not None:
-        first = (out.filter("dispatched").orderBy("ts", "alert_id").limit(max_per_run)
-                 .select("alert_id", F.lit(True).alias("_in_cap")))
-        out = (out.join(F.broadcast(first), "alert_id", "left")
-               .withColumn("dispatched", F.col("dispatched") & F.coalesce("_in_cap", F.lit(False)))
-               .drop("_in_cap"))
-    return out
-
-
-def _dispatch_by_fold(a: DataFrame, cooldown_s: int) -> DataFrame:
-    """Ordered ``aggregate`` fold per key (JVM-side); returns dispatched ids."""
-    per_key = a.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
-                                             F.col("alert_id").alias("id"), F.col("_crit").alias("c")))).alias("xs"))
-    init = F.struct(F.lit(None).cast("bigint").alias("last"),
-                    F.array().cast("array<bigint>").alias("ids"))
-    cd = cooldown_s * 1_000_000
-
-    def step(acc, x):
-        ok = x["c"] | acc["last"].isNull() | ((x["t"] - acc["last"]) >= F.lit(cd))
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"),
-                        F.when(ok, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"))
-
-    return per_key.select(F.explode(F.aggregate("xs", init, step)["ids"]).alias("alert_id"))
-
-
-def _dispatch_by_doubling(a: DataFrame, cooldown_s: int, bucket_s: int = 60) -> DataFrame:
-    """Exact cooldown without a per-key task.
-
-    Every alert x has one *next dispatch*: the earlier (by time, id) of the
-    next CRITICAL alert after x and the first non-critical alert at least
-    ``cooldown`` after x. (A dispatch stamps the clock; criticals always
-    pass; so from a dispatched x the next dispatched alert is exactly that.)
-    The first alert of a key is dispatched, hence the dispatched set is the
-    chain head → next → next … . Both lookups are forward as-of joins
-    (bucketed backward as-of on negated keys); the chain is enumerated by
-    pointer doubling: S ← S ∪ J_k(S), J_{k+1} = J_k ∘ J_k, one self-join
-    per round keyed by alert id, lineage cut with ``checkpoint()`` each
-    round, ⌈log2(chain length)⌉ rounds.
-    """
-    from ..operators.joins import asof_backward_bucketed
-    span = F.lit(_ID_SPAN).cast("decimal(38,0)")
-    t = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
-    z = t * span + F.col("alert_id").cast("decimal(38,0)")
-    a = a.withColumn("_z", z).withColumn("_nz", -z)
-    width = F.expr(f"CAST({_ID_SPAN * bucket_s * 1_000_000} AS DECIMAL(38,0))")
-    bucket = lambda col: F.floor(col / width)
-    crit = a.filter("_crit").select("key", F.col("_nz").alias("_rt"), F.col("_z").alias("_next_crit"))
-    nonc = a.filter(~F.col("_crit")).select("key", F.col("_nz").alias("_rt"), F.col("_z").alias("_next_nc"))
-    # next critical strictly after x: z_c ≥ z_x + 1  ⇔  −z_c ≤ −(z_x + 1)
-    left1 = a.select("alert_id", "key", (F.col("_nz") - 1).alias("_lt"))
-    nc1 = asof_backward_bucketed(left1, crit, ["key"], "_lt", "_rt", ["_next_crit"], bucket)
-    # first non-critical at or after x + cooldown: z ≥ (t_x + C)·10^12
-    shift = F.lit(cooldown_s * 1_000_000).cast("decimal(38,0)") * span
-    left2 = a.select("alert_id", "key", (-(t * span + shift)).alias("_lt"))
-    nc2 = asof_backward_bucketed(left2, nonc, ["key"], "_lt", "_rt", ["_next_nc"], bucket)
-    nxt = (nc1.select("alert_id", "_next_crit").join(nc2.select("alert_id", "_next_nc"), "alert_id")
-           .select(F.col("alert_id").alias("x"),
-                   (F.least("_next_crit", "_next_nc") % span).cast("bigint").alias("y")))
-    heads = a.groupBy("key").agg(F.min("_z").alias("_hz")).select((F.col("_hz") % span).cast("bigint").alias("x"))
-    jump = nxt.checkpoint()
-    reach = heads.checkpoint()
-    while True:
-        step = reach.join(jump, "x").select(F.col("y").alias("x")).filter(F.col("x").isNotNull())
-        grown = reach.unionByName(step).distinct().checkpoint()
-        live = jump.filter(F.col("y").isNotNull())
-        if live.isEmpty():
-            reach = grown
-            break
-        b = jump.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = jump.join(b, "y", "left").select("x", F.col("z").alias("y")).checkpoint()
-        reach = grown
-    return reach.select(F.col("x").alias("alert_id"))
-
-
-STATE_SCHEMA = "last_ts long, p_id array<long>, p_ts array<long>, p_key array<string>, p_sev array<string>"
-OUT_SCHEMA = "alert_id long, key string, severity string, dispatched boolean"
-
-
-def _cooldown_state_fn(cooldown_s: int):
-    """Per-key state: the last dispatch time and a buffer of alerts not yet
-    behind the watermark. Alerts are decided in (event time, id) order once
-    the watermark passes them, so out-of-order arrival inside the
-    watermark delay does not change decisions; the buffer holds at most
-    the delay's worth of a key's alerts."""
-    cd = cooldown_s * 1_000_000
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            last, ids, ts, keys, sevs = state.get
-            last = None if last is None else int(last)
-            pend = pd.DataFrame({"alert_id": list(ids), "t": list(ts), "key": list(keys), "severity": list(sevs)})
-        else:
-            last, pend = None, pd.DataFrame({"alert_id": [], "t": [], "key": [], "severity": []})
-        new = [p for p in pdfs]
-        if new:
-            pdf = pd.concat(new)
-            add = pd.DataFrame({"alert_id": pdf["alert_id"].astype("int64"),
-                                "t": pdf["ts"].astype("datetime64[us]").astype("int64"),
-                                "key": pdf["key"], "severity": pdf["severity"]})
-            pend = pd.concat([pend, add], ignore_index=True) if len(pend) else add
-        wm_ms = state.getCurrentWatermarkMs()          # the watermark's resolution is 1 ms
-        pend = pend.astype({"alert_id": "int64", "t": "int64"}).sort_values(["t", "alert_id"])
-        behind = (pend["t"] // 1000) <= wm_ms
-        ready, keep = pend[behind], pend[~behind]
-        flags = []
-        for t, sev in zip(ready["t"].to_numpy(), ready["severity"].to_numpy()):
-            ok = sev == "CRITICAL" or last is None or t - last >= cd
-            if ok:
-                last = int(t)
-            flags.append(bool(ok))
-        if len(keep):
-            state.update((last, keep["alert_id"].tolist(), keep["t"].tolist(), keep["key"].tolist(),
-                          keep["severity"].tolist()))
-            state.setTimeoutTimestamp(max(int(keep["t"].min()) // 1000, wm_ms + 1))
-        elif last is not None:
-            state.update((last, [], [], [], []))
-        if len(ready):
-            out = ready[["alert_id", "key", "severity"]].copy()
-            out["dispatched"] = flags
-            yield out
-    return fn
-
-
-def cooldown_stream(stream: DataFrame, cooldown_s: int, delay: str = "0 seconds") -> DataFrame:
-    """Streaming X1 with event-time order inside the watermark ``delay``."""
-    s = stream.withColumn("_event_time", F.col("ts").cast("timestamp")).withWatermark("_event_time", delay)
-    return (s.groupBy("key")
-            .applyInPandasWithState(_cooldown_state_fn(cooldown_s), OUT_SCHEMA, STATE_SCHEMA,
-                                    "append", "EventTimeTimeout"))
-
-
-def run_stream_to_table(spark, stream_df: DataFrame, name: str) -> DataFrame:
-    """Run a streaming query to completion into Parquet under the shared
-    folder (checkpoint there too) and read the result back."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    q = (stream_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+class _Chains:
+    """Dispatch chains through one chunk, from every alert that can be its
+    first dispatch."""
+
+    def __init__(self, first: int, cooldown: int):
+        # The clock before is at most the chunk's first alert, so nothing later than this needs it.
+        self.reachable, self.cooldown = first + cooldown, cooldown
+        self.open = True                                   # may a chain still start here
+        self.live: deque[tuple[int, list[int]]] = deque()  # (last dispatch, first dispatches), by last
+
+    def add(self, t: int, critical: bool) -> None:
+        met: list[int] = []
+        while self.live and (critical or self.live[0][0] <= t - self.cooldown):
+            other = self.live.popleft()[1]
+            met, other = (met, other) if len(met) >= len(other) else (other, met)
+            met.extend(other)
+        if self.open and (critical or t >= self.reachable):
+            met.append(ALWAYS)       # dispatched whatever came before the chunk
+            self.open = False
+        elif self.open:
+            met.append(t)
+        if met:
+            self.live.append((t, met))
+
+    def exits(self) -> list[tuple[int, int]]:
+        """(first dispatch, last dispatch), neighbours with one last merged."""
+        out: list[tuple[int, int]] = []
+        for first, last in sorted((f, last) for last, firsts in self.live for f in firsts):
+            if out and out[-1][1] == last:
+                out[-1] = (first, last)
+            else:
+                out.append((first, last))
+        return out
+
+
+def _exits(cooldown: int):
+    def run(batches):
+        at, chains, out = None, None, []
+
+        def done():
+            if chains is not None:
+                out.extend((*at, first, last) for first, last in chains.exits())
+
+        def send():
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "chunk", "first", "last"])
+
+        for b in batches:
+            for key, chunk, t, critical in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (key, chunk) != at:
+                    done()
+                    at, chains = (key, chunk), _Chains(t, cooldown)
+                chains.add(t, critical)
+            if len(out) > 50_000:
+                yield send()
+        done()
+        if out:
+            yield send()
+    return run
+
+
+def _clocks(cooldown: int):
+    """Sorted (key, chunk, first, last) to (key, chunk, clock before it)."""
+    def run(batches):
+        key, clock, at, settled = object(), None, None, False
+        for b in batches:
+            out = []
+            for k, chunk, first, last in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if k != key:
+                    key, clock, at = k, None, None
+                if chunk != at:
+                    at, settled = chunk, False
+                    out.append((k, chunk, clock))
+                if not settled and (clock is None or first == ALWAYS or first >= clock + cooldown):
+                    clock, settled = last, True
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["key", "chunk", "clock"])
+    return run
+
+
+def _decide(cooldown: int, names: list[str]):
+    """Sorted rows with their chunk's clock to rows with ``dispatched``."""
+    def run(batches):
+        at, clock = None, None
+        for b in batches:
+            key, chunk, t, critical, before = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_key", "_chunk", "_t", "_crit", "_clock"))
+            flags = []
+            for i in range(b.num_rows):
+                if (key[i], chunk[i]) != at:
+                    at, clock = (key[i], chunk[i]), before[i]
+                ok = critical[i] or clock is None or t[i] - clock >= cooldown
+                if ok:
+                    clock = t[i]
+                flags.append(ok)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(flags, pa.bool_())], names=[*names, "dispatched"])
+    return run
+
+
+def decide(alerts: DataFrame, cooldown_s: int, clocks: DataFrame | None = None) -> DataFrame:
+    """alerts (alert_id, key, ts, severity, ...) plus ``dispatched``.
+    ``clocks``: (key, last) in microseconds of dispatches before them."""
+    cooldown = cooldown_s * 1_000_000
+    span = max(CHUNK * cooldown, 1_000_000)
+    names = alerts.columns
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = alerts.withColumns({"_key": F.col("key"), "_t": t, "_chunk": F.floor(t / F.lit(span)).cast("long"),
+                               "_crit": F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))})
+    short = rows.select("_key", "_chunk", "_t", "_crit").repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_t")
+    exits = short.mapInArrow(_exits(cooldown), "key string, chunk long, first long, last long")
+    if clocks is not None:
+        exits = exits.unionByName(clocks.select("key", F.lit(NEVER).alias("chunk"), F.lit(ALWAYS).alias("first"), "last"))
+    walked = exits.repartition("key").sortWithinPartitions("key", "chunk", "first")
+    clock = walked.mapInArrow(_clocks(cooldown), "key string, chunk long, clock long")
+    clock = clock.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.col("clock").alias("_clock"))
+    joined = rows.join(clock, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left")
+    order = joined.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_t", "alert_id")
+    schema = T.StructType([*alerts.schema.fields, T.StructField("dispatched", T.BooleanType())])
+    return order.select(*names, "_key", "_chunk", "_t", "_crit", "_clock").mapInArrow(_decide(cooldown, names), schema)
+
+
+def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None = None) -> DataFrame:
+    """alerts (alert_id, key, ts, severity) plus ``dispatched`` and
+    ``over_cap`` (passed the cooldown, but beyond the run's cap). Ids are
+    unique."""
+    out = decide(alerts, cooldown_s)
+    if max_per_run is None:
+        return out.withColumn("over_cap", F.lit(False))
+    first = (out.filter("dispatched").orderBy("ts", "alert_id").limit(max_per_run)   # the cap bounds the broadcast
+             .select("alert_id", F.lit(True).alias("_in_cap")))
+    out = out.join(F.broadcast(first), "alert_id", "left").withColumn("_in_cap", F.coalesce("_in_cap", F.lit(False)))
+    return (out.withColumn("over_cap", F.col("dispatched") & ~F.col("_in_cap"))
+            .withColumn("dispatched", F.col("_in_cap")).drop("_in_cap"))
+
+
+class CooldownSink:
+    """``foreachBatch`` handler that decides every alert of a stream once.
+
+    Alerts wait until the latest event time seen is ``delay_s`` past them,
+    and are then decided in event-time order, so disorder within the delay
+    does not matter. An alert that comes later than that is *late*: it is
+    written too, marked ``late``, dispatched if CRITICAL (or if its key has
+    no clock yet), and leaves the clock alone. ``flush`` decides what still
+    waits when a bounded run has ended. No row is dropped.
+
+    Everything lives in tables under ``path``, one folder for each epoch
+    (decided, waiting, clock, frontier), written whole: a restarted handler
+    goes on from the last epoch, and a repeated epoch writes the same rows
+    again."""
+
+    COLUMNS = ["alert_id", "key", "ts", "severity"]
+
+    def __init__(self, path: str, cooldown_s: int, delay_s: int = 0):
+        self.path, self.cooldown_s, self.delay_s = path, cooldown_s, delay_s
+
+    def _read(self, spark, name: str, epoch: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{self.path}/{name}/{epoch}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        self._step(batch.sparkSession, batch.select(*self.COLUMNS), epoch, False)
+
+    def flush(self, spark) -> None:
+        """Decide all waiting alerts after the last epoch."""
+        epoch = 0
+        while self._read(spark, "frontier", epoch) is not None:
+            epoch += 1
+        if epoch:
+            self._step(spark, None, epoch, True)
+
+    def result(self, spark) -> DataFrame:
+        """All decided alerts."""
+        return spark.read.parquet(f"{self.path}/decided/*")
+
+    def _step(self, spark, batch: DataFrame | None, epoch: int, last: bool) -> None:
+        waiting, clock, frontier = (self._read(spark, n, epoch - 1) for n in ("waiting", "clock", "frontier"))
+        seen = frontier.first()[0] if frontier is not None else NEVER
+        rows = batch if waiting is None else waiting if batch is None else waiting.unionByName(batch)
+        t = F.unix_micros(F.col("ts").cast("timestamp"))
+        newest = rows.agg(F.max(t)).first()[0]
+        now = ALWAYS if last else seen if newest is None else max(seen, newest - self.delay_s * 1_000_000)
+        late = (t <= F.lit(seen)) & F.col("_clocked")
+        known = None if clock is None else clock.select(F.col("key").alias("_ck"), F.lit(True).alias("_clocked"))
+        rows = (rows.withColumn("_clocked", F.lit(False)) if known is None else
+                rows.join(known, F.col("key").eqNullSafe(F.col("_ck")), "left").withColumn("_clocked", F.coalesce("_clocked", F.lit(False))))
+        rows = rows.select(*self.COLUMNS, late.alias("late"), (t <= F.lit(now)).alias("_ready"))
+        ready = rows.filter("_ready AND NOT late").select(*self.COLUMNS, (t <= F.lit(seen)).alias("late"))
+        decided = decide(ready, self.cooldown_s, clock)
+        decided = decided.unionByName(rows.filter("late").select(*self.COLUMNS, "late", (F.col("severity") == "CRITICAL").alias("dispatched")))
+        out = f"{self.path}/decided/{epoch}"
+        decided.write.mode("overwrite").parquet(out)
+        rows.filter("NOT _ready AND NOT late").select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.path}/waiting/{epoch}")
+        stamped = spark.read.schema(decided.schema).parquet(out).filter("dispatched").select("key", t.alias("last"))
+        if clock is not None:
+            stamped = stamped.unionByName(clock)
+        stamped.groupBy("key").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{self.path}/clock/{epoch}")
+        spark.createDataFrame([(now,)], "frontier long").write.mode("overwrite").parquet(f"{self.path}/frontier/{epoch}")
+
+
+def run_cooldown_stream(stream: DataFrame, cooldown_s: int, delay_s: int = 0) -> DataFrame:
+    """Run a bounded stream of alerts to its end; all alerts with
+    ``dispatched`` and ``late``."""
+    spark = stream.sparkSession
+    sink = CooldownSink(scratch_path(spark, "alert-cooldown"), cooldown_s, delay_s)
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "alert-cooldown-ckpt"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    sink.flush(spark)
+    return sink.result(spark)

@@ -112,20 +112,18 @@ def test_cooldown_rule(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
     capped = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, max_per_run=3).collect()}
     assert [k for k, v in sorted(capped.items()) if v] == [1, 3, 7]
-    # hot-key path (pointer doubling, no per-key task) gives the same answer
-    dbl = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, fold_max_per_key=0).collect()}
-    assert dbl == got
+    over = {r["alert_id"] for r in cooldown_batch(df, 3600, max_per_run=3).filter("over_cap").collect()}
+    assert over == {4, 6}
 
 
-def test_cooldown_doubling_equal_times(spark):
+def test_cooldown_equal_times(spark):
     base = dt.datetime(2024, 1, 1)
     t = lambda s: base + dt.timedelta(seconds=s)
     rows = [(1, "k", t(0), "ERROR"), (2, "k", t(3600), "ERROR"), (3, "k", t(3600), "ERROR"),
             (4, "k", t(3600), "CRITICAL"), (5, "k", t(7199), "INFO"), (6, "k", t(7200), "INFO")]
     df = spark.createDataFrame(rows, "alert_id long, key string, ts timestamp_ntz, severity string")
-    fold = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600).collect()}
-    dbl = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, fold_max_per_key=0).collect()}
-    assert fold == dbl == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
+    got = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
 
 
 def test_expectations_suite_and_unknown_type(spark):
@@ -179,34 +177,70 @@ def test_snake_case(spark):
     assert [snake_name(n) for n in names] == got
 
 
-def test_streaming_cooldown_orders_by_event_time(spark, tmp_path):
-    """A CRITICAL alert arriving in a later micro-batch, but earlier in event
-    time (within the watermark delay), is decided in event-time order: it
-    suppresses the alert 50 s after it, which arrival order would send."""
-    import time
-
-    import pyarrow as pa
-    import pyarrow.parquet as pq
+ALERTS = "alert_id long, key string, ts timestamp_ntz, severity string"
 
-    from kpiforge.streaming.alerts import cooldown_stream, run_stream_to_table
 
+def _batch(spark, rows):
     base = dt.datetime(2024, 1, 1)
-    files = [[(1, "k", 0, "ERROR"), (2, "k", 3700, "ERROR")],
-             [(3, "k", 3650, "CRITICAL")],
-             [(4, "other", 30000, "INFO")]]          # pushes the watermark past the first three
-    d = tmp_path / "alerts"
-    d.mkdir()
-    for i, rows in enumerate(files):
-        tbl = pa.table({"alert_id": [r[0] for r in rows], "key": [r[1] for r in rows],
-                        "ts": [base + dt.timedelta(seconds=r[2]) for r in rows],
-                        "severity": [r[3] for r in rows]})
-        pq.write_table(tbl, d / f"part-{i}.parquet")
-        time.sleep(1.1)
-    schema = "alert_id long, key string, ts timestamp_ntz, severity string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d))
-    out = run_stream_to_table(spark, cooldown_stream(stream, 3600, delay="2 hours"), "test-cooldown")
-    got = {r["alert_id"]: r["dispatched"] for r in out.collect()}
-    assert got == {1: True, 3: True, 2: False}
+    return spark.createDataFrame([(i, k, base + dt.timedelta(seconds=s), sev) for i, k, s, sev in rows], ALERTS)
+
+
+def test_streaming_cooldown_loses_nothing(spark, tmp_path):
+    """Out of order within the delay: event-time order decides. Late rows,
+    rows exactly at the frontier and rows that still wait at the end are
+    all written once; a repeated epoch and a new handler change nothing."""
+    from kpiforge.streaming.alerts import CooldownSink
+
+    epochs = [[(1, "k", 0, "ERROR"), (2, "k", 3700, "ERROR")],
+              [(3, "k", 3650, "CRITICAL")],                                         # earlier than 2, within the delay
+              [(4, "other", 30000, "INFO"), (5, "k", 30000 - 7200, "ERROR")],        # 5 is exactly at the frontier
+              [(6, "k", 100, "ERROR"), (7, "k", 200, "CRITICAL"), (8, "new", 50, "INFO")],   # late
+              [(9, "k", 30050, "ERROR"), (10, "k", 30060, "ERROR")]]                 # still wait at the end
+    path = str(tmp_path / "sink")
+    for n, rows in enumerate(epochs):
+        CooldownSink(path, 3600, delay_s=7200)(_batch(spark, rows), n)              # a restart for each epoch
+        if n == 3:
+            CooldownSink(path, 3600, delay_s=7200)(_batch(spark, rows), n)
+    sink = CooldownSink(path, 3600, delay_s=7200)
+    sink.flush(spark)
+    sink.flush(spark)
+    got = sorted((r.alert_id, r.dispatched, r.late) for r in sink.result(spark).collect())
+    assert got == [(1, True, False), (2, False, False), (3, True, False), (4, True, False), (5, True, False),
+                   (6, False, True), (7, True, True), (8, True, True), (9, True, False), (10, False, False)]
+
+
+def test_streaming_queries_read_a_folder(spark, tmp_path):
+    """The event table as several part files gives the batch answers."""
+    from kpiforge.plans import q_monitor
+    from tests.conftest import SF
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    ev.repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    sf = str(tmp_path)
+    pick = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pick(q_monitor.alert_cooldown_stream(spark, sf)) == pick(
+        cooldown_batch(q_monitor.alerts(ev), q_monitor.COOLDOWN_S).select("alert_id", "key", "severity", "dispatched"))
+    assert pick(q_monitor.upsert_stream(spark, sf)) == pick(q_monitor._latest_per_user(ev, ["event_type", "value"]))
+
+
+def test_keyed_table_restart_repeat_and_order(spark, tmp_path):
+    from kpiforge.streaming.incremental import KeyedTable
+
+    rows = [[(1, "a", 10), (2, "b", 10)], [(1, "old", 5), (3, "c", 1)], [(2, "newer", 20)]]
+    for epoch, r in enumerate(rows):
+        df = spark.createDataFrame(r, "k long, v string, at long")
+        for _ in range(2):                                                         # each epoch twice, by new handlers
+            KeyedTable(str(tmp_path / "t"), ["k"], ["at"], parts=4)(df, epoch)
+    got = sorted(tuple(r) for r in KeyedTable(str(tmp_path / "t"), ["k"], ["at"]).read(spark).select("k", "v", "at").collect())
+    assert got == [(1, "a", 10), (2, "newer", 20), (3, "c", 1)]
+
+
+def test_exact_median_of_one_repeated_value(spark):
+    """All values equal: one distinct value, whatever its count."""
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.lit(7.5).alias("v"))
+    assert [tuple(r) for r in exact_median(df, ["k"], "v").collect()] == [("k", 7.5)]
+    weighted = spark.createDataFrame([("k", 1.0, 10 ** 12), ("k", 2.0, 10 ** 12), (None, 3.0, 5)], "k string, v double, n long")
+    assert {r["k"]: r["median"] for r in exact_median(weighted, ["k"], "v", weight="n").collect()} == {"k": 1.5, None: 3.0}
 
 
 def test_shared_dir_when_unset():
@@ -223,6 +257,7 @@ def test_shared_dir_when_unset():
 
     class Ctx:
         applicationId = "app-test"
+        master = "local[1]"
         _dir = None
 
         def getCheckpointDir(self):
@@ -241,15 +276,12 @@ def test_shared_dir_when_unset():
     assert shared_dir(s) == d1
 
 
-def test_exact_median_refines_huge_groups(spark):
-    """Groups whose bracket band would exceed the limit are re-sketched with
-    a size-scaled accuracy; the answer stays exact."""
+def test_exact_median_many_values(spark):
     df = spark.range(0, 30001).select((F.col("id") % 3).alias("k"),
                                       ((F.col("id") * 7919) % 10007).cast("double").alias("v"))
     ref = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
-    for limit in (1, 3, 50):
-        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", band_limit=limit).collect()}
-        assert got == ref
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    assert got == ref
 
 
 def test_ar_forecast_recovers_known_process(spark):

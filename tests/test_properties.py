@@ -2,8 +2,10 @@
 small inputs (NULLs, ties, gaps, several keys)."""
 
 import datetime as dt
+import random
 import statistics
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,8 +71,19 @@ def _brute_cooldown(rows, cd):
 def test_cooldown_property(spark, ev):
     rows = [(i, k, t, s) for i, (k, t, s) in enumerate(ev)]
     df = spark.createDataFrame(rows, "alert_id long, key string, ts timestamp_ntz, severity string")
-    want = _brute_cooldown(rows, 3600)
-    fold = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600).collect()}
-    dbl = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 3600, fold_max_per_key=0).collect()}
-    assert fold == want
-    assert dbl == want
+    for cooldown in (3600, 60, 0):
+        got = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, cooldown).collect()}
+        assert got == _brute_cooldown(rows, cooldown)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cooldown_over_many_chunks(spark, seed):
+    """Dense and sparse keys over hundreds of chunks, ids beyond 10^12."""
+    rng = random.Random(seed)
+    rows, t = [], base
+    for i in range(4000):
+        t += dt.timedelta(seconds=rng.choice([0, 1, 5, 30, 60, 400, 9000]))
+        rows.append((10 ** 13 + i, rng.choice(["hot", "hot", "cold", None]), t, "CRITICAL" if rng.random() < 0.01 else "INFO"))
+    df = spark.createDataFrame(rows, "alert_id long, key string, ts timestamp_ntz, severity string")
+    got = {r["alert_id"]: r["dispatched"] for r in cooldown_batch(df, 60).collect()}
+    assert got == _brute_cooldown(rows, 60)
