@@ -8,8 +8,8 @@ that also starts in a document with a smaller id.
 The passes, each on what the one before could not settle:
 
 1. *Anchor digit.* The windows of a text fall into units: runs of
-   neighbouring windows whose least k-gram (by hash, k = 16) is the same;
-   about one unit for 18 bytes. Equal windows have equal anchors, so a
+   neighbouring windows whose least k-gram (by hash, k = 24) is the same;
+   about one unit for 14 bytes. Equal windows have equal anchors, so a
    unit whose anchor occurs in no other document is settled: nothing in
    it is repeated.
 2. *Unit digit.* Units with equal anchor and equal content: all but the
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import NULL_ID, byte_table, mix64, slices, text_buffers, written
 
 WINDOW = 50
-K = 16
+K = 24
 SPAN = WINDOW - K + 1           # k-grams of a window; at most so many windows in a unit
 PART = 2 << 20
 _TABLE = byte_table(101), byte_table(202)
@@ -57,17 +57,16 @@ def _power(which: int, n: int) -> np.uint64:
 
 def _rolling(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial hashes of all strings of K and of WINDOW bytes, by
-    doubling: 2, 4, 8, 16, 32, then 50 = 32 + 16 + 2."""
+    doubling: 2, 4, 8, 16, 32, then 24 = 16 + 8 and 50 = 32 + 16 + 2."""
     with np.errstate(over="ignore"):
         r = {1: _TABLE[which][data]}
         for n in (2, 4, 8, 16, 32):
             half = r[n // 2]
             r[n] = half[:-(n // 2)] * _power(which, n // 2) + half[n // 2:]
-            if n // 2 not in (2, 16):
-                del r[n // 2]
+        gram = r[16][:-8] * _power(which, 8) + r[8][16:]
         m = len(data) - WINDOW + 1
         window = r[32][:m] * _power(which, 18) + r[16][32:32 + m] * _power(which, 2) + r[2][48:48 + m]
-    return r[16], window
+    return gram, window
 
 
 class Units:
@@ -86,9 +85,9 @@ class Units:
             return
         gram, window = _rolling(data, 0)
         v = mix64(gram)
-        for step in (1, 2, 4, 8, 16):
+        for step in (1, 2, 4, 8):
             v = np.minimum(v[:-step], v[step:])
-        v = np.minimum(v[:m], v[SPAN - 32:SPAN - 32 + m])
+        v = np.minimum(v[:m], v[SPAN - 16:SPAN - 16 + m])
         edge = np.zeros(m + 1, np.int64)
         ends = off[1:]
         np.add.at(edge, np.clip(np.maximum(ends - WINDOW + 1, off[:-1]), 0, m), 1)
