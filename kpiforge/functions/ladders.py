@@ -31,25 +31,52 @@ MONEY_UNITS = ["$", "USD", "NZD"]
 PLAIN_UNITS = ["pts", "score", "index"]
 
 
-def kpi_status(name, value, category) -> Column:
+# Status colours.
+GREEN, YELLOW, ORANGE, RED, GREY = "#28a745", "#ffc107", "#fd7e14", "#dc3545", "#6c757d"
+
+
+def status_and_color(name, value, category, text=None) -> tuple[Column, Column]:
+    """(status, colour) of a KPI; thresholds are fixed values.
+
+    ``text``: the value as it came, where that is text: one that is no
+    number gives "No Data" before any rule, and one with a "%" takes the
+    ratio rule."""
     v = F.coalesce(c(value), F.lit(0.0))
     cat = c(category)
-    return (F.when(any_term(name, STATUS_SCORE),
-                   F.when(v >= 80, "Excellent").when(v >= 60, "Good").when(v >= 40, "Moderate")
-                   .otherwise("Needs Attention"))
-            .when(any_term(name, STATUS_GROWTH),
-                  F.when(v > 5, "Strong Growth").when(v > 0, "Positive").when(v == 0, "Stable")
-                  .otherwise("Declining"))
-            .when(any_term(name, STATUS_RISK),
-                  F.when(v < 10, "Low").when(v < 25, "Moderate").otherwise("High"))
-            .when(any_term(name, STATUS_RATIO),
-                  F.when(v < 10, "Low").when(v < 30, "Moderate").otherwise("High"))
-            .when(any_term(name, STATUS_MONEY), "Measured")
-            .when(cat.isin("economic", "growth"), F.when(v > 0, "Positive").otherwise("Challenging"))
-            .when(cat.isin("risk", "volatility"),
-                  F.when(v > 50, "High Risk").when(v > 25, "Moderate Risk").otherwise("Low Risk"))
-            .when(v > 80, "High").when(v > 50, "Moderate").when(v > 20, "Low")
-            .otherwise("Very Low"))
+    ratio = any_term(name, STATUS_RATIO)
+    broken = F.lit(False)
+    if text is not None:
+        ratio = ratio | F.coalesce(c(text).contains("%"), F.lit(False))
+        broken = c(text).isNotNull() & c(text).try_cast("double").isNull()
+    rules = [
+        (any_term(name, STATUS_SCORE), [(v >= 80, "Excellent", GREEN), (v >= 60, "Good", YELLOW), (v >= 40, "Moderate", ORANGE), (None, "Needs Attention", RED)]),
+        (any_term(name, STATUS_GROWTH), [(v > 5, "Strong Growth", GREEN), (v > 0, "Positive", YELLOW), (v == 0, "Stable", GREY), (None, "Declining", RED)]),
+        (any_term(name, STATUS_RISK), [(v < 10, "Low", GREEN), (v < 25, "Moderate", YELLOW), (None, "High", RED)]),
+        (ratio, [(v < 10, "Low", GREEN), (v < 30, "Moderate", YELLOW), (None, "High", RED)]),
+        (any_term(name, STATUS_MONEY), [(None, "Measured", GREY)]),
+        (cat.isin("economic", "growth"), [(v > 0, "Positive", GREEN), (None, "Challenging", RED)]),
+        (cat.isin("risk", "volatility"), [(v > 50, "High Risk", RED), (v > 25, "Moderate Risk", YELLOW), (None, "Low Risk", GREEN)]),
+        (F.lit(True), [(v > 80, "High", RED), (v > 50, "Moderate", YELLOW), (v > 20, "Low", GREEN), (None, "Very Low", GREY)]),
+    ]
+
+    def ladder(i, first):
+        out = F.when(broken, first)
+        for test, steps in rules:
+            inner = F.lit(steps[-1][i])
+            for step in reversed(steps[:-1]):
+                inner = F.when(step[0], step[i]).otherwise(inner)
+            out = out.when(test, inner)
+        return out
+
+    return ladder(1, "No Data"), ladder(2, GREY)
+
+
+def kpi_status(name, value, category, text=None) -> Column:
+    return status_and_color(name, value, category, text)[0]
+
+
+def kpi_color(name, value, category, text=None) -> Column:
+    return status_and_color(name, value, category, text)[1]
 
 
 def kpi_trend(name, value) -> Column:

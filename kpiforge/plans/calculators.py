@@ -39,10 +39,12 @@ def price_factor(pop):
 def region_prices(spark, sf) -> DataFrame:
     a = latest(silver(spark, sf, "affordability")).select("region", "median_income")
     s = latest(silver(spark, sf, "supply_deficit")).select("region", "population")
-    j = a.join(s, "region", "left")
+    r = latest_period(silver(spark, sf, "rent_income")).select("region", "median_weekly_rent")
+    j = a.join(s, "region", "left").join(r, "region", "left")
     inc = F.coalesce("median_income", F.lit(D_INCOME))
     pop = F.coalesce(F.col("population").cast("double"), F.lit(D_POP))
-    return j.select("region", inc.alias("income"), num(inc * price_factor(pop), 0).alias("price"))
+    return j.select("region", inc.alias("income"), num(inc * price_factor(pop), 0).alias("price"),
+                    F.coalesce("median_weekly_rent", F.lit(D_WEEKLY)).alias("weekly"))
 
 
 def calc_inputs(spark, sf) -> DataFrame:
@@ -103,7 +105,7 @@ def calc_executive(spark, sf):
         ("Interest Rate Stability", num(stab, 1), "pts", "Monetary policy stability (0-100)"),
         ("Tourism-Economy Link", num(F.abs(c("corr")) * 100.0, 1), "pts", "Tourism and affordability co-movement"),
         ("Housing Supply Pressure", num("supply", 1), "pts", "Supply deficit score"),
-        ("Rent Inflation Premium", num("erosion", 1), "%", "Rent inflation above general inflation"),
+        ("Rent Affordability Gap", num("erosion", 1), "%-pts", "Rent inflation minus wage growth"),
         ("Current OCR", num("ocr", 2), "%", "Official cash rate"),
         ("Inflation (CPI)", num("infl", 1), "%", "Consumer price inflation"),
     ], "Executive")
@@ -125,7 +127,7 @@ def calc_housing(spark, sf):
         ("Property Type - Apartments", F.lit(17.0), "%", "Share of consents"),
         ("Property Type - Townhouses", F.lit(15.0), "%", "Share of consents"),
     ], "Housing")
-    reg = rows(region_prices(spark, sf), [("Median House Price - {region}", c("price"), "NZD", "Price estimate for {region}")],
+    reg = rows(region_prices(spark, sf), [("Median Price - {region}", c("price"), "NZD", "Price estimate for {region}")],
                "Housing", region=c("region"))
     return nat.unionByName(mix).unionByName(reg)
 
@@ -168,7 +170,8 @@ def calc_affordability(spark, sf):
         ("Net Migration (National)", num(c("pop_growth") / 100.0 * NZ_POP, 0), "people", "Population growth x 5.2M"),
     ], "Affordability")
     rk = rp.withColumn("rank", F.row_number().over(Window.orderBy(F.col("years").asc_nulls_last(), "region")))
-    reg = rows(rk, [("Years to Buy - {region}", c("years"), "years", "Price / income in {region}"),
+    reg = rows(rk, [("Rent Burden - {region}", num(safe_div(c("weekly") * 52, c("income")) * 100.0, 0), "%", "Annual rent as % of median income in {region}"),
+                    ("Years to Buy - {region}", c("years"), "years", "Price / income in {region}"),
                     ("Affordability Rank - {region}", c("rank"), "rank", "Rank of {region} (1 = most affordable)")],
                "Affordability", region=c("region"))
     return nat.unionByName(reg)
@@ -222,9 +225,10 @@ _CI = f""", ci0 AS (SELECT
      FROM tourism t JOIN affordability a ON a.region = t.region AND a.year = (SELECT max(year) FROM affordability)
      WHERE t.year = (SELECT max(year) FROM tourism)) AS corr),
 rp AS (SELECT a.region, COALESCE(a.median_income, {D_INCOME}) AS income,
-  {N(f"COALESCE(a.median_income, {D_INCOME}) * CASE WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 1000000 THEN 9.0 WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 500000 THEN 8.0 WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 200000 THEN 7.5 ELSE 6.5 END", 0)} AS price
+  {N(f"COALESCE(a.median_income, {D_INCOME}) * CASE WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 1000000 THEN 9.0 WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 500000 THEN 8.0 WHEN COALESCE(CAST(s.population AS DOUBLE), {D_POP}) > 200000 THEN 7.5 ELSE 6.5 END", 0)} AS price, COALESCE(w.median_weekly_rent, {D_WEEKLY}) AS weekly
   FROM (SELECT * FROM affordability WHERE year = (SELECT max(year) FROM affordability)) a
-  LEFT JOIN (SELECT * FROM supply WHERE year = (SELECT max(year) FROM supply)) s ON s.region = a.region),
+  LEFT JOIN (SELECT * FROM supply WHERE year = (SELECT max(year) FROM supply)) s ON s.region = a.region
+  LEFT JOIN (SELECT region, median_weekly_rent FROM rent_income WHERE year * 10 + quarter = (SELECT max(year * 10 + quarter) FROM rent_income)) w ON w.region = a.region),
 ci AS (SELECT COALESCE(ocr, {D_OCR}) AS ocr, COALESCE(impact, {D_IMPACT}) AS impact, COALESCE(mvol, {D_MACRO_VOL}) AS mvol,
   COALESCE(infl, {D_INFL}) AS infl, COALESCE(unemp, {D_UNEMP}) AS unemp, COALESCE(gdp_pc, {D_GDP_PC}) AS gdp_pc,
   COALESCE((gdp_pc - gp) / NULLIF(gp, 0) * 100, {D_GDP_YOY}) AS gdp_yoy, COALESCE(supply, {D_SUPPLY}) AS supply,
@@ -257,7 +261,7 @@ CALC_SQL = {
         _row("Interest Rate Stability", N(_STAB, 1), "pts", "Monetary policy stability (0-100)", "Executive"),
         _row("Tourism-Economy Link", N("abs(corr) * 100.0", 1), "pts", "Tourism and affordability co-movement", "Executive"),
         _row("Housing Supply Pressure", N("supply", 1), "pts", "Supply deficit score", "Executive"),
-        _row("Rent Inflation Premium", N("erosion", 1), "%", "Rent inflation above general inflation", "Executive"),
+        _row("Rent Affordability Gap", N("erosion", 1), "%-pts", "Rent inflation minus wage growth", "Executive"),
         _row("Current OCR", N("ocr", 2), "%", "Official cash rate", "Executive"),
         _row("Inflation (CPI)", N("infl", 1), "%", "Consumer price inflation", "Executive")],
     "housing": [
@@ -269,7 +273,7 @@ CALC_SQL = {
         _row("Property Type - Houses", "68.0", "%", "Share of consents", "Housing", "ci WHERE consents > 0"),
         _row("Property Type - Apartments", "17.0", "%", "Share of consents", "Housing", "ci WHERE consents > 0"),
         _row("Property Type - Townhouses", "15.0", "%", "Share of consents", "Housing", "ci WHERE consents > 0"),
-        _row("Median House Price - {region}", "price", "NZD", "Price estimate for {region}", "Housing", "rp")],
+        _row("Median Price - {region}", "price", "NZD", "Price estimate for {region}", "Housing", "rp")],
     "tourism": [
         _row("Tourism Pressure Index", N("pressure", 1), "pts", "Tourism pressure", "Tourism"),
         _row("Airbnb Share of Rentals", N("LEAST(30.0, pressure * 0.25 + 5)", 1), "%", "Short-stay share", "Tourism"),
@@ -292,6 +296,7 @@ CALC_SQL = {
         _row("Rent Burden (National)", N("weekly * 52 / income * 100.0", 0), "%", "Annual rent / income", "Affordability"),
         _row("Demographic vs Supply Gap", N("supply", 1), "pts", "Supply deficit score", "Affordability"),
         _row("Net Migration (National)", N(f"pop_growth / 100.0 * {NZ_POP}", 0), "people", "Population growth x 5.2M", "Affordability"),
+        _row("Rent Burden - {region}", N("weekly * 52 / NULLIF(income, 0) * 100.0", 0), "%", "Annual rent as % of median income in {region}", "Affordability", "rp"),
         _row("Years to Buy - {region}", N("price / NULLIF(income, 0)", 1), "years", "Price / income in {region}", "Affordability", "rp"),
         _row("Affordability Rank - {region}", "row_number() OVER (ORDER BY " + N("price / NULLIF(income, 0)", 1) + " ASC NULLS LAST, region)",
              "rank", "Rank of {region} (1 = most affordable)", "Affordability", "rp")],

@@ -37,12 +37,13 @@ def processed(spark: SparkSession, sf: str) -> DataFrame:
     k = k.select(*k.columns,
                  L.format_value("kpi_value", "unit").alias("formatted_value"),
                  L.kpi_status("kpi_name", "kpi_value", "category").alias("status"),
+                 L.kpi_color("kpi_name", "kpi_value", "category").alias("color"),
                  L.kpi_trend("kpi_name", "kpi_value").alias("trend"),
                  L.kpi_confidence("description", "unit", "category", "source").alias("confidence"))
     return k.withColumn("importance", num(L.kpi_importance("kpi_name", "confidence"), 4))
 
 
-_PROC_SQL = (f"kp0 AS (SELECT *, {SQ.fmt()} AS formatted_value, {SQ.status()} AS status, {SQ.trend()} AS trend,"
+_PROC_SQL = (f"kp0 AS (SELECT *, {SQ.fmt()} AS formatted_value, {SQ.status()} AS status, {SQ.color()} AS color, {SQ.trend()} AS trend,"
              f" CAST({SQ.confidence()} AS DOUBLE) AS confidence FROM kpis),\n"
              f"kp AS (SELECT *, {N(SQ.importance(), 4)} AS importance FROM kp0)")
 
@@ -62,9 +63,9 @@ def kpi_process(spark, sf):
     return processed(spark, sf).orderBy(F.desc("importance"), "kpi_name", "dashboard")
 
 
-@query("kpi_status", with_proc("SELECT kpi_name, dashboard, kpi_value, status FROM kp"))
+@query("kpi_status", with_proc("SELECT kpi_name, dashboard, kpi_value, status, color FROM kp"))
 def kpi_status(spark, sf):
-    return processed(spark, sf).select("kpi_name", "dashboard", "kpi_value", "status")
+    return processed(spark, sf).select("kpi_name", "dashboard", "kpi_value", "status", "color")
 
 
 @query("kpi_trend", with_proc("SELECT kpi_name, dashboard, kpi_value, trend FROM kp"))
