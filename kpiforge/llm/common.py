@@ -64,6 +64,7 @@ def slices(batches, column: str, max_bytes: int):
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()     # idle workers give back what they buffered
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -191,19 +191,19 @@ def merge(spans: list[tuple[int, int]]) -> list[dict]:
 FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _find(automaton, key_fields):
+def _find(automaton, key_fields, text: str = "text"):
     """Map function: for each document its word count, its hit word spans
-    (merged, half open) and the items found."""
+    (merged, half open) and the items found, after the ``key_fields``."""
     names = [*key_fields.names, "n_words", "spans", "items"]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         m = automaton.value
         get = m.vocab.get
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices(batches, text, 4 << 20):
             bag: list = []
             lens = []
-            for t in piece.column(piece.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
+            for t in piece.column(piece.schema.get_field_index(text)).cast(pa.binary()).to_pylist():
                 w = words(t) if t else []
                 lens.append(len(w))
                 bag += w
@@ -218,7 +218,7 @@ def _find(automaton, key_fields):
                     spans[d].append((int(a + i - off[d]), int(a + j - off[d] + 1)))
                     items[d].update(which)
             spans = [merge(x) for x in spans]
-            cols = [piece.column(i) for i, n in enumerate(piece.schema.names) if n != "text"]
+            cols = [piece.column(piece.schema.get_field_index(n)) for n in key_fields.names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, span_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=names)
 
     return run
@@ -294,9 +294,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.05, min_hit
     held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
     names = docs.columns
     if len(held) == 1:
-        own = docs.select(*[F.col(c).alias(f"__{c}") for c in names], "text")
-        fields = T.StructType([f for f in own.schema.fields if f.name != "text"])
-        found = own.mapInArrow(_find(held[0], fields), T.StructType([*fields.fields, *T._parse_datatype_string(FOUND).fields]))
+        own = docs.select(*[F.col(c).alias(f"__{c}") for c in names])
+        found = own.mapInArrow(_find(held[0], own.schema, "__text"), T.StructType([*own.schema.fields, *T._parse_datatype_string(FOUND).fields]))
         return judged(found, coverage, min_hit).filter("NOT contaminated").select(*[F.col(f"__{c}").alias(c) for c in names])
     own = docs.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
     bad = judged(_found(own.select("__key", "text"), held, "__key"), coverage, min_hit).filter("contaminated").select("__key").distinct()

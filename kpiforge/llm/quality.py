@@ -108,20 +108,20 @@ def text_stats(column: pa.Array, size: int = 5) -> dict[str, np.ndarray]:
     return out
 
 
-def with_stats(docs: DataFrame, extra: list[str]) -> DataFrame:
+def with_stats(docs: DataFrame, extra: list[str], text: str = "text") -> DataFrame:
     """``extra`` columns of docs, then the statistics of ``text``."""
     fields = docs.select(*extra).schema
 
     def run(batches):
-        for piece in slices(batches, "text", 4 << 20):
-            st = text_stats(piece.column(piece.schema.get_field_index("text")))
+        for piece in slices(batches, text, 1 << 20):
+            st = text_stats(piece.column(piece.schema.get_field_index(text)))
             cols = [piece.column(piece.schema.get_field_index(c)) for c in extra]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, pa.int64()) for v in st.values())], names=[*extra, *st])
 
     for x in STATS.split(", "):
         name, kind = x.split()
         fields = fields.add(name, kind)
-    return docs.select(*dict.fromkeys([*extra, "text"])).mapInArrow(run, fields)
+    return docs.select(*dict.fromkeys([*extra, text])).mapInArrow(run, fields)
 
 
 def transformed(stats: DataFrame) -> DataFrame:
@@ -238,10 +238,11 @@ def mcd(rows: DataFrame, few: bool, h: float = 0.75, steps: int = 4) -> DataFram
     return written(est.join(half, "grp").select("grp", "centre", "inverse", F.greatest(F.col("half") / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "mcd")
 
 
-def _rows(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """Statistics, features, base verdict and group keys of each document."""
-    rows = transformed(with_stats(docs, [*dict.fromkeys([*extra, "lang", "source"])]))
-    lang, source = F.coalesce(F.col("lang"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))
+def _rows(docs: DataFrame, extra: list[str], pre: str = "") -> DataFrame:
+    """Statistics, features, base verdict and group keys of each document,
+    from columns whose names begin with ``pre``."""
+    rows = transformed(with_stats(docs, [*dict.fromkeys([*extra, f"{pre}lang", f"{pre}source"])], f"{pre}text"))
+    lang, source = F.coalesce(F.col(f"{pre}lang"), F.lit("")), F.coalesce(F.col(f"{pre}source"), F.lit(""))
     return rows.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "own": F.concat_ws("\u0001", lang, source), "own_lang": lang})
@@ -288,5 +289,5 @@ def kept(docs: DataFrame, min_group: int = 200, h: float = 0.75, steps: int = 4,
     rows = written(_rows(docs, []).select("own_lang", "own", *FEATURES), "quality_rows")
     est = estimates(rows, min_group, h, steps)
     names = docs.columns
-    own = docs.select(*[F.col(c).alias(f"__{c}") for c in names], "text", "lang", "source")
-    return _verdict(_rows(own, [f"__{c}" for c in names]), est, limit).filter("kept").select(*[F.col(f"__{c}").alias(c) for c in names])
+    own = docs.select(*[F.col(c).alias(f"__{c}") for c in names])
+    return _verdict(_rows(own, own.columns, "__"), est, limit).filter("kept").select(*[F.col(f"__{c}").alias(c) for c in names])
