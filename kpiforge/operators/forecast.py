@@ -32,17 +32,15 @@ def walk_forward(pts: DataFrame, key: str, horizon: int, min_train: int, step: i
     actual x_{k+i}. Folds: k = min_train, min_train+step, …, k + h ≤ n."""
     w = Window.partitionBy(key).orderBy("t")
     g = pts.withColumn("g", safe_div(F.col("x") - F.lag("x").over(w), F.lag("x").over(w)))
+    # One sorted window gives the growth so far and the next ``horizon`` actuals.
     g = (g.withColumn("G", F.avg("g").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key))))
-    folds = g.filter((F.col("t") >= min_train) & (F.col("t") + horizon <= F.col("n"))
+         .withColumn("next", F.collect_list("x").over(w.rowsBetween(1, horizon))))
+    folds = g.filter((F.col("t") >= min_train) & (F.size("next") == horizon)
                      & (((F.col("t") - min_train) % step) == 0))
     steps = folds.select(key, F.col("t").alias("train_end"), F.col("x").alias("last"), "G",
-                         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("i"))
+                         F.posexplode("next").alias("i", "actual")).withColumn("i", F.col("i") + 1)
     growth = F.when(F.col("train_end") >= 2, F.coalesce("G", F.lit(0.0))).otherwise(F.lit(0.0))
-    steps = steps.withColumn("pred", F.col("last") * F.pow(F.lit(1.0) + growth, F.col("i").cast("double")))
-    act = pts.select(key, F.col("t").alias("_t"), F.col("x").alias("actual"))
-    return (steps.join(act, (steps[key] == act[key]) & (F.col("train_end") + F.col("i") == F.col("_t")))
-            .drop(act[key]).drop("_t"))
+    return steps.withColumn("pred", F.col("last") * F.pow(F.lit(1.0) + growth, F.col("i").cast("double")))
 
 
 def fold_metrics(fc: DataFrame, key: str, horizon: int) -> DataFrame:

@@ -23,6 +23,7 @@ from ..sources.tables import table
 from .features import silver
 from .q_display import kpis, processed
 from .registry import query
+from .store import materialized
 
 # ------------------------------------------------------------------ D1 profile
 ORDERS_CLASSES = {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "object",
@@ -119,6 +120,7 @@ ARTIFACT_COLS = {
                                     "unemployment_volatility", "interest_rate_volatility"], ["region"]),
 }
 AS_OF_YEAR = 2024
+# Government sources.
 GOV_SOURCES = ["stats_nz", "rbnz", "linz", "mbie", "oecd"]
 
 
@@ -151,6 +153,11 @@ def detect_source_col(n, max_unique, max_round, min_year, src_name) -> F.Column:
 
 
 def contract_scores_df(spark, sf) -> DataFrame:
+    """The contract scores, computed once per application and written."""
+    return materialized(spark, sf, "contract_scores", build_contract_scores)
+
+
+def build_contract_scores(spark, sf) -> DataFrame:
     st = reduce(DataFrame.unionByName, [_stats(silver(spark, sf, a), a) for a in ARTIFACTS])
     null_pct = F.when(F.col("n_rows") > 0, F.col("null_cells") * 100.0 / (F.col("n_rows") * F.col("n_cols"))).otherwise(0.0)
     st = st.withColumn("null_pct", num(null_pct, 4))
