@@ -15,11 +15,12 @@ register (early termination).
    digest), so groups of exact copies cost one row.
 3. Nodes that share a band key are candidates. No pairs within a bucket
    are listed: each node is first held against the best-connected node of
-   its buckets (a pair a node), then against its second choice; links
-   found that way are contracted to components. Only where a bucket still
-   spans several components are members outside its largest component
-   held against the members of other components, which is the exact rest.
-   Buckets are never cut.
+   its buckets (a pair a node), and the links found are contracted to
+   components. Only buckets that still span several components are left.
+   Their nodes outside the largest component meet the others through an
+   exact prefix filter (rarest shingles first, prefixes by size), which
+   loses no pair of the similarity but joins on rare shingles instead of
+   on the bucket. Buckets are never cut.
 4. Every candidate pair is verified: the exact probability Jaccard of the
    weighted shingles must reach ``similarity``.
 5. Linked nodes form classes by alternating large and small stars, in
@@ -226,44 +227,123 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
         *[c for c in members.columns if c != "component"], F.coalesce("to", "component").alias("component"))
 
 
+FILTER_BITS = 1 << 26       # 8 MB; fuller filters only let more rows through
+
+
+def only(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df without most of the rows whose ``row`` is not in ``rows``, in one
+    map: a Bloom filter of fixed size (FILTER_BITS, two bits a row) is
+    built by Spark and broadcast. What passes must still be joined."""
+    def bits(i):
+        return F.pmod(F.xxhash64("row", F.lit(i)), F.lit(FILTER_BITS))
+
+    words = (rows.select(F.explode(F.array(bits(0), bits(1))).alias("b"))
+             .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow())
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    held = df.sparkSession.sparkContext.broadcast(table)
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for c in ("__b0", "__b1"):
+                at = b.column(b.schema.get_field_index(c)).to_numpy()
+                ok &= (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            if ok.any():
+                yield b.select(names).filter(pa.array(ok))
+
+    return df.withColumn("__b0", bits(0)).withColumn("__b1", bits(1)).mapInArrow(run, df.schema)
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(1.05) + 1e-9).astype(np.int64)
+
+
+def prefixes(rows: DataFrame, least: float) -> DataFrame:
+    """Exact candidate keys for sets without weights. ``rows``: row, size,
+    tokens (rarest first, in one order for all). Two sets that reach
+    ``least`` must share a token within the first |a| - o + 1 of one and
+    |b| - o + 1 of the other, o = the overlap they need; o grows with the
+    partner's size, so there is a key (token, size classes) for each class
+    of partners, and large partners get short prefixes."""
+    def run(batches):
+        for b in batches:
+            out: list = []
+            for row, n, tokens in zip(*(b.column(i).to_pylist() for i in range(3))):
+                mine = int(_size_class(np.array([n]))[0])
+                for other in range(mine - 6, mine + 7):
+                    low, high = 1.05**other * (1 - 1e-6), 1.05**(other + 1) * (1 + 1e-6)
+                    low = max(low, least * n)
+                    if high < least * n or low * least > n * (1 + 1e-6):
+                        continue
+                    need = int(np.ceil(least / (1 + least) * (n + low) - 1e-6))
+                    for t in tokens[:max(0, n - need + 1)]:
+                        out.append((row, t, min(mine, other), max(mine, other)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["row", "token", "c1", "c2"])
+
+    return rows.select("row", "size", "tokens").mapInArrow(run, "row long, token long, c1 long, c2 long")
+
+
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """row, size, tokens (by how many of the sets have them, then value)."""
+    def explode(batches):
+        for b in batches:
+            n = b.column(1).to_numpy()
+            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(keys)], names=["row", "token"])
+
+    each = written(sets.select("row", "size", "keys").mapInArrow(explode, "row long, token long"), "pmh_tokens")
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    return (each.join(df, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "token")))["token"].alias("tokens"))
+            .withColumn("size", F.size("tokens")))
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """One row for each document: doc_id, class_id (least id of its class),
     copy_of (least id among texts with equal words), raw (md5 of the text),
     first (this row stands for its class: its least id, then first row)."""
     base = written(signed(docs, bands, rows, size), "pmh_signed")
     texts = written(base.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("copy_of")), "pmh_texts")
-    nodes = base.join(texts.select("node"), base["row"] == texts["node"], "left_semi")
-    buckets = nodes.select("row", "size", F.explode("bands").alias("band"))
+    nodes = base.select("row", "bands").join(texts.select("node"), base["row"] == texts["node"], "left_semi")
+    # One exchange serves the count and the join.
+    buckets = nodes.select("row", F.explode("bands").alias("band")).repartition("band")
     full = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(buckets.join(full, "band"), "pmh_members")
     degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
-    members = members.join(degree, "row")
-    pivot = members.groupBy("band").agg(F.max(F.struct("degree", (-F.col("row")).alias("r"))).alias("p")).select("band", (-F.col("p.r")).alias("pivot"))
-    members = written(members.join(pivot, "band").select("row", "size", "band", "pivot"), "pmh_pivots")
-    shared = members.filter("row <> pivot").groupBy("row", "pivot").agg(F.count("*").alias("m"))
-    # max_by over (m, -pivot): the pivot met in most bands, then the next.
+    pivot = (members.join(degree, "row").groupBy("band").agg(F.max(F.struct("degree", (-F.col("row")).alias("r"))).alias("p"))
+             .select("band", (-F.col("p.r")).alias("pivot")))
+    shared = members.join(pivot, "band").filter("row <> pivot").groupBy("row", "pivot").agg(F.count("*").alias("m"))
+    # The pivot met in most bands (the least of equals).
     best = shared.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("p"))).alias("x")).select("row", (-F.col("x.p")).alias("pivot"))
-    best = written(best, "pmh_first")
-    other = shared.join(best, ["row", "pivot"], "left_anti")
-    second = other.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("p"))).alias("x")).select("row", (-F.col("x.p")).alias("pivot"))
-    tried = best.unionByName(second).select(F.greatest("row", "pivot").alias("a"), F.least("row", "pivot").alias("b")).distinct()
-    tried = written(tried, "pmh_tried")
+    tried = written(best.select(F.greatest("row", "pivot").alias("a"), F.least("row", "pivot").alias("b")).distinct(), "pmh_tried")
     # Only candidates' shingles take part from here on.
-    sets = written(nodes.select("row", "keys", "weights").join(members.select("row").distinct(), "row", "left_semi"), "pmh_sets")
+    asked = members.select("row").distinct()
+    sets = written(only(base.select("row", "size", "keys", "weights"), asked).join(asked, "row", "left_semi"), "pmh_sets")
     links = written(verified(tried, sets, least), "pmh_links")
-    comp = _relabel(members.select("row", "size", "band", F.col("row").alias("component")), links)
-    comp = written(comp, "pmh_components")
-    # The rest: buckets that span several components.
-    split = comp.groupBy("band", "component").agg(F.count("*").alias("size"))
-    mixed = split.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
-    open_ = written(comp.join(mixed, "band"), "pmh_open")
-    outer = open_.filter("component <> top").select("band", F.col("row").alias("x"), F.col("component").alias("cx"), F.col("size").alias("sx"))
-    inner = open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy"), F.col("size").alias("sy"))
-    # Sets without weights cannot reach the similarity if their sizes are further apart.
-    near = F.expr(f"cx <> cy AND (sx = 0 OR sy = 0 OR least(sx, sy) >= {least} * greatest(sx, sy))")
-    pairs = (outer.join(inner, "band").filter(near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    comp = _relabel(members.select("row", "band", F.col("row").alias("component")), links)
+    # The rest: buckets that span several components; their largest one is not asked again within itself.
+    split = comp.groupBy("band", "component").agg(F.count("*").alias("n"))
+    mixed = (split.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+             .filter("parts > 1").select("band", F.col("top.component").alias("top")))
+    open_ = written(comp.join(mixed, "band").join(sets.select("row", "size"), "row"), "pmh_open")
+    each = open_.groupBy("row").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.max(F.col("component") != F.col("top")).alias("outer"))
+    each = written(each, "pmh_open_rows")
+    plain = sets.join(each.filter("size > 0").select("row"), "row", "left_semi")
+    keys = prefixes(_rare_first(plain), least).join(each.select("row", "component", "outer"), "row")
+    keys = written(keys, "pmh_prefixes")
+
+    def ends(df, r, c):
+        return df.select("token", "c1", "c2", F.col("row").alias(r), F.col("component").alias(c))
+
+    by_prefix = ends(keys.filter("outer"), "x", "cx").join(ends(keys, "y", "cy"), ["token", "c1", "c2"]).filter("cx <> cy").select("x", "y")
+    # Weighted sets have no such bound; they are few and go by their bands.
+    heavy = open_.filter("size = 0").select("band", F.col("row").alias("x"), F.col("component").alias("cx"))
+    by_band = heavy.join(open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy")), "band").filter("cx <> cy").select("x", "y")
+    pairs = (by_prefix.unionByName(by_band).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
-    more = written(verified(written(pairs, "pmh_rest"), sets, least), "pmh_links")
+    more = verified(pairs, sets, least)
     final = components(links.unionByName(more))
     node_class = texts.join(final, texts["node"] == final["node"], "left").select("digest", texts["node"], "copy_of", F.coalesce("component", texts["node"]).alias("component"))
     ids = node_class.groupBy("component").agg(F.min("copy_of").alias("class_id"))
