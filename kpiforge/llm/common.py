@@ -85,7 +85,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     if len(_powers.get("up", ())) < n:
         with np.errstate(over="ignore"):
@@ -114,7 +114,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np
     if len(gap):
         at = np.searchsorted(gap, first)
         end = np.minimum(end, np.where(at < len(gap), gap[np.minimum(at, len(gap) - 1)], len(data)))
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     with np.errstate(over="ignore"):
         total = np.cumsum(_BYTE[data] * up, dtype=np.uint64)
         total = np.concatenate((np.zeros(1, np.uint64), total))

@@ -40,32 +40,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import NULL_ID, byte_table, mix64, slices, text_buffers, written
+from kpiforge.llm.common import NULL_ID, byte_table, mix64, power_tables, slices, text_buffers, written
 
 WINDOW = 50
 K = 24
 SPAN = WINDOW - K + 1           # k-grams of a window; at most so many windows in a unit
-PART = 2 << 20
+PART = 1 << 18           # numpy works in the processor's cache
 _TABLE = byte_table(101), byte_table(202)
-_MULT = 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F
+_MULT = 0xD1342543DE82EF95
 _U = np.uint64
 
 
-def _power(which: int, n: int) -> np.uint64:
-    return _U(pow(_MULT[which], n, 1 << 64))
+def _power(n: int) -> np.uint64:
+    return _U(pow(_MULT, n, 1 << 64))
 
 
-def _rolling(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial hashes of all strings of K and of WINDOW bytes, by
     doubling: 2, 4, 8, 16, 32, then 24 = 16 + 8 and 50 = 32 + 16 + 2."""
     with np.errstate(over="ignore"):
-        r = {1: _TABLE[which][data]}
+        r = {1: _TABLE[0][data]}
         for n in (2, 4, 8, 16, 32):
             half = r[n // 2]
-            r[n] = half[:-(n // 2)] * _power(which, n // 2) + half[n // 2:]
-        gram = r[16][:-8] * _power(which, 8) + r[8][16:]
+            r[n] = half[:-(n // 2)] * _power(n // 2) + half[n // 2:]
+        gram = r[16][:-8] * _power(8) + r[8][16:]
         m = len(data) - WINDOW + 1
-        window = r[32][:m] * _power(which, 18) + r[16][32:32 + m] * _power(which, 2) + r[2][48:48 + m]
+        window = r[32][:m] * _power(18) + r[16][32:32 + m] * _power(2) + r[2][48:48 + m]
     return gram, window
 
 
@@ -83,7 +83,7 @@ class Units:
         m = len(data) - WINDOW + 1
         if m <= 0:
             return
-        gram, window = _rolling(data, 0)
+        gram, window = _rolling(data)
         v = mix64(gram)
         for step in (1, 2, 4, 8):
             v = np.minimum(v[:-step], v[step:])
@@ -117,9 +117,12 @@ class Units:
         n = self.count[units]
         return np.repeat(self.first[units] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
-    def second(self) -> np.ndarray:
-        """A further 40 bits of all windows."""
-        return mix64(_rolling(self.data, 1)[1]) >> _U(24)
+    def second(self, at: np.ndarray) -> np.ndarray:
+        """A further 40 bits of the windows at the given positions."""
+        up, down = power_tables(len(self.data))
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, _U), np.cumsum(_TABLE[1][self.data] * up, dtype=_U)))
+            return mix64((total[at + WINDOW] - total[at]) * down[at]) >> _U(24)
 
 
 def unit_key(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -270,7 +273,7 @@ def unit_verdicts(docs: DataFrame, buckets: int, flush: int = 1_500_000) -> Data
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i:i + 64])
 
-        for piece in slices(batches, "text", PART):
+        for piece in slices(batches, "text", 2 << 20):
             for data, off, ids, _, _ in parts(piece.column(1), _ids(piece.column(0))):
                 u = Units(data, off)
                 held.append((u.anchor, u.content, ids[u.text]))
@@ -295,29 +298,37 @@ def unit_verdicts(docs: DataFrame, buckets: int, flush: int = 1_500_000) -> Data
     return docs.mapInArrow(local, DEALT).repartition("bucket").mapInArrow(between, "doc long, key long")
 
 
-def _marked(piece: pa.RecordBatch, bit: np.uint64):
-    """(units, chosen units, document ids, text numbers, starts) of the
-    parts of texts that have unit verdicts of the given kind. Columns: doc,
-    text, keys."""
-    keys = piece.column(2).to_pylist()
-    ids = _ids(piece.column(0))
-    wanted = [np.sort(np.array([k for k in ks or () if k & 1 == bit], np.int64).view(_U)) for ks in keys]
-    has = np.array([len(w) > 0 for w in wanted])
-    if not has.any():
+def _marked(piece: pa.RecordBatch, bits: tuple[np.uint64, ...]):
+    """(units, chosen units for each of ``bits``, document ids, text
+    numbers, starts) of the parts of texts that have unit verdicts of these
+    kinds. Columns: doc, text, keys."""
+    keys = piece.column(2)
+    counts = keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = keys.flatten().to_numpy().view(_U)
+    row = np.repeat(np.arange(piece.num_rows), counts)
+    mine = np.isin(flat & _U(1), np.array(bits, _U))
+    flat, row = flat[mine], row[mine]
+    order = np.lexsort((flat, row))
+    flat, row = flat[order], row[order]
+    rows = np.unique(row)
+    if not len(rows):
         return
-    rows = np.flatnonzero(has)
-    for data, off, ids_, text, start in parts(piece.column(1).filter(pa.array(has)), ids[rows]):
+    has = np.zeros(piece.num_rows, bool)
+    has[rows] = True
+    first = np.searchsorted(row, np.arange(piece.num_rows + 1))
+    for data, off, ids, text, start in parts(piece.column(1).filter(pa.array(has)), _ids(piece.column(0))[rows]):
         u = Units(data, off)
-        mine = u.keys() | _U(bit)
+        key = u.keys()
         number = rows[text]
-        chosen = np.zeros(len(mine), bool)
         cut = np.searchsorted(u.text, np.arange(len(text) + 1))
+        chosen = np.zeros((len(bits), len(key)), bool)
         for t in range(len(text)):
-            part = mine[cut[t]:cut[t + 1]]
-            w = wanted[number[t]]
-            at = np.minimum(np.searchsorted(w, part), len(w) - 1)
-            chosen[cut[t]:cut[t + 1]] = w[at] == part
-        yield u, off, np.flatnonzero(chosen), ids_, number, start
+            wanted = flat[first[number[t]]:first[number[t] + 1]]
+            part = key[cut[t]:cut[t + 1]]
+            for k, bit in enumerate(bits):
+                at = np.minimum(np.searchsorted(wanted, part | bit), len(wanted) - 1)
+                chosen[k, cut[t]:cut[t + 1]] = wanted[at] == (part | bit)
+        yield u, off, [np.flatnonzero(c) for c in chosen], ids, number, start
 
 
 def repeated_windows(marked: DataFrame, buckets: int, flush: int = 2_000_000) -> DataFrame:
@@ -341,11 +352,11 @@ def repeated_windows(marked: DataFrame, buckets: int, flush: int = 2_000_000) ->
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i:i + 64])
 
-        for piece in slices(batches, "text", PART):
-            for u, _, chosen, ids, _, _ in _marked(piece, COMPARE):
+        for piece in slices(batches, "text", 2 << 20):
+            for u, _, (chosen,), ids, _, _ in _marked(piece, (COMPARE,)):
                 if len(chosen):
                     at = u.window_at(chosen)
-                    held.append((u.windows[at], u.second()[at], np.repeat(ids[u.text[chosen]], u.count[chosen])))
+                    held.append((u.windows[at], u.second(at), np.repeat(ids[u.text[chosen]], u.count[chosen])))
                     size += len(at)
                 if size >= flush:
                     yield from settle()
@@ -377,7 +388,7 @@ OUT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept
 def _cut(batches):
     """doc, text, keys, windows, doc_id -> OUT."""
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for piece in slices(batches, "text", PART):
+    for piece in slices(batches, "text", 2 << 20):
         data, off = text_buffers(piece.column(1))
         edge = np.zeros(len(data) + 1, np.int64)
         touched = np.zeros(piece.num_rows, bool)
@@ -387,11 +398,10 @@ def _cut(batches):
             np.add.at(edge, off[text] + start + at, -1)
             touched[text] = True
 
-        for u, poff, chosen, _, number, start in _marked(piece, REMOVE):
-            t = u.text[chosen]
-            cover(u.count[chosen] + WINDOW - 1, u.first[chosen] - poff[t] + start[t], number[t])
         windows = [np.sort(np.array(w or (), np.int64).view(_U)) for w in piece.column(3).to_pylist()]
-        for u, poff, chosen, _, number, start in _marked(piece, COMPARE):
+        for u, poff, (gone_units, chosen), _, number, start in _marked(piece, (REMOVE, COMPARE)):
+            t = u.text[gone_units]
+            cover(u.count[gone_units] + WINDOW - 1, u.first[gone_units] - poff[t] + start[t], number[t])
             at = u.window_at(chosen)
             t = np.repeat(u.text[chosen], u.count[chosen])
             cut = np.searchsorted(t, np.arange(len(number) + 1))
