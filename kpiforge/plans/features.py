@@ -8,6 +8,8 @@ steps read the rounded values, as a written silver table would.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,20 @@ def _national_gdp_pc(spark, sf):
             .select("year", "gdp_pc"))
 
 
-def affordability(spark: SparkSession, sf: str) -> DataFrame:
-    """K1: gdp per capita vs regional income on a year × region scaffold."""
-    nat = _national_gdp_pc(spark, sf)
-    regions = nation_dim(spark, sf).select(F.col("n_name").alias("region"))
-    income = panel.order_panel(spark, sf).select("region", "year", "income")
-    scaffold = nat.crossJoin(regions)          # years × regions (regions is a checked broadcast)
-    j = scaffold.join(income, ["year", "region"], "left")
+def _present(df: DataFrame | None) -> bool:
+    return df is not None and not df.isEmpty()
+
+
+def affordability_from(nat: DataFrame, income: DataFrame | None, regions: DataFrame | None) -> DataFrame:
+    """K1 from what is there. ``nat``: (year, gdp_pc). With regional incomes
+    (region, year, income): gdp per capita vs income on the year × region
+    scaffold. Without: the national index alone."""
+    if not _present(income) or not _present(regions):
+        nat = nat.withColumn("gdp_per_capita", num("gdp_pc", 0))
+        out = minmax_scale(nat, "gdp_pc", "affordability_index", eps=1.0, digits=1)
+        return out.select(F.col("year").cast("bigint").alias("year"), F.lit(NATIONAL).alias("region"),
+                          "gdp_per_capita", "affordability_index")
+    j = nat.crossJoin(regions).join(income, ["year", "region"], "left")     # years × regions: the scaffold
     inc = positive_or_null(F.col("income"))
     return j.select(
         F.col("year").cast("bigint").alias("year"), "region",
@@ -53,19 +62,28 @@ def affordability(spark: SparkSession, sf: str) -> DataFrame:
         num(F.col("gdp_pc") / inc, 4).alias("price_to_income_ratio"))
 
 
-def affordability_national(spark: SparkSession, sf: str) -> DataFrame:
-    """K1 fallback: national min–max index of gdp per capita (ε = 1)."""
-    nat = _national_gdp_pc(spark, sf).withColumn("gdp_per_capita", num("gdp_pc", 0))
-    out = minmax_scale(nat, "gdp_pc", "affordability_index", eps=1.0, digits=1)
-    return out.select(F.col("year").cast("bigint").alias("year"), F.lit(NATIONAL).alias("region"),
-                      "gdp_per_capita", "affordability_index")
+def affordability(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: gdp per capita vs regional income on a year × region scaffold."""
+    regions = nation_dim(spark, sf).select(F.col("n_name").alias("region"))
+    return affordability_from(_national_gdp_pc(spark, sf), panel.order_panel(spark, sf).select("region", "year", "income"), regions)
 
 
-def interest_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """K2: yearly mean rate, 3-year volatility, change in bps, impact score."""
-    yearly = (panel.rate_panel(spark, sf).groupBy("year")
-              .agg(F.avg("rate").alias("r"))
-              .select("year", F.lit(NATIONAL).alias("region"), num("r", 4).alias("ocr_value")))
+def affordability_national(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 fallback: national min–max index of gdp per capita (ε = 1)."""
+    return affordability_from(_national_gdp_pc(spark, sf), None, None)
+
+
+def interest_rate_from(rates: DataFrame | None, lending: DataFrame | None) -> DataFrame | None:
+    """K2 from the policy rate (year, rate; any number of rows a year) or,
+    where there is none, the lending rate (year, value); None without
+    both."""
+    if _present(rates):
+        yearly = rates.groupBy("year").agg(F.avg("rate").alias("r"))
+    elif _present(lending):
+        yearly = lending.select("year", F.col("value").alias("r"))
+    else:
+        return None
+    yearly = yearly.select("year", F.lit(NATIONAL).alias("region"), num("r", 4).alias("ocr_value"))
     w = series_window("region", "year")
     feats = (yearly
              .withColumn("mortgage_rate_2yr", F.col("ocr_value"))
@@ -77,6 +95,12 @@ def interest_rate(spark: SparkSession, sf: str) -> DataFrame:
                       "interest_rate_impact_score")
 
 
+def interest_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: yearly mean rate, 3-year volatility, change in bps, impact score."""
+    lending = panel.macro_panel(spark, sf).select("year", F.col("interest").alias("value"))
+    return interest_rate_from(panel.rate_panel(spark, sf).select("year", "rate"), lending)
+
+
 def population_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Each region's share of the latest year's total population."""
     op = panel.order_panel(spark, sf).select("region", "year", "population")
@@ -133,14 +157,31 @@ def supply_deficit(spark: SparkSession, sf: str) -> DataFrame:
                     gap.alias("housing_supply_gap"))
 
 
-def rent_income(spark: SparkSession, sf: str) -> DataFrame:
-    """K5: quarterly rent vs income; inflation, erosion, cumulative pressure."""
+def rent_income_from(rent: DataFrame | None, income: DataFrame | None, infl: DataFrame) -> DataFrame | None:
+    """K5 from the rent series (region, year, quarter, median_weekly_rent)
+    or, without one, rent as a share of income (region, year,
+    median_income); None without both."""
+    if _present(rent):
+        j = rent.join(income, ["region", "year"], "left") if income is not None else rent.withColumn("median_income", F.lit(None).cast("double"))
+        return _rent_metrics(j.join(infl, "year", "left"))              # J8
+    if not _present(income):
+        return None
+    j = (income.join(infl, "year", "left").withColumn("quarter", F.lit(4))
+         .withColumn("median_weekly_rent", num(F.greatest(F.col("median_income"), F.lit(0.0)) * RENT_INCOME_SHARE / WEEKS, 0)))
+    return _rent_metrics(j)
+
+
+def _rent_inputs(spark: SparkSession, sf: str):
     rent = panel.rent_panel(spark, sf).select("region", "year", "quarter",
                                               num("rent", 2).alias("median_weekly_rent"))
     income = panel.order_panel(spark, sf).select("region", "year", num("income", 2).alias("median_income"))
     infl = panel.macro_panel(spark, sf).select("year", num("inflation", 4).alias("general_inflation"))
-    j = rent.join(income, ["region", "year"], "left").join(infl, "year", "left")   # J8
-    return _rent_metrics(j)
+    return rent, income, infl
+
+
+def rent_income(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: quarterly rent vs income; inflation, erosion, cumulative pressure."""
+    return rent_income_from(*_rent_inputs(spark, sf))
 
 
 def _rent_metrics(j: DataFrame) -> DataFrame:
@@ -162,33 +203,38 @@ def _rent_metrics(j: DataFrame) -> DataFrame:
 
 def rent_income_proxy(spark: SparkSession, sf: str) -> DataFrame:
     """K5 proxy path: weekly rent = 30% of income / 52 when no rent series."""
-    income = panel.order_panel(spark, sf).select("region", "year", num("income", 2).alias("median_income"))
-    infl = panel.macro_panel(spark, sf).select("year", num("inflation", 4).alias("general_inflation"))
-    j = (income.join(infl, "year", "left")
-         .withColumn("quarter", F.lit(4))
-         .withColumn("median_weekly_rent",
-                     num(F.col("median_income") * RENT_INCOME_SHARE / WEEKS, 0)))
-    return _rent_metrics(j)
+    return rent_income_from(None, *_rent_inputs(spark, sf)[1:])
 
 
-def macro_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    """K6: weighted 3-year volatility of four national indicators, 0–100."""
-    m = panel.macro_panel(spark, sf).withColumn("region", F.lit(NATIONAL))
+#: Indicators of K6 and their weights; at least three must be there.
+VOLATILITY = {"gdp": 0.4, "inflation": 0.3, "unemployment": 0.2, "interest": 0.1}
+
+
+def macro_volatility_from(indicators: dict[str, DataFrame]) -> DataFrame | None:
+    """K6 from the indicator series (year, value) that are there, brought
+    together by an outer join on the year; None with fewer than three. A
+    missing indicator has a NULL volatility and no weight."""
+    there = {k: df for k, df in indicators.items() if k in VOLATILITY and _present(df)}
+    if len(there) < 3:
+        return None
+    m = reduce(lambda a, b: a.join(b, "year", "full_outer"), [df.select("year", F.col("value").alias(k)) for k, df in there.items()])
+    m = m.withColumn("region", F.lit(NATIONAL))
     w = series_window("region", "year")
-    m = m.withColumn("gdp_growth", pct_change("gdp", w))
-    vols = m.select(
-        "year", "region",
-        num(rolling_std("gdp_growth", w), 4).alias("gdp_volatility"),
-        num(rolling_std("inflation", w), 4).alias("inflation_volatility"),
-        num(rolling_std("unemployment", w), 4).alias("unemployment_volatility"),
-        num(rolling_std("interest", w), 4).alias("interest_rate_volatility"))
-    raw = (0.4 * F.col("gdp_volatility") + 0.3 * F.col("inflation_volatility")
-           + 0.2 * F.col("unemployment_volatility") + 0.1 * F.col("interest_rate_volatility"))
-    vols = vols.withColumn("_raw", raw)
-    out = minmax_scale(vols, "_raw", "macroeconomic_volatility_index", eps=0.01, digits=1)
+    if "gdp" in there:
+        m = m.withColumn("gdp", pct_change("gdp", w))
+    names = {"gdp": "gdp_volatility", "inflation": "inflation_volatility", "unemployment": "unemployment_volatility", "interest": "interest_rate_volatility"}
+    vols = m.select("year", "region", *[
+        (num(rolling_std(k, w), 4) if k in there else F.lit(None).cast("double")).alias(n) for k, n in names.items()])
+    raw = reduce(lambda a, b: a + b, [F.lit(VOLATILITY[k]) * F.col(names[k]) for k in there])
+    out = minmax_scale(vols.withColumn("_raw", raw), "_raw", "macroeconomic_volatility_index", eps=0.01, digits=1)
     return out.select("region", F.col("year").cast("bigint").alias("year"),
-                      "macroeconomic_volatility_index", "gdp_volatility", "inflation_volatility",
-                      "unemployment_volatility", "interest_rate_volatility")
+                      "macroeconomic_volatility_index", *names.values())
+
+
+def macro_volatility(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: weighted 3-year volatility of four national indicators, 0–100."""
+    m = panel.macro_panel(spark, sf)
+    return macro_volatility_from({k: m.select("year", F.col(k).alias("value")) for k in VOLATILITY})
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
