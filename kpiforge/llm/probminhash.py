@@ -220,11 +220,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with ``component`` replaced by that of the linked ones."""
-    comp = components(links)
-    return members.join(comp.withColumnRenamed("component", "to"), members["component"] == comp["node"], "left").select(
-        *[c for c in members.columns if c != "component"], F.coalesce("to", "component").alias("component"))
+def roots(parents: DataFrame) -> DataFrame:
+    """(row, root) of a forest given as (row, parent), by pointer jumping."""
+    cur = written(parents.select("row", F.col("parent").alias("root")), "pmh_roots")
+    while True:
+        up = cur.select(F.col("row").alias("r"), F.col("root").alias("next"))
+        cur = written(cur.join(up, cur["root"] == up["r"], "left").select("row", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "pmh_roots")
+        if cur.filter("moved").isEmpty():
+            return cur.select("row", "root")
+        cur = cur.select("row", "root")
 
 
 FILTER_BITS = 1 << 26       # 8 MB; fuller filters only let more rows through
@@ -315,14 +319,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     pivot = (members.join(degree, "row").groupBy("band").agg(F.max(F.struct("degree", (-F.col("row")).alias("r"))).alias("p"))
              .select("band", (-F.col("p.r")).alias("pivot")))
     shared = members.join(pivot, "band").filter("row <> pivot").groupBy("row", "pivot").agg(F.count("*").alias("m"))
-    # The pivot met in most bands (the least of equals).
-    best = shared.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("p"))).alias("x")).select("row", (-F.col("x.p")).alias("pivot"))
-    tried = written(best.select(F.greatest("row", "pivot").alias("a"), F.least("row", "pivot").alias("b")).distinct(), "pmh_tried")
+    # The pivot met in most bands (the least of equals). A pivot has the greater (degree, -row), so these links are a forest.
+    best = shared.groupBy("row").agg(F.max(F.struct("m", (-F.col("pivot")).alias("p"))).alias("x")).select(F.col("row").alias("a"), (-F.col("x.p")).alias("b"))
+    tried = written(best, "pmh_tried")
     # Only candidates' shingles take part from here on.
     asked = members.select("row").distinct()
     sets = written(only(base.select("row", "size", "keys", "weights"), asked).join(asked, "row", "left_semi"), "pmh_sets")
     links = written(verified(tried, sets, least), "pmh_links")
-    comp = _relabel(members.select("row", "band", F.col("row").alias("component")), links)
+    root = roots(links.select(F.col("a").alias("row"), F.col("b").alias("parent")))
+    comp = members.join(root, "row", "left").select("row", "band", F.coalesce("root", "row").alias("component"))
     # The rest: buckets that span several components; their largest one is not asked again within itself.
     split = comp.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = (split.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
@@ -341,11 +346,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     # Weighted sets have no such bound; they are few and go by their bands.
     heavy = open_.filter("size = 0").select("band", F.col("row").alias("x"), F.col("component").alias("cx"))
     by_band = heavy.join(open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy")), "band").filter("cx <> cy").select("x", "y")
-    pairs = (by_prefix.unionByName(by_band).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-             .join(tried, ["a", "b"], "left_anti"))
-    more = verified(pairs, sets, least)
-    final = components(links.unionByName(more))
-    node_class = texts.join(final, texts["node"] == final["node"], "left").select("digest", texts["node"], "copy_of", F.coalesce("component", texts["node"]).alias("component"))
+    pairs = by_prefix.unionByName(by_band).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = written(verified(pairs.join(done, ["a", "b"], "left_anti"), sets, least), "pmh_links")
+    node_class = texts.join(root, texts["node"] == root["row"], "left").select("digest", "copy_of", F.coalesce("root", "node").alias("component"))
+    if not more.isEmpty():
+        # Links between trees: components of their roots.
+        own = each.select("row", "component")
+        between = more.join(own.select(F.col("row").alias("a"), F.col("component").alias("ca")), "a").join(own.select(F.col("row").alias("b"), F.col("component").alias("cb")), "b")
+        joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("component", "to")
+        node_class = node_class.join(joined, node_class["component"] == joined["node"], "left").select("digest", "copy_of", F.coalesce("to", "component").alias("component"))
     ids = node_class.groupBy("component").agg(F.min("copy_of").alias("class_id"))
     node_class = node_class.join(ids, "component").select("digest", "copy_of", "class_id", "component")
     out = base.select("row", "doc_id", "raw", "digest").join(node_class, "digest")
