@@ -18,9 +18,9 @@ register (early termination).
    its buckets (a pair a node), and the links found are contracted to
    components. Only buckets that still span several components are left.
    Their nodes outside the largest component meet the others through an
-   exact prefix filter (rarest shingles first, prefixes by size), which
-   loses no pair of the similarity but joins on rare shingles instead of
-   on the bucket. Buckets are never cut.
+   exact prefix filter (rarest shingles first, with a bound on what can
+   still be shared), which loses no pair of the similarity but joins on
+   rare shingles instead of on the bucket. Buckets are never cut.
 4. Every candidate pair is verified: the exact probability Jaccard of the
    weighted shingles must reach ``similarity``.
 5. Linked nodes form classes by alternating large and small stars, in
@@ -150,16 +150,15 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float(total)
 
 
-SIGNED = "row long, doc_id long, raw binary, digest binary, size int, bands array<long>, keys binary, weights binary"
+SIGNED = "row long, doc_id long, raw binary, digest binary, bands array<long>, keys binary, weights binary"
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """Signature rows of all documents. ``keys`` and ``weights`` are the
     shingles (the high 32 bits of their hashes, sorted; weights as float32,
-    empty where all are 1); ``size`` is their number where all weights are
-    1, else 0. Write it before use."""
+    empty where all are 1). Write it before use."""
     names = [x.split()[0] for x in SIGNED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -175,7 +174,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
                 digest = hashlib.md5(b" ".join((t or b"").lower().split()) if n_words[i] else b"").digest()
                 w = weight[a:b]
                 plain = bool((w == 1).all())
-                out.append((row + i + 1, d, hashlib.md5(t or b"").digest(), digest, b - a if plain else 0, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if plain else w.astype("<f4").tobytes()))
+                out.append((row + i + 1, d, hashlib.md5(t or b"").digest(), digest, keys[i] if n_words[i] else None, high[a:b].tobytes(), b"" if plain else w.astype("<f4").tobytes()))
             row += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -260,48 +259,51 @@ def only(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.withColumn("__b0", bits(0)).withColumn("__b1", bits(1)).mapInArrow(run, df.schema)
 
 
-def _size_class(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(n) / np.log(1.05) + 1e-9).astype(np.int64)
-
-
 def prefixes(rows: DataFrame, least: float) -> DataFrame:
-    """Exact candidate keys for sets without weights. ``rows``: row, size,
-    tokens (rarest first, in one order for all). Two sets that reach
-    ``least`` must share a token within the first |a| - o + 1 of one and
-    |b| - o + 1 of the other, o = the overlap they need; o grows with the
-    partner's size, so there is a key (token, size classes) for each class
-    of partners, and large partners get short prefixes."""
+    """row, token, i (its place, from 1), n (tokens), w (their weight) of
+    the tokens that can be the first one that a set shares with a partner.
+    ``rows``: row, tokens (rarest first, in one order for all), weights.
+
+    If two sets share the masses P and Q, their probability Jaccard is at
+    most 1 / (1/P + 1/Q - 1) (every term of its sum is at most
+    1 / (1/p + (1 - Q)/q), which is concave and homogeneous). Weights are
+    counts, so tokens that are not shared have at least weight 1 each:
+    with the first shared token at place i of n, P <= 1 - (i - 1) / w."""
     def run(batches):
         for b in batches:
             out: list = []
-            for row, n, tokens in zip(*(b.column(i).to_pylist() for i in range(3))):
-                mine = int(_size_class(np.array([n]))[0])
-                for other in range(mine - 6, mine + 7):
-                    low, high = 1.05**other * (1 - 1e-6), 1.05**(other + 1) * (1 + 1e-6)
-                    low = max(low, least * n)
-                    if high < least * n or low * least > n * (1 + 1e-6):
-                        continue
-                    need = int(np.ceil(least / (1 + least) * (n + low) - 1e-6))
-                    for t in tokens[:max(0, n - need + 1)]:
-                        out.append((row, t, min(mine, other), max(mine, other)))
+            for row, tokens, weights in zip(*(b.column(i).to_pylist() for i in range(3))):
+                n, w = len(tokens), float(sum(weights))
+                out += [(row, t, i + 1, n, w) for i, t in enumerate(tokens[:int((1 - least) * w + 1e-6) + 1])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["row", "token", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["row", "token", "i", "n", "w"])
+
+    return rows.select("row", "tokens", "weights").mapInArrow(run, "row long, token long, i int, n int, w double")
 
-    return rows.select("row", "size", "tokens").mapInArrow(run, "row long, token long, c1 long, c2 long")
+
+def may_reach(least: float) -> str:
+    """Condition on two prefix rows (x, y) with a common token: if it is the
+    first common one, the sets can still reach ``least``. At most m tokens
+    are shared then."""
+    m = "least(nx - ix + 1, ny - iy + 1)"
+    p, q = f"(1 - (nx - {m}) / wx)", f"(1 - (ny - {m}) / wy)"
+    return f"({p} > 0 AND {q} > 0 AND {p} * {q} >= {least - 1e-9} * ({p} + {q} - {p} * {q}))"
 
 
 def _rare_first(sets: DataFrame) -> DataFrame:
-    """row, size, tokens (by how many of the sets have them, then value)."""
+    """row, tokens (by how many of the sets have them, then value), weights."""
     def explode(batches):
         for b in batches:
-            n = b.column(1).to_numpy()
-            keys = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(keys)], names=["row", "token"])
+            if not b.num_rows:
+                continue
+            each = [np.frombuffer(k, "<u4").astype(np.int64) for k in b.column(1).to_pylist()]
+            weight = [np.frombuffer(w, "<f4").astype(np.float64) if w else np.ones(len(k)) for k, w in zip(each, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in each])), pa.array(np.concatenate(each)), pa.array(np.concatenate(weight))], names=["row", "token", "weight"])
 
-    each = written(sets.select("row", "size", "keys").mapInArrow(explode, "row long, token long"), "pmh_tokens")
+    each = written(sets.select("row", "keys", "weights").mapInArrow(explode, "row long, token long, weight double"), "pmh_tokens")
     df = each.groupBy("token").agg(F.count("*").alias("df"))
-    return (each.join(df, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "token")))["token"].alias("tokens"))
-            .withColumn("size", F.size("tokens")))
+    return (each.join(df, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "token", "weight"))).alias("t"))
+            .select("row", F.col("t.token").alias("tokens"), F.col("t.weight").alias("weights")))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
@@ -324,7 +326,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     tried = written(best, "pmh_tried")
     # Only candidates' shingles take part from here on.
     asked = members.select("row").distinct()
-    sets = written(only(base.select("row", "size", "keys", "weights"), asked).join(asked, "row", "left_semi"), "pmh_sets")
+    sets = written(only(base.select("row", "keys", "weights"), asked).join(asked, "row", "left_semi"), "pmh_sets")
     links = written(verified(tried, sets, least), "pmh_links")
     root = roots(links.select(F.col("a").alias("row"), F.col("b").alias("parent")))
     comp = members.join(root, "row", "left").select("row", "band", F.coalesce("root", "row").alias("component"))
@@ -332,21 +334,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     split = comp.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = (split.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"))
              .filter("parts > 1").select("band", F.col("top.component").alias("top")))
-    open_ = written(comp.join(mixed, "band").join(sets.select("row", "size"), "row"), "pmh_open")
-    each = open_.groupBy("row").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.max(F.col("component") != F.col("top")).alias("outer"))
-    each = written(each, "pmh_open_rows")
-    plain = sets.join(each.filter("size > 0").select("row"), "row", "left_semi")
-    keys = prefixes(_rare_first(plain), least).join(each.select("row", "component", "outer"), "row")
-    keys = written(keys, "pmh_prefixes")
-
-    def ends(df, r, c):
-        return df.select("token", "c1", "c2", F.col("row").alias(r), F.col("component").alias(c))
-
-    by_prefix = ends(keys.filter("outer"), "x", "cx").join(ends(keys, "y", "cy"), ["token", "c1", "c2"]).filter("cx <> cy").select("x", "y")
-    # Weighted sets have no such bound; they are few and go by their bands.
-    heavy = open_.filter("size = 0").select("band", F.col("row").alias("x"), F.col("component").alias("cx"))
-    by_band = heavy.join(open_.select("band", F.col("row").alias("y"), F.col("component").alias("cy")), "band").filter("cx <> cy").select("x", "y")
-    pairs = by_prefix.unionByName(by_band).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    open_ = comp.join(mixed, "band")
+    each = written(open_.groupBy("row").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("outer")), "pmh_open_rows")
+    keys = written(prefixes(_rare_first(sets.join(each.select("row"), "row", "left_semi")), least).join(each, "row"), "pmh_prefixes")
+
+    def end(df, e):
+        return df.select("token", F.col("row").alias(e), F.col("component").alias(f"c{e}"), *[F.col(c).alias(f"{c}{e}") for c in ("i", "n", "w")])
+
+    pairs = (end(keys.filter("outer"), "x").join(end(keys, "y"), "token").filter(f"cx <> cy AND {may_reach(least)}")
+             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = written(verified(pairs.join(done, ["a", "b"], "left_anti"), sets, least), "pmh_links")
     node_class = texts.join(root, texts["node"] == root["row"], "left").select("digest", "copy_of", F.coalesce("root", "node").alias("component"))
