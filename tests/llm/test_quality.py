@@ -45,7 +45,7 @@ def test_outliers_go_and_clean_documents_stay(spark):
 def test_small_groups_share_a_wider_estimate(spark):
     rows, _ = corpus(260, 0)
     rows += [(1000 + i, "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf", "de", f"t{i}") for i in range(5)]
-    got = quality.judge(documents(spark, rows), min_group=150).select("doc_id", "estimate").collect()
+    got = quality.judge(documents(spark, rows), min_group=150, steps=1).select("doc_id", "estimate").collect()
     names = {r.doc_id: r.estimate for r in got}
     assert names[1].startswith("s:en") and names[0].startswith("l:en") and names[1000] == "all"
     assert len(got) == len(rows)
@@ -53,10 +53,10 @@ def test_small_groups_share_a_wider_estimate(spark):
 
 def test_salted_join_equals_broadcast(spark):
     rows, _ = corpus(300, 20)
-    a = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows), min_group=100).collect()}
+    a = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows), min_group=100, steps=1).collect()}
     old, quality.BROADCAST_GROUPS = quality.BROADCAST_GROUPS, 0
     try:
-        b = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows), min_group=100).collect()}
+        b = {r.doc_id: r.kept for r in quality.judge(documents(spark, rows), min_group=100, steps=1).collect()}
     finally:
         quality.BROADCAST_GROUPS = old
     assert a == b
@@ -65,16 +65,16 @@ def test_salted_join_equals_broadcast(spark):
 def test_kept_is_the_same_verdict_on_whole_rows(spark):
     rows, _ = corpus(300, 20)
     docs = documents(spark, rows)
-    want = {r.doc_id for r in quality.judge(docs, min_group=100).filter("kept").collect()}
-    out = quality.kept(docs, min_group=100)
+    want = {r.doc_id for r in quality.judge(docs, min_group=100, steps=1).filter("kept").collect()}
+    out = quality.kept(docs, min_group=100, steps=1)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == want
 
 
 def test_edges(spark):
-    got = quality.judge(edge(spark)).collect()
+    got = quality.judge(edge(spark), steps=1).collect()
     assert len(got) == len(EDGE)
     assert all(r.base_failed for r in got if r.doc_id in (2, 3, 5))
     assert quality.kept(edge(spark)).columns == edge(spark).columns
-    assert quality.judge(empty(spark)).count() == 0
-    assert quality.kept(empty(spark)).count() == 0
+    assert quality.judge(empty(spark), steps=1).count() == 0
+    assert quality.kept(empty(spark), steps=1).count() == 0
