@@ -329,14 +329,17 @@ FROM macro_panel m JOIN nat_pop p ON m.year = p.year CROSS JOIN
 def common_year_ratio(spark, sf):
     """Ratio of two series over their common years, only when there
     are at least 10 of them; otherwise the numerator alone."""
-    m = panel.macro_panel(spark, sf).select("year", "gdp")
-    p = panel.national_population(panel.order_panel(spark, sf))
+    return common_ratio(panel.macro_panel(spark, sf).select("year", "gdp"),
+                        panel.national_population(panel.order_panel(spark, sf)), "gdp", "population")
+
+
+def common_ratio(m: DataFrame, p: DataFrame, over: str, under: str, min_common: int = 10) -> DataFrame:
+    """(year, value, is_ratio) of the common years of two series."""
     j = m.join(p, "year")
-    n = j.agg(F.count(F.lit(1)).alias("_n"))
-    j = j.crossJoin(n)
-    ok = F.col("_n") >= 10
-    return j.select("year", F.when(ok, num(safe_div(F.col("gdp"), F.col("population")), 4))
-                    .otherwise(num("gdp", 4)).alias("value"), ok.alias("is_ratio"))
+    j = j.crossJoin(j.agg(F.count(F.lit(1)).alias("_n")))                # one row
+    ok = F.col("_n") >= min_common
+    return j.select("year", F.when(ok, num(safe_div(F.col(over), F.col(under)), 4))
+                    .otherwise(num(over, 4)).alias("value"), ok.alias("is_ratio"))
 
 
 def _raw_feature_names(spark, sf):
@@ -373,10 +376,15 @@ UNION ALL SELECT 'duplicate_in_geo', region FROM geo GROUP BY region HAVING coun
 def key_coverage(spark, sf):
     """Two-way key coverage (left_anti both ways) and duplicates."""
     t = latest(panel.tourism_panel(spark, sf))
-    ds = t.select("region").distinct()
-    geo = nation_dim(spark, sf).select(F.col("n_name").alias("region"))
+    return coverage_issues(t.select("region"), nation_dim(spark, sf).select(F.col("n_name").alias("region")))
+
+
+def coverage_issues(data: DataFrame, geo: DataFrame) -> DataFrame:
+    """(issue, region): regions of one side that the other lacks, and
+    regions that the map has twice."""
+    ds = data.distinct()
     a = ds.join(geo, "region", "left_anti").select(F.lit("missing_in_geo").alias("issue"), "region")
-    b = geo.join(ds, "region", "left_anti").select(F.lit("missing_in_data").alias("issue"), "region")
+    b = geo.distinct().join(ds, "region", "left_anti").select(F.lit("missing_in_data").alias("issue"), "region")
     d = (geo.groupBy("region").count().filter("count > 1")
          .select(F.lit("duplicate_in_geo").alias("issue"), "region"))
     return a.unionByName(b).unionByName(d)

@@ -171,14 +171,14 @@ API_MIN_ROWS = 10
 
 
 @query("fallback_chain", with_silver(f""", cand AS (
-  SELECT 'rate' AS dataset, 1 AS priority, 'api' AS source_used, year, {N('avg(rate)', 6)} AS value FROM rate_panel WHERE year = (SELECT max(year) FROM rate_panel) GROUP BY year
+  SELECT 'rate' AS dataset, 1 AS priority, 'api' AS source_used, year, {N('avg(rate)', 6)} AS value FROM rate_panel GROUP BY year
   UNION ALL SELECT 'rate', 3, 'historical', year, {N('avg(rate)', 6)} FROM rate_panel GROUP BY year
-  UNION ALL SELECT 'gdp', 1, 'api', year, {N('gdp', 6)} FROM macro_panel WHERE year >= 2000
-  UNION ALL SELECT 'gdp', 2, 'csv', year, {N('gdp', 6)} FROM macro_panel WHERE year >= 1998
+  UNION ALL SELECT 'gdp', 1, 'api', year, {N('gdp', 6)} FROM macro_panel
+  UNION ALL SELECT 'gdp', 2, 'csv', year, {N('gdp', 6)} FROM macro_panel
   UNION ALL SELECT 'gdp', 3, 'historical', year, {N('gdp', 6)} FROM macro_panel
   UNION ALL SELECT 'population', 3, 'historical', year, CAST(population AS DOUBLE) FROM nat_pop),
 rows_per AS (SELECT dataset, priority, count(*) AS n FROM cand GROUP BY 1, 2),
-api_rate AS (SELECT dataset, priority, count(*) AS n FROM (SELECT 'rate' AS dataset, 1 AS priority FROM rate_panel WHERE year = (SELECT max(year) FROM rate_panel)) GROUP BY 1, 2),
+api_rate AS (SELECT dataset, priority, count(*) AS n FROM (SELECT 'rate' AS dataset, 1 AS priority FROM rate_panel) GROUP BY 1, 2),
 ok AS (SELECT r.dataset, min(r.priority) AS p FROM rows_per r LEFT JOIN api_rate a ON a.dataset = r.dataset AND a.priority = r.priority
        WHERE (r.priority = 1 AND COALESCE(a.n, r.n) > {API_MIN_ROWS}) OR (r.priority = 2 AND r.n > 0) OR r.priority = 3 GROUP BY 1)
 SELECT c.dataset, c.source_used, c.year, c.value FROM cand c JOIN ok ON ok.dataset = c.dataset AND ok.p = c.priority"""))
@@ -189,21 +189,19 @@ def fallback_chain(spark, sf):
     rate = panel.rate_panel(spark, sf)
     macro = panel.macro_panel(spark, sf)
     pop = panel.national_population(panel.order_panel(spark, sf))
-    latest_rate_year = rate.select(F.max("year")).scalar()
-    api_rate_rows = rate.filter(F.col("year") == latest_rate_year)
-    api_rate = api_rate_rows.groupBy("year").agg(num(F.avg("rate"), 6).alias("value"))
+    api_rate = rate.groupBy("year").agg(num(F.avg("rate"), 6).alias("value"))
     cands = [
         (api_rate, "rate", 1, "api"),
         (rate.groupBy("year").agg(num(F.avg("rate"), 6).alias("value")), "rate", 3, "historical"),
-        (macro.filter("year >= 2000").select("year", num("gdp", 6).alias("value")), "gdp", 1, "api"),
-        (macro.filter("year >= 1998").select("year", num("gdp", 6).alias("value")), "gdp", 2, "csv"),
+        (macro.select("year", num("gdp", 6).alias("value")), "gdp", 1, "api"),
+        (macro.select("year", num("gdp", 6).alias("value")), "gdp", 2, "csv"),
         (macro.select("year", num("gdp", 6).alias("value")), "gdp", 3, "historical"),
         (pop.select("year", F.col("population").cast("double").alias("value")), "population", 3, "historical"),
     ]
     u = reduce(DataFrame.unionByName, [d.select(F.lit(ds).alias("dataset"), F.lit(p).alias("priority"),
                                                 F.lit(s).alias("source_used"), "year", "value") for d, ds, p, s in cands])
     # The API candidate for 'rate' is judged by its raw monthly rows.
-    n_api_rate = api_rate_rows.agg(F.count(F.lit(1)).alias("_n_raw"))
+    n_api_rate = rate.agg(F.count(F.lit(1)).alias("_n_raw"))
     counts = u.groupBy("dataset", "priority").agg(F.count(F.lit(1)).alias("n"))
     counts = (counts.crossJoin(n_api_rate)
               .withColumn("n", F.when((F.col("dataset") == "rate") & (F.col("priority") == 1), F.col("_n_raw"))
