@@ -259,27 +259,43 @@ def contract_build(spark, sf):
                     F.concat(F.col("max_year").cast("string"), F.lit("-12-31")).alias("date_max"), "parents")
 
 
-@query("bronze_contract", f"""WITH s AS (SELECT * FROM events ORDER BY event_id LIMIT 10),
-st AS (SELECT count(*) AS n, (count_if(ts IS NULL) + count_if(user_id IS NULL) + count_if(event_type IS NULL) + count_if(value IS NULL)) * 100.0 / (count(*) * 4) AS null_pct FROM s)
-SELECT n AS sample_rows, {N('null_pct', 4)} AS null_pct,
-  LEAST(100.0, GREATEST(10.0, LEAST(100.0, GREATEST(0.0, 15.0
+# Which source class each landed event stream has (ours).
+BRONZE_SOURCE = {"purchase": "real", "signup": "real", "error": "fallback"}
+
+
+def bronze_confidence(null_pct, n, source):
+    """Confidence of a landed artifact: source base, null band, volume,
+    clamped to 0-100; then a real source gains 20 (at most 100) and a
+    fallback loses 30 (at least 10). Scores are fixed values."""
+    base = F.when(source == "real", 50.0).when(source == "fallback", 10.0).otherwise(15.0)
+    nulls = F.when(null_pct < 5, 30).when(null_pct < 15, 20).when(null_pct < 30, 10).otherwise(0)
+    volume = F.when(n >= 100, 5).when(n >= 50, 3).when(n >= 20, 1).otherwise(0)
+    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), base + nulls + volume))
+    return (F.when(source == "real", F.least(F.lit(100.0), score + 20))
+            .when(source == "fallback", F.greatest(F.lit(10.0), score - 30)).otherwise(score))
+
+
+@query("bronze_contract", f"""WITH st AS (SELECT event_type AS artifact, count(*) AS n,
+  (count_if(ts IS NULL) + count_if(user_id IS NULL) + count_if(value IS NULL) + count_if(props IS NULL)) * 100.0 / (count(*) * 4) AS null_pct,
+  CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BRONZE_SOURCE.items())} ELSE 'unknown' END AS source FROM events GROUP BY event_type),
+sc AS (SELECT *, LEAST(100.0, GREATEST(0.0, CASE source WHEN 'real' THEN 50.0 WHEN 'fallback' THEN 10.0 ELSE 15.0 END
     + CASE WHEN null_pct < 5 THEN 30 WHEN null_pct < 15 THEN 20 WHEN null_pct < 30 THEN 10 ELSE 0 END
-    + CASE WHEN n >= 100 THEN 5 WHEN n >= 50 THEN 3 WHEN n >= 20 THEN 1 ELSE 0 END)))) AS confidence
-FROM st""")
+    + CASE WHEN n >= 100 THEN 5 WHEN n >= 50 THEN 3 WHEN n >= 20 THEN 1 ELSE 0 END)) AS score FROM st)
+SELECT artifact, n AS record_count, {N('null_pct', 4)} AS null_pct, source,
+  CAST(CASE source WHEN 'real' THEN LEAST(100.0, score + 20) WHEN 'fallback' THEN GREATEST(10.0, score - 30) ELSE score END AS DOUBLE) AS confidence FROM sc""")
 def bronze_contract(spark, sf):
-    """Bronze contract from the first 10 records (by id): null %,
-    confidence = source base (unknown 15) + null band + volume, clamped."""
-    ev = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value")
-    s = ev.orderBy("event_id").limit(10)
-    st = s.agg(F.count(F.lit(1)).alias("n"),
-               ((F.count_if(F.col("ts").isNull()) + F.count_if(F.col("user_id").isNull())
-                 + F.count_if(F.col("event_type").isNull()) + F.count_if(F.col("value").isNull())) * 100.0
-                / (F.count(F.lit(1)) * 4)).alias("np"))
-    np_, n = F.col("np"), F.col("n")
-    score = (F.lit(15.0) + F.when(np_ < 5, 30).when(np_ < 15, 20).when(np_ < 30, 10).otherwise(0)
-             + F.when(n >= 100, 5).when(n >= 50, 3).when(n >= 20, 1).otherwise(0))
-    conf = F.least(F.lit(100.0), F.greatest(F.lit(10.0), F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))))
-    return st.select(F.col("n").alias("sample_rows"), num(np_, 4).alias("null_pct"), conf.alias("confidence"))
+    """Contract of each landed event stream: mean null share of its
+    fields, source class, confidence."""
+    ev = table(spark, sf, "events", "event_type", "ts", "user_id", "value", "props")
+    source = F.lit("unknown")
+    for k, v in BRONZE_SOURCE.items():
+        source = F.when(F.col("event_type") == k, v).otherwise(source)
+    st = ev.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        (reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in ("ts", "user_id", "value", "props")]) * 100.0
+         / (F.count(F.lit(1)) * 4)).alias("np")).withColumn("source", source)
+    return st.select(F.col("event_type").alias("artifact"), F.col("n").alias("record_count"), num("np", 4).alias("null_pct"), "source",
+                     bronze_confidence(F.col("np"), F.col("n"), F.col("source")).alias("confidence"))
 
 
 # ------------------------------------------------------------------ D12 expectations

@@ -1,6 +1,9 @@
 """Branches that the given tables do not reach."""
 
+from pyspark.sql import functions as F
+
 from kpiforge.plans.q_ops import common_ratio, coverage_issues
+from kpiforge.plans.q_quality import bronze_confidence
 
 
 def test_coverage_issues(spark):
@@ -20,3 +23,10 @@ def test_common_ratio_needs_ten_years(spark):
     assert len(nine) == 9 and all(not r.is_ratio and r.value == 6.0 * r.year for r in nine)
     zero = common_ratio(series(range(0, 10), 6.0, "a"), series(range(0, 10), 0.0, "b"), "a", "b").collect()
     assert all(r.value is None for r in zero)
+
+
+def test_bronze_confidence_paths(spark):
+    rows = [(0.0, 200, "real", 100.0), (40.0, 5, "real", 70.0), (10.0, 60, "real", 93.0), (0.0, 200, "fallback", 15.0),
+            (40.0, 5, "fallback", 10.0), (20.0, 25, "unknown", 26.0), (90.0, 1, "unknown", 15.0)]
+    df = spark.createDataFrame(rows, "np double, n int, source string, want double")
+    assert df.filter(bronze_confidence(F.col("np"), F.col("n"), F.col("source")) != F.col("want")).collect() == []
