@@ -181,6 +181,13 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
+def cut(batches, rows: int):
+    """Batches of at most ``rows`` rows, none empty."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity reaches ``least``. ``sets``: row,
     keys, weights."""
@@ -192,7 +199,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             k = np.frombuffer(k, "<u4")
             return k, np.frombuffer(w, "<f4").astype(np.float64) if w else np.ones(len(k))
 
-        for batch in batches:
+        for batch in cut(batches, 1024):
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ka", "wa", "kb", "wb")]
             ok = [similarity(*load(ka, wa), *load(kb, wb)) >= least - 1e-9 for ka, wa, kb, wb in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in "ab"], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -269,16 +276,10 @@ def prefixes(rows: DataFrame, least: float) -> DataFrame:
     1 / (1/p + (1 - Q)/q), which is concave and homogeneous). Weights are
     counts, so tokens that are not shared have at least weight 1 each:
     with the first shared token at place i of n, P <= 1 - (i - 1) / w."""
-    def run(batches):
-        for b in batches:
-            out: list = []
-            for row, tokens, weights in zip(*(b.column(i).to_pylist() for i in range(3))):
-                n, w = len(tokens), float(sum(weights))
-                out += [(row, t, i + 1, n, w) for i, t in enumerate(tokens[:int((1 - least) * w + 1e-6) + 1])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["row", "token", "i", "n", "w"])
-
-    return rows.select("row", "tokens", "weights").mapInArrow(run, "row long, token long, i int, n int, w double")
+    w = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    some = rows.select("row", F.size("tokens").alias("n"), w.alias("w"), "tokens")
+    first = F.slice("tokens", F.lit(1), (F.floor(F.lit(1 - least) * F.col("w") + 1e-6) + 1).cast("int"))
+    return some.select("row", "n", "w", F.posexplode(first).alias("i", "token")).select("row", "token", (F.col("i") + 1).alias("i"), "n", "w")
 
 
 def may_reach(least: float) -> str:
@@ -293,9 +294,7 @@ def may_reach(least: float) -> str:
 def _rare_first(sets: DataFrame) -> DataFrame:
     """row, tokens (by how many of the sets have them, then value), weights."""
     def explode(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in cut(batches, 256):
             each = [np.frombuffer(k, "<u4").astype(np.int64) for k in b.column(1).to_pylist()]
             weight = [np.frombuffer(w, "<f4").astype(np.float64) if w else np.ones(len(k)) for k, w in zip(each, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in each])), pa.array(np.concatenate(each)), pa.array(np.concatenate(weight))], names=["row", "token", "weight"])
