@@ -90,6 +90,19 @@ def shingles(column: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
     return doc[head], key[head], weight.astype(np.float64), n_words
 
 
+def batch_shingles(batch: pa.RecordBatch, size: int):
+    """shingles() of a batch's text column, worked on by half a megabyte."""
+    doc, key, weight, words, at = [], [], [], [], 0
+    for part in slices([batch], "text", 1 << 19):
+        d, k, w, n = shingles(part.column(1), size)
+        doc.append(d + at)
+        key.append(k)
+        weight.append(w)
+        words.append(n)
+        at += part.num_rows
+    return np.concatenate(doc), np.concatenate(key), np.concatenate(weight), np.concatenate(words)
+
+
 def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """[n, k] registers: the hash of the shingle that arrived first (0: no
     shingles)."""
@@ -164,7 +177,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SI
         row = TaskContext.get().partitionId() << 40
         for piece in slices(batches, "text", 2 << 20):
             n = piece.num_rows
-            doc, key, weight, n_words = shingles(piece.column(1), size)
+            doc, key, weight, n_words = batch_shingles(piece, size)
             keys = band_keys(signatures(doc, key, weight, n, bands * rows), bands, rows).view(np.int64)
             high = (key >> np.uint64(32)).astype("<u4")
             off = np.searchsorted(doc, np.arange(n + 1))
