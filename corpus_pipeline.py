@@ -9,7 +9,7 @@ stage's docs. All stages but the last return the columns of documents.
 2. near duplicates: one document of each class stays (least doc_id);
 3. benchmark decontamination: contaminated documents go;
 4. secret scan: secrets are replaced in the text, all documents stay;
-5. packing: the rows are the packed token pieces.
+5. packing: the rows are the packed token pieces, with their token ids.
 
 Rows that repeat an id are judged each by their own text; of rows equal
 in id and text stage 2 keeps one.
@@ -40,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

@@ -73,10 +73,17 @@ class Encoder:
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids at two bytes each where all are below 65,536, as they come else."""
+    a = np.frombuffer(ids, "<u4")
+    return a.astype("<u2").tobytes() if a.max() < 1 << 16 else ids
+
+
 def pieces(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Token pieces of each document: all but the first have ``max_len``
     tokens when it is longer. ``row`` numbers the rows of ``docs``;
-    ``ids`` (with_ids) are the tokens themselves. Write it before use."""
+    ``ids`` (with_ids) are the tokens themselves, as :func:`narrow` packs
+    them, for :func:`widen`. Write it before use."""
     end = np.array([end_id], "<u4").tobytes()
     held: dict = {}
 
@@ -94,17 +101,21 @@ def pieces(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID
                 for k in range(-(-n // max_len)):
                     size = n - max_len * (-(-n // max_len) - 1) if k == 0 else max_len
                     part = ids[4 * at:4 * (at + size)]
-                    out.append((row, d, k, at, size, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int64) if with_ids else None))
+                    out.append((row, d, k, at, size, zlib.crc32(part), *([narrow(part)] if with_ids else [])))
                     at += size
-            cols = list(zip(*out))
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            if with_ids:
-                arrays.append(pa.array(cols[6], pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+
+
+def widen(ids: pa.Array, length: np.ndarray) -> tuple[pa.ListArray, pa.Array]:
+    """Token ids of packed rows, and the crc32 of each row's ids as
+    little-endian unsigned 32-bit numbers."""
+    parts = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4") for x, n in zip(ids.to_pylist(), length.tolist())]
+    ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(parts).view("<i4")), pa.array([zlib.crc32(x) for x in parts], pa.int64())
 
 
 # ---- the plan, on the histogram ----------------------------------------------
@@ -236,7 +247,8 @@ def best_fit(left: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]
 
 def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID, with_ids: bool = False, per_salt: int = 250_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and
-    ids) of every piece. ``per_salt``: about so many pieces of one length
+    ids: the tokens, and the digest is then taken from them as placed) of
+    every piece. ``per_salt``: about so many pieces of one length
     are ranked by one task."""
     rows = written(pieces(docs, path, max_len, end_id, with_ids), "packing_pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
@@ -250,7 +262,7 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID,
               .join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first")).drop("first", "salt", "row"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if with_ids else [])]
     ranked = ranked.select(*names)
-    schema = T.StructType([f for f in ranked.schema.fields if f.name != "rank"]).add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in ranked.schema.fields if f.name != "rank"]).add("sequence_id", "long").add("offset", "long")
 
     def place(batches):
         k, s, o = plan.value
@@ -260,6 +272,8 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID,
             rank = b.column(5).to_numpy()
             at = np.searchsorted(k, (b.column(3).to_numpy() << 40) | rank, side="right") - 1
             cols = [b.column(i) for i in range(b.num_columns) if i != 5]
+            if with_ids:
+                cols[5], cols[4] = widen(cols[5], cols[3].to_numpy())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(rank + s[at]), pa.array(o[at])], names=schema.names)
 
     return ranked.mapInArrow(place, schema)

@@ -43,7 +43,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_pattern_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
 
 @query("op10_probminhash")

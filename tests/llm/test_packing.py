@@ -80,3 +80,27 @@ def test_edges_and_salts(spark):
     assert {r.doc_id for r in rows} == {d for d, *_ in EDGE}
     assert all(len(r.ids) == r.length for r in rows)
     assert packing.pack(empty(spark), PATH).count() == 0
+
+
+def test_query_and_stage_carry_the_tokens(spark):
+    import corpus_pipeline
+
+    slow = Tokenizer.from_file(PATH)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: slow.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect()}
+    for out in (queries.QUERIES["op2_pattern_packing"](spark, SF), corpus_pipeline.best_fit_packing(spark, docs, SF)):
+        rows = out.collect()
+        assert sum(r.length for r in rows) == sum(map(len, want.values()))
+        for r in rows:
+            assert r.ids == want[r.doc_id][r.start:r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+
+
+def test_narrow_ids_come_back():
+    import pyarrow as pa
+
+    rows = [[0, 65535], [65536, 1, 2], [7]]
+    raw = [np.array(r, "<u4").tobytes() for r in rows]
+    ids, crc = packing.widen(pa.array([packing.narrow(r) for r in raw], pa.binary()), np.array([2, 3, 1]))
+    assert ids.to_pylist() == rows and crc.to_pylist() == [zlib.crc32(r) for r in raw]
+    assert [len(packing.narrow(r)) for r in raw] == [4, 12, 2]
