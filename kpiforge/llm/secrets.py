@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
 Candidates are runs of 16 or more characters of ``[A-Za-z0-9_+/-]``
-(and up to two ``=`` of padding).
+(and up to two ``=`` of padding), and of any characters from four on: what
+is assigned to a credential word (in quotes, or up to white space), and
+the password of a url.
 A random forest on their length, character mix and transitions between
 character classes, dictionary coverage, path and neighbouring words tells
 secrets from long words, numbers and paths. It is trained from labelled
@@ -34,6 +36,11 @@ CANDIDATE = "[A-Za-z0-9_+/-]{%d,}={0,2}" % SHORTEST
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words that announce a credential (fixed values).
 CREDENTIAL = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
+_HEAD = "(?i)(?:%s)[A-Za-z0-9_.-]{0,40}[\"'`\\])]{0,3}[ \\t]{0,8}(?:=>|:=|={1,3}|:)[ \\t]{0,8}(?:(?:bearer|basic)[ \\t]+)?" % CREDENTIAL
+#: (word announced, head, head and value): what is assigned to a credential word; url passwords.
+VALUES = [("", _HEAD + "[\"'`]?", _HEAD + "(?:" + "|".join("%s((?:[^%s\\\\\\r\\n]++|\\\\.){1,200}+)%s" % (q, q, q) for q in "\"'`") + "|[\"'`]?([^\\s\"'`]\\S*[^\\s\"'`,;)\\]}>]))"),
+          ("password of ", "[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\\s/@:]*:", "[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\\s/@:]*:([^\\s/]+)@")]
+FEWEST = 4
 #: Paths that hold examples rather than live secrets (fixed values).
 EXAMPLE_PATH = "test|example|sample|mock|fixture|doc"
 FEATURES = ["f_len", "f_digit", "f_upper", "f_lower", "f_other", "f_change", "f_distinct", "f_hex", "f_cover", "f_key", "f_assign", "f_quote", "f_path"]
@@ -42,14 +49,35 @@ SAMPLE = 20_000
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """key, path, word_no, candidate and ``around``: the two words before
-    and what stands before the candidate in its own word."""
+    and what stands before the candidate in its own word; of an assigned
+    value or url password, the word and assignment, or url, before it."""
     words = docs.filter(F.col(text).rlike(CANDIDATE)).select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split(text, SPACE).alias("words"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= SHORTEST) & F.get("words", i).rlike(CANDIDATE))
     found = words.select("doc_id", "path", F.explode(F.transform(at, lambda i: F.struct(
         i.alias("word_no"), F.get("words", i).alias("word"), F.coalesce(F.get("words", i - 2), F.lit("")).alias("w2"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("w1")))).alias("x"))
     found = found.select("doc_id", "path", "x.*").withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)))
-    return found.select("doc_id", "path", "word_no", "candidate", F.concat_ws(" ", "w2", "w1", F.expr("substring_index(word, candidate, 1)")).alias("around"))
+    found = found.select("doc_id", "path", "word_no", "candidate", F.concat_ws(" ", "w2", "w1", F.expr("substring_index(word, candidate, 1)")).alias("around"))
+    for word, head, pattern in VALUES:
+        found = found.unionByName(values(docs, word, head, pattern, text, path, key))
+    return found
+
+
+def values(docs: DataFrame, word: str, head: str, pattern: str, text: str, path: str, key: str) -> DataFrame:
+    """The candidates that ``pattern`` has in its groups, but for those that
+    are runs. A match neither starts nor ends with white space, so a word's
+    number is the count of white spaces before it."""
+    spaces = lambda c: F.regexp_count(c, F.lit(SPACE))
+    groups = max(1, pattern.count("(") - pattern.count("(?"))
+    some = docs.filter(F.col(text).rlike(pattern)).select(
+        F.col(key).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
+        F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hit"), F.split(text, pattern).alias("gap"))
+    some = some.withColumn("before", F.transform("hit", lambda h, i: spaces(F.get("gap", i)) + F.when(i > 0, spaces(F.get("hit", i - 1))).otherwise(0)))
+    each = some.select("doc_id", "path", F.explode(F.transform("hit", lambda h, i: F.struct(
+        h.alias("hit"), F.aggregate(F.slice("before", 1, i + 1), F.lit(0), lambda a, n: a + n).alias("n")))).alias("x")).select("doc_id", "path", "x.*")
+    each = each.withColumn("around", F.regexp_extract("hit", f"^({head})", 1)).withColumn("candidate", F.concat(*[F.regexp_extract("hit", pattern, g + 1) for g in range(groups)]))
+    each = each.filter((F.length("candidate") >= FEWEST) & ~F.col("candidate").rlike(f"^{CANDIDATE}$"))
+    return each.select("doc_id", "path", (F.col("n") + spaces("around")).cast("int").alias("word_no"), "candidate", F.concat(F.lit(word), "around").alias("around"))
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,7 +102,7 @@ def featured(found: DataFrame, tri: DataFrame) -> DataFrame:
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return found.join(cover, "candidate").withColumns({
         "f_len": F.log2(F.length("candidate")),
-        "f_digit": _share("[0-9]"), "f_upper": _share("[A-Z]"), "f_lower": _share("[a-z]"), "f_other": _share("[_+/=-]"),
+        "f_digit": _share("[0-9]"), "f_upper": _share("[A-Z]"), "f_lower": _share("[a-z]"), "f_other": _share("[^0-9A-Za-z]"),
         "f_change": _share("(?<=[a-z])[0-9A-Z]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"),
         "f_distinct": F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate"),
         "f_hex": flag(F.col("candidate").rlike("^[0-9a-fA-F]+$") & F.col("candidate").rlike("[a-fA-F]")),
@@ -87,10 +115,13 @@ def format_labels(found: DataFrame) -> DataFrame:
     """Labelled findings by format and context, for corpora without a
     reviewer's labels: a mixed candidate that is assigned to a credential
     word is a secret; one of a single character class, or made of
-    dictionary parts, without such a word is none; others stay unknown."""
+    dictionary parts, without such a word is none, nor is a word of the
+    dictionary after a colon and a blank; others stay unknown."""
+    prose = (F.col("f_lower") + F.col("f_upper") == 1) & (F.col("f_cover") >= 0.5) & F.col("around").rlike(":[ \\t]+$")
     mixed = (F.col("f_digit") > 0) & (F.col("f_digit") < 1) & (F.col("f_cover") < 0.5)
     return found.withColumn("label", F.when((F.col("f_key") == 1) & (F.col("f_assign") == 1) & mixed, 1)
-                            .when((F.col("f_key") == 0) & ((F.col("f_digit") == 0) | (F.col("f_digit") == 1) | (F.col("f_cover") >= 0.5)), 0))
+                            .when((F.col("f_key") == 0) & ((F.col("f_digit") == 0) | (F.col("f_digit") == 1) | (F.col("f_cover") >= 0.5)), 0)
+                            .when(prose, 0))
 
 
 def classify(found: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 6, seed: int = 11) -> DataFrame:

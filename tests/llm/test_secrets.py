@@ -67,3 +67,28 @@ def test_edges(spark):
     assert [(r.doc_id, r.is_secret) for r in got] == [(None, True)]
     out = secrets.redact(one, secrets.scan(one)).collect()
     assert sorted((r.text or "") for r in out) == ["", "token = [SECRET]"]
+
+
+def test_short_and_odd_credentials(spark):
+    """Assigned values and url passwords of any characters, by hand."""
+    cases = [('password = "Tr0ub4dor&3" end', ["Tr0ub4dor&3"]), ("x pwd=hunter2, y", ["hunter2"]), ("postgres://user:p@ss1!x@db", ["p@ss1!x"]),
+             ("go postgres://user:p4ss!x@db/t now", ["p4ss!x"]), ("secret_key: 'a b$c.9%d!'", ["a b$c.9%d!"]), ("Authorization: Bearer ab.c1!d", ["ab.c1!d"]),
+             ('{"api_key": "k.9$x!", "n": 1}', ["k.9$x!"]), ('password = "q\\"4x!z" z', ['q\\"4x!z']), ("token = abc", []), ("a password is nice", []),
+             ("password=0123456789abcdef0", ["0123456789abcdef0"]), ("my password = \"x1!y2", ["x1!y2"])]
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(cases)])
+    got = {}
+    for r in secrets.candidates(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.candidate)
+        before = cases[r.doc_id][0].split(r.candidate)[0]
+        assert r.word_no == len(re.findall("[ \t-\r]+", before))
+    assert [got.get(i, []) for i in range(len(cases))] == [c for _, c in cases]
+
+
+def test_planted_short_credentials_are_redacted(spark):
+    rng = random.Random(8)
+    rows, planted = corpus()
+    odd = ["Tr0ub4dor&3", "hunter2"] + ["".join(rng.choice("bcdfgkqxz0123456789!$%&.") for _ in range(rng.randint(6, 12))) + "7q!x" for _ in range(40)]
+    for k, v in enumerate(odd):
+        rows.append((1000 + k, f"{rows[k][1]} " + ['password = "%s" x', "pwd=%s y", "secret: '%s' z", "go http://me:%s@host/x z"][k % 4] % v))
+    out = {r.doc_id: r.text for r in secrets.redact(documents(spark, rows), secrets.scan(documents(spark, rows))).collect()}
+    assert not [v for k, v in enumerate(odd) if v in out[1000 + k]]
