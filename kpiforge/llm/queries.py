@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import ctw, decontam, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls
+from kpiforge.llm import ctw, decontam, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls, vectorcodes
 from kpiforge.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixdedup.dedup(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_walsh_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
