@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import ctw, decontam, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls, vectorcodes
+from kpiforge.llm import convrepair, ctw, decontam, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls, vectorcodes
 from kpiforge.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_walsh_codes")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.audit(table(spark, sf_dir, "conversations"))
