@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import convrepair, ctw, decontam, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls, vectorcodes
+from kpiforge.llm import convrepair, ctw, decontam, fmdedup, licenses, packing, probminhash, quality, secrets, suffixdedup, toxicity, urls, vectorcodes
 from kpiforge.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.audit(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_fm_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fmdedup.dedup(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
