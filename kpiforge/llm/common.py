@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +54,26 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers live through many tasks
+    and stages; without this, what one stage held stays theirs in the next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches, column: str, max_bytes: int):
     """Cut record batches into pieces whose text column holds at most about
     ``max_bytes`` (a longer single text is a piece of its own)."""
+    give_back()                                   # what the worker's last task left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,7 +84,7 @@ def slices(batches, column: str, max_bytes: int):
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()     # idle workers give back what they buffered
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

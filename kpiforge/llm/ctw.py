@@ -24,9 +24,8 @@ How it runs on Spark
    one look-up. Tasks step many text pieces side by side with numpy.
 
 A text is closed by one end symbol, so probabilities of all texts sum
-to 1. Null texts are empty; an empty table gives an empty result; rows
-that repeat both id and text are scored once, rows that repeat only the
-id are scored each; very long texts are cut into lanes for stepping only
+to 1. Null texts are empty; an empty table gives an empty result;
+repeated rows are scored each; very long texts are cut into lanes for stepping only
 (a lane starts ``depth`` bytes early, which gives the exact state).
 """
 
@@ -221,7 +220,7 @@ def build_model(depth: int, level: np.ndarray, key: np.ndarray, count: np.ndarra
         return (heap[:, 1::2] + 0.5) / (heap[:, 0::2] + heap[:, 1::2] + 1)
 
     # Top-down: mix along the path, then the leaf shared by the rest.
-    nxt = np.zeros((base[-1], 256), np.int32)
+    nxt = np.zeros((base[-1], 256), np.uint16 if base[-1] <= 1 << 16 else np.int32)
     logp = np.empty((base[-1], 256), np.float32)
     acc = rem = None
     for d in range(depth + 1):
@@ -267,18 +266,37 @@ def _arrow(names: str, *columns):
         yield pa.RecordBatch.from_arrays([pa.array(c[a:a + (1 << 18)]) for c in columns], names=names.split())
 
 
-def gram_counts(docs: DataFrame, depth: int, text: str = "text", piece_mb: int = 24) -> DataFrame:
+def added(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (keys, counts) by key, sorted."""
+    key, n = (np.concatenate(c) for c in zip(*held))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def gram_counts(docs: DataFrame, depth: int, text: str = "text", piece_mb: int = 2, most: int = 3_000_000) -> DataFrame:
     """(level, gram, n, total) of all texts: the grams of every depth (as in
     :func:`grams`, as longs), how often they occur, and how often their
     context does.
 
-    One shuffle: the distinct deepest grams of each task, dealt by the three
+    One shuffle: the distinct deepest grams of each task (which holds at most
+    about ``most`` of them), dealt by the three
     nearest context bytes. All contexts that end in those bytes, at every
     depth from three, then lie in one partition, so numpy sums them there;
     what is left of depths 0 to 2 is summed by Spark."""
     def count(batches):
+        held: list = []          # sums so far, then the pieces since
         for piece in slices(batches, text, piece_mb << 20):
-            key, n = grams(*text_buffers(piece.column(0)), depth)
+            held.append(grams(*text_buffers(piece.column(0)), depth))
+            if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1 << 20, len(held[0][0])):
+                held = [added(held)]
+            if len(held[0][0]) > most:
+                key, n = added(held)
+                held = []
+                yield from _arrow("gram n", key.view(np.int64), n)
+        if held:
+            key, n = added(held)
             yield from _arrow("gram n", key.view(np.int64), n)
 
     def sum_up(batches):
@@ -384,7 +402,7 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, max_contexts
             state["get"] = dict(zip(tokens.to_pylist(), np.log10((c + 0.1) / bottom).tolist())).get
         get, m = state["get"], model.value
         row = TaskContext.get().partitionId() << 40     # the rows are written once, so their numbers stay
-        for piece in slices(batches, "text", 4 << 20):
+        for piece in slices(batches, "text", 1 << 20):
             sc = m.score(*text_buffers(piece.column(1)))
             ids, held = piece.column(0).to_pylist(), piece.column(2).to_pylist()
             main, rare = [], []
