@@ -43,11 +43,15 @@ class Encoder:
     ``path`` is a ``tokenizers`` file of a byte-level BPE. Where the same
     vocabulary lies beside it as ranks (``.tiktoken``), the ranks are run
     by tiktoken, which merges the same way in a quarter of the time; the
-    tests hold both against each other. Otherwise tokenizers itself runs."""
+    tests hold both against each other. A text that tiktoken's pattern
+    cannot split (some hundred thousand blanks in a row) goes to tokenizers,
+    which also runs where there are no ranks."""
 
     def __init__(self, path: str):
         import os
 
+        self._path, self._tokenizer = path, None
+        self._one = self._slow
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import base64
@@ -58,13 +62,24 @@ class Encoder:
             with open(ranks, "rb") as f:
                 merge = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge, special_tokens={SPECIAL: len(merge)})
-            self._one = lambda t: fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes()
-        else:
+
+            def one(t: str) -> bytes:
+                try:
+                    return fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes()
+                except ValueError:
+                    return self._slow(t)
+
+            self._one = one
+
+    def _slow(self, text: str) -> bytes:
+        if self._tokenizer is None:
+            import os
+
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            slow = Tokenizer.from_file(path)
-            self._one = lambda t: np.array(slow.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            self._tokenizer = Tokenizer.from_file(self._path)
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._one(t) for t in texts]

@@ -104,3 +104,12 @@ def test_narrow_ids_come_back():
     ids, crc = packing.widen(pa.array([packing.narrow(r) for r in raw], pa.binary()), np.array([2, 3, 1]))
     assert ids.to_pylist() == rows and crc.to_pylist() == [zlib.crc32(r) for r in raw]
     assert [len(packing.narrow(r)) for r in raw] == [4, 12, 2]
+
+
+def test_long_runs_of_one_character():
+    """Texts that the fast pattern cannot split have the ids of tokenizers."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    for text in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "x" * 20_000):
+        want = np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.Encoder(path).encode([text]) == [want]
