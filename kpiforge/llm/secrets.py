@@ -23,6 +23,8 @@ scanned each; an empty table has no findings.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,10 +38,10 @@ CANDIDATE = "[A-Za-z0-9_+/-]{%d,}={0,2}" % SHORTEST
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Words that announce a credential (fixed values).
 CREDENTIAL = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|credential|bearer"
-_HEAD = "(?i)(?:%s)[A-Za-z0-9_.-]{0,40}[\"'`\\])]{0,3}[ \\t]{0,8}(?:=>|:=|={1,3}|:)[ \\t]{0,8}(?:(?:bearer|basic)[ \\t]+)?" % CREDENTIAL
+_HEAD = "(?i)(?:%s)[A-Za-z0-9_.-]*+[\"'`\\])]{0,3}[ \\t]*+(?:=>|:=|={1,3}|:)[ \\t]*+(?:(?:bearer|basic)[ \\t]+)?" % CREDENTIAL
 #: (word announced, head, head and value): what is assigned to a credential word; url passwords.
 VALUES = [("", _HEAD + "[\"'`]?", _HEAD + "(?:" + "|".join("%s((?:[^%s\\\\\\r\\n]++|\\\\.){1,200}+)%s" % (q, q, q) for q in "\"'`") + "|[\"'`]?([^\\s\"'`]\\S*[^\\s\"'`,;)\\]}>]))"),
-          ("password of ", "[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\\s/@:]*:", "[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\\s/@:]*:([^\\s/]+)@")]
+          ("password of ", "[A-Za-z]://[^\\s/@:]*:", "[A-Za-z]://[^\\s/@:]*:([^\\s/]+)@")]
 FEWEST = 4
 #: Paths that hold examples rather than live secrets (fixed values).
 EXAMPLE_PATH = "test|example|sample|mock|fixture|doc"
@@ -48,36 +50,42 @@ SAMPLE = 20_000
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
-    """key, path, word_no, candidate and ``around``: the two words before
-    and what stands before the candidate in its own word; of an assigned
-    value or url password, the word and assignment, or url, before it."""
-    words = docs.filter(F.col(text).rlike(CANDIDATE)).select(
-        F.col(key).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split(text, SPACE).alias("words"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= SHORTEST) & F.get("words", i).rlike(CANDIDATE))
-    found = words.select("doc_id", "path", F.explode(F.transform(at, lambda i: F.struct(
-        i.alias("word_no"), F.get("words", i).alias("word"), F.coalesce(F.get("words", i - 2), F.lit("")).alias("w2"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("w1")))).alias("x"))
-    found = found.select("doc_id", "path", "x.*").withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), 1)))
-    found = found.select("doc_id", "path", "word_no", "candidate", F.concat_ws(" ", "w2", "w1", F.expr("substring_index(word, candidate, 1)")).alias("around"))
-    for word, head, pattern in VALUES:
-        found = found.unionByName(values(docs, word, head, pattern, text, path, key))
+    """key, row (digest of the text), path, word_no, start, candidate and
+    ``around``: the two words before and what stands before the candidate in
+    its own word; of an assigned value or url password, the word and
+    assignment, or url, before it. ``start``: characters before it."""
+    docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
+    found = hits(docs, CANDIDATE, F.split("text", SPACE))
+    before = [F.coalesce(F.get("more", F.col("word_no") - k), F.lit("")) for k in (2, 1)]
+    found = found.select("doc_id", "row", "path", "word_no", "start", F.col("hit").alias("candidate"), F.concat_ws(" ", *before, F.expr("substring_index(get(more, word_no), hit, 1)")).alias("around"))
+    for said, head, pattern in VALUES:
+        groups = max(1, pattern.count("(") - pattern.count("(?"))
+        each = hits(docs, pattern, F.lit(None)).withColumn("around", F.regexp_extract("hit", f"^({head})", 1))
+        each = each.withColumn("candidate", F.concat(*[F.regexp_extract("hit", pattern, g + 1) for g in range(groups)]))
+        each = each.filter((F.length("candidate") >= FEWEST) & ~F.col("candidate").rlike(f"^{CANDIDATE}$"))
+        found = found.unionByName(each.select("doc_id", "row", "path", (F.col("word_no") + spaces(F.col("around"))).cast("int").alias("word_no"), (F.col("start") + F.length("around")).alias("start"),
+                                              "candidate", F.concat(F.lit(said), "around").alias("around")))
     return found
 
 
-def values(docs: DataFrame, word: str, head: str, pattern: str, text: str, path: str, key: str) -> DataFrame:
-    """The candidates that ``pattern`` has in its groups, but for those that
-    are runs. A match neither starts nor ends with white space, so a word's
-    number is the count of white spaces before it."""
-    spaces = lambda c: F.regexp_count(c, F.lit(SPACE))
-    groups = max(1, pattern.count("(") - pattern.count("(?"))
-    some = docs.filter(F.col(text).rlike(pattern)).select(
-        F.col(key).alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-        F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hit"), F.split(text, pattern).alias("gap"))
-    some = some.withColumn("before", F.transform("hit", lambda h, i: spaces(F.get("gap", i)) + F.when(i > 0, spaces(F.get("hit", i - 1))).otherwise(0)))
-    each = some.select("doc_id", "path", F.explode(F.transform("hit", lambda h, i: F.struct(
-        h.alias("hit"), F.aggregate(F.slice("before", 1, i + 1), F.lit(0), lambda a, n: a + n).alias("n")))).alias("x")).select("doc_id", "path", "x.*")
-    each = each.withColumn("around", F.regexp_extract("hit", f"^({head})", 1)).withColumn("candidate", F.concat(*[F.regexp_extract("hit", pattern, g + 1) for g in range(groups)]))
-    each = each.filter((F.length("candidate") >= FEWEST) & ~F.col("candidate").rlike(f"^{CANDIDATE}$"))
-    return each.select("doc_id", "path", (F.col("n") + spaces("around")).cast("int").alias("word_no"), "candidate", F.concat(F.lit(word), "around").alias("around"))
+def spaces(c: Column) -> Column:
+    """Runs of white space."""
+    return F.regexp_count(c, F.lit(SPACE))
+
+
+def hits(docs: DataFrame, pattern: str, more: Column) -> DataFrame:
+    """doc_id, row, path, hit, word_no, start and ``more`` (that
+    column) of every match of the pattern: a text is what lies between the
+    matches and the matches, in turn. A match neither starts nor ends with
+    white space, so a word's number is the count of white spaces before it."""
+    some = docs.filter(F.col("text").rlike(pattern)).select("doc_id", "row", "path", more.alias("more"), F.regexp_extract_all("text", F.lit(f"({pattern})"), 1).alias("hit"), F.split("text", pattern).alias("gap"))
+    step = F.transform("hit", lambda h, i: F.struct((spaces(F.get("gap", i)) + F.when(i > 0, spaces(F.get("hit", i - 1))).otherwise(0)).alias("words"),
+                                                    (F.length(F.get("gap", i)) + F.when(i > 0, F.length(F.get("hit", i - 1))).otherwise(0)).alias("chars")))
+    some = some.withColumn("step", step)
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("chars"))
+    each = some.select("doc_id", "row", "path", "more", F.explode(F.transform("hit", lambda h, i: F.struct(
+        h.alias("hit"), F.aggregate(F.slice("step", 1, i + 1), none, lambda a, s: F.struct((a["words"] + s["words"]).alias("words"), (a["chars"] + s["chars"]).alias("chars"))).alias("at")))).alias("x"))
+    return each.select("doc_id", "row", "path", "more", "x.hit", F.col("x.at.words").alias("word_no"), F.col("x.at.chars").alias("start"))
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,23 +146,36 @@ def classify(found: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """One row for each candidate: doc_id, path, word_no, candidate, around,
-    label, score, is_secret. ``labelled``: reviewed findings with FEATURES
-    and ``label``; by default :func:`format_labels` of the findings."""
-    found = written(format_labels(featured(candidates(docs), dictionary(docs))), "secret_findings")
+    """One row for each candidate: doc_id, row, path, word_no, start,
+    candidate, around, label, score, is_secret. ``labelled``: reviewed
+    findings with FEATURES and ``label``; by default :func:`format_labels`
+    of the findings. Candidates are written once, before their features."""
+    found = written(candidates(docs), "secret_candidates")
+    found = written(format_labels(featured(found, dictionary(docs))), "secret_findings")
     out = classify(found, found if labelled is None else labelled, sample)
-    return out.select("doc_id", "path", "word_no", "candidate", "around", "label", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
+    return out.select("doc_id", "row", "path", "word_no", "start", "candidate", "around", "label", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of ``found`` replaced in ``text`` (and
-    ``n_chars``, where there is one, set anew for those rows)."""
+    """docs with every secret of ``found`` cut out of ``text`` where it
+    stands (and ``n_chars``, where there is one, set anew for those rows).
+    Rows are joined by id and text, so rows that share an id keep their own
+    secrets; secrets that overlap leave one mark. Only rows that have a
+    candidate at all take part in the join."""
     names = docs.columns
-    marks = found.filter("is_secret").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("candidate").alias("__found"))
-    # Longest first, so that a secret inside another leaves nothing behind.
-    marks = marks.withColumn("__found", F.sort_array(F.transform("__found", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False)["s"])
-    out = docs.join(marks, docs["doc_id"].eqNullSafe(marks["__id"]), "left")
-    clean = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.aggregate("__found", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    some = reduce(Column.__or__, [F.col("text").rlike(p) for p in (CANDIDATE, *(x[2] for x in VALUES))])
+    some = F.coalesce(some, F.lit(False))
+    rest, docs = docs.filter(~some), docs.filter(some)
+    marks = found.filter("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(
+        F.sort_array(F.collect_set(F.struct(F.col("start").alias("a"), (F.col("start") + F.length("candidate")).alias("b")))).alias("__spans"))
+    out = docs.withColumn("__text", F.xxhash64("text"))
+    out = out.join(marks, out["doc_id"].eqNullSafe(marks["__id"]) & (out["__text"] == marks["__row"]), "left")
+    done = F.aggregate(
+        "__spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
+        lambda x, s: F.struct(F.when(s["a"] >= x["at"], F.concat(x["text"], F.substring(F.col("text"), x["at"] + 1, s["a"] - x["at"]), F.lit(mark))).otherwise(x["text"]).alias("text"),
+                              F.greatest(x["at"], s["b"]).alias("at")),
+        lambda x: F.concat(x["text"], F.substring(F.col("text"), x["at"] + 1, F.length("text"))))
+    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(done)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length(clean)))
-    return out.withColumn("text", clean).select(*names)
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(clean)))
+    return rest.unionByName(out.withColumn("text", clean).select(*names))

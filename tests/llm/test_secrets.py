@@ -80,7 +80,7 @@ def test_short_and_odd_credentials(spark):
     for r in secrets.candidates(docs).collect():
         got.setdefault(r.doc_id, []).append(r.candidate)
         before = cases[r.doc_id][0].split(r.candidate)[0]
-        assert r.word_no == len(re.findall("[ \t-\r]+", before))
+        assert r.word_no == len(re.findall("[ \t-\r]+", before)) and r.start == len(before)
     assert [got.get(i, []) for i in range(len(cases))] == [c for _, c in cases]
 
 
@@ -92,3 +92,24 @@ def test_planted_short_credentials_are_redacted(spark):
         rows.append((1000 + k, f"{rows[k][1]} " + ['password = "%s" x', "pwd=%s y", "secret: '%s' z", "go http://me:%s@host/x z"][k % 4] % v))
     out = {r.doc_id: r.text for r in secrets.redact(documents(spark, rows), secrets.scan(documents(spark, rows))).collect()}
     assert not [v for k, v in enumerate(odd) if v in out[1000 + k]]
+
+
+def test_redaction_cuts_where_the_secret_stands(spark):
+    """Not inside other words, and only in the row that has it."""
+    from pyspark.sql import functions as F
+
+    texts = ["password = cat5 ... cat5e cable runs to bobcat500 and cat5", 'k = "test1" # see test10 and latest12', "ümlaut😀 pwd=cat5! end", "key key-0123456789abcdef0123, key-0123456789abcdef01234"]
+    docs = documents(spark, [(1, t) for t in texts])
+    every = secrets.candidates(docs).withColumn("is_secret", F.lit(True))
+    got = sorted(r.text for r in secrets.redact(docs, every).collect())
+    assert got == sorted(["password = [SECRET] ... cat5e cable runs to bobcat500 and cat5", texts[1], "ümlaut😀 pwd=[SECRET] end", "key [SECRET], [SECRET]"])
+    # Overlapping candidates leave one mark.
+    both = documents(spark, [(1, "token=\"0123456789abcdef01 x\" y")])
+    found = secrets.candidates(both).withColumn("is_secret", F.lit(True))
+    assert found.count() == 2 and [r.text for r in secrets.redact(both, found).collect()] == ['token="[SECRET]" y']
+
+
+def test_no_limits_around_an_assignment(spark):
+    cases = ["token" + "x" * 45 + " = Zz9!q8", "password" + " " * 20 + "=" + " " * 30 + "Zz9!q8", "a" * 60 + "://me:Zz9!q8@host/"]
+    got = secrets.candidates(documents(spark, [(i, t) for i, t in enumerate(cases)])).filter("candidate = 'Zz9!q8'").collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2]
