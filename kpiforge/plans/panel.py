@@ -94,17 +94,12 @@ def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 def build_rent_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year, quarter): exact median unit price (weekly rent).
 
-    Lines are counted by (supplier, quarter, unit price) in the one scan,
-    so the join to the supplier's region moves counts, not lines."""
-    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    per = (li.select("l_suppkey", F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
-                     F.try_divide(F.col("l_extendedprice"), F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("unit_price"))
-           .groupBy("l_suppkey", "year", "quarter", "unit_price").agg(F.count(F.lit(1)).alias("n")))
-    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    rows = (per.join(supp, per.l_suppkey == supp.s_suppkey)
-            .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(F.col("n_name").alias("region"), "year", "quarter", "unit_price", "n"))
-    return exact_median(rows, ["region", "year", "quarter"], "unit_price", "rent", weight="n")
+    Lines meet their supplier's region (broadcast by Spark where it is
+    small) in two narrow scans; counts are all that moves on from there."""
+    lines = line_regions(spark, sf, "l_shipdate", "l_extendedprice", "l_quantity")
+    rows = lines.select("region", F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
+                        F.try_divide(F.col("l_extendedprice"), F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("unit_price"))
+    return exact_median(rows, ["region", "year", "quarter"], "unit_price", "rent")
 
 
 def build_month_panel(spark: SparkSession, sf: str) -> DataFrame:

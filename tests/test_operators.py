@@ -304,3 +304,22 @@ def test_ar_forecast_recovers_known_process(spark):
     for s in range(3):
         assert abs(out[("a", s + 1)] - want[s]) < 1e-6
         assert abs(out[("b", s + 1)] - (3.0 * (41 + s) + 1)) < 1e-6
+
+
+def test_exact_median_over_all_kinds_of_doubles(spark):
+    """Signs, zeros, infinities, tiny and huge numbers, weights."""
+    import math
+    import random
+    import statistics
+
+    rng = random.Random(5)
+    pool = [0.0, -0.0, 1.0, -1.0, 1e-300, -1e-300, 1e300, math.inf, -math.inf, 5.0, 5.01, 5.02]
+    rows = [(k, rng.choice([*pool, rng.uniform(-9, 9), 10 ** rng.uniform(-20, 20)]), rng.randint(1, 3)) for k in range(6) for _ in range(rng.choice([1, 2, 7, 60]))]
+    rows += [(9, 7.5, 1)] * 1000 + [(None, 2.0, 1), (None, 4.0, 3)]
+    df = spark.createDataFrame(rows, "k int, v double, w int")
+    got = {r.k: r["median"] for r in exact_median(df, ["k"], "v").collect()}
+    weighted = {r.k: r["median"] for r in exact_median(df, ["k"], "v", weight="w").collect()}
+    for k in {r[0] for r in rows}:
+        plain = statistics.median([v for j, v, _ in rows if j == k])
+        many = statistics.median([v for j, v, w in rows if j == k for _ in range(w)])
+        assert (got[k] == plain or math.isnan(plain)) and (weighted[k] == many or math.isnan(many))
