@@ -10,12 +10,13 @@ from ..functions.scalar import num
 from ..sources.tables import table
 from ..streaming.alerts import alert_key, cooldown_batch, run_cooldown_stream
 from ..session import scratch_path
-from ..streaming.incremental import KeyedTable, incremental_filter, upsert
+from ..streaming.incremental import current_rows, incremental_filter, run_upsert_stream, upsert
 from .registry import query
 
 COOLDOWN_S = 3600
 MAX_PER_RUN = 200
-STREAM_DELAY_S = 90 * 86400
+STREAM_DELAY_S = 86400
+SLICES = 4                   # files, and micro-batches, that the event log arrives in
 
 
 def severity(event_type, value):
@@ -78,14 +79,35 @@ def event_stream(spark, sf) -> DataFrame:
     return stream.parquet(f"{sf.rstrip('/')}/events.parquet")
 
 
+def landed_log(spark, sf, *cols: str) -> str:
+    """The event log as it arrives: slices of time, one after the other, each
+    in any order inside. Returns the folder."""
+    ev = table(spark, sf, "events", "event_id", "ts", *cols)
+    path = scratch_path(spark, "event-log")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(t), F.max(t)).first()
+    if lo is None:
+        ev.write.parquet(path)
+        return path
+    part = F.least(F.floor((t - lo) * SLICES / F.lit(max(1, hi - lo))), F.lit(SLICES - 1))
+    for i in range(SLICES):
+        ev.filter(part == i).repartition(F.xxhash64("event_id")).write.mode("append").parquet(path)
+    return path
+
+
 @query("alert_cooldown_stream", _REC + "\nSELECT r.alert_id, al.key, al.severity, r.sent AS dispatched FROM r JOIN al ON al.alert_id = r.alert_id")
 def alert_cooldown_stream(spark, sf):
-    """X1 streaming: the event table read as a stream, decided by
-    ``CooldownSink`` (no run cap: a stream has no run). The delay covers
-    the whole event log, so files may come in any order."""
-    stream = event_stream(spark, sf).select("event_id", "event_type", "ts", "value")
-    res = run_cooldown_stream(alerts(stream), COOLDOWN_S, delay_s=STREAM_DELAY_S)
-    return res.select("alert_id", "key", "severity", "dispatched")
+    """X1 streaming: the event log, landed in slices of time with any order
+    inside, read file by file and decided by keyed state with event-time
+    timers (no run cap: a stream has no run). The delay is a day, so all but
+    the log's last day is decided while the stream runs."""
+    path = landed_log(spark, sf, "event_type", "value")
+    schema = spark.read.parquet(path).schema
+
+    def source():
+        return alerts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path))
+
+    return run_cooldown_stream(spark, source, COOLDOWN_S, STREAM_DELAY_S).select("alert_id", "key", "severity", "dispatched")
 
 
 @query("latest_alerts", f"""WITH {_AL} SELECT alert_id, key, severity FROM al ORDER BY ts DESC, alert_id DESC LIMIT 10""")
@@ -230,16 +252,11 @@ def upsert_key(spark, sf):
 @query("upsert_stream", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
   arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id""")
 def upsert_stream(spark, sf):
-    """X3 + S16 streaming: the event log read as a file stream; every
-    micro-batch is reduced to one row per user (``max_by``) and upserted
-    into a ``KeyedTable`` (the newest event wins, whatever batch it came
-    in)."""
-    target = KeyedTable(scratch_path(spark, "upsert-target"), ["user_id"], ["ts", "event_id"])
-
-    def merge(batch, epoch_id):
-        target(_latest_per_user(batch, ["event_type", "value", "ts", "event_id"]), epoch_id)
-
-    q = (event_stream(spark, sf).writeStream.foreachBatch(merge)
-         .option("checkpointLocation", scratch_path(spark, "upsert-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return target.read(spark).select("user_id", "event_type", "value")
+    """X3 + S16 streaming: the event log read as a file stream; the newest
+    event of each user is kept by a streaming aggregation, and each
+    micro-batch writes the users that have changed."""
+    target, checkpoint = scratch_path(spark, "upsert-target"), scratch_path(spark, "upsert-ckpt")
+    stream = event_stream(spark, sf).select("user_id", "event_type", "value", "ts", "event_id")
+    run_upsert_stream(stream, ["user_id"], ["ts", "event_id"], target, checkpoint)
+    schema = stream.schema.add("epoch", "long")
+    return current_rows(spark, target, schema, ["user_id"]).select("user_id", "event_type", "value")

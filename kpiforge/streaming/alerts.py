@@ -21,25 +21,25 @@ first cooldown of a chunk can be reached from outside:
 Rows come sorted (and spilled) by Spark, tasks hold one clock or the
 alerts of one cooldown, and the work is linear in the alerts.
 
-Streaming: ``CooldownSink`` decides micro-batches by the same operator
-with the clocks of the batch before; see there.
+Streaming: a stateful processor on Spark's state store, see ``Cooldown``.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import scratch_path
 
 CHUNK = 64                   # cooldowns in a chunk
 ALWAYS = (1 << 63) - 1       # later than any time
-NEVER = -(1 << 63)
 
 
 def alert_key(stage, title, message):
@@ -145,9 +145,8 @@ def _decide(cooldown: int, names: list[str]):
     return run
 
 
-def decide(alerts: DataFrame, cooldown_s: int, clocks: DataFrame | None = None) -> DataFrame:
-    """alerts (alert_id, key, ts, severity, ...) plus ``dispatched``.
-    ``clocks``: (key, last) in microseconds of dispatches before them."""
+def decide(alerts: DataFrame, cooldown_s: int) -> DataFrame:
+    """alerts (alert_id, key, ts, severity, ...) plus ``dispatched``."""
     cooldown = cooldown_s * 1_000_000
     span = max(CHUNK * cooldown, 1_000_000)
     names = alerts.columns
@@ -156,8 +155,6 @@ def decide(alerts: DataFrame, cooldown_s: int, clocks: DataFrame | None = None)
                                "_crit": F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))})
     short = rows.select("_key", "_chunk", "_t", "_crit").repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_t")
     exits = short.mapInArrow(_exits(cooldown), "key string, chunk long, first long, last long")
-    if clocks is not None:
-        exits = exits.unionByName(clocks.select("key", F.lit(NEVER).alias("chunk"), F.lit(ALWAYS).alias("first"), "last"))
     walked = exits.repartition("key").sortWithinPartitions("key", "chunk", "first")
     clock = walked.mapInArrow(_clocks(cooldown), "key string, chunk long, clock long")
     clock = clock.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.col("clock").alias("_clock"))
@@ -181,81 +178,115 @@ def cooldown_batch(alerts: DataFrame, cooldown_s: int, max_per_run: int | None =
             .withColumn("dispatched", F.col("_in_cap")).drop("_in_cap"))
 
 
-class CooldownSink:
-    """``foreachBatch`` handler that decides every alert of a stream once.
-
-    Alerts wait until the latest event time seen is ``delay_s`` past them,
-    and are then decided in event-time order, so disorder within the delay
-    does not matter. An alert that comes later than that is *late*: it is
-    written too, marked ``late``, dispatched if CRITICAL (or if its key has
-    no clock yet), and leaves the clock alone. ``flush`` decides what still
-    waits when a bounded run has ended. No row is dropped.
-
-    Everything lives in tables under ``path``, one folder for each epoch
-    (decided, waiting, clock, frontier), written whole: a restarted handler
-    goes on from the last epoch, and a repeated epoch writes the same rows
-    again."""
-
-    COLUMNS = ["alert_id", "key", "ts", "severity"]
-
-    def __init__(self, path: str, cooldown_s: int, delay_s: int = 0):
-        self.path, self.cooldown_s, self.delay_s = path, cooldown_s, delay_s
-
-    def _read(self, spark, name: str, epoch: int) -> DataFrame | None:
+WAITING = "ids array<long>, times array<long>, severities array<string>"
+DECIDED = "alert_id long, key string, ts timestamp, severity string, dispatched boolean"
+
+
+class Cooldown(StatefulProcessor):
+    """Keyed state of a stream of alerts: the time of the key's last
+    dispatch, and the alerts that wait, by slot of event time. A slot's
+    event-time timer goes off when the watermark is past the slot's end:
+    its alerts are then complete and are decided in event-time order."""
+
+    def __init__(self, cooldown_s: int, slot_s: int):
+        self.cooldown, self.slot = cooldown_s * 1_000_000, slot_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "last long")
+        self.waiting = handle.getMapState("waiting", "slot long", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch[~batch["closing"]]
+            for slot, some in batch.groupby(batch["t"] // self.slot):
+                at = (int(slot),)
+                new = [[None if pd.isna(x) else x for x in some[c].tolist()] for c in ("alert_id", "t", "severity")]
+                new[0] = [None if x is None else int(x) for x in new[0]]
+                if self.waiting.containsKey(at):
+                    new = [[*old, *more] for old, more in zip(self.waiting.getValue(at), new)]
+                else:
+                    self.handle.registerTimer((at[0] + 1) * self.slot // 1000)
+                self.waiting.updateValue(at, tuple(new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slot - 1,)
+        alerts = sorted(zip(*self.waiting.getValue(at)), key=lambda x: (x[1], x[0] is None, x[0]))
+        self.waiting.removeKey(at)
+        last = self.clock.get()[0] if self.clock.exists() else None
+        sent = []
+        for _, t, severity in alerts:
+            sent.append(severity == "CRITICAL" or last is None or t - last >= self.cooldown)
+            if sent[-1]:
+                last = t
+        self.clock.update((last,))
+        ids, times, severities = zip(*alerts)
+        yield pd.DataFrame({"alert_id": pd.array(ids, "Int64"), "key": [key[0]] * len(ids), "ts": pd.to_datetime(list(times), unit="us", utc=True), "severity": severities, "dispatched": sent})
+
+    def close(self) -> None:
+        pass
+
+
+def decide_stream(alerts: DataFrame, cooldown_s: int, delay_s: int, slot_s: int = 3600) -> DataFrame:
+    """A stream of alerts (alert_id, key, ts, severity, and ``closing``,
+    which marks rows that only move the watermark) to decided alerts.
+
+    State is Spark's own (RocksDB state store, checkpointed with the query):
+    a restarted query goes on where it was. Alerts may be out of order by
+    ``delay_s``; Spark drops later ones and counts them in the progress of
+    the query (numRowsDroppedByWatermark). A key's alerts wait for at most
+    the delay and one slot."""
+    t = F.col("ts").cast("timestamp")
+    rows = (alerts.select("alert_id", "key", t.alias("ts"), "severity", "closing", F.unix_micros(t).alias("t"))
+            .withWatermark("ts", f"{delay_s} seconds"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Cooldown(cooldown_s, slot_s), outputStructType=DECIDED, outputMode="Append", timeMode="EventTime")
+
+
+class CooldownStream:
+    """A cooldown query over a file stream with its checkpoint and its
+    output, both folders; ``run`` takes what has come so far. ``close``
+    ends a bounded log: one row from a second source moves the watermark
+    past everything, so all alerts that still wait are decided."""
+
+    def __init__(self, spark, source, cooldown_s: int, delay_s: int):
+        self.spark, self.source, self.cooldown_s, self.delay_s = spark, source, cooldown_s, delay_s
+        self.out, self.checkpoint, self.ends = (scratch_path(spark, f"alert-{x}") for x in ("decided", "checkpoint", "ends"))
+        self._end(None)
+
+    def _end(self, ts: str | None) -> None:
+        row = self.spark.range(1).select(F.lit(ts).cast("timestamp").alias("ts"))
+        row.filter(F.col("ts").isNotNull()).write.mode("append").parquet(self.ends)
+
+    def run(self) -> None:
+        spark = self.spark
+        ends = spark.readStream.schema("ts timestamp").parquet(self.ends)
+        ends = ends.select(F.lit(None).cast("long").alias("alert_id"), F.lit(None).cast("string").alias("key"), "ts", F.lit(None).cast("string").alias("severity"), F.lit(True).alias("closing"))
+        rows = self.source().select("alert_id", "key", F.col("ts").cast("timestamp").alias("ts"), "severity", F.lit(False).alias("closing"))
+        decided = decide_stream(rows.unionByName(ends), self.cooldown_s, self.delay_s)
+        provider = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(provider)
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")   # timers need it
         try:
-            return spark.read.parquet(f"{self.path}/{name}/{epoch}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        self._step(batch.sparkSession, batch.select(*self.COLUMNS), epoch, False)
-
-    def flush(self, spark) -> None:
-        """Decide all waiting alerts after the last epoch."""
-        epoch = 0
-        while self._read(spark, "frontier", epoch) is not None:
-            epoch += 1
-        if epoch:
-            self._step(spark, None, epoch, True)
-
-    def result(self, spark) -> DataFrame:
-        """All decided alerts."""
-        return spark.read.parquet(f"{self.path}/decided/*")
-
-    def _step(self, spark, batch: DataFrame | None, epoch: int, last: bool) -> None:
-        waiting, clock, frontier = (self._read(spark, n, epoch - 1) for n in ("waiting", "clock", "frontier"))
-        seen = frontier.first()[0] if frontier is not None else NEVER
-        rows = batch if waiting is None else waiting if batch is None else waiting.unionByName(batch)
-        t = F.unix_micros(F.col("ts").cast("timestamp"))
-        newest = rows.agg(F.max(t)).first()[0]
-        now = ALWAYS if last else seen if newest is None else max(seen, newest - self.delay_s * 1_000_000)
-        late = (t <= F.lit(seen)) & F.col("_clocked")
-        known = None if clock is None else clock.select(F.col("key").alias("_ck"), F.lit(True).alias("_clocked"))
-        rows = (rows.withColumn("_clocked", F.lit(False)) if known is None else
-                rows.join(known, F.col("key").eqNullSafe(F.col("_ck")), "left").withColumn("_clocked", F.coalesce("_clocked", F.lit(False))))
-        rows = rows.select(*self.COLUMNS, late.alias("late"), (t <= F.lit(now)).alias("_ready"))
-        ready = rows.filter("_ready AND NOT late").select(*self.COLUMNS, (t <= F.lit(seen)).alias("late"))
-        decided = decide(ready, self.cooldown_s, clock)
-        decided = decided.unionByName(rows.filter("late").select(*self.COLUMNS, "late", (F.col("severity") == "CRITICAL").alias("dispatched")))
-        out = f"{self.path}/decided/{epoch}"
-        decided.write.mode("overwrite").parquet(out)
-        rows.filter("NOT _ready AND NOT late").select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.path}/waiting/{epoch}")
-        stamped = spark.read.schema(decided.schema).parquet(out).filter("dispatched").select("key", t.alias("last"))
-        if clock is not None:
-            stamped = stamped.unionByName(clock)
-        stamped.groupBy("key").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{self.path}/clock/{epoch}")
-        spark.createDataFrame([(now,)], "frontier long").write.mode("overwrite").parquet(f"{self.path}/frontier/{epoch}")
-
-
-def run_cooldown_stream(stream: DataFrame, cooldown_s: int, delay_s: int = 0) -> DataFrame:
-    """Run a bounded stream of alerts to its end; all alerts with
-    ``dispatched`` and ``late``."""
-    spark = stream.sparkSession
-    sink = CooldownSink(scratch_path(spark, "alert-cooldown"), cooldown_s, delay_s)
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "alert-cooldown-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    sink.flush(spark)
-    return sink.result(spark)
+            query = decided.writeStream.format("parquet").option("path", self.out).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            spark.conf.set(provider, before)
+
+    def close(self) -> None:
+        self._end("2200-01-01 00:00:00")      # pandas ends in 2262
+        self.run()
+
+    def result(self) -> DataFrame:
+        """All alerts decided so far."""
+        return self.spark.read.schema(DECIDED).parquet(self.out)
+
+
+def run_cooldown_stream(spark, source, cooldown_s: int, delay_s: int = 0) -> DataFrame:
+    """Runs a bounded stream of alerts to its end; ``source()`` makes it
+    (alert_id, key, ts, severity). All alerts with ``dispatched``."""
+    stream = CooldownStream(spark, source, cooldown_s, delay_s)
+    stream.run()
+    stream.close()
+    return stream.result()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,55 +26,29 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order_col: str | None
     return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch")
 
 
-class KeyedTable:
-    """``foreachBatch`` handler that keeps a Parquet table with one row for
-    each key: the row with the greatest ``order`` columns, whatever batch
-    it came in.
+def latest_stream(stream: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each key (greatest ``order`` columns), as Spark's
+    streaming aggregation keeps it in the state store. In update mode every
+    micro-batch yields the keys that have changed."""
+    row = F.struct(*[c for c in stream.columns if c not in key])
+    return stream.groupBy(*key).agg(F.max_by(row, F.struct(*order)).alias("_row")).select(*key, "_row.*")
 
-    Rows are dealt to ``parts`` folders by the key's hash. An epoch writes
-    new folders for the parts it touches only, then a manifest (part, path)
-    of all current folders; the manifest is the commit. Readers and
-    restarted handlers take the last manifest, an epoch that has one is
-    not applied again, and folders of a failed epoch are overwritten."""
 
-    def __init__(self, path: str, key: list[str], order: list[str], parts: int = 32):
-        self.path, self.key, self.order, self.parts = path, key, order, parts
+def run_upsert_stream(stream: DataFrame, key: list[str], order: list[str], target: str, checkpoint: str) -> None:
+    """Runs the stream over what has come so far. Each epoch's changed keys
+    are one partition of ``target``, overwritten when an epoch is repeated
+    (dynamic partition overwrite), so every change is there once."""
+    def put(batch: DataFrame, epoch: int) -> None:
+        (batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(target))
 
-    def _manifest(self, spark) -> tuple[int, dict[int, str]]:
-        """Last epoch and its folders (at most ``parts`` rows)."""
-        try:
-            m = spark.read.schema("part int, folder string, epoch long").parquet(f"{self.path}/manifest")
-            last = m.agg(F.max("epoch")).first()[0]
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            last = None
-        if last is None:
-            return -1, {}
-        return last, {r["part"]: r["folder"] for r in m.filter(F.col("epoch") == last).collect() if r["folder"]}
+    query = (latest_stream(stream, key, order).writeStream.outputMode("update").foreachBatch(put)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
 
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last, folders = self._manifest(spark)
-        if epoch <= last:
-            return
-        new = batch.withColumn("_part", F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")).persist()
-        touched = [r[0] for r in new.select("_part").distinct().collect()]
-        merged = new
-        old = [folders[p] for p in touched if p in folders]
-        if old:
-            merged = merged.unionByName(spark.read.option("basePath", f"{self.path}/data").parquet(*old).drop("epoch", "part")
-                                        .withColumn("_part", F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")), allowMissingColumns=True)
-        rows = F.struct(*[c for c in merged.columns if c not in (*self.key, "_part")])
-        out = merged.groupBy(*self.key, "_part").agg(F.max_by(rows, F.struct(*self.order)).alias("_r")).select(*self.key, "_r.*", F.col("_part").alias("part"))
-        out.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/epoch={epoch}")
-        new.unpersist()
-        folders |= {p: f"{self.path}/data/epoch={epoch}/part={p}" for p in touched}
-        spark.createDataFrame(list(folders.items()) or [(0, None)], "part int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/epoch={epoch}")
 
-    def read(self, spark) -> DataFrame:
-        """The current rows."""
-        _, folders = self._manifest(spark)
-        if not folders:
-            raise ValueError(f"no epoch has been written to {self.path}")
-        return spark.read.option("basePath", f"{self.path}/data").parquet(*folders.values()).drop("epoch", "part")
+def current_rows(spark, target: str, schema, key: list[str]) -> DataFrame:
+    """The upserted table: of each key the row of its last epoch."""
+    rows = spark.read.schema(schema).parquet(target)
+    last = F.struct(*[c for c in rows.columns if c not in (*key, "epoch")])
+    return rows.groupBy(*key).agg(F.max_by(last, "epoch").alias("_row")).select(*key, "_row.*")

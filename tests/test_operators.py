@@ -185,54 +185,71 @@ def _batch(spark, rows):
     return spark.createDataFrame([(i, k, base + dt.timedelta(seconds=s), sev) for i, k, s, sev in rows], ALERTS)
 
 
-def test_streaming_cooldown_loses_nothing(spark, tmp_path):
-    """Out of order within the delay: event-time order decides. Late rows,
-    rows exactly at the frontier and rows that still wait at the end are
-    all written once; a repeated epoch and a new handler change nothing."""
-    from kpiforge.streaming.alerts import CooldownSink
-
-    epochs = [[(1, "k", 0, "ERROR"), (2, "k", 3700, "ERROR")],
-              [(3, "k", 3650, "CRITICAL")],                                         # earlier than 2, within the delay
-              [(4, "other", 30000, "INFO"), (5, "k", 30000 - 7200, "ERROR")],        # 5 is exactly at the frontier
-              [(6, "k", 100, "ERROR"), (7, "k", 200, "CRITICAL"), (8, "new", 50, "INFO")],   # late
-              [(9, "k", 30050, "ERROR"), (10, "k", 30060, "ERROR")]]                 # still wait at the end
-    path = str(tmp_path / "sink")
-    for n, rows in enumerate(epochs):
-        CooldownSink(path, 3600, delay_s=7200)(_batch(spark, rows), n)              # a restart for each epoch
-        if n == 3:
-            CooldownSink(path, 3600, delay_s=7200)(_batch(spark, rows), n)
-    sink = CooldownSink(path, 3600, delay_s=7200)
-    sink.flush(spark)
-    sink.flush(spark)
-    got = sorted((r.alert_id, r.dispatched, r.late) for r in sink.result(spark).collect())
-    assert got == [(1, True, False), (2, False, False), (3, True, False), (4, True, False), (5, True, False),
-                   (6, False, True), (7, True, True), (8, True, True), (9, True, False), (10, False, False)]
+def test_cooldown_stream_decides_as_it_runs(spark, tmp_path):
+    """Slices of disordered alerts, a query restarted for each: the same
+    decisions as the batch operator, most of them before the end."""
+    import random
+
+    from kpiforge.streaming.alerts import CooldownStream
+
+    rng = random.Random(3)
+    times = sorted(rng.randrange(6 * 86400) for _ in range(600))
+    rows = [(i, rng.choice(["a", "b", None]), t, rng.choice(["INFO", "ERROR", "CRITICAL", None])) for i, t in enumerate(times)]
+    schema = "alert_id long, key string, ts timestamp, severity string"
+    folder = str(tmp_path / "log")
+    stream = CooldownStream(spark, lambda: spark.readStream.schema(schema).parquet(folder), 3600, delay_s=7200)
+    before = 0
+    for k in range(3):
+        part = rows[200 * k:200 * k + 200]
+        rng.shuffle(part)
+        _batch(spark, part).repartition(2).write.mode("append").parquet(folder)
+        stream.run()                                   # a new query on the same checkpoint
+        decided = stream.result().count()
+        assert decided > before
+        before = decided
+    stream.run()                                       # nothing new: nothing is decided twice
+    assert before == stream.result().count() and before > 500
+    stream.close()
+    got = {r.alert_id: (r.key, r.severity, r.dispatched) for r in stream.result().collect()}
+    want = {r.alert_id: (r.key, r.severity, r.dispatched) for r in cooldown_batch(_batch(spark, rows), 3600).collect()}
+    assert len(got) == stream.result().count() and got == want
 
 
 def test_streaming_queries_read_a_folder(spark, tmp_path):
-    """The event table as several part files gives the batch answers."""
     from kpiforge.plans import q_monitor
-    from tests.conftest import SF
 
-    ev = spark.read.parquet(f"{SF}/events.parquet")
-    ev.repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     sf = str(tmp_path)
-    pick = lambda df: sorted(tuple(r) for r in df.collect())
-    assert pick(q_monitor.alert_cooldown_stream(spark, sf)) == pick(
-        cooldown_batch(q_monitor.alerts(ev), q_monitor.COOLDOWN_S).select("alert_id", "key", "severity", "dispatched"))
+    ev.repartition(3).write.parquet(f"{sf}/events.parquet")
+    pick = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = cooldown_batch(q_monitor.alerts(ev), q_monitor.COOLDOWN_S).select("alert_id", "key", "severity", "dispatched")
+    assert pick(q_monitor.alert_cooldown_stream(spark, sf)) == pick(want)
     assert pick(q_monitor.upsert_stream(spark, sf)) == pick(q_monitor._latest_per_user(ev, ["event_type", "value"]))
 
 
-def test_keyed_table_restart_repeat_and_order(spark, tmp_path):
-    from kpiforge.streaming.incremental import KeyedTable
-
-    rows = [[(1, "a", 10), (2, "b", 10)], [(1, "old", 5), (3, "c", 1)], [(2, "newer", 20)]]
-    for epoch, r in enumerate(rows):
-        df = spark.createDataFrame(r, "k long, v string, at long")
-        for _ in range(2):                                                         # each epoch twice, by new handlers
-            KeyedTable(str(tmp_path / "t"), ["k"], ["at"], parts=4)(df, epoch)
-    got = sorted(tuple(r) for r in KeyedTable(str(tmp_path / "t"), ["k"], ["at"]).read(spark).select("k", "v", "at").collect())
-    assert got == [(1, "a", 10), (2, "newer", 20), (3, "c", 1)]
+def test_upsert_stream_restart_and_repeated_epoch(spark, tmp_path):
+    """Late and repeated rows, a restart, an epoch written twice."""
+    from kpiforge.streaming.incremental import current_rows, run_upsert_stream
+
+    schema = "k string, v int, at int"
+    log, target, checkpoint = (str(tmp_path / x) for x in ("log", "target", "checkpoint"))
+    files = [[("a", 1, 1), ("b", 1, 5), ("b", 0, 2), (None, 7, 1)], [("a", 2, 3), ("c", 1, 1)], [("b", 9, 4), ("a", 3, 9), (None, 8, 2)]]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        run_upsert_stream(spark.readStream.schema(schema).parquet(log), ["k"], ["at"], target, checkpoint)
+    names = spark.read.parquet(target).schema
+    want = [("a", 3, 9), ("b", 1, 5), ("c", 1, 1), (None, 8, 2)]
+    pick = lambda: sorted((tuple(r) for r in current_rows(spark, target, names, ["k"]).select("k", "v", "at").collect()), key=str)
+    assert pick() == sorted(want, key=str)
+    # The last epoch's commit is lost: the restarted query writes it again.
+    import os
+
+    last = max(int(x) for x in os.listdir(f"{checkpoint}/commits") if x.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{checkpoint}/commits/{name}")
+    count = spark.read.parquet(target).count()
+    run_upsert_stream(spark.readStream.schema(schema).parquet(log), ["k"], ["at"], target, checkpoint)
+    assert pick() == sorted(want, key=str) and spark.read.parquet(target).count() == count
 
 
 def test_exact_median_of_one_repeated_value(spark):
