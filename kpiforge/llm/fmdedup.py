@@ -275,7 +275,7 @@ def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
     while step <= longest and rank.max() < n - 1:
         key = rank * (n + 1)
         key[:n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
@@ -296,21 +296,6 @@ def suffix_order(text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
     return order, np.concatenate(([0], border)) if n else border
 
 
-def enclosing(border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the last place before and the first behind it with a
-    smaller border (n: none behind)."""
-    values = border.tolist()
-    n = len(values)
-    before, behind, stack = [0] * n, [n] * n, []
-    for i, x in enumerate(values):
-        while stack and values[stack[-1]] > x:
-            behind[stack.pop()] = i
-        j = stack[-1] if stack else -1
-        before[i] = before[j] if j >= 0 and values[j] == x else max(j, 0)
-        stack.append(i)
-    return np.array(before, np.int64), np.array(behind, np.int64)
-
-
 class LeastBelow:
     """Least number of any range, from the least of all ranges of a power of
     two."""
@@ -326,6 +311,16 @@ class LeastBelow:
             self.flat[i, :len(t)] = t
         self.table = None
 
+    def reach(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last place up to ``lo`` and the first from ``hi`` on with a
+        number below ``depth`` (both ends of the table have one)."""
+        n = self.flat.shape[1]
+        for level in range(len(self.flat) - 1, -1, -1):
+            size, t = 1 << level, self.flat[level]
+            lo = np.where((lo + 1 >= size) & (t[np.maximum(lo + 1 - size, 0)] >= depth), lo - size, lo)
+            hi = np.where((hi + size <= n) & (t[np.minimum(hi, n - size)] >= depth), hi + size, hi)
+        return lo, hi
+
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         level = (np.frexp((hi - lo).astype(np.float64))[1] - 1).astype(np.int64)
         return np.minimum(self.flat[level, lo], self.flat[level, hi - (1 << level)])
@@ -362,7 +357,7 @@ class ShardIndex:
         self.start = np.empty(len(reverse), np.int64)
         self.start[by] = np.concatenate(([0], np.cumsum(count[by])[:-1]))
         self.border = np.append(border, 0)
-        self.before, self.behind = enclosing(border)
+        self.borders = LeastBelow(self.border)
         self.least = LeastBelow(np.repeat(owner, sizes + 1)[order])
 
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,13 +367,9 @@ class ShardIndex:
 
     def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The enclosing interval of the suffix tree, and its depth."""
-        a, b = self.border[lo], self.border[hi]
-        depth = np.maximum(a, b)
-        wide = np.append(self.behind, self.n)
-        lo = np.where(a == depth, self.before[lo], lo)
-        hi = np.where((b == depth) & (hi < self.n), wide[np.minimum(hi, self.n)], hi)
-        top = depth == 0
-        return np.where(top, 0, lo), np.where(top, self.n, hi), depth
+        depth = np.maximum(self.border[lo], self.border[hi])
+        lo, hi = self.borders.reach(lo, hi, depth)
+        return np.where(depth == 0, 0, lo), np.where(depth == 0, self.n, hi), depth
 
     def statistics(self, segments: list[np.ndarray], owner: np.ndarray, most: int):
         """Streams segments backwards; yields (lanes, place, length): at each
@@ -408,24 +399,31 @@ class ShardIndex:
             yield lanes, sizes[lanes] - back, length[lanes]
 
 
-def repeated(segments: list[np.ndarray], content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def repeated(segments: list[np.ndarray], anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each (segment, document) of a shard the windows that a smaller
     document has, as bits from the first window on. Equal contents are equal
-    segments."""
+    segments. The least document of an anchor is not streamed: its windows
+    can only be in segments of that anchor."""
     distinct, first, which = np.unique(content, return_index=True, return_inverse=True)
     docs, rank = np.unique(doc, return_inverse=True)
     least = np.full(len(distinct), len(docs), np.int64)
     np.minimum.at(least, which, rank)
     own = [segments[i] for i in first]
-    index = ShardIndex(own, least)
     # One lane for each content and document; rows of one document share it.
-    lane, back = np.unique(which * len(docs) + rank, return_inverse=True)
-    bits = np.zeros(len(lane), np.int64)
-    most = max(len(s) for s in own)
-    for at, place, length in index.statistics([own[i] for i in lane // len(docs)], lane % len(docs), most):
-        hit = length >= WINDOW
-        bits[at[hit]] |= np.int64(1) << place[hit]
-    return bits[back]
+    groups, group = np.unique(anchor, return_inverse=True)
+    lowest = np.full(len(groups), len(docs), np.int64)
+    np.minimum.at(lowest, group, rank)
+    bits = np.zeros(len(segments), np.int64)
+    rest = np.flatnonzero(rank > lowest[group])
+    if len(rest):
+        lane, back = np.unique(which[rest] * len(docs) + rank[rest], return_inverse=True)
+        mine = np.zeros(len(lane), np.int64)
+        index = ShardIndex(own, least)
+        for at, place, length in index.statistics([own[i] for i in lane // len(docs)], lane % len(docs), max(len(s) for s in own)):
+            hit = length >= WINDOW
+            mine[at[hit]] |= np.int64(1) << place[hit]
+        bits[rest] = mine[back]
+    return bits
 
 
 # ---- step 3 on Spark --------------------------------------------------------------------
@@ -479,10 +477,10 @@ def repeated_windows(marked: DataFrame, frequent, flush: int = 60_000, shard: in
                 wide = np.zeros((len(s) // 6, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
                 segments.append(wide.view("<u8").ravel())
-            content = np.array(content)
-            bits = repeated(segments, content, np.array(doc))
+            anchor, content = np.array(anchor), np.array(content)
+            bits = repeated(segments, anchor, content, np.array(doc))
             hit = np.flatnonzero(bits)
-            key = unit_key(np.array(anchor).view(_U), content.view(_U))
+            key = unit_key(anchor.view(_U), content.view(_U))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(doc)[hit]), pa.array(np.array(row)[hit]), _signed(key[hit]), pa.array(bits[hit])], names=["doc", "row", "unit", "bits"])
 
         for b in batches:
