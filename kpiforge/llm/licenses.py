@@ -6,6 +6,13 @@ known licence-sentence identifiers; the sequence of identifiers in a text
 is matched against ordered rules, longest first, and the identifiers a
 rule has used are taken out before the next rule.
 
+Where a text is cut: a full stop or question mark before white space (not
+after "v" before a number) and a blank line always end a sentence. A line
+end, colon or semicolon may end one or stand inside one, so hard-wrapped
+notices and "free software: you can ..." are found as well as sentences
+that are a line of their own. Comment signs (``*``, ``#``, ``//``) before a
+line are no words and fall away.
+
 DataFrame functions only. Texts without any of the anchor words that
 every known sentence has are not cut. The two tables are fixed and small.
 
@@ -86,7 +93,20 @@ RULES = [
 ]
 #: Every known sentence has one of these.
 ANCHORS = ["licen", "permission", "copyright", "warranty", "redistribut", "software"]
-SENTENCE_END = r"[.;:?][^A-Za-z0-9\s]*\s+|\n+"
+#: (pattern, replacement) in order: lower-cased text to words with one blank
+#: between, "\n" where a sentence may end and "|" where it must. Both marks
+#: are doubled, so that neighbours have one each.
+MARKS = [
+    (r"(^|[^a-z0-9])v\.[^a-z0-9]*([0-9])", r"{1}v {2}"), (r"[^a-z0-9.?;:\n]+", " "),
+    (r"[.?][.?;:]*", "."), ("[;:]+", ":"), (r"\.[ \n]", "|"), (r" ?\n ?", "\n"), (r"\n\n+", "|"), (r":[ \n]", "\n"),
+    ("[.:]", " "), (" +", " "), (r" ?([\n|]) ?", "{1}"), (r"\|[\n|]*", "|"), (r"\n+", "\n"), (r"([\n|])", "{1}{1}"),
+]
+
+
+def phrases(sentences) -> str:
+    """Pattern of any known sentence between two marks, longest first."""
+    known = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
+    return r"[\n|](" + "|".join(s.replace(" ", r"(?: |\n\n)") for s in known) + r")[\n|]"
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences=SENTENCES, rules=RULES, anchors=ANCHORS) -> DataFrame:
@@ -97,8 +117,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences=SEN
     if bad:
         raise ValueError(f"sentences without an anchor word: {bad}")
     known = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    ids = F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.when(F.lower(s).rlike("|".join(anchors)), F.try_element_at(known, plain(s)))), lambda x: x.isNotNull())
+    marked = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1].format("", "$1", "$2")), MARKS, F.concat(F.lower(text), F.lit(" ")))
+    found = F.regexp_extract_all(F.concat(F.lit("||"), F.trim(marked), F.lit("||")), F.lit(phrases(sentences)), F.lit(1))
+    ids = F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit("\n\n"), F.lit(" "))))
     ids = F.when(F.lower(text).rlike("|".join(anchors)), F.array_join(ids, " ")).otherwise(F.lit(""))
     out = docs.select(F.col(key), ids.alias("sentence_ids")).withColumn("left", F.concat(F.lit(" "), F.replace("sentence_ids", F.lit(" "), F.lit("  ")), F.lit(" ")))
     hits = []
@@ -115,13 +136,15 @@ def sql(sentences=SENTENCES, rules=RULES) -> str:
     """The same scan of ``documents`` in DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for i, s in sentences)
+    marked = reduce(lambda e, r: f"regexp_replace({e}, {quote(r[0])}, {quote(r[1].format('', chr(92) + '1', chr(92) + '2'))}, 'g')", MARKS, "lower(text) || ' '")
+    anchored = " OR ".join(f"contains(lower(text), {quote(a)})" for a in ANCHORS)
     left = reduce(lambda e, r: f"replace({e}, {quote(' ' + '  '.join(r[1]) + ' ')}, {quote(' |' + r[0] + '| ')})", rules, "' ' || replace(sentence_ids, ' ', '  ') || ' '")
     hits = ", ".join(f"CASE WHEN contains(l, {quote('|' + r[0] + '|')}) THEN {quote(r[0])} END" for r in rules)
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT r, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT r, regexp_split_to_array(text, '[.;:?][^A-Za-z0-9\\s]*\\s+|\\n+') AS p FROM cut)),
-m AS (SELECT r, i, id FROM s JOIN known ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = sentence),
+s AS (SELECT r, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT r, regexp_extract_all('||' || trim({marked}) || '||', {quote(phrases(sentences))}, 1) AS p FROM cut WHERE {anchored})),
+m AS (SELECT r, i, id FROM s JOIN known ON replace(s, chr(10) || chr(10), ' ') = sentence),
 g AS (SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY i), '') AS sentence_ids FROM cut LEFT JOIN m USING (r) GROUP BY r, doc_id),
 x AS (SELECT doc_id, sentence_ids, {left} AS l FROM g),
 y AS (SELECT doc_id, sentence_ids, l, list_filter([{hits}], lambda n: n IS NOT NULL) AS n FROM x)
