@@ -17,6 +17,10 @@ also occurs in an item: outside of them the matched length is below two
 and no window can end, so skipping them changes nothing. The pair test is
 vectorised.
 
+Documents of which a share of words is hit are contaminated. Out of the
+others :func:`clean` cuts the hit spans of at least ``length`` words; what
+is hit by shorter whole items only may be a common phrase and stays.
+
 Nulls and empty texts have no words (and hit nothing); items without
 words have no window; repeated items and rows are kept as given (items
 count once per id); empty tables give empty results or no hits.
@@ -24,6 +28,8 @@ count once per id); empty tables give empty results or no hits.
 
 from __future__ import annotations
 
+import re
+from fractions import Fraction
 from functools import reduce
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiforge.llm.common import slices
+from kpiforge.llm.common import slices, written
 
 #: A-Z lower-cased, every byte that is no word byte a blank; bytes from 0x80 are word bytes.
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -189,12 +195,31 @@ def merge(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-
-
-def _find(automaton, key_fields, text: str = "text"):
+CUT = FOUND + ", cut string"
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def without(text: str | None, spans: list[dict], length: int) -> str | None:
+    """The text without those spans of ``length`` words or more, from their
+    first word's start to their last word's end; None if there are none."""
+    spans = [s for s in spans if s["end"] - s["start"] >= length]
+    if not spans:
+        return None
+    raw = text.encode()
+    at = [m.span() for m in _WORD.finditer(raw)]
+    keep, pos = [], 0
+    for s in spans:
+        keep.append(raw[pos:at[s["start"]][0]])
+        pos = at[s["end"] - 1][1]
+    return b"".join([*keep, raw[pos:]]).decode()
+
+
+def _find(automaton, key_fields, text: str = "text", cut: int | None = None):
     """Map function: for each document its word count, its hit word spans
-    (merged, half open) and the items found, after the ``key_fields``."""
-    names = [*key_fields.names, "n_words", "spans", "items"]
+    (merged, half open) and the items found, after the ``key_fields``;
+    with ``cut`` also the text without spans of that many words (null
+    where there are none)."""
+    names = [*key_fields.names, "n_words", "spans", "items", *(["cut"] if cut else [])]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -219,7 +244,12 @@ def _find(automaton, key_fields, text: str = "text"):
                     items[d].update(which)
             spans = [merge(x) for x in spans]
             cols = [piece.column(piece.schema.get_field_index(n)) for n in key_fields.names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, span_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=names)
+            if cut:
+                whole = piece.column(piece.schema.get_field_index(text))
+                rest = [pa.array([without(whole[i].as_py(), x, cut) if x else None for i, x in enumerate(spans)], pa.string())]
+            else:
+                rest = []
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lens, pa.int64()), pa.array(spans, span_type), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *rest], names=names)
 
     return run
 
@@ -254,52 +284,54 @@ def _found(docs: DataFrame, held: list, key: str) -> DataFrame:
 
 def judged(found: DataFrame, coverage: float = 0.05, min_hit: int = 1) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated: at least
-    ``min_hit`` words and the share ``coverage`` of all words are hit."""
+    ``min_hit`` words and the share ``coverage`` (to nine digits) of all
+    words are hit. The share is compared in whole numbers."""
+    share = Fraction(coverage).limit_denominator(10**9)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    share = round(1 / coverage)
+    enough = F.col("n_hit").cast("decimal(20)") * F.lit(share.denominator).cast("decimal(10)") >= F.col("n_words").cast("decimal(20)") * F.lit(share.numerator).cast("decimal(10)")
     return (found.withColumn("n_hit", n_hit)
             .withColumn("n_items", F.size("items").cast("long"))
             .withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256))
-            .withColumn("contaminated", (F.col("n_hit") >= min_hit) & (F.col("n_hit") * share >= F.col("n_words"))))
+            .withColumn("contaminated", (F.col("n_hit") >= min_hit) & enough))
 
 
-def cut_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with the hit words (first word's start to last word's end) cut
-    out of ``text``. ``key`` must be unique in docs."""
+def cut_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", length: int = 1) -> DataFrame:
+    """docs with the hit spans of at least ``length`` words cut out of
+    ``text``. ``key`` must be unique in docs."""
     schema = docs.schema
 
     def run(batches):
-        import re
-
-        word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             for i, spans in enumerate(batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
-                if spans and texts[i]:
-                    raw = texts[i].encode()
-                    at = [m.span() for m in word.finditer(raw)]
-                    keep, pos = [], 0
-                    for s in spans:
-                        keep.append(raw[pos:at[s["start"]][0]])
-                        pos = at[s["end"] - 1][1]
-                    texts[i] = b"".join([*keep, raw[pos:]]).decode()
+                cut = without(texts[i], spans or [], length)
+                texts[i] = texts[i] if cut is None else cut
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__spans"], names=schema.names)
 
     return docs.join(found.select(key, F.col("spans").alias("__spans")), key, "left").select(*schema.names, "__spans").mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.05, min_hit: int = 1, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """The rows of docs that are not contaminated, in one map (with several
-    blocks of items: by a join on id and text digest)."""
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.05, min_hit: int = 1, window: int = 13, length: int = 13, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs that are not contaminated; hit spans of ``length``
+    words or more are cut out of their texts (``n_chars``, where there is
+    one, is set anew for those rows). One map; with several blocks of items
+    a join on id and text digest."""
     held = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
     names = docs.columns
     if len(held) == 1:
         own = docs.select(*[F.col(c).alias(f"__{c}") for c in names])
-        found = own.mapInArrow(_find(held[0], own.schema, "__text"), T.StructType([*own.schema.fields, *T._parse_datatype_string(FOUND).fields]))
-        return judged(found, coverage, min_hit).filter("NOT contaminated").select(*[F.col(f"__{c}").alias(c) for c in names])
+        found = own.mapInArrow(_find(held[0], own.schema, "__text", length), T.StructType([*own.schema.fields, *T._parse_datatype_string(CUT).fields]))
+        new = {"text": F.coalesce("cut", "__text"), "n_chars": F.when(F.col("cut").isNull(), F.col("__n_chars")).otherwise(F.length("cut"))}
+        return judged(found, coverage, min_hit).filter("NOT contaminated").select(*[new.get(c, F.col(f"__{c}")).cast(docs.schema[c].dataType).alias(c) for c in names])
     own = docs.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
-    bad = judged(_found(own.select("__key", "text"), held, "__key"), coverage, min_hit).filter("contaminated").select("__key").distinct()
-    return own.join(bad, "__key", "left_anti").select(*names)
+    hit = judged(_found(own.select("__key", "text"), held, "__key"), coverage, min_hit).filter("n_hit > 0").dropDuplicates(["__key"])
+    hit = written(hit.select("__key", "spans", "contaminated"), "decontam_hits")
+    rest = own.join(hit.filter("contaminated"), "__key", "left_anti").select(*own.columns)
+    out = cut_spans(rest.withColumn("__old", F.length("text")), hit.filter("NOT contaminated"), "__key", length)
+    if "n_chars" in names:
+        changed = F.length("text") != F.col("__old")
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*names)
 
 
 def sql(window: int = 13, coverage: int = 20) -> str:

@@ -4,8 +4,9 @@ Documents become token pieces of at most ``max_len``; pieces of a length
 are interchangeable, so packing is decided on the histogram of lengths
 (at most ``max_len`` numbers): all patterns of up to three lengths that
 fill a sequence exactly are enumerated, non-negative least squares fits
-how often each is used, the counts are rounded, and what is left is packed
-best-fit-decreasing, again on the histogram.
+how often each is used, the counts are rounded (from several fractions on,
+the shortest plan is taken), and what is left is packed
+best-fit-decreasing or by fullest subset sums, again on the histogram.
 
 The plan is then dealt to the pieces: each piece gets its rank among the
 pieces of its length, and an interval table (bounded by the number of
@@ -34,6 +35,8 @@ from pyspark.sql import types as T
 from kpiforge.llm.common import slices, written
 
 END_ID = 2
+#: Fractions of a repeat count that are tried as the least to be rounded up; the shortest plan is taken.
+ROUND_FROM = (0.5, 0.3, 0.15, 0.05)
 SPECIAL = "<|endoftext|>"
 
 
@@ -218,39 +221,39 @@ def solve(histogram: dict[int, int], max_len: int) -> Plan:
         uses.append(((max_len,), int(left[max_len])))
         left[max_len] = 0
     pat = patterns(np.flatnonzero(left), max_len)
-    if len(pat):
-        x = nnls(pat, left.astype(float))
-        n = np.floor(x + 0.5).astype(np.int64)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
-                break
-            lengths, times = np.unique(pat[i][pat[i] > 0], return_counts=True)
-            k = int(min(n[i], (left[lengths] // times).min()))
-            if k > 0:
-                uses.append((tuple(int(v) for v in pat[i] if v), k))
-                left[lengths] -= k * times
-    uses += best_fit(left, max_len)
-    return Plan(uses)
-
-
-def best_fit(left: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]]:
+    x = nnls(pat, left.astype(float)) if len(pat) else np.zeros(0)
+    plans = [rounded(pat, x, left, least, max_len, fullest) for least in ROUND_FROM for fullest in (False, True)]
+    return Plan(uses + min(plans, key=lambda u: sum(n for _, n in u)))
+
+
+def rounded(pat: np.ndarray, x: np.ndarray, left: np.ndarray, least: float, max_len: int, fullest: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns by falling repeat counts, rounded up from a fraction of
+    ``least``, as far as there are pieces for them; then the rest."""
+    left, uses = left.copy(), []
+    n = np.floor(x + 1 - least).astype(np.int64)
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] < least:
+            break
+        lengths, times = np.unique(pat[i][pat[i] > 0], return_counts=True)
+        k = int(min(n[i], (left[lengths] // times).min()))
+        if k > 0:
+            uses.append((tuple(int(v) for v in pat[i] if v), k))
+            left[lengths] -= k * times
+    return uses + best_fit(left, max_len, fullest)
+
+
+def best_fit(left: np.ndarray, max_len: int, fullest: bool = False) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit-decreasing on counts: the longest piece left opens a
-    sequence, the longest that still fits follows, as often as there are
-    pieces for it. Every step uses up a length."""
+    sequence, the longest that still fits follows (with ``fullest``: those
+    that fill it most), as often as there are pieces for it. Every step
+    uses up a length."""
     left = left.copy()
     uses = []
     while left.any():
-        take = []
-        free = max_len
+        first = int(np.flatnonzero(left)[-1])
         spare = left.copy()
-        while True:
-            fits = np.flatnonzero(spare[1:free + 1])
-            if not len(fits):
-                break
-            length = int(fits[-1]) + 1
-            take.append(length)
-            spare[length] -= 1
-            free -= length
+        spare[first] -= 1
+        take = [first, *(fill if fullest else greedy)(spare, max_len - first)]
         lengths, times = np.unique(take, return_counts=True)
         n = int((left[lengths] // times).min())
         left[lengths] -= n * times
@@ -258,6 +261,32 @@ def best_fit(left: np.ndarray, max_len: int) -> list[tuple[tuple[int, ...], int]
     return uses
 
 
+def greedy(left: np.ndarray, free: int) -> list[int]:
+    """The longest that fits, again and again."""
+    left, take = left.copy(), []
+    while len(fits := np.flatnonzero(left[:free + 1])):
+        take.append(int(fits[-1]))
+        left[take[-1]] -= 1
+        free -= take[-1]
+    return take
+
+
+def fill(left: np.ndarray, free: int) -> list[int]:
+    """Lengths whose sum is nearest below ``free`` or equal, long ones
+    first: subset sums as bits of one number for each piece that counts."""
+    items = [int(v) for v in np.flatnonzero(left[:free + 1]) for _ in range(min(int(left[v]), free // int(v)))]
+    sums, mask = [1], (1 << (free + 1)) - 1
+    for v in items:
+        sums.append((sums[-1] | sums[-1] << v) & mask)
+    rest = sums[-1].bit_length() - 1
+    take = []
+    for i in range(len(items) - 1, -1, -1):
+        if rest >= items[i] and sums[i] >> (rest - items[i]) & 1:
+            take.append(items[i])
+            rest -= items[i]
+    return take
+
+
 # ---- dealing the plan to the pieces ------------------------------------------
 
 def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID, with_ids: bool = False, per_salt: int = 250_000) -> DataFrame:
