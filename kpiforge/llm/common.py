@@ -31,6 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def label_sample(rows: DataFrame, keys: list[str], label: str, sample: int) -> DataFrame:
+    """At most ``sample`` distinct (keys, label), with ``weight``: the rows
+    each stands for.
+
+    Both kinds of label (0 and 1) have room for half of the sample, and
+    what one leaves is the other's, so rare labels are not lost among
+    frequent ones; copies are one row. Chosen by least hash. The weights of
+    a kind sum up to its rows in ``rows``."""
+    each = written(rows.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("weight")).withColumn("__h", F.xxhash64(*keys)), "label_rows")
+    n = {int(r[label]): r["n"] for r in each.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    most1 = min(n.get(1, 0), max(sample // 2, sample - n.get(0, 0)))
+    some = [each.filter(F.col(label) == y).orderBy("__h", *keys).limit(m) for y, m in ((0, sample - most1), (1, most1))]
+    some = written(some[0].unionByName(some[1]), "label_sample")
+    total, taken = ({int(r[label]): r["w"] for r in d.groupBy(label).agg(F.sum("weight").alias("w")).collect()} for d in (each, some))
+    scale = F.when(F.col(label) == 1, total.get(1, 0) / max(taken.get(1, 0), 1)).otherwise(total.get(0, 0) / max(taken.get(0, 0), 1))
+    return some.withColumn("weight", F.col("weight") * scale).drop("__h")
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text (null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))

@@ -14,7 +14,8 @@ tasks. Only texts with a candidate are cut into words. The dictionary is
 learnt from all words of the corpus: the letter trigrams more frequent
 than a uniform share; there are at most 26^3 of them, which is the proven
 bound of its broadcast. The forest is fitted on at most ``sample``
-labelled findings (the least by hash, so always the same ones).
+distinct labelled findings (the least by hash, so always the same ones),
+half of the room for either label, weighted by the rows they stand for.
 
 Null and empty texts have no candidates; without labelled findings of
 both kinds the label itself decides (null: no secret); repeated rows are
@@ -31,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import written
+from kpiforge.llm.common import label_sample, written
 
 SHORTEST = 16
 CANDIDATE = "[A-Za-z0-9_+/-]{%d,}={0,2}" % SHORTEST
@@ -134,13 +135,13 @@ def format_labels(found: DataFrame) -> DataFrame:
 
 def classify(found: DataFrame, labelled: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 6, seed: int = 11) -> DataFrame:
     """found (with FEATURES) plus ``score``, the forest's share of trees."""
-    some = written(labelled.filter("label IS NOT NULL").select(*FEATURES, F.col("label").cast("double").alias("label"))
-                   .withColumn("h", F.xxhash64(*FEATURES, "label")).orderBy("h", *FEATURES).limit(sample), "secret_training").coalesce(1)
+    labelled = labelled.filter("label IS NOT NULL").select(*FEATURES, F.col("label").cast("double").alias("label"))
+    some = label_sample(labelled, FEATURES, "label", sample).coalesce(1)
     kinds = {r["label"] for r in some.select("label").distinct().collect()}
     if kinds != {0.0, 1.0}:
         return found.withColumn("score", F.coalesce(F.col("label"), F.lit(0)).cast("double") if "label" in found.columns else F.lit(0.0))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="__features")
-    forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vector.transform(some))
+    forest = RandomForestClassifier(featuresCol="__features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(vector.transform(some))
     ranked = forest.setProbabilityCol("__probability").setRawPredictionCol("__raw").setPredictionCol("__prediction").transform(vector.transform(found))
     return ranked.withColumn("score", vector_to_array("__probability")[1]).drop("__features", "__probability", "__raw", "__prediction")
 

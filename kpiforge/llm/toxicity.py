@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import id_crc, slices, written
+from kpiforge.llm.common import id_crc, label_sample, slices, written
 
 SAMPLE = 20_000
 MOST = 8192
@@ -52,8 +52,8 @@ def features(word: str) -> list[str]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, toxic of the sampled labelled documents."""
-    some = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-            .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic"))
+    each = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    some = label_sample(each, ["doc_id"], "toxic", sample).select("doc_id", "toxic")
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 

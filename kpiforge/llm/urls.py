@@ -4,7 +4,10 @@ The trees see lexical features only: lengths, depth, digit ratios,
 character entropy, parameter counts, and statistics of the host's suffixes
 (how frequent a suffix is among all urls, and how often its labelled urls
 are blocked, smoothed). They are trained from labelled urls (``label``: 1
-block, 0 allow), of which at most ``sample`` are used (least by hash).
+block, 0 allow), of which at most ``sample`` distinct ones are used, half
+of the room for either label, weighted by the rows they stand for. Hosts
+are dealt to ``FOLDS`` folds by hash, and a labelled url's block rates come
+from the other folds' labels, so no row sees its own label or its host's.
 
 Urls are never shuffled but for the join with suffix statistics, which are
 counted with partial sums, so a suffix that a third of all pages share
@@ -19,14 +22,15 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import written
+from kpiforge.llm.common import label_sample, written
 
 #: (verdict, host, path): fixed values.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 SAMPLE = 20_000
+FOLDS = 8
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_labels", "f_depth", "f_digit", "f_host_digit", "f_entropy", "f_host_entropy", "f_params", "f_query_len", "f_fragment", "f_hyphen", "f_https", "f_slash", "f_dot", "f_seen1", "f_block1", "f_seen2", "f_block2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,26 +75,31 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def suffix_stats(urls: DataFrame, level: int, weight: float = 20.0) -> DataFrame:
-    """suffix, log frequency and smoothed block rate (0.5 without labels)."""
-    col = f"suffix{level}"
-    return urls.groupBy(col).agg(F.log2(F.count("*") + 1).alias(f"f_seen{level}"),
-                                 ((F.sum(F.coalesce("label", F.lit(0))) + 0.5 * weight) / (F.count("label") + weight)).alias(f"f_block{level}"))
+    """Of each suffix and fold with urls: log frequency, and the smoothed
+    block rate (0.5 without labels) for unlabelled urls (``all``, over every
+    label) and labelled ones (``other``, over the other folds' labels)."""
+    col, same = f"suffix{level}", Window.partitionBy(f"suffix{level}")
+    part = urls.groupBy(col, "fold").agg(F.count("*").alias("n"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked"), F.count("label").alias("labelled"))
+    rate = lambda b, n: (b + 0.5 * weight) / (n + weight)
+    b, n = F.sum("blocked").over(same), F.sum("labelled").over(same)
+    return part.select(col, "fold", F.log2(F.sum("n").over(same) + 1).alias(f"f_seen{level}"), rate(b, n).alias("all"), rate(b - F.col("blocked"), n - F.col("labelled")).alias("other"))
 
 
 def judge(pages: DataFrame, key: str = "page_id", rules=RULES, sample: int = SAMPLE, trees: int = 20, depth: int = 4, seed: int = 3) -> DataFrame:
     """key, host, path, rule, verdict and score (the trees' probability of
     block) of every url. Urls that a rule fits are the labelled ones."""
     urls = lexical(ruled(parsed(pages, key), rules)).withColumn("label", (F.col("rule_verdict") == "block").cast("int"))
-    urls = written(urls, "url_features")
+    urls = written(urls.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))), "url_features")
     for level in (1, 2):
-        urls = urls.join(suffix_stats(urls, level), f"suffix{level}")
+        rate = F.when(F.col("label").isNull(), F.col("all")).otherwise(F.col("other"))
+        urls = urls.join(suffix_stats(urls, level), [f"suffix{level}", "fold"]).withColumn(f"f_block{level}", rate).drop("all", "other")
     urls = written(urls, "url_rows")
-    some = written(urls.filter("label IS NOT NULL").select("url", *FEATURES, F.col("label").cast("double").alias("label"))
-                   .withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(sample), "url_training").coalesce(1)
+    labelled = urls.filter("label IS NOT NULL").select("url", *FEATURES, F.col("label").cast("double").alias("label"))
+    some = label_sample(labelled, ["url", *FEATURES], "label", sample).coalesce(1)
     kinds = [r["label"] for r in some.select("label").distinct().collect()]
     if len(kinds) == 2:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="__features")
-        model = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(vector.transform(some))
+        model = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed, stepSize=0.2).fit(vector.transform(some))
         urls = model.setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__hat").transform(vector.transform(urls)).withColumn("score", vector_to_array("__p")[1])
     else:
         urls = urls.withColumn("score", F.lit(kinds[0] if kinds else 0.0))
