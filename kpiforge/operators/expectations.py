@@ -5,10 +5,15 @@ data-dependent statistics of the suite are computed by a single ``agg``
 over the table; schema-only expectations are decided from ``df.schema``.
 The result has one row per expectation: expectation_type, column,
 success, observed. Unknown expectation types raise (they do not pass).
+With ``by``, one grouped pass judges every group of rows as a table of its
+own. Suites are JSON files (:func:`load_suite`).
 """
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +50,26 @@ def _num(col: str):
     return F.col(col).cast("string").try_cast("double")
 
 
-def run_suite(df: DataFrame, suite: list[dict]) -> DataFrame:
+def load_suite(path: str | Path) -> list[dict]:
+    """The expectations of a suite file."""
+    return json.loads(Path(path).read_text())["expectations"]
+
+
+def run_suite(df: DataFrame, suite: list[dict], by: tuple[str, ...] = (), keep=(),
+              schemas: dict[str, T.StructType] | None = None) -> DataFrame:
+    """One row per expectation (and group of the columns ``by``). ``keep``
+    are further aggregates of a group that go into each of its rows.
+    ``schemas``: the tables that the values of ``by[0]`` name, for the
+    expectations on schemas; by default the schema of ``df``."""
     cols = set(df.columns)
+    keep = list(keep)
+    kept = [*by, *(df.agg(*keep).columns if keep else [])]
+
+    def by_schema(test):
+        if schemas is None:
+            return F.lit(test(df.schema))
+        return F.col(by[0]).isin([a for a, s in schemas.items() if test(s)])
+
     aggs, rows = [], []
     for i, exp in enumerate(suite):
         et, kw = exp["expectation_type"], exp.get("kwargs", {})
@@ -55,14 +78,17 @@ def run_suite(df: DataFrame, suite: list[dict]) -> DataFrame:
             raise ValueError(f"unknown expectation type: {et}")
         if et in SCHEMA_TYPES:
             if et == "expect_table_columns_to_match_set":
-                ok = set(kw.get("column_set", [])) <= cols
+                ok = by_schema(lambda s: set(kw.get("column_set", [])) <= set(s.names))
             elif et == "expect_table_columns_to_match_ordered_list":
-                ok = list(df.columns) == list(kw.get("column_list", []))
+                ok = by_schema(lambda s: s.names == list(kw.get("column_list", [])))
             else:
                 want = TYPE_CLASS.get(str(kw.get("type_", kw.get("expected_type", ""))).lower())
-                have = spark_type_class(df.schema[col].dataType) if col in cols else None
-                ok = have is not None and (have == want or (want == "float" and have == "int"))
-            rows.append((i, et, col, F.lit(ok), F.lit(None).cast("double")))
+
+                def typed(s):
+                    have = spark_type_class(s[col].dataType) if col in s.names else None
+                    return have is not None and (have == want or (want == "float" and have == "int"))
+                ok = by_schema(typed)
+            rows.append((i, et, col, ok, F.lit(None).cast("double")))
             continue
         if col is not None and col not in cols:
             rows.append((i, et, col, F.lit(False), F.lit(None).cast("double")))
@@ -114,9 +140,12 @@ def run_suite(df: DataFrame, suite: list[dict]) -> DataFrame:
         elif et == "expect_column_values_to_match_regex":
             aggs.append(F.count_if(F.col(col).isNotNull() & ~F.col(col).cast("string").rlike(kw["regex"])).alias(k))
             rows.append((i, et, col, F.col(k) == 0, F.col(k).cast("double")))
-    base = df.agg(*aggs) if aggs else df.sparkSession.range(1).select()
+    if by:
+        base = df.groupBy(*by).agg(*keep, *aggs) if keep or aggs else df.select(*by).distinct()
+    else:
+        base = df.agg(*keep, *aggs) if keep or aggs else df.sparkSession.range(1).select()
     structs = [F.struct(F.lit(i).alias("idx"), F.lit(et).alias("expectation_type"),
                         F.lit(col).cast("string").alias("column"), ok.alias("success"),
                         obs.cast("double").alias("observed"))
                for i, et, col, ok, obs in rows]
-    return base.select(F.inline(F.array(*structs)))
+    return base.select(*kept, F.inline(F.array(*structs)))
