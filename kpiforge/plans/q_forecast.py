@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_sum_parts, exact_sum_value, num, safe_div
+from ..operators import arma as ARMA
 from ..operators import forecast as FC
 from ..oracle.silver import N, REV, with_silver
 from . import panel
@@ -180,3 +181,10 @@ def ar_forecast(spark, sf):
     pts = revenue_points(spark, sf)
     schema = "region string, p int, d int, aic double, step int, forecast double"
     return pts.groupBy("region").applyInPandas(FC.ar_forecast_group("region", LIN_HORIZON), schema)
+
+
+@query("arima_forecast")
+def arima_forecast(spark, sf):
+    """M7: forecast per series by the ARIMA order (p, q in 0..2, d in 0..1)
+    of least AIC, moving-average terms included."""
+    return revenue_points(spark, sf).groupBy("region").applyInPandas(ARMA.forecast_group("region", LIN_HORIZON), "region string, " + ARMA.SCHEMA)
