@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 MODULES = ["q_silver", "gold", "calculators", "q_ops", "q_quality", "q_display", "q_forecast",
-           "q_sources", "q_monitor", "q_records", "q_layers", "q_catalog"]
+           "q_sources", "q_monitor", "q_records", "q_layers", "q_catalog", "q_landing"]
 
 
 def load_all() -> None:
