@@ -4,29 +4,35 @@ Each byte of a text is eight binary decisions. A decision is predicted in
 the context of the 0 .. ``depth`` bytes before it; every node of that
 context tree holds a Krichevsky-Trofimov estimate from the training
 counts, and the estimates of all depths are mixed by context-tree
-weighting: P_w(s) = 1/2 P_kt(s) + 1/2 prod P_w(children of s).
+weighting: P_w(s) = 1/2 P_kt(s) + 1/2 prod P_w(children of s). Contexts seen
+fewer than ``least`` times share one leaf below the longest context that was
+seen that often, so no count is dropped; there is no other limit, and the
+tree grows with the corpus.
 
 How it runs on Spark
 --------------------
-1. *Counts.* Every training text is read whole. Each task sorts the
-   (context, byte) grams of its texts and emits one row per distinct gram;
-   Spark sums them over the corpus. All shallower depths follow by
-   summing the deepest one.
-2. *Tree.* A context stays in the tree when it was seen at least T times,
-   T being the least power-of-sqrt(2) threshold that leaves at most
-   ``max_contexts`` contexts. Rarer contexts below a kept one share a
-   common leaf, so no count is dropped. ``max_contexts`` is the model's
-   size (as parameters are for any model) and is the proven bound of what
-   is collected and broadcast: at most 2 kB a context.
-3. *Scoring.* With frozen counts, "the longest kept context" is an
-   automaton over bytes (kept contexts are closed under taking prefixes
-   and suffixes), so scoring a byte is one step of a transition table and
-   one look-up. Tasks step many text pieces side by side with numpy.
+The tree is a table, never in one place. A *cell* is a context and a binary
+node; only cells with counts exist.
+
+1. *Counts.* Each task sends one row for each distinct (context, byte) gram
+   of its training texts; Spark sums them.
+2. *Below.* Grams are dealt by the three nearest context bytes: all contexts
+   of depth three and more that share them lie together (at most 2^24 grams
+   at the default depth, taken a few such groups at a time). Tasks weigh
+   their cells from the deepest up, and what they say of depth three is
+   summed by its cell of depth two.
+3. *Top.* Cells of depths 0 to 2 are bounded by the alphabet, not by the
+   corpus (at most 2^16 contexts; text has a few thousand): the driver
+   weighs and mixes them, and they are broadcast.
+4. *Answers.* Texts are laid in blocks of ``BLOCK_MB``. The distinct grams of
+   all blocks are dealt like the counts and answered once each from the top
+   down; answers go back to the blocks that asked, by a join on the gram.
+5. *Scoring.* A block meets its answers; a byte is one look-up.
 
 A text is closed by one end symbol, so probabilities of all texts sum
-to 1. Null texts are empty; an empty table gives an empty result;
-repeated rows are scored each; very long texts are cut into lanes for stepping only
-(a lane starts ``depth`` bytes early, which gives the exact state).
+to 1. Null texts are empty; an empty table gives an empty result, and
+without training texts every byte costs 8 bits; repeated rows are scored
+each; a very long text is a block of its own.
 """
 
 from __future__ import annotations
@@ -35,17 +41,25 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import id_crc, slices, text_buffers, written
+from kpiforge.llm.common import give_back, id_crc, slices, text_buffers, written
 
 END = 0xFF                     # never a byte of UTF-8
 END_TOKEN = b"\n"              # never a word
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+DEPTH = 5
+LEAST = 2                 # a context is a node of its own from so many bytes on
+TOP = 3                   # depths below are in the broadcast part of the tree
+BLOCK_MB = 32
+GROUP = 1 << 17           # grams a task takes at a time, whole groups
+COMMON = 1 << 18          # words broadcast for the base score: c >= N / COMMON
+
 
 # ---- text layout ------------------------------------------------------------
 
@@ -62,12 +76,12 @@ def stream(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return out, starts
 
 
-def grams(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context of ``depth`` bytes, byte) grams and their counts;
-    the byte is the lowest of the key."""
+def gram_keys(data: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
+    """The (context of ``depth`` bytes, byte) grams of all texts in their
+    order, a text's length and one each; the byte is the lowest of the key."""
     s, starts = stream(data, off, depth)
     if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     key = np.zeros(len(s) - depth, np.uint64)
     for j in range(depth + 1):
         key <<= np.uint64(8)
@@ -76,13 +90,23 @@ def grams(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np
     ends = starts[:-1] + np.diff(off)[:-1] + 1
     for j in range(depth):
         real[ends + j - depth] = False
-    key = key[real]
+    return key[real]
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def grams(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and their counts."""
+    key = gram_keys(data, off, depth)
     key.sort()
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    first = _heads(key)
     return key[first], np.diff(np.concatenate((first, [len(key)])))
 
 
-# ---- model -------------------------------------------------------------------
+# ---- cells --------------------------------------------------------------------
 
 def _lgamma(z: np.ndarray) -> np.ndarray:
     """log Gamma for z > 0 by Stirling's series after a shift by 8."""
@@ -99,167 +123,134 @@ def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - math.log(math.pi)
 
 
-def _bit_counts(counts: np.ndarray) -> np.ndarray:
-    """[rows, 256] byte counts to [rows, 512] heap: node i splits into
-    2i (bit 0) and 2i + 1 (bit 1); 256 + x is byte x."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for lo in (128, 64, 32, 16, 8, 4, 2, 1):
-        heap[:, lo:2 * lo] = heap[:, 2 * lo:4 * lo:2] + heap[:, 2 * lo + 1:4 * lo:2]
-    return heap
-
-
-class Model:
-    """Frozen tree as an automaton: ``next`` and ``logp`` are [states, 256];
-    state 0 is the empty context. ``logp`` is natural log."""
-
-    def __init__(self, depth: int, nxt: np.ndarray, logp: np.ndarray):
-        self.depth, self.next, self.logp = depth, nxt, logp
-
-    def score(self, data: np.ndarray, off: np.ndarray, lanes: int = 8192) -> np.ndarray:
-        """log10 probability of each text."""
-        n = len(off) - 1
-        if not n:
-            return np.zeros(0)
-        s, starts = stream(data, off, self.depth)
-        lanes = max(1, min(lanes, len(s) // 256))
-        size = -(-len(s) // lanes)
-        pad = np.full(self.depth + lanes * size, END, np.uint8)
-        pad[self.depth:self.depth + len(s)] = s
-        steps = np.lib.stride_tricks.as_strided(pad, (size + self.depth, lanes), (1, size), writeable=False)
-        flat_next, flat_logp = self.next.ravel(), self.logp.ravel()
-        state = np.zeros(lanes, np.int64)
-        out = np.empty((size, lanes), np.float32)
-        for j in range(size + self.depth):
-            cell = (state << 8) + steps[j]
-            if j >= self.depth:
-                np.take(flat_logp, cell, out=out[j - self.depth])
-            state = np.take(flat_next, cell).astype(np.int64)
-        total = np.zeros(len(s) + 1)
-        np.cumsum(out.T.ravel()[:len(s)], dtype=np.float64, out=total[1:])
-        return (total[starts + np.diff(off) + 1] - total[starts]) / math.log(10)
-
-
-class _Level:
-    """The kept contexts of one depth, sorted, with their byte counts as a
-    sparse table; rows become dense only a block at a time."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, d: int):
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        ctx = key >> np.uint64(8)
-        self.ctx = np.unique(ctx) if d else np.zeros(1, np.uint64)
-        self.start = np.concatenate((np.searchsorted(ctx, self.ctx), [len(ctx)]))
-        self.byte, self.count = (key & np.uint64(255)).astype(np.int64), count.astype(np.float64)
-
-    def add(self, rows: np.ndarray, to: np.ndarray, out: np.ndarray, sign: float = 1.0) -> np.ndarray:
-        """out[to[i]] += sign * counts of rows[i]."""
-        lens = self.start[rows + 1] - self.start[rows]
-        base = np.repeat(self.start[rows] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens)
-        at = base + np.arange(lens.sum())
-        np.add.at(out, (np.repeat(to, lens), self.byte[at]), sign * self.count[at])
-        return out
-
-
-def build_model(depth: int, level: np.ndarray, key: np.ndarray, count: np.ndarray, step: int = 2048) -> Model:
-    """Mix the counts of the kept contexts. ``level`` is the context's
-    depth, ``key`` context and byte as in :func:`grams`; every byte count
-    of a kept context must be there. No rows: the uniform model.
-
-    Dense tables exist for ``step`` contexts, or one depth, at a time."""
-    lv = [_Level(key[level == d], count[level == d], d) for d in range(depth + 1)]
-    sizes = [len(x.ctx) for x in lv]
-    base = np.concatenate(([0], np.cumsum(sizes)))
-    up = [None] + [np.searchsorted(lv[d - 1].ctx, lv[d].ctx & np.uint64((1 << (8 * (d - 1))) - 1))
-                   for d in range(1, depth + 1)]
-    by_parent = [None] + [np.argsort(up[d], kind="stable") for d in range(1, depth + 1)]
-
-    def blocks(d):
-        return ((a, min(sizes[d], a + step)) for a in range(0, sizes[d], step))
-
-    def own_counts(d, a, b):
-        rows = np.arange(a, b)
-        return lv[d].add(rows, rows - a, np.zeros((b - a, 256)))
-
-    def children(d, a, b):
-        """Kept children of the contexts a .. b of depth d."""
-        order = by_parent[d + 1]
-        sorted_up = up[d + 1][order]
-        kids = order[np.searchsorted(sorted_up, a):np.searchsorted(sorted_up, b)]
-        return kids, up[d + 1][kids] - a
-
-    def rest_counts(d, a, b, own):
-        kids, to = children(d, a, b)
-        return np.maximum(lv[d + 1].add(kids, to, own.copy(), -1.0), 0)
-
-    # Bottom-up: the weight of each node's own estimate, 1/2 P_kt / P_w.
-    weight: list = [None] * depth
-    below = None
-    for d in range(depth, -1, -1):
-        pw = np.empty((sizes[d], 256))
-        if d < depth:
-            weight[d] = np.empty((sizes[d], 256), np.float16)
-        for a, b in blocks(d):
-            counts = own_counts(d, a, b)
-            heap = _bit_counts(counts)
-            own = _log_kt(heap[:, 0::2], heap[:, 1::2])
-            if d == depth:
-                pw[a:b] = own
-                continue
-            heap = _bit_counts(rest_counts(d, a, b, counts))
-            split = _log_kt(heap[:, 0::2], heap[:, 1::2])
-            kids, to = children(d, a, b)
-            np.add.at(split, to, below[kids])
-            pw[a:b] = np.logaddexp(own, split) - math.log(2)
-            weight[d][a:b] = np.exp(own - math.log(2) - pw[a:b])
-        below = pw
-    del below, pw
-
-    def kt_one(counts):
-        heap = _bit_counts(counts)
-        return (heap[:, 1::2] + 0.5) / (heap[:, 0::2] + heap[:, 1::2] + 1)
-
-    # Top-down: mix along the path, then the leaf shared by the rest.
-    nxt = np.zeros((base[-1], 256), np.uint16 if base[-1] <= 1 << 16 else np.int32)
-    logp = np.empty((base[-1], 256), np.float32)
-    acc = rem = None
-    for d in range(depth + 1):
-        up_acc, up_rem = acc, rem
-        acc, rem = np.empty((sizes[d], 256), np.float32), np.empty((sizes[d], 256), np.float32)
-        for a, b in blocks(d):
-            counts = own_counts(d, a, b)
-            pa_, pr = (0.0, 1.0) if d == 0 else (up_acc[up[d][a:b]], up_rem[up[d][a:b]])
-            w = weight[d][a:b].astype(np.float64) if d < depth else 1.0
-            acc[a:b] = pa_ + pr * w * kt_one(counts)
-            rem[a:b] = pr * (1 - w)
-            one = acc[a:b].astype(np.float64)
-            if d < depth:
-                one = one + rem[a:b] * kt_one(rest_counts(d, a, b, counts))
-            one = np.clip(one, 1e-12, 1 - 1e-12)
-            lp = np.zeros((b - a, 512))
-            lo = 1
-            while lo < 256:
-                lp[:, 2 * lo:4 * lo:2] = lp[:, lo:2 * lo] + np.log1p(-one[:, lo:2 * lo])
-                lp[:, 2 * lo + 1:4 * lo:2] = lp[:, lo:2 * lo] + np.log(one[:, lo:2 * lo])
-                lo *= 2
-            logp[base[d] + a:base[d] + b] = lp[:, 256:]
-        if d:
-            nxt[base[d]:base[d + 1]] = nxt[base[d - 1] + up[d]]
-        if d < depth and sizes[d + 1]:
-            older = lv[d + 1].ctx >> np.uint64(8)
-            at = np.minimum(np.searchsorted(lv[d].ctx, older), sizes[d] - 1)
-            ok = lv[d].ctx[at] == older
-            nxt[base[d] + at[ok], (lv[d + 1].ctx[ok] & np.uint64(255)).astype(int)] = base[d + 1] + np.flatnonzero(ok)
-    return Model(depth, nxt, logp)
+def _kt_one(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return (n1 + 0.5) / (n0 + n1 + 1)
+
+
+def _low(key: np.ndarray, n_bytes: int) -> np.ndarray:
+    return key & np.uint64((1 << (8 * n_bytes)) - 1) if n_bytes < 8 else key
+
+
+_BYTE = np.uint64(255)
+
+
+def _node(byte: np.ndarray, j: int) -> np.ndarray:
+    """The node of a byte's decision j: a one, then the j bits before it."""
+    return np.uint64(1 << j) | (byte >> np.uint64(8 - j))
+
+
+def _bit(byte: np.ndarray, j: int) -> np.ndarray:
+    return (byte >> np.uint64(7 - j)) & np.uint64(1)
+
+
+def find(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted table, -1 where it is not."""
+    if not len(table):
+        return np.full(len(key), -1)
+    at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+    return np.where(table[at] == key, at, -1)
+
+
+class Level:
+    """The contexts of one depth that are nodes of their own (``ctx``, shifted
+    past a byte) and their cells: ``cell`` is context and node, sorted; ``n0``
+    and ``n1`` count the decisions. Weighing and mixing add ``pw`` (log P_w),
+    ``acc`` and ``rem`` (the mixture down to this depth, and the weight left
+    for deeper ones) and ``one`` (the probability of a one where no deeper
+    context is a node)."""
+
+    def __init__(self, depth: int, key: np.ndarray, n: np.ndarray, least: int):
+        self.depth = depth
+        ctx = key & ~_BYTE
+        head = _heads(ctx)
+        size = np.diff(np.concatenate((head, [len(ctx)])))
+        total = np.add.reduceat(n, head) if len(head) else np.zeros(0, n.dtype)
+        own = total >= least if depth else np.ones(len(head), bool)
+        self.ctx = ctx[head][own]
+        own = np.repeat(own, size)
+        key, n = key[own], n[own].astype(np.float64)
+        ctx, byte = key & ~_BYTE, key & _BYTE
+        cell, every, ones = [], [], []
+        for j in range(8):
+            c = ctx | _node(byte, j)
+            first = _heads(c)
+            cell.append(c[first])
+            every.append(np.add.reduceat(n, first) if len(first) else n)
+            ones.append(np.add.reduceat(n * _bit(byte, j), first) if len(first) else n)
+        cell, every, ones = (np.concatenate(x) for x in (cell, every, ones))
+        order = np.argsort(cell)
+        self.cell, self.n1 = cell[order], ones[order]
+        self.n0 = every[order] - self.n1
+
+    def weigh(self, below) -> None:
+        """``below``: cells of this depth, and sums of their children's log
+        P_w, zeros and ones; None at the greatest depth."""
+        own = _log_kt(self.n0, self.n1)
+        if below is None:
+            self.r0 = self.r1 = np.zeros(len(own))
+            self.pw, self.w = own, np.ones(len(own))
+            return
+        cell, *sums = below
+        at = np.searchsorted(self.cell, cell)
+        kids, k0, k1 = (np.bincount(at, x, len(own)) for x in sums)
+        self.r0, self.r1 = np.maximum(self.n0 - k0, 0), np.maximum(self.n1 - k1, 0)
+        self.pw = np.logaddexp(own, kids + _log_kt(self.r0, self.r1)) - math.log(2)
+        self.w = np.exp(own - math.log(2) - self.pw)
+
+    def parents(self) -> np.ndarray:
+        """The cell of one depth less that each cell belongs to."""
+        return _low(self.cell, self.depth)
+
+    def mix(self, up: Level | None) -> None:
+        acc, rem = 0.0, 1.0
+        if up is not None:
+            at = np.searchsorted(up.cell, self.parents())
+            acc, rem = up.acc[at], up.rem[at]
+        self.acc = acc + rem * self.w * _kt_one(self.n0, self.n1)
+        self.rem = rem * (1 - self.w)
+        self.one = self.acc + self.rem * _kt_one(self.r0, self.r1)
+
+
+def tree(key: np.ndarray, n: np.ndarray, lo: int, hi: int, least: int, below=None) -> list[Level]:
+    """Weighed levels lo .. hi of the grams (sorted or not) of depth ``hi``."""
+    levels = []
+    for d in range(hi, lo - 1, -1):
+        key = _low(key, d + 1)
+        key, n = added([(key, n)])
+        levels.append(Level(d, key, n, least))
+    for x in levels:
+        x.weigh(below)
+        below = (x.parents(), x.pw, x.n0, x.n1)
+    return levels[::-1]
+
+
+def answers(levels: list[Level], key: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each gram's byte in its context, by
+    mixed levels from the empty context on."""
+    byte = key & _BYTE
+    total = np.zeros(len(key))
+    inside, known = [], np.ones(len(key), bool)
+    for x in levels:
+        known = known & (find(x.ctx, _low(key, x.depth + 1) & ~_BYTE) >= 0)
+        inside.append(known)
+    for j in range(8):
+        one = np.full(len(key), 0.5)
+        acc, rem, on = np.zeros(len(key)), np.ones(len(key)), np.ones(len(key), bool)
+        for x, known in zip(levels, inside):
+            rows = np.flatnonzero(on & known)
+            at = find(x.cell, (_low(key[rows], x.depth + 1) & ~_BYTE) | _node(byte[rows], j))
+            new = rows[at < 0]                 # no decision seen here, nor deeper
+            one[new], on[new] = acc[new] + 0.5 * rem[new], False
+            rows, at = rows[at >= 0], at[at >= 0]
+            one[rows], acc[rows], rem[rows] = x.one[at], x.acc[at], x.rem[at]
+            on &= known
+        one = np.clip(one, 1e-12, 1 - 1e-12)
+        total += np.log(np.where(_bit(byte, j) == 1, one, 1 - one))
+    return total
 
 
 # ---- Spark operator ----------------------------------------------------------
 
-MAX_CONTEXTS = 1 << 16
-DEPTH = 5
-COMMON = 1 << 18          # words broadcast for the base score: c >= N / COMMON
-
-
 def _arrow(names: str, *columns):
     """Record batches of at most 2^18 rows."""
     for a in range(0, len(columns[0]), 1 << 18):
@@ -271,79 +262,162 @@ def added(held: list) -> tuple[np.ndarray, np.ndarray]:
     key, n = (np.concatenate(c) for c in zip(*held))
     order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[first], np.add.reduceat(n[order], first)
+    first = _heads(key)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+class _Sums:
+    """Gram counts of texts, piece by piece, in bounded memory."""
+
+    def __init__(self, depth: int, most: int):
+        self.depth, self.most, self.held = depth, most, []
+
+    def add(self, column) -> bool:
+        """True when there is enough to be sent."""
+        self.held.append(grams(*text_buffers(column), self.depth))
+        if len(self.held) > 1 and sum(len(k) for k, _ in self.held[1:]) > max(1 << 20, len(self.held[0][0])):
+            self.held = [added(self.held)]
+        return len(self.held[0][0]) > self.most
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        held, self.held = self.held, []
+        return added(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def gram_counts(docs: DataFrame, depth: int, text: str = "text", piece_mb: int = 2, most: int = 3_000_000) -> DataFrame:
-    """(level, gram, n, total) of all texts: the grams of every depth (as in
-    :func:`grams`, as longs), how often they occur, and how often their
-    context does.
-
-    One shuffle: the distinct deepest grams of each task (which holds at most
-    about ``most`` of them), dealt by the three
-    nearest context bytes. All contexts that end in those bytes, at every
-    depth from three, then lie in one partition, so numpy sums them there;
-    what is left of depths 0 to 2 is summed by Spark."""
+    """(gram, n) of all texts, written: the grams of the greatest depth as
+    longs, and how often they occur."""
     def count(batches):
-        held: list = []          # sums so far, then the pieces since
+        sums = _Sums(depth, most)
         for piece in slices(batches, text, piece_mb << 20):
-            held.append(grams(*text_buffers(piece.column(0)), depth))
-            if len(held) > 1 and sum(len(k) for k, _ in held[1:]) > max(1 << 20, len(held[0][0])):
-                held = [added(held)]
-            if len(held[0][0]) > most:
-                key, n = added(held)
-                held = []
+            if sums.add(piece.column(0)):
+                key, n = sums.take()
                 yield from _arrow("gram n", key.view(np.int64), n)
-        if held:
-            key, n = added(held)
-            yield from _arrow("gram n", key.view(np.int64), n)
-
-    def sum_up(batches):
-        key, n = [], []
-        for b in batches:
-            key.append(b.column(0).to_numpy().view(np.uint64))
-            n.append(b.column(1).to_numpy())
-        if not key:
-            return
-        key, n = np.concatenate(key), np.concatenate(n)
-        for d in range(depth, -1, -1):
-            if d < 7:
-                key = key & np.uint64((1 << (8 * (d + 1))) - 1)
-            order = np.argsort(key)
-            key = key[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            n, key = np.add.reduceat(n[order], first), key[first]
-            ctx = key >> np.uint64(8)
-            head = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
-            total = np.repeat(np.add.reduceat(n, head), np.diff(np.concatenate((head, [len(ctx)]))))
-            yield from _arrow("level gram n total", np.full(len(key), d, np.int32), key.view(np.int64), n, total)
+        key, n = sums.take()
+        yield from _arrow("gram n", key.view(np.int64), n)
+
+    sent = docs.select(text).mapInArrow(count, "gram long, n long")
+    return written(sent.groupBy("gram").agg(F.sum("n").alias("n")), "ctw_grams")
+
+
+def blocks(docs: DataFrame, block_mb: int = BLOCK_MB) -> DataFrame:
+    """``docs`` (doc_id, text, held_out) with a row number and the number of
+    its block, written: the texts of a block hold at most about ``block_mb``."""
+    def lay(batches):
+        part = TaskContext.get().partitionId()
+        row, block, size = part << 40, part << 24, 0
+        for piece in slices(batches, "text", 1 << 20):
+            size += piece.column(1).nbytes
+            if size > block_mb << 20:
+                block, size = block + 1, piece.column(1).nbytes
+            n = piece.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), *piece.columns],
+                                             names=["block", "row", "doc_id", "text", "held_out"])
+            row += n
+
+    return written(docs.select(F.col("doc_id").cast("long"), "text", "held_out")
+                   .mapInArrow(lay, "block long, row long, doc_id long, text string, held_out boolean"), "ctw_blocks")
 
+
+def block_grams(laid: DataFrame, depth: int, piece_mb: int = 2, most: int = 3_000_000) -> DataFrame:
+    """(block, gram), written: the distinct grams of each block (twice where
+    two tasks read parts of one)."""
+    def ask(batches):
+        sums, block = _Sums(depth, most), None
+
+        def flush():
+            key, _ = sums.take()
+            yield from _arrow("block gram", np.full(len(key), block), key.view(np.int64))
+
+        for piece in slices(batches, "text", piece_mb << 20):
+            ids = piece.column(0).to_numpy()
+            cut = np.concatenate((_heads(ids), [len(ids)]))
+            for a, b in zip(cut[:-1], cut[1:]):
+                if block is not None and ids[a] != block:
+                    yield from flush()
+                block = int(ids[a])
+                if sums.add(piece.column(1).slice(a, b - a)):
+                    yield from flush()
+        if block is not None:
+            yield from flush()
+
+    return written(laid.select("block", "text").mapInArrow(ask, "block long, gram long"), "ctw_asked")
+
+
+def _groups(batches, size: int):
+    """(grams, counts) of whole groups, at least ``size`` grams at a time;
+    the batches are sorted by group."""
+    key, n, rows = [], [], 0
+
+    def near(k):
+        return (k >> np.uint64(8)) & np.uint64(0xFFFFFF)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key.append(b.column(0).to_numpy().view(np.uint64))
+        n.append(b.column(1).to_numpy())
+        rows += b.num_rows
+        if rows >= size:
+            k, c = np.concatenate(key), np.concatenate(n)
+            end = int(np.flatnonzero(near(k) != near(k[-1:]))[-1]) + 1 if (near(k) != near(k[-1:])).any() else 0
+            if end:
+                yield k[:end], c[:end]
+            key, n, rows = [k[end:]], [c[end:]], len(k) - end
+    if rows:
+        yield np.concatenate(key), np.concatenate(n)
+    give_back()
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (gram, n) dealt and sorted by the three nearest context bytes."""
     near = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
-    dealt = docs.select(text).mapInArrow(count, "gram long, n long").repartition(near)
-    rows = written(dealt.mapInArrow(sum_up, "level int, gram long, n long, total long"), "ctw_grams")
-    split = rows.filter("level < 3").groupBy("level", "gram").agg(F.sum("n").alias("n"))
-    context = split.groupBy("level", F.shiftrightunsigned("gram", 8).alias("ctx")).agg(F.sum("n").alias("total"))
-    split = split.withColumn("ctx", F.shiftrightunsigned("gram", 8)).join(context, ["level", "ctx"]).select(*rows.columns)
-    return rows.filter("level >= 3").unionByName(split)
-
-
-def train(docs: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS, text: str = "text") -> Model:
-    """Fit the model on all texts of ``docs``. ``depth`` is 2 to 7 (a gram
-    is one long)."""
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7")
-    rows = gram_counts(docs, depth, text)
-    bucket = F.floor(2 * F.log2("total"))
-    # Contexts by threshold 2^(i/2), each once: a table of at most 128 rows.
-    share = rows.groupBy(bucket.alias("i")).agg(F.sum(F.col("n") / F.col("total")).alias("contexts")).collect()
-    passes = {r["i"]: round(r["contexts"]) for r in share}
-    at, kept = max(passes, default=0) + 1, 1
-    while at > 0 and kept + passes.get(at - 1, 0) <= max_contexts:
-        at -= 1
-        kept += passes.get(at, 0)
-    got = rows.filter((bucket >= at) | (F.col("level") == 0)).select("level", "gram", "n").toArrow()
-    return build_model(depth, got["level"].to_numpy(), got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy())
+    return rows.select("gram", "n").repartition(near).sortWithinPartitions(near)
+
+
+def top_levels(counts: DataFrame, depth: int, least: int) -> list[Level]:
+    """Mixed levels of the depths below ``TOP``, from the counts of all."""
+    def weigh(batches):
+        for key, n in _groups(batches, GROUP):
+            low = tree(key, n, TOP, depth, least)[0]
+            cell = low.parents()
+            order = np.argsort(cell, kind="stable")
+            first = _heads(cell[order])
+            if len(first):
+                yield from _arrow("cell pw n0 n1", cell[order][first].view(np.int64),
+                                  *(np.add.reduceat(x[order], first) for x in (low.pw, low.n0, low.n1)))
+
+    below = (_dealt(counts).mapInArrow(weigh, "cell long, pw double, n0 double, n1 double")
+             .groupBy("cell").agg(F.sum("pw").alias("pw"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())
+    short = F.col("gram").bitwiseAND(F.lit((1 << (8 * TOP)) - 1))
+    got = counts.groupBy(short.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    levels = tree(got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy(), 0, TOP - 1, least,
+                  (below["cell"].to_numpy().view(np.uint64), *(below[c].to_numpy() for c in ("pw", "n0", "n1"))))
+    for up, x in zip([None, *levels], levels):
+        x.mix(up)
+        del x.n0, x.n1, x.r0, x.r1, x.pw, x.w           # not needed to answer
+    return levels
+
+
+def gram_scores(counts: DataFrame, asked: DataFrame, depth: int, least: int) -> DataFrame:
+    """(gram, logp) of the distinct grams of ``asked``: natural log of the
+    byte's probability in its context, by the tree of ``counts``."""
+    top = asked.sparkSession.sparkContext.broadcast(top_levels(counts, depth, least))
+
+    def answer(batches):
+        for key, n in _groups(batches, GROUP):
+            seen = n > 0
+            want = np.unique(key[~seen])
+            if not len(want):
+                continue
+            levels = list(top.value)
+            for x in tree(key[seen], n[seen], TOP, depth, least):
+                x.mix(levels[-1])
+                levels.append(x)
+            yield from _arrow("gram logp", want.view(np.int64), answers(levels, want).astype(np.float32))
+
+    each = asked.select("gram").distinct().withColumn("n", F.lit(0).cast("long"))
+    return _dealt(counts.unionByName(each)).mapInArrow(answer, "gram long, logp float")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -373,9 +447,10 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = 1 << 18) -> Dat
     return docs.select(text).mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int = LEAST, block_mb: int = BLOCK_MB) -> DataFrame:
     """Score every text of ``docs`` (``doc_id``, ``text``, ``held_out``) by
-    the model learnt from ``training``.
+    the model learnt from ``training``. ``depth`` is 3 to 7 (a gram is one
+    long).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probability), n_bytes and bits_per_byte (code length).
@@ -383,43 +458,54 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, max_contexts
     The base score counts words exactly: words with c >= N / COMMON (at
     most COMMON of them) are looked up in a broadcast table, all others by
     a join on the word."""
+    if not TOP <= depth <= 7:
+        raise ValueError("depth must be 3 to 7")
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(training, depth, max_contexts))
-    counts = written(word_counts(training), "ctw_words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = gram_counts(training, depth)
+    laid = blocks(docs, block_mb)
+    asked = block_grams(laid, depth)
+    told = asked.join(gram_scores(counts, asked, depth, least), "gram").select("block", "gram", "logp")
+    word_table = written(word_counts(training), "ctw_words")
+    total, distinct = word_table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor_c = max(1, -(-total // COMMON))
-    common = counts.filter(F.col("c") >= floor_c).toArrow()
+    common = word_table.filter(F.col("c") >= floor_c).toArrow()
     table = spark.sparkContext.broadcast((common["token"].combine_chunks(), common["c"].to_numpy()))
     bottom = total + 0.1 * (distinct + 1)
     schema = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, token binary, times long"
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-    names = [x.split()[0] for x in schema.split(", ")]
+    fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
+                        ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("times", pa.int64())])
     state: dict = {}
 
-    def run(batches):
+    def run(texts: pa.Table, grams_told: pa.Table) -> pa.Table:
         if "get" not in state:
             tokens, c = table.value
             state["get"] = dict(zip(tokens.to_pylist(), np.log10((c + 0.1) / bottom).tolist())).get
-        get, m = state["get"], model.value
-        row = TaskContext.get().partitionId() << 40     # the rows are written once, so their numbers stay
-        for piece in slices(batches, "text", 1 << 20):
-            sc = m.score(*text_buffers(piece.column(1)))
-            ids, held = piece.column(0).to_pylist(), piece.column(2).to_pylist()
-            main, rare = [], []
-            for i, t in enumerate(piece.column(1).cast(pa.binary()).to_pylist()):
-                row += 1
+        get = state["get"]
+        logp = grams_told["logp"].to_numpy().astype(np.float64) / math.log(10)
+        place = pd.Index(grams_told["gram"].to_numpy())
+        if not place.is_unique:
+            first = np.flatnonzero(~place.duplicated())
+            place, logp = place[first], logp[first]
+        main, rare = [], []
+        for piece in slices(texts.to_batches(), "text", 1 << 20):
+            data, off = text_buffers(piece.column(3))
+            at = place.get_indexer(gram_keys(data, off, depth).view(np.int64))
+            sc = np.add.reduceat(logp[at], off[:-1] + np.arange(len(off) - 1))
+            rows, ids, held = (piece.column(i).to_pylist() for i in (1, 2, 4))
+            for i, t in enumerate(piece.column(3).cast(pa.binary()).to_pylist()):
                 w = words(t or b"")
                 lp = list(map(get, w))
                 missing = lp.count(None)
                 if missing:
-                    rare += [(row, None, None, None, None, None, None, None, k, v) for k, v in Counter(x for x, p in zip(w, lp) if p is None).items()]
+                    rare += [(rows[i], None, None, None, None, None, None, None, k, v) for k, v in Counter(x for x, p in zip(w, lp) if p is None).items()]
                     lp = [p for p in lp if p is not None]
-                main.append((row, ids[i], held[i], len(t or b""), len(w), len(w) - missing, math.fsum(lp), float(sc[i]), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*main, *rare), types)], names=names)
+                main.append((rows[i], ids[i], held[i], len(t or b""), len(w), len(w) - missing, math.fsum(lp), float(sc[i]), None, None))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*main, *rare), fields)], schema=fields)
 
-    rows = written(docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(run, schema), "ctw_scored")
+    met = laid.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    rows = written(met, "ctw_scored")
     hit = F.coalesce("c", F.lit(0))
-    rare = (rows.filter("token IS NOT NULL").select("row", "token", "times").join(counts.filter(F.col("c") < floor_c), "token", "left")
+    rare = (rows.filter("token IS NOT NULL").select("row", "token", "times").join(word_table.filter(F.col("c") < floor_c), "token", "left")
             .groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
                                 F.sum(F.col("times") * F.log10((hit + 0.1) / F.lit(bottom))).alias("rare_base")))
     out = rows.filter("token IS NULL").join(rare, "row", "left")

@@ -3,11 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kpiforge.llm import ctw, queries
-from kpiforge.llm.common import text_buffers
 from tests.llm.fixtures import SF, edge, empty
 
 
@@ -75,42 +74,58 @@ def naive(train, texts, depth, kept):
     return out
 
 
-def buffers(texts):
-    return text_buffers(pa.array([t.decode() for t in texts]))
+def contexts(texts, depth, least):
+    """Contexts of at most ``depth`` bytes seen ``least`` times or more."""
+    seen = Counter()
+    for t in texts:
+        s = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(s)):
+            seen.update(s[i - d:i] for d in range(1, depth + 1))
+    return {b""} | {c for c, n in seen.items() if n >= least}
+
+
+TRAIN = [b"abracadabra abracadabra", b"the cat sat on the mat", b"", "né à né".encode(), b"aaaa", b"the cat sat on the mat"]
+TEXTS = [b"abra", b"", b"the hat", "zé".encode(), b"aaaaaaaaaaaa the cat", b"\x01q"]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t.decode(), False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
 
 
-def levels(texts, depth, least):
-    key, n = ctw.grams(*buffers(texts), depth)
-    lv, ks, ns, kept = [], [], [], {b""}
-    for d in range(depth, -1, -1):
-        k = key & np.uint64((1 << (8 * (d + 1))) - 1)
-        u, inv = np.unique(k, return_inverse=True)
-        c = np.bincount(inv, weights=n).astype(np.int64)
-        ctx = u >> np.uint64(8)
-        total = {x: c[ctx == x].sum() for x in np.unique(ctx)}
-        keep = np.array([d == 0 or total[x] >= least for x in ctx])
-        kept |= {int(x).to_bytes(d, "big") for x in ctx[keep]} if d else set()
-        lv.append(np.full(keep.sum(), d))
-        ks.append(u[keep])
-        ns.append(c[keep])
-    return np.concatenate(lv), np.concatenate(ks), np.concatenate(ns), kept
+@pytest.mark.parametrize("depth,least", [(3, 1), (4, 3), (5, 2), (7, 1)])
+def test_scores_equal_textbook_recursion(spark, depth, least):
+    got = ctw.score(frame(spark, TEXTS), frame(spark, TRAIN), depth=depth, least=least).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx(naive(TRAIN, TEXTS, depth, contexts(TRAIN, depth, least)), abs=1e-4)
 
 
-@pytest.mark.parametrize("depth,least", [(2, 1), (3, 3), (4, 5)])
-def test_model_equals_textbook_recursion(depth, least):
-    train = [b"abracadabra abracadabra", b"the cat sat on the mat", b"", "né à né".encode(), b"aaaa"]
-    texts = [b"abra", b"", b"the hat", "zé".encode(), b"aaaaaaaaaaaa the cat", b"\x01q"]
-    lv, k, n, kept = levels(train, depth, least)
-    model = ctw.build_model(depth, lv, k, n)
-    assert model.score(*buffers(texts)) == pytest.approx(naive(train, texts, depth, kept), abs=2e-3)
-    assert np.exp(model.logp.astype(float)).sum(1) == pytest.approx(1, abs=1e-5)
+def test_probabilities_of_a_context_sum_to_one(spark):
+    counts = ctw.gram_counts(frame(spark, TRAIN), 4)
+    wanted = [(int.from_bytes(c + bytes([x]), "big"),) for c in (b"abra", b"e ca", b"zzat", b"\xff\xff\xff\xff", b"qqqq") for x in range(256)]
+    asked = spark.createDataFrame(wanted, "gram long")
+    sums = ctw.gram_scores(counts, asked, 4, 2).groupBy((F.col("gram") / 256).cast("long")).agg(F.sum(F.exp("logp")).alias("p")).collect()
+    assert [r.p for r in sums] == pytest.approx([1.0] * 5, abs=1e-5)
 
 
-def test_lanes_do_not_change_scores():
-    lv, k, n, _ = levels([b"some training text, some more of it"] * 3, 3, 2)
-    model = ctw.build_model(3, lv, k, n)
-    data = buffers([b"some text " * 900, b"", b"more"])
-    assert model.score(*data, lanes=1) == pytest.approx(model.score(*data, lanes=64))
+def test_blocks_and_groups_do_not_change_scores(spark, monkeypatch):
+    """Tiny blocks and groups taken one by one, and one long text."""
+    texts = [*TEXTS, b"the cat sat " * 150_000, b"more"]
+    whole = ctw.score(frame(spark, texts), frame(spark, TRAIN), depth=4).orderBy("doc_id").collect()
+    monkeypatch.setattr(ctw, "GROUP", 1)
+    cut = ctw.score(frame(spark, texts), frame(spark, TRAIN), depth=4, block_mb=0).orderBy("doc_id").collect()
+    assert [r.score for r in cut] == pytest.approx([r.score for r in whole], rel=1e-6)
+    assert [r.n_bytes for r in cut] == [len(t) for t in texts]
+
+
+def test_without_training_a_byte_costs_eight_bits(spark):
+    docs = frame(spark, TEXTS)
+    for r in ctw.score(docs, docs.limit(0), depth=4).collect():
+        assert r.score == pytest.approx(-8 * (r.n_bytes + 1) * math.log10(2), rel=1e-6)
+
+
+def test_depth_is_checked(spark):
+    docs = frame(spark, TEXTS)
+    with pytest.raises(ValueError):
+        ctw.score(docs, docs, depth=8)
 
 
 def test_query_against_brute_force(spark):
@@ -135,14 +150,6 @@ def test_held_out_text_scores_above_the_word_base(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_spark_tree_equals_local_tree(spark):
-    texts = [b"abracadabra abracadabra", b"the cat sat on the mat", b"abc"]
-    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = ctw.train(df, depth=4)
-    lv, k, n, _ = levels(texts, 4, 1)
-    assert model.score(*buffers(texts)) == pytest.approx(ctw.build_model(4, lv, k, n).score(*buffers(texts)), abs=1e-4)
-
-
 def test_edges(spark):
     docs = ctw.held_out_split(edge(spark))
     rows = ctw.score(docs, docs, depth=3).collect()
