@@ -400,8 +400,9 @@ def top_levels(counts: DataFrame, depth: int, least: int) -> list[Level]:
 
 
 def gram_scores(counts: DataFrame, asked: DataFrame, depth: int, least: int) -> DataFrame:
-    """(gram, logp) of the distinct grams of ``asked``: natural log of the
-    byte's probability in its context, by the tree of ``counts``."""
+    """(gram, logp) of the grams of ``asked`` (gram, n; each once, n not
+    positive): natural log of the byte's probability in its context, by the
+    tree of ``counts``."""
     top = asked.sparkSession.sparkContext.broadcast(top_levels(counts, depth, least))
 
     def answer(batches):
@@ -416,8 +417,7 @@ def gram_scores(counts: DataFrame, asked: DataFrame, depth: int, least: int) ->
                 levels.append(x)
             yield from _arrow("gram logp", want.view(np.int64), answers(levels, want).astype(np.float32))
 
-    each = asked.select("gram").distinct().withColumn("n", F.lit(0).cast("long"))
-    return _dealt(counts.unionByName(each)).mapInArrow(answer, "gram long, logp float")
+    return _dealt(counts.unionByName(asked.select("gram", "n"))).mapInArrow(answer, "gram long, logp float")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -463,8 +463,11 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int =
     spark = docs.sparkSession
     counts = gram_counts(training, depth)
     laid = blocks(docs, block_mb)
-    asked = block_grams(laid, depth)
-    told = asked.join(gram_scores(counts, asked, depth, least), "gram").select("block", "gram", "logp")
+    # Dealt by gram once: the distinct grams and the join both read this shuffle
+    # (the same columns and filter on either side, so that it is reused).
+    asked = block_grams(laid, depth).filter("gram IS NOT NULL").repartition("gram")
+    each = asked.groupBy("gram").agg((-F.min("block")).alias("n"))
+    told = asked.join(gram_scores(counts, each, depth, least), "gram").select("block", "gram", "logp")
     word_table = written(word_counts(training), "ctw_words")
     total, distinct = word_table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor_c = max(1, -(-total // COMMON))

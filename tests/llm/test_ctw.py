@@ -101,7 +101,7 @@ def test_scores_equal_textbook_recursion(spark, depth, least):
 def test_probabilities_of_a_context_sum_to_one(spark):
     counts = ctw.gram_counts(frame(spark, TRAIN), 4)
     wanted = [(int.from_bytes(c + bytes([x]), "big"),) for c in (b"abra", b"e ca", b"zzat", b"\xff\xff\xff\xff", b"qqqq") for x in range(256)]
-    asked = spark.createDataFrame(wanted, "gram long")
+    asked = spark.createDataFrame(wanted, "gram long").withColumn("n", F.lit(0).cast("long"))
     sums = ctw.gram_scores(counts, asked, 4, 2).groupBy((F.col("gram") / 256).cast("long")).agg(F.sum(F.exp("logp")).alias("p")).collect()
     assert [r.p for r in sums] == pytest.approx([1.0] * 5, abs=1e-5)
 
