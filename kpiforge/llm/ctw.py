@@ -41,7 +41,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,8 +56,9 @@ DEPTH = 5
 LEAST = 2                 # a context is a node of its own from so many bytes on
 TOP = 3                   # depths below are in the broadcast part of the tree
 BLOCK_MB = 32
+PIECE = 1 << 18           # bytes of text scored at a time
 GROUP = 1 << 17           # grams a task takes at a time, whole groups
-COMMON = 1 << 18          # words broadcast for the base score: c >= N / COMMON
+COMMON = 1 << 17          # words broadcast for the base score, the most frequent ones
 
 
 # ---- text layout ------------------------------------------------------------
@@ -447,6 +447,16 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = 1 << 18) -> Dat
     return docs.select(text).mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def common_from(counts: DataFrame, most: int) -> int:
+    """The least count that at most ``most`` words of ``counts`` (token, c)
+    reach. Of N tokens there are at most sqrt(2 N) different counts."""
+    each = counts.groupBy("c").agg(F.count("*").alias("n")).toArrow()
+    c, n = each["c"].to_numpy(), each["n"].to_numpy()
+    down = np.argsort(-c)
+    fit = int(np.searchsorted(np.cumsum(n[down]), most, side="right"))
+    return int(c[down[fit - 1]]) if fit else int(c.max(initial=0)) + 1
+
+
 def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int = LEAST, block_mb: int = BLOCK_MB) -> DataFrame:
     """Score every text of ``docs`` (``doc_id``, ``text``, ``held_out``) by
     the model learnt from ``training``. ``depth`` is 3 to 7 (a gram is one
@@ -455,9 +465,9 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int =
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probability), n_bytes and bits_per_byte (code length).
 
-    The base score counts words exactly: words with c >= N / COMMON (at
-    most COMMON of them) are looked up in a broadcast table, all others by
-    a join on the word."""
+    The base score counts words exactly: the most frequent words (at most
+    COMMON of them) are looked up in a broadcast table, all others by a join
+    on the word."""
     if not TOP <= depth <= 7:
         raise ValueError("depth must be 3 to 7")
     spark = docs.sparkSession
@@ -470,13 +480,13 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int =
     told = asked.join(gram_scores(counts, each, depth, least), "gram").select("block", "gram", "logp")
     word_table = written(word_counts(training), "ctw_words")
     total, distinct = word_table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor_c = max(1, -(-total // COMMON))
+    floor_c = common_from(word_table, COMMON)
     common = word_table.filter(F.col("c") >= floor_c).toArrow()
     table = spark.sparkContext.broadcast((common["token"].combine_chunks(), common["c"].to_numpy()))
     bottom = total + 0.1 * (distinct + 1)
-    schema = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, token binary, times long"
-    fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.binary()), ("times", pa.int64())])
+    schema = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, tokens array<binary>, times array<long>"
+    fields = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base", pa.float64()), ("score", pa.float64()), ("tokens", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
     state: dict = {}
 
     def run(texts: pa.Table, grams_told: pa.Table) -> pa.Table:
@@ -484,34 +494,37 @@ def score(docs: DataFrame, training: DataFrame, depth: int = DEPTH, least: int =
             tokens, c = table.value
             state["get"] = dict(zip(tokens.to_pylist(), np.log10((c + 0.1) / bottom).tolist())).get
         get = state["get"]
-        logp = grams_told["logp"].to_numpy().astype(np.float64) / math.log(10)
-        place = pd.Index(grams_told["gram"].to_numpy())
-        if not place.is_unique:
-            first = np.flatnonzero(~place.duplicated())
-            place, logp = place[first], logp[first]
-        main, rare = [], []
-        for piece in slices(texts.to_batches(), "text", 1 << 20):
+        place, logp = grams_told["gram"].to_numpy(), grams_told["logp"].to_numpy()
+        order = np.argsort(place)
+        place, logp = place[order], logp[order]
+        done = []
+        for piece in slices(texts.to_batches(), "text", PIECE):
             data, off = text_buffers(piece.column(3))
-            at = place.get_indexer(gram_keys(data, off, depth).view(np.int64))
-            sc = np.add.reduceat(logp[at], off[:-1] + np.arange(len(off) - 1))
+            key = gram_keys(data, off, depth).view(np.int64)
+            order = np.argsort(key)
+            each = np.empty(len(key))
+            each[order] = logp[np.searchsorted(place, key[order])]          # every gram was asked for
+            sc = np.add.reduceat(each / math.log(10), off[:-1] + np.arange(len(off) - 1))
+            main = []
             rows, ids, held = (piece.column(i).to_pylist() for i in (1, 2, 4))
             for i, t in enumerate(piece.column(3).cast(pa.binary()).to_pylist()):
                 w = words(t or b"")
                 lp = list(map(get, w))
-                missing = lp.count(None)
-                if missing:
-                    rare += [(rows[i], None, None, None, None, None, None, None, k, v) for k, v in Counter(x for x, p in zip(w, lp) if p is None).items()]
+                rare: Counter = Counter()
+                if None in lp:
+                    rare = Counter(x for x, p in zip(w, lp) if p is None)
                     lp = [p for p in lp if p is not None]
-                main.append((rows[i], ids[i], held[i], len(t or b""), len(w), len(w) - missing, math.fsum(lp), float(sc[i]), None, None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*main, *rare), fields)], schema=fields)
+                main.append((rows[i], ids[i], held[i], len(t or b""), len(w), len(lp), math.fsum(lp), float(sc[i]), list(rare), list(rare.values())))
+            done.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*main), fields)], schema=fields))
+        return pa.Table.from_batches(done, fields)
 
     met = laid.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
     rows = written(met, "ctw_scored")
     hit = F.coalesce("c", F.lit(0))
-    rare = (rows.filter("token IS NOT NULL").select("row", "token", "times").join(word_table.filter(F.col("c") < floor_c), "token", "left")
+    rare = (rows.select("row", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("times").alias("times")))).join(word_table.filter(F.col("c") < floor_c), "token", "left")
             .groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
                                 F.sum(F.col("times") * F.log10((hit + 0.1) / F.lit(bottom))).alias("rare_base")))
-    out = rows.filter("token IS NULL").join(rare, "row", "left")
+    out = rows.drop("tokens", "times").join(rare, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score", "n_bytes",

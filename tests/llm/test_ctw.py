@@ -150,6 +150,28 @@ def test_held_out_text_scores_above_the_word_base(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+@pytest.mark.parametrize("most,least", [(0, 8), (1, 7), (2, 7), (3, 2), (5, 2), (6, 1), (99, 1)])
+def test_the_most_frequent_words_are_common(spark, most, least):
+    counts = spark.createDataFrame([(str(i).encode(), c) for i, c in enumerate([7, 2, 2, 1, 1, 1])], "token binary, c long")
+    assert ctw.common_from(counts, most) == least
+    assert ctw.common_from(counts.limit(0), most) == 1
+
+
+def test_base_score_does_not_hang_on_the_broadcast(spark, monkeypatch):
+    """Rare words come back as lists with their text, one row a text, and are joined."""
+    written, held = ctw.written, {}
+    monkeypatch.setattr(ctw, "written", lambda df, name: held.setdefault(name, written(df, name)))
+    docs = frame(spark, TEXTS)
+    whole = ctw.score(docs, frame(spark, TRAIN), depth=3).orderBy("doc_id").collect()
+    assert held["ctw_scored"].count() == len(TEXTS)
+    monkeypatch.setattr(ctw, "COMMON", 0)
+    held.clear()
+    rare = ctw.score(docs, frame(spark, TRAIN), depth=3).orderBy("doc_id").collect()
+    assert held["ctw_scored"].count() == len(TEXTS)
+    assert [(r.n_tokens, r.n_known) for r in rare] == [(r.n_tokens, r.n_known) for r in whole]
+    assert [r.base_score for r in rare] == pytest.approx([r.base_score for r in whole], rel=1e-12)
+
+
 def test_edges(spark):
     docs = ctw.held_out_split(edge(spark))
     rows = ctw.score(docs, docs, depth=3).collect()
