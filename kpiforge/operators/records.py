@@ -63,7 +63,11 @@ SCHEMAS = {
 def validate(records: DataFrame, schemas: dict[str, list[Field]] = SCHEMAS) -> DataFrame:
     """records (source, id, payload) plus ``errors`` (ordered) and
     ``is_valid``. Text that is no JSON object has the error ``not an
-    object``; a source without a schema has none of its records valid."""
+    object``; a source without a schema has none of its records valid.
+
+    The errors pass through a generator of one row each: a filter on them
+    stays behind it, or the optimizer would copy it, with one parse of the
+    record for every look at a field, before the one that makes them."""
     fields = F.from_json("payload", "map<string,string>")
     checks = F.lit(None).cast("array<string>")
     for source, rules in schemas.items():
@@ -71,8 +75,8 @@ def validate(records: DataFrame, schemas: dict[str, list[Field]] = SCHEMAS) -> D
         checks = F.when(F.col("source") == source, found).otherwise(checks)
     errors = (F.when(~F.coalesce(F.col("source").isin(*schemas), F.lit(False)), F.array(F.concat(F.lit("no schema for source "), F.coalesce("source", F.lit("null")))))
               .when(F.col("_fields").isNull(), F.array(F.lit("not an object"))).otherwise(checks))
-    return (records.withColumn("_fields", fields).withColumn("errors", errors).drop("_fields")
-            .withColumn("is_valid", F.size("errors") == 0))
+    found = records.withColumn("_fields", fields).withColumn("_errors", errors)
+    return found.select(*records.columns, F.inline_outer(F.array(F.struct(F.col("_errors").alias("errors"))))).withColumn("is_valid", F.size("errors") == 0)
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

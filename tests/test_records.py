@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from kpiforge.operators.records import split, summary, validate
 
 
@@ -35,3 +37,11 @@ def test_summary_keeps_the_first_ten_errors(spark):
     assert (got["linz"].valid, got["linz"].valid_count, got["linz"].invalid_count) == (False, 60, 30)
     assert got["linz"].errors == [f"Record {i}: year: required" for i in range(0, 30, 3)]
     assert got["rbnz"].valid and got["rbnz"].errors == []
+
+
+def test_a_record_is_parsed_once(spark):
+    """Filters on the errors, own or the optimizer's, do not copy the parse."""
+    checked = validate(spark.createDataFrame([("linz", 1, "{}")], "source string, id long, payload string").repartition(2))
+    for frame in (checked.filter("NOT is_valid"), checked.select(F.explode("errors")), checked.filter("is_valid").select("id")):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        frame.collect()
