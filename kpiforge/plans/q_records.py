@@ -30,8 +30,8 @@ def landed_records(spark, sf) -> DataFrame:
         record = F.to_json(F.struct(*[F.expr(e).alias(f) for f, e in fields.items()]))
         frames.append(table(spark, sf, name).select(F.lit(source).alias("source"), F.expr(key).cast("long").alias("id"), record.alias("payload")))
     rows = union(frames)
-    rows.write.json(path)
-    return spark.read.schema(rows.schema).json(path)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 _SQL = """
@@ -63,7 +63,10 @@ r AS (SELECT source, e, 'Record ' || CAST(id AS VARCHAR) || ': ' || e AS message
 def record_schemas(spark, sf):
     """The six record schemas over landed records: counts of valid and
     invalid records of each source and its first ten errors."""
-    return summary(validate(landed_records(spark, sf)))
+    path = scratch_path(spark, "checked-records")
+    checked = validate(landed_records(spark, sf)).drop("payload")
+    checked.write.parquet(path)         # counts and first errors both read it: records are parsed once
+    return summary(spark.read.schema(checked.schema).parquet(path))
 
 
 @query("record_errors", _SQL + "SELECT source, e AS error, count(*) AS n FROM (SELECT source, unnest(string_split(e, '; ')) AS e FROM r WHERE e <> '') GROUP BY source, e")
