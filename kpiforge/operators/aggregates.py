@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from ..session import scratch_path
 from ..sources.tables import bounded_broadcast
 
 STEPS = 64                   # ranges for each factor e
@@ -35,7 +36,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     hangs on groups and ranges, not on rows), the second counts only the
     values in the range or two of each group that hold the middle, summed in
     each task too: a group of equal values is one row. The ranges to look at
-    are broadcast behind a check of their number, and joined beyond it.
+    are written once (the first pass is not run again to count them),
+    broadcast behind a check of their number, and joined beyond it.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     v = F.col(value).cast("double")
@@ -51,6 +53,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     k1, k2 = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
     middle = (ranges.withColumn("_upto", upto).withColumn("_n", total).filter((F.col("_upto") >= k1) & (F.col("_upto") - F.col("_c") < k2))
               .select(*keys, "_range", (F.col("_upto") - F.col("_c")).alias("_before"), "_n"))
+    path = scratch_path(df.sparkSession, "median_ranges")
+    middle.write.parquet(path)
+    middle = df.sparkSession.read.schema(middle.schema).parquet(path)
     inside = rows.alias("l").join(bounded_broadcast(middle).alias("r"), on(middle, ["_range"])).select("l.*", "r._before", "r._n")
     counted = inside.groupBy(*keys, "_range", "_before", "_n", "_v").agg(n.alias("_c"))
     last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))

@@ -1,11 +1,12 @@
 """Panel views: the driver tables seen as regional and national series.
 
 Binding (see README): nation = region, year of the order / ship date =
-year. Every view aggregates the large fact tables down to its key
-*before* joining them to a dimension, so the big joins move one row per
-(customer, year) or (supplier, year) instead of one per order line, and a
-customer or supplier holding a third of all rows still becomes a handful
-of rows before the shuffle. Money is summed as DECIMAL.
+year. Orders are aggregated to (customer, year) *before* they meet the
+customers, which may be many, so a customer holding a third of all rows
+becomes a handful of rows before the shuffle. Lines meet their supplier's
+nation row by row, as (supplier, month) would hardly be fewer rows than
+lines, and are summed in each task by nation and month. Money is summed
+exactly, in integers.
 """
 
 from __future__ import annotations
@@ -54,31 +55,24 @@ def _revenue():
     return money(_revenue_expr())
 
 
-def build_supplier_month(spark: SparkSession, sf: str) -> DataFrame:
-    """(supplier, year, month) exact partial sums of lineitem — the one
-    lineitem scan behind the month, tourism and region-month panels."""
-    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax",
-               "l_returnflag")
-    return (li.groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-            .agg(*exact_sum(_revenue_expr(), "revenue"),
-                 F.count(F.lit(1)).alias("n_lines"),
-                 F.sum(hundredths("l_discount")).alias("disc_h"),
-                 F.sum(hundredths("l_tax")).alias("tax_h"),
-                 F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
-
-
-def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """supplier_month joined to the supplier's region (nation)."""
-    sm = supplier_month(spark, sf)
+def build_region_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """(region, year, month): exact partial sums of line revenue, shared by
+    the tourism and region-month panels. Lines meet their supplier's nation
+    in one narrow scan (broadcast by Spark where it is small) and are summed
+    in each task, so a supplier's size and the number of suppliers do not
+    matter to what is shuffled."""
+    li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
     supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
-    return (sm.join(supp, sm.l_suppkey == supp.s_suppkey)
-            .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
-            .withColumnRenamed("n_name", "region"))
+    g = (li.join(supp, li.l_suppkey == supp.s_suppkey)
+         .groupBy("s_nationkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+         .agg(*exact_sum(_revenue_expr(), "revenue")))
+    return (g.join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
+            .groupBy(F.col("n_name").alias("region"), "year", "month").agg(*exact_sum_parts("revenue")))
 
 
 def build_tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year of ship date): line revenue (tourism expenditure)."""
-    g = supplier_regions(spark, sf).groupBy("region", "year").agg(*exact_sum_parts("revenue"))
+    g = region_sums(spark, sf).groupBy("region", "year").agg(*exact_sum_parts("revenue"))
     return g.select("region", "year", exact_sum_value("revenue").alias("spend"))
 
 
@@ -103,12 +97,15 @@ def build_rent_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_month_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """(year, month) sums; the macro (year) and rate (month) series derive
-    from it."""
-    return (supplier_month(spark, sf).groupBy("year", "month")
-            .agg(*exact_sum_parts("revenue"), F.sum("n_lines").alias("n_lines"),
-                 F.sum("disc_h").alias("disc_h"), F.sum("tax_h").alias("tax_h"),
-                 F.sum("n_returns").alias("n_returns")))
+    """(year, month) sums over all lines, whatever their supplier; the macro
+    (year) and rate (month) series derive from it."""
+    li = table(spark, sf, "lineitem", "l_shipdate", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    return (li.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+            .agg(*exact_sum(_revenue_expr(), "revenue"),
+                 F.count(F.lit(1)).alias("n_lines"),
+                 F.sum(hundredths("l_discount")).alias("disc_h"),
+                 F.sum(hundredths("l_tax")).alias("tax_h"),
+                 F.count_if(F.col("l_returnflag") == "R").alias("n_returns")))
 
 
 def macro_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,5 +149,5 @@ def month_panel(spark: SparkSession, sf: str) -> DataFrame:
     return materialized(spark, sf, "month_panel", build_month_panel)
 
 
-def supplier_month(spark: SparkSession, sf: str) -> DataFrame:
-    return materialized(spark, sf, "supplier_month", build_supplier_month)
+def region_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return materialized(spark, sf, "region_sums", build_region_sums)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import exact_sum_parts, exact_sum_value, num, safe_div
+from ..functions.scalar import exact_sum_value, num, safe_div
 from ..operators import arma as ARMA
 from ..operators import forecast as FC
 from ..oracle.silver import N, REV, with_silver
@@ -21,9 +21,8 @@ LIN_HORIZON, TEST_SIZE = 6, 6
 
 
 def build_region_month(spark: SparkSession, sf: str) -> DataFrame:
-    """(region, year, month) revenue from the shared supplier-month sums."""
-    g = panel.supplier_regions(spark, sf).groupBy("region", "year", "month").agg(*exact_sum_parts("revenue"))
-    return g.select("region", "year", "month", exact_sum_value("revenue").cast("double").alias("revenue"))
+    """(region, year, month) revenue from the shared region sums."""
+    return panel.region_sums(spark, sf).select("region", "year", "month", exact_sum_value("revenue").cast("double").alias("revenue"))
 
 
 def region_month(spark, sf):

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from . import panel
 from .features import SILVER, silver
 
-PANELS = ["supplier_month", "order_panel", "tourism_panel", "rent_panel", "month_panel"]
+PANELS = ["region_sums", "order_panel", "tourism_panel", "rent_panel", "month_panel"]
 SILVER_INDEPENDENT = [s for s in SILVER if s != "unified_base"]
 
 
