@@ -265,6 +265,9 @@ def estimates(rows: DataFrame, min_group: int, h: float, steps: int) -> tuple[Da
     parts = rows.select("grp", *FEATURES).unionByName(of_lang)
     if not groups.filter("grp = 'all'").isEmpty():
         parts = parts.unionByName(rows.filter("grp <> 'all'").select(F.lit("all").alias("grp"), *FEATURES))
+    # Every step reads the rows twice: written once, the steps' plans are a scan
+    # instead of the joins and branches above, over and over.
+    parts = written(parts, "mcd_rows")
     return groups.drop("own_lang").join(mcd(parts, few, h, steps), "grp"), few
 
 
