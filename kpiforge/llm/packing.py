@@ -53,8 +53,7 @@ class Encoder:
     def __init__(self, path: str):
         import os
 
-        self._path, self._tokenizer = path, None
-        self._one = self._slow
+        self._path, self._tokenizer, self._fast = path, None, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import base64
@@ -64,15 +63,16 @@ class Encoder:
 
             with open(ranks, "rb") as f:
                 merge = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge, special_tokens={SPECIAL: len(merge)})
+            self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge, special_tokens={SPECIAL: len(merge)})
 
-            def one(t: str) -> bytes:
-                try:
-                    return fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes()
-                except ValueError:
-                    return self._slow(t)
-
-            self._one = one
+    # Nothing here refers back to its encoder: a task's encoder goes when the task does, not with a later garbage collection.
+    def _one(self, t: str) -> bytes:
+        if self._fast is not None:
+            try:
+                return self._fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:
+                pass
+        return self._slow(t)
 
     def _slow(self, text: str) -> bytes:
         if self._tokenizer is None:
@@ -310,7 +310,7 @@ def pack(docs: DataFrame, path: str, max_len: int = 1024, end_id: int = END_ID,
 
     def place(batches):
         k, s, o = plan.value
-        for b in batches:
+        for b in slices(batches, "ids", 2 << 20) if with_ids else batches:
             if not b.num_rows:
                 continue
             rank = b.column(5).to_numpy()

@@ -113,3 +113,40 @@ def test_long_runs_of_one_character():
     for text in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "x" * 20_000):
         want = np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert packing.Encoder(path).encode([text]) == [want]
+
+
+def test_an_encoder_goes_with_its_task():
+    """Workers outlive tasks, and every task has an encoder: it is freed without the garbage collector."""
+    import gc
+    import weakref
+
+    gc.collect()
+    gc.disable()
+    try:
+        held = packing.Encoder(PATH)
+        assert held.encode(["a b"])
+        seen = weakref.ref(held)
+        del held
+        assert seen() is None
+    finally:
+        gc.enable()
+
+
+def test_give_back_frees_what_refers_to_itself():
+    import gc
+    import weakref
+
+    from kpiforge.llm import common
+
+    class Held:
+        pass
+
+    gc.disable()
+    try:
+        held = Held()
+        held.me, seen = held, weakref.ref(held)
+        del held
+        common.give_back()
+        assert seen() is None
+    finally:
+        gc.enable()
