@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_sum, exact_sum_parts, exact_sum_value, hundredths, money
 from ..operators.aggregates import exact_median
-from ..sources.tables import nation_dim, table
+from ..sources.tables import bounded_broadcast, nation_dim, table
 from .store import materialized
 
 URGENT = ("1-URGENT", "2-HIGH")
@@ -55,14 +55,23 @@ def _revenue():
     return money(_revenue_expr())
 
 
+#: Suppliers (two numbers each) that are sent to every executor: some 40 MB there. More are joined by shuffle.
+SUPPLIERS = 1_000_000
+
+
+def supplier_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """(s_suppkey, s_nationkey), broadcast by its number of rows and not by
+    the size of its files, so that lines stay where they are read."""
+    return bounded_broadcast(table(spark, sf, "supplier", "s_suppkey", "s_nationkey"), f"{sf}/supplier/{SUPPLIERS}", SUPPLIERS)
+
+
 def build_region_sums(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year, month): exact partial sums of line revenue, shared by
     the tourism and region-month panels. Lines meet their supplier's nation
-    in one narrow scan (broadcast by Spark where it is small) and are summed
-    in each task, so a supplier's size and the number of suppliers do not
+    in one narrow scan (see ``supplier_nations``) and are summed in each task, so a supplier's size and the number of suppliers do not
     matter to what is shuffled."""
     li = table(spark, sf, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
-    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    supp = supplier_nations(spark, sf)
     g = (li.join(supp, li.l_suppkey == supp.s_suppkey)
          .groupBy("s_nationkey", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
          .agg(*exact_sum(_revenue_expr(), "revenue")))
@@ -79,7 +88,7 @@ def build_tourism_panel(spark: SparkSession, sf: str) -> DataFrame:
 def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     """Line rows tagged with their supplier's region (row-level join)."""
     li = table(spark, sf, "lineitem", "l_suppkey", *cols)
-    supp = table(spark, sf, "supplier", "s_suppkey", "s_nationkey")
+    supp = supplier_nations(spark, sf)
     return (li.join(supp, li.l_suppkey == supp.s_suppkey)
             .join(nation_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
             .withColumnRenamed("n_name", "region"))
@@ -88,8 +97,8 @@ def line_regions(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 def build_rent_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(region, year, quarter): exact median unit price (weekly rent).
 
-    Lines meet their supplier's region (broadcast by Spark where it is
-    small) in two narrow scans; counts are all that moves on from there."""
+    Lines meet their supplier's region (see ``supplier_nations``) in two
+    narrow scans; counts are all that moves on from there."""
     lines = line_regions(spark, sf, "l_shipdate", "l_extendedprice", "l_quantity")
     rows = lines.select("region", F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
                         F.try_divide(F.col("l_extendedprice"), F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("unit_price"))

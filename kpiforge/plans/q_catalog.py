@@ -12,6 +12,7 @@ from .features import silver
 from .q_display import kpis
 from .q_quality import ARTIFACTS, CONTRACT_CTE, contract_scores_df
 from .registry import query
+from .stages import silver_tables
 from .store import materialized
 
 # Parents as contracts name them (ours); the catalog holds no "rates_feed" and no "survey".
@@ -25,6 +26,7 @@ FIND, LAYER = "Rent", "silver"
 
 
 def build_scan(spark, sf) -> DataFrame:
+    silver_tables(spark, sf, ARTIFACTS)
     stored = [("bronze", t, table(spark, sf, t)) for t in TABLES]
     stored += [("silver", a, silver(spark, sf, a)) for a in ARTIFACTS] + [("gold", "kpis", kpis(spark, sf))]
     return scan(stored)

@@ -27,16 +27,21 @@ def _parallel(fns, workers: int = 8):
             f.result()
 
 
+def silver_tables(spark: SparkSession, sf: str, names) -> None:
+    """Writes the panels and the silver tables of these names, all submitted
+    at once; the store's per-table lock makes a silver table wait only for
+    the panels it reads (each built once), so short chains finish while the
+    median runs."""
+    _parallel([lambda p=p: getattr(panel, p)(spark, sf) for p in PANELS]
+              + [lambda s=s: silver(spark, sf, s) for s in names], workers=16)
+
+
 def run_stages(spark: SparkSession, sf: str, gold=None, contracts=None) -> dict[str, float]:
     """Run bronze→silver→gold(→contracts); returns seconds per stage.
     ``gold`` / ``contracts`` are callables that force one output each."""
     t = {}
     t0 = time.perf_counter()
-    # Every panel and silver table is submitted at once; the store's
-    # per-table lock makes a silver table wait only for the panels it reads
-    # (each built once), so short chains finish while the median runs.
-    _parallel([lambda p=p: getattr(panel, p)(spark, sf) for p in PANELS]
-              + [lambda s=s: silver(spark, sf, s) for s in SILVER_INDEPENDENT], workers=16)
+    silver_tables(spark, sf, SILVER_INDEPENDENT)
     silver(spark, sf, "unified_base")
     t["silver"] = time.perf_counter() - t0
     if gold:

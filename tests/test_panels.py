@@ -46,6 +46,24 @@ def test_line_panels_hold_no_row_for_each_supplier(spark, tmp_path):
     assert max(sizes.values()) <= 3 * 3, sizes
 
 
+def test_lines_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Also where the supplier files are above Spark's broadcast threshold; beyond SUPPLIERS the rows are the same."""
+    sf, *_ = _tables(spark, tmp_path, 40)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {}
+        for most in (panel.SUPPLIERS, 0):
+            monkeypatch.setattr(panel, "SUPPLIERS", most)
+            for build in (panel.build_region_sums, lambda s, d: panel.line_regions(s, d, "l_shipdate")):
+                df = build(spark, sf)
+                assert ("SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+                rows.setdefault(most, []).append(sorted(map(str, df.collect())))
+        assert rows[0] == rows[max(rows)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_exact_median_reads_its_rows_twice(spark):
     seen = spark.sparkContext.accumulator(0)
 
