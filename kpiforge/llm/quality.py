@@ -167,26 +167,34 @@ def _distance():
     return total
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    """grp, FEATURES and d2 = log(1 + squared distance), rounded, of rows
-    joined with their estimates."""
+def _d2(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a batch of rows joined with their estimates, and
+    log(1 + squared distance), rounded."""
     p = len(FEATURES)
+    col = lambda c: b.column(b.schema.get_field_index(c))
+    x = np.stack([col(f).to_numpy() for f in FEATURES], 1)
+    d = x - col("centre").flatten().to_numpy().reshape(-1, p)
+    d2 = np.einsum("ni,nij,nj->n", d, col("inverse").flatten().to_numpy().reshape(-1, p, p), d)
+    return x, np.round(np.log1p(np.maximum(d2, 0)), 3)
+
 
+def _measured(rows: DataFrame) -> DataFrame:
+    """grp and d2 of rows joined with their estimates."""
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            col = lambda c: b.column(b.schema.get_field_index(c))
-            d = np.stack([col(f).to_numpy() for f in FEATURES], 1) - col("centre").flatten().to_numpy().reshape(-1, p)
-            d2 = np.einsum("ni,nij,nj->n", d, col("inverse").flatten().to_numpy().reshape(-1, p, p), d)
-            yield pa.RecordBatch.from_arrays([col("grp"), *(col(f) for f in FEATURES), pa.array(np.round(np.log1p(np.maximum(d2, 0)), 3))], names=["grp", *FEATURES, "d2"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_d2(b)[1])], names=["grp", "d2"])
 
-    return rows.select("grp", *FEATURES, "centre", "inverse").mapInArrow(run, "grp string, " + ", ".join(f"{f} double" for f in FEATURES) + ", d2 double")
+    return rows.select("grp", *FEATURES, "centre", "inverse").mapInArrow(run, "grp string, d2 double")
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """grp, centre, inverse covariance of rows (grp, FEATURES). Each batch
-    sends its sums by group: one row for each moment."""
+    """grp, centre, inverse covariance of the rows within ``cut`` of the
+    estimates they are joined with. Each batch sends its sums by group: one
+    row for each moment.
+
+    One map measures and sums: two in a row would take two Python workers
+    for each task, which Spark then keeps for all later stages."""
     p = len(FEATURES)
     upper = np.triu_indices(p)
 
@@ -194,8 +202,11 @@ def _estimates(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            grp = b.column(0).dictionary_encode()
-            x = np.stack([b.column(i + 1).to_numpy() for i in range(p)], 1)
+            x, d2 = _d2(b)
+            near = d2 <= b.column(b.schema.get_field_index("cut")).to_numpy()
+            if not near.any():
+                continue
+            x, grp = x[near], b.column(0).filter(pa.array(near)).dictionary_encode()
             full = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], 1)
             code, names = grp.indices.to_numpy(), grp.dictionary.to_pylist()
             total = np.stack([np.bincount(code, full[:, j], len(names)) for j in range(full.shape[1])], 1)
@@ -214,7 +225,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
                 inverse.append(np.linalg.inv(cov).ravel().tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(centre, pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=["grp", "centre", "inverse"])
 
-    moments = rows.select("grp", *FEATURES).mapInArrow(sums, "grp string, i long, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
+    moments = rows.select("grp", *FEATURES, "centre", "inverse", "cut").mapInArrow(sums, "grp string, i long, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
     return moments.groupBy("grp").agg(F.collect_list(F.struct("i", "v")).alias("m")).mapInArrow(invert, "grp string, centre array<double>, inverse array<double>")
 
 
@@ -229,9 +240,9 @@ def mcd(rows: DataFrame, few: bool, h: float = 0.75, steps: int = 4) -> DataFram
         F.array(*[F.lit(1.0) / F.pow(F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(FLOORS[i])), F.lit(2.0)) if i == j else zero for i in range(p) for j in range(p)]).alias("inverse"))
     for _ in range(steps):
         est = written(est, "mcd_estimate")
-        near = _measured(_with(rows, est, few))
-        cut = near.groupBy("grp").agg(F.percentile("d2", h).alias("cut"))
-        est = _estimates(_with(near, cut, few).filter("d2 <= cut"))
+        held = _with(rows, est, few)
+        cut = _measured(held).groupBy("grp").agg(F.percentile("d2", h).alias("cut"))
+        est = _estimates(_with(held, cut, few))
     est = written(est, "mcd_estimate")
     half = _measured(_with(rows, est, few)).groupBy("grp").agg(F.expm1(F.percentile("d2", 0.5)).alias("half"))
     # Floors already widen the covariance, so it is never shrunk.
